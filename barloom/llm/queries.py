@@ -1,9 +1,10 @@
 """The queries of the training-data operators, with their SQL where SQL can express them."""
 
-from . import mixing
+from . import fingerprint, mixing
 
 QUERIES = {
     "op2_mixing": mixing.op2,
+    "op4_fingerprint": fingerprint.op4,
 }
 
 ORACLE_SQL = {
