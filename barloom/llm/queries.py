@@ -1,12 +1,15 @@
 """The queries of the training-data operators, with their SQL where SQL can express them."""
 
-from . import fingerprint, mixing
+from . import fingerprint, mixing, simhash, templates
 
 QUERIES = {
     "op2_mixing": mixing.op2,
     "op4_fingerprint": fingerprint.op4,
+    "op5_simhash": simhash.op5,
+    "op7_templates": templates.op7,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
+    "op7_templates": templates.ORACLE,
 }
