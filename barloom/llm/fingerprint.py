@@ -2,8 +2,8 @@
 
 Canonical text: NFKC, full Unicode case folding, NFKC again, every run of white space one space, none at the
 ends. Fingerprint: 128 bits, two XXH64 of the canonical text with different seeds. Documents are then grouped by
-fingerprint, and within a group of two or more every canonical text is compared byte by byte with that of the
-group's smallest doc_id; one that differs (a hash collision) gets the SHA-256 of its canonical text added to its
+fingerprint, and within a group the canonical texts are compared byte by byte; one that differs from the
+group's least (a hash collision) gets the SHA-256 of its canonical text added to its
 fingerprint. Equal fingerprints of documents thus mean equal canonical texts. Likeness is 1 where canonical texts are
 equal, compared in full, else 0: an exact digest knows no degrees.
 
@@ -14,8 +14,8 @@ Defined results: null text is empty text; empty texts share a fingerprint; repea
 table gives an empty table; other columns are not read. A null doc_id comes last in descending order.
 
 Scale: neighbours in doc_id order are found with one shuffle of the text into sqrt(rows) ranges of doc_id (bounds from
-approximate quantiles), each range also getting the largest rows of the range below. The byte comparison shuffles
-only the canonical texts, joined with one row per group, so a hot group can be split.
+approximate quantiles), each range also getting the largest rows of the range below. The byte comparison
+is a minimum and a maximum, pre-aggregated before its one shuffle.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .native_text import text_or_empty
+from .storage import materialize
 
 _WHITE = r"[\s\p{Z}\x85]+"
 
@@ -43,15 +44,19 @@ def digest(canon: Column) -> Column:
     return F.concat(part(canon), part(F.lit("wide"), canon))
 
 
-def collisions(docs: DataFrame, hash_of=digest) -> DataFrame:
-    """Rows (doc_id, suffix) of documents whose canonical bytes differ from those of their group's smallest doc_id."""
-    canon = docs.select("doc_id", canonical(text_or_empty()).alias("canon"))
-    hashed = canon.select("doc_id", "canon", hash_of(F.col("canon")).alias("fp"))
-    groups = hashed.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").select(F.col("fp").alias("group_fp"), "first_id")
-    members = hashed.join(groups, F.col("fp") == F.col("group_fp"))
-    first = members.filter(F.col("doc_id") == F.col("first_id")).groupBy("fp").agg(F.min("canon").alias("first_canon"))
-    differing = members.alias("m").join(first.alias("f"), F.col("m.fp") == F.col("f.fp")).filter(F.col("canon") != F.col("first_canon"))
-    return differing.select("doc_id", "canon", F.sha2("canon", 256).alias("suffix")).groupBy("doc_id", "suffix").agg(F.count("*").alias("n")).select("doc_id", "suffix")
+def collisions(docs: DataFrame, hash_of=digest) -> DataFrame | None:
+    """Rows (doc_id, suffix) of documents whose canonical bytes differ from the least of their fingerprint; None: no such.
+
+    Bytes are compared while grouping: the least and the greatest canonical text of a fingerprint are equal if all are.
+    Both are pre-aggregated in every task, so a hot group sends one row per task.
+    """
+    hashed = docs.select("doc_id", canonical(text_or_empty()).alias("canon")).withColumn("fp", hash_of(F.col("canon")))
+    spans = hashed.groupBy("fp").agg(F.min("canon").alias("least"), F.max("canon").alias("greatest"))
+    mixed = materialize(spans.filter("least <> greatest").select(F.col("fp").alias("group_fp"), "least"))
+    if mixed.isEmpty():
+        return None
+    differing = hashed.join(mixed, (F.col("fp") == F.col("group_fp")) & (F.col("canon") != F.col("least")))
+    return differing.select("doc_id", F.sha2("canon", 256).alias("suffix")).distinct()
 
 
 def fingerprints(docs: DataFrame, hash_of=digest) -> DataFrame:
@@ -61,8 +66,10 @@ def fingerprints(docs: DataFrame, hash_of=digest) -> DataFrame:
     return verified(rows, collisions(docs, hash_of))
 
 
-def verified(rows: DataFrame, found: DataFrame) -> DataFrame:
+def verified(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     """rows (doc_id, fingerprint, canon_sha, ...) with the suffix added to the fingerprints of found; canon_sha goes."""
+    if found is None:
+        return rows.drop("canon_sha")
     other = found.select(F.col("doc_id").alias("_id"), F.col("suffix").alias("_suffix"))
     joined = rows.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("canon_sha") == F.col("_suffix")), "left")
     return joined.withColumn("fingerprint", F.concat("fingerprint", F.coalesce(F.concat(F.lit(":"), "_suffix"), F.lit("")))).drop("_id", "_suffix", "canon_sha")

@@ -1,12 +1,13 @@
 """The queries of the training-data operators, with their SQL where SQL can express them."""
 
-from . import fingerprint, mixing, simhash, templates
+from . import fingerprint, mixing, relative_lz, simhash, templates
 
 QUERIES = {
     "op2_mixing": mixing.op2,
     "op4_fingerprint": fingerprint.op4,
     "op5_simhash": simhash.op5,
     "op7_templates": templates.op7,
+    "op8_relative_lz": relative_lz.op8,
 }
 
 ORACLE_SQL = {
