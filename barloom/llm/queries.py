@@ -1,6 +1,6 @@
 """The queries of the training-data operators, with their SQL where SQL can express them."""
 
-from . import fingerprint, mixing, relative_lz, simhash, templates
+from . import fingerprint, mixing, relative_lz, simhash, templates, token_count
 
 QUERIES = {
     "op2_mixing": mixing.op2,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_simhash": simhash.op5,
     "op7_templates": templates.op7,
     "op8_relative_lz": relative_lz.op8,
+    "op10_token_count": token_count.op10,
 }
 
 ORACLE_SQL = {
