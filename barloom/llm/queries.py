@@ -1,10 +1,11 @@
 """The queries of the training-data operators, with their SQL where SQL can express them."""
 
-from . import fingerprint, mixing, relative_lz, simhash, templates, token_count, toxicity
+from . import fingerprint, katz, mixing, relative_lz, simhash, templates, token_count, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_mixing": mixing.op2,
+    "op3_katz": katz.op3,
     "op4_fingerprint": fingerprint.op4,
     "op5_simhash": simhash.op5,
     "op7_templates": templates.op7,
