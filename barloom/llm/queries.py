@@ -1,18 +1,33 @@
 """The queries of the training-data operators, with their SQL where SQL can express them."""
 
-from . import fingerprint, katz, mixing, relative_lz, simhash, templates, token_count, toxicity
+from functools import wraps
 
-QUERIES = {
+from . import embed_dedup, fingerprint, katz, mixing, relative_lz, simhash, templates, token_count, toxicity
+from .shipping import ship
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_mixing": mixing.op2,
     "op3_katz": katz.op3,
     "op4_fingerprint": fingerprint.op4,
     "op5_simhash": simhash.op5,
+    "op6_embed_dedup": embed_dedup.op6,
     "op7_templates": templates.op7,
     "op8_relative_lz": relative_lz.op8,
     "op10_token_count": token_count.op10,
 }
 
+QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
+
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
     "op7_templates": templates.ORACLE,
