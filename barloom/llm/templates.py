@@ -46,11 +46,11 @@ def _masked(token: Column) -> Column:
 
 
 def line_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, row_key, line_no, tokens, line (hash of the tokens) and leaf (hash of the path) of non-blank lines."""
+    """doc_id, row_key, line_no, line_text, line (hash of the tokens) and leaf (hash of the path) of non-blank lines."""
     exploded = docs.filter(F.col("text").isNotNull()).select("doc_id", _row_key().alias("row_key"), F.posexplode(_lines(F.col("text"))).alias("line_no", "line_text"))
-    rows = exploded.select("doc_id", "row_key", "line_no", words(F.col("line_text")).alias("tokens")).filter(F.size("tokens") > 0)
+    rows = exploded.withColumn("tokens", words(F.col("line_text"))).filter(F.size("tokens") > 0)
     leaf = F.xxhash64(F.size("tokens"), *[_masked(F.get("tokens", F.lit(i))) for i in range(depth)])
-    return rows.select("doc_id", "row_key", "line_no", "tokens", F.xxhash64("tokens").alias("line"), leaf.alias("leaf"))
+    return rows.select("doc_id", "row_key", "line_no", "line_text", F.xxhash64("tokens").alias("line"), leaf.alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, min_constant: float = MIN_CONSTANT) -> DataFrame:
@@ -59,10 +59,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
     # a null doc_id is one document
     per_leaf = lines.groupBy("leaf", "doc_id").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.sum("one").alias("docs"))
     leaves = per_leaf.filter(F.col("docs") >= min_docs).select(F.col("leaf").alias("busy_leaf"))
-    close = materialize(lines.join(leaves, F.col("leaf") == F.col("busy_leaf")).drop("busy_leaf"))
+    close = materialize(lines.join(materialize(leaves), F.col("leaf") == F.col("busy_leaf")).drop("busy_leaf"))
     # every distinct line of a leaf once, with the number of its documents
-    distinct = close.groupBy("leaf", "line", "doc_id").agg(F.any_value("tokens").alias("tokens")).groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens"), F.count("*").alias("docs"))
-    distinct = materialize(distinct)
+    distinct = close.groupBy("leaf", "line", "doc_id").agg(F.any_value("line_text").alias("line_text")).groupBy("leaf", "line").agg(F.any_value("line_text").alias("line_text"), F.count("*").alias("docs"))
+    distinct = materialize(distinct.select("leaf", "line", "docs", words(F.col("line_text")).alias("tokens")))
     placed = distinct.select("leaf", "line", "docs", F.posexplode("tokens").alias("at", "token"))
     constant = placed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= min_docs)
     constant = constant.select(F.col("leaf").alias("c_leaf"), F.col("at").alias("c_at"), F.col("token").alias("c_token"))
