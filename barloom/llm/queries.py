@@ -2,9 +2,12 @@
 
 from functools import wraps
 
-from . import embed_dedup, fingerprint, katz, mixing, relative_lz, simhash, templates, token_count, toxicity
+import corpus_pipeline
+
+from . import embed_dedup, fingerprint, katz, mixing, packing, relative_lz, simhash, templates, token_count, toxicity
 from .shipping import ship
 
+
 def _shipped(query):
     @wraps(query)
     def run(spark, sf_dir):
@@ -23,7 +26,9 @@ _QUERIES = {
     "op6_embed_dedup": embed_dedup.op6,
     "op7_templates": templates.op7,
     "op8_relative_lz": relative_lz.op8,
+    "op9_packing": packing.op9,
     "op10_token_count": token_count.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
@@ -31,4 +36,4 @@ QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
     "op7_templates": templates.ORACLE,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
