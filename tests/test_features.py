@@ -61,7 +61,7 @@ def all_features(base, rows=None):
 def test_blocks_with_halos_change_nothing(spark):
     base = source.base_series(source.hourly(spark, SF)).filter("symbol = 'click'").cache()
     whole = all_features(base).toPandas().sort_values("k").reset_index(drop=True)
-    cut = in_blocks(base, all_features, features.warmup([], (10,)) or 16, 64).toPandas().sort_values("k").reset_index(drop=True)
+    cut = in_blocks(base, all_features, features.warmup(features.select(), (5, 10)), 64).toPandas().sort_values("k").reset_index(drop=True)
     assert list(whole.columns) == list(cut.columns) and len(whole) == len(cut)
     for c in whole.columns[2:]:
         assert np.allclose(whole[c].to_numpy(float), cut[c].to_numpy(float), rtol=1e-6, atol=1e-6, equal_nan=True), c
