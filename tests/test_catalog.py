@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from barloom import catalog, catalog_kernels  # noqa: F401
+from barloom import catalog, catalog_kernels, catalog_strategy  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
