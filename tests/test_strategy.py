@@ -3,7 +3,7 @@ import math
 from barloom.operators.strategy import Strategy, composition, drawdown, report, simulate
 
 PATH = [  # k, close, high, low, p
-    (0, 100.0, 101.0, 99.0, 0.9), (1, 101.0, 103.0, 100.5, 0.9), (2, 102.0, 102.5, 90.0, 0.1), (3, 95.0, 120.0, 80.0, 0.8), (4, 96.0, 96.5, 95.5, None), (5, 96.0, 97.0, 95.5, 0.2), (6, 97.0, 97.5, 96.0, 0.7),
+    (0, 100.0, 101.0, 99.0, 0.9), (1, 101.0, 103.0, 100.5, 0.9), (2, 102.0, 102.5, 90.0, 0.1), (3, 95.0, 120.0, 80.0, 0.8), (4, 96.0, 96.5, 95.5, None), (5, 96.0, 96.5, 95.5, 0.2), (6, 97.0, 97.5, 96.0, 0.7),
 ]
 
 
