@@ -257,9 +257,12 @@ _EQ1 = _each(
         "eq__trend_sresid__f__w{w}": lambda w: f"(CASE WHEN count(p) {_over(w, -1)} = {w} THEN sqrt(greatest(regr_syy(p, k) {_over(w, -1)} - pow(regr_sxy(p, k) {_over(w, -1)}, 2) / regr_sxx(p, k) {_over(w, -1)}, 0) / {w}) END)",
     }
 )
+_EQ1 |= _each({"eq__mad_p__f__w{w}": lambda w: f"(1.4826 * {_agg('mad({})', 'p', w, -1)})"})
 _HZ = lambda e, w: f'({e}) / ("eq__sigma_r__f__w{w}" * sqrt(20.0) + {_E})'
 _EQ2 = _each(
     {f"eq__{n}_resid_hz__f__w{{w}}": (lambda w, k=k: _HZ(f'p - "eq__mu_{k}__f__w{w}"', w)) for k, n in (("mean", "mean"), ("vwap", "vwap"), ("range", "range_mid"))}
+    | {"eq__median_resid_madz__f__w{w}": lambda w: f'(p - "eq__mu_median__f__w{w}") / ("eq__mad_p__f__w{w}" + {_E})'}
+    | {"eq__proxy_dispersion_hz__f__w{w}": lambda w: (lambda v: f"CASE WHEN len({v}) >= 2 THEN {_HZ(f'list_stddev_pop({v})', w)} END")("list_filter([" + ", ".join(f'"eq__mu_{k}__f__w{w}"' for k in ("mean", "median", "vwap", "range", "trend")) + "], lambda v: v IS NOT NULL)")}
     | {"eq__trend_resid_z__f__w{w}": lambda w: f'(p - "eq__mu_trend__f__w{w}") / ("eq__trend_sresid__f__w{w}" + {_E})'}
     | {f"eq__upside_to_eq_over_phi__via_{k}__f__w{{w}}": (lambda w, k=k: f'("eq__mu_{k}__f__w{w}" - p) / (0.0025 + {_E})') for k in ("trend", "vwap")}
     | {f"eq__barrier_vs_eq_hz__via_{k}__f__w{{w}}": (lambda w, k=k: _HZ(f'"eq__mu_{k}__f__w{w}" - (p + 0.0025)', w)) for k in ("trend", "vwap")}

@@ -126,10 +126,10 @@ def feat_quad_trend(spark, sf_dir: str) -> DataFrame:
 def _with_futures(df: DataFrame) -> DataFrame:
     """A futures and open-interest series made from the bars themselves."""
     step = (F.col("k") % 7).cast("double")
-    return df.withColumns({"close_fut": F.col("close") * (1 + step / 1000), "volume_fut": F.col("volume") + step, "taker_buy_base_fut": F.col("taker_buy_base"), "oi_usd": F.col("num_trades") * 100 + F.col("volume")})
+    return df.withColumns({"close_fut": F.col("close") * (1 + step / 1000), "volume_fut": F.col("volume") + step, "taker_buy_base_fut": F.col("taker_buy_base"), "quote_volume_fut": F.col("quote_volume") * 1.5, "oi_usd": F.col("num_trades") * 100 + F.col("volume")})
 
 
-_FUT = "f AS (SELECT *, close * (1 + k % 7 / 1000.0) AS close_fut, volume + k % 7 AS volume_fut, taker_buy_base AS taker_buy_base_fut, num_trades * 100 + volume AS oi_usd FROM x),"
+_FUT = "f AS (SELECT *, close * (1 + k % 7 / 1000.0) AS close_fut, volume + k % 7 AS volume_fut, taker_buy_base AS taker_buy_base_fut, quote_volume * 1.5 AS quote_volume_fut, num_trades * 100 + volume AS oi_usd FROM x),"
 _DERIV = {"basis_abs": "close_fut - close", "basis_pct": "CASE WHEN close > 0 THEN (close_fut - close) / close * 100 END", "tb_ratio_fut": "CASE WHEN volume_fut > 0 THEN taker_buy_base_fut / volume_fut END", "net_vol_fut": "2 * taker_buy_base_fut - volume_fut", "funding__phase__f__w0": "(480 - (hour(ts) * 60 + minute(ts)) % 480) / 480.0"}
 
 
@@ -151,3 +151,45 @@ _REGIMES = {"oi__long_build__f__w10": f"{_pos('dp')} * {_pos('doi')}", "oi__shor
 @query("feat_oi_regimes", _made(f"{_FUT} d AS (SELECT *, oi_usd - lag(oi_usd) OVER ({_O}) AS d_oi FROM f), {_MOVES}", _REGIMES, "m"))
 def feat_oi_regimes(spark, sf_dir: str) -> DataFrame:
     return rounded(kernels.oi_regimes(_with_futures(_series(spark, sf_dir)), 10).select("symbol", "k", *_REGIMES))
+
+
+_DERIV_W = (5, 10)
+_BASIS = "((close_fut - close) / close * 100)"
+_NET = "(2 * taker_buy_base_fut - volume_fut)"
+_FULL = lambda fn, x, w: f"(CASE WHEN count({x}) {_over(w)} = {w} THEN {fn}({x}) {_over(w)} END)"
+_DERIV_FEATURES = {
+    "basis__abs__f__w0": "close_fut - close",
+    "basis__pct__f__w0": _BASIS,
+    "flow__taker_buy_ratio__f__w0": "CASE WHEN volume_fut > 0 THEN taker_buy_base_fut / volume_fut END",
+    "flow__net_vol_btcs__f__w0": _NET,
+    "oi__total_usd__f__w0": "oi_usd",
+    "liq__fut_vs_spot_vol__f__w0": f"CASE WHEN quote_volume > 0 THEN quote_volume_fut / (quote_volume + {_E}) END",
+} | {
+    n.format(w=w): e(w)
+    for w in _DERIV_W
+    for n, e in {
+        "basis__chg__f__w{w}": lambda w: f"{_BASIS} - lag({_BASIS}, {w}) OVER ({_O})",
+        "basis__mean__f__w{w}": lambda w: _FULL("avg", _BASIS, w),
+        "basis__std__f__w{w}": lambda w: _FULL("stddev_pop", _BASIS, w),
+        "flow__net_vol_csum__f__w{w}": lambda w: _FULL("sum", _NET, w),
+        "oi__chg__f__w{w}": lambda w: f"oi_usd - lag(oi_usd, {w}) OVER ({_O})",
+        "oi__chg_pct__f__w{w}": lambda w: f"(oi_usd - lag(oi_usd, {w}) OVER ({_O})) / (lag(oi_usd, {w}) OVER ({_O}) + {_E}) * 100",
+        "oi__vol_ratio__f__w{w}": lambda w: f"CASE WHEN {_FULL('sum', 'quote_volume_fut', w)} > 0 THEN oi_usd / ({_FULL('sum', 'quote_volume_fut', w)} + {_E}) END",
+    }.items()
+}
+
+
+@query("feat_derivatives", _made(_FUT, _DERIV_FEATURES, "f"))
+def feat_derivatives(spark, sf_dir: str) -> DataFrame:
+    base = kernels.derivatives_base(_with_futures(bar_source.base_series(bar_source.hourly(spark, sf_dir))))
+    df, names = features.add_features(base, ["derivatives"], _DERIV_W)
+    return rounded(df.select("symbol", "k", *names))
+
+
+_RMS20 = f"CASE WHEN count(r2) {_over(20)} = 20 THEN sqrt(greatest(avg(r2) {_over(20)}, 0)) END"
+
+
+@query("feat_vov", _made(f"v AS (SELECT *, {_RMS20} AS rms FROM x),", {f"vol__vov__f__w{w}": _FULL("stddev_pop", "rms", w) for w in (5, 20)}, "v"))
+def feat_vov(spark, sf_dir: str) -> DataFrame:
+    df, _ = features.add_features(bar_source.base_series(bar_source.hourly(spark, sf_dir)), ["rolling", "vov"], (5, 20))
+    return rounded(df.select("symbol", "k", "vol__vov__f__w5", "vol__vov__f__w20"))

@@ -78,8 +78,8 @@ class Rows:
     def mad(self, x: Column, w: int) -> Column:
         """Median distance from the median."""
         values = F.collect_list(x).over(self.frame(w))
-        middle = _median(F.array_sort(values))
-        return self.full(x, w, _median(F.array_sort(F.transform(values, lambda v: F.abs(v - middle)))))
+        middle = median(F.array_sort(values))
+        return self.full(x, w, median(F.array_sort(F.transform(values, lambda v: F.abs(v - middle)))))
 
     def corr(self, x: Column, y: Column, w: int) -> Column:
         """Pearson correlation; null where either side has no variance."""
@@ -100,7 +100,8 @@ class Rows:
         return F.last(x, ignorenulls=True).over(self.so_far)
 
 
-def _median(ordered: Column) -> Column:
+def median(ordered: Column) -> Column:
+    """Median of a sorted array."""
     n = F.size(ordered)
     return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import EPS, Rows, clip0, garman_klass, parkinson, rogers_satchell, root
+from barloom.functions.rolling import EPS, Rows, clip0, garman_klass, median, parkinson, rogers_satchell, root
 
 #: Horizon in bars, and barrier as a log return.
 HORIZON, BARRIER = 20, 0.0025
@@ -271,6 +271,46 @@ for _kind in ("trend", "vwap"):
     register("equilibrium", f"eq__barrier_vs_eq_hz__via_{_kind}__f__w{{w}}", _EQ, lambda rows, w, k=_kind: _per_sigma(F.col(f"eq__mu_{k}__f__w{w}") - (F.col("p") + BARRIER), w), tier=2)
 
 
+def _mad_before(rows: Rows, w: int) -> Column:
+    values = F.collect_list("p").over(rows.frame(w, -1))
+    middle = median(F.array_sort(values))
+    return F.when(_past(rows, F.col("p"), w), 1.4826 * median(F.array_sort(F.transform(values, lambda v: F.abs(v - middle)))))
+
+
+def _dispersion(rows: Rows, w: int) -> Column:
+    """Spread of the estimates of fair value that are there, two at least."""
+    known = F.array_compact(F.array(*[F.col(f"eq__mu_{k}__f__w{w}") for k in ("mean", "median", "vwap", "range", "trend")]))
+    n, total = F.size(known), lambda f: F.aggregate(F.transform(known, f), F.lit(0.0), lambda a, v: a + v)
+    mean = total(lambda v: v) / n
+    return F.when(n >= 2, _per_sigma(F.sqrt(total(lambda v: (v - mean) * (v - mean)) / n), w))
+
+
+register("equilibrium", "eq__mad_p__f__w{w}", _EQ, _mad_before)
+register("equilibrium", "eq__median_resid_madz__f__w{w}", _EQ, lambda rows, w: (F.col("p") - F.col(f"eq__mu_median__f__w{w}")) / (F.col(f"eq__mad_p__f__w{w}") + EPS), tier=2)
+register("equilibrium", "eq__proxy_dispersion_hz__f__w{w}", _EQ, _dispersion, tier=2)
+
+# reads ret__rms__f__w20 of the rolling family
+register("vov", "vol__vov__f__w{w}", "vol_decomp", _of("std", "ret__rms__f__w20"), tier=2)
+
+for _pattern, _name in (("basis__abs__f__w0", "basis_abs"), ("basis__pct__f__w0", "basis_pct"), ("flow__taker_buy_ratio__f__w0", "tb_ratio_fut"), ("flow__net_vol_btcs__f__w0", "net_vol_fut"), ("oi__total_usd__f__w0", "oi_usd")):
+    register("derivatives", _pattern, (0,), _plain(_name))
+register("derivatives", "basis__chg__f__w{w}", (5,), lambda rows, w: F.col("basis_pct") - rows.lag(F.col("basis_pct"), w))
+register("derivatives", "basis__mean__f__w{w}", (5, 60), _of("mean", "basis_pct"))
+register("derivatives", "basis__std__f__w{w}", (5, 60), _of("std", "basis_pct"))
+register("derivatives", "flow__net_vol_csum__f__w{w}", (5, 10, 20), _of("sum", "net_vol_fut"))
+register("derivatives", "liq__fut_vs_spot_vol__f__w0", (0,), lambda rows, w: F.when(F.col("quote_volume") > 0, F.col("quote_volume_fut") / (F.col("quote_volume") + EPS)))
+register("derivatives", "oi__chg__f__w{w}", (60,), lambda rows, w: F.col("oi_usd") - rows.lag(F.col("oi_usd"), w))
+register("derivatives", "oi__chg_pct__f__w{w}", (60,), lambda rows, w: (F.col("oi_usd") - rows.lag(F.col("oi_usd"), w)) / (rows.lag(F.col("oi_usd"), w) + EPS) * 100)
+
+
+def _oi_per_volume(rows: Rows, w: int) -> Column:
+    traded = rows.sum(F.col("quote_volume_fut"), w)
+    return F.when(traded > 0, F.col("oi_usd") / (traded + EPS))
+
+
+register("derivatives", "oi__vol_ratio__f__w{w}", (60,), _oi_per_volume)
+
+
 def select(family: str | None = None, tier: int | None = None) -> list[Feature]:
     return [f for f in REGISTRY.values() if family in (None, f.family) and tier in (None, f.tier)]
 
