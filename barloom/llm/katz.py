@@ -24,16 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import Words, mix
-from .chunks import count_chunks, in_chunks, in_order, packed, shard_order, unpack
+from .chunks import count_chunks, in_order, in_packed_chunks, open_chunk, packed, packed_planes, shard_order, unpack, unpack_planes
 from .storage import materialize
 
 #: Counts up to this one are discounted.
 CUT = 5
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 END, START = np.uint64(0x454E44), np.uint64(0x5354415254)
 _COUNTS = "key int, words binary, counts binary, tokens long, types long, counted array<long>"
 _ASK = "key int, peer int, words binary"
@@ -79,6 +79,11 @@ class Unigrams:
         total = tokens if lost > 0 else tokens + 1
         return cls(tokens, types, d, float(total), (lost if lost > 0 else 1.0) / total)
 
+    @property
+    def id_kind(self):
+        """Whole numbers that hold the number of any training word."""
+        return np.uint32 if self.types < 1 << 32 else np.uint64
+
     def probability(self, counts: np.ndarray) -> np.ndarray:
         return np.where(counts > 0, discounted(counts, self.d) / self.total, self.unknown)
 
@@ -133,7 +138,7 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, shards: int):
         self.number, self.shards = table.column("chunk")[0].as_py(), shards
-        table = in_order(table)
+        table = in_order(open_chunk(table))
         self.doc_ids = table.column("doc_id")
         self.held = np.array([held_out(i) for i in self.doc_ids.to_pylist()], bool)
         words = Words(table.column("text"), lower=True)
@@ -167,7 +172,9 @@ class _Chunk:
         near = (self.words >> np.uint64(20)) % np.uint64(self.shards)
         further = self.words[self.followers] % spread[self.contexts].astype(np.uint64)
         shard = (near[self.contexts] + further) % np.uint64(self.shards)
-        order = np.argsort(shard, kind="stable")
+        # a pair with an unknown word is in no training text
+        known = np.flatnonzero((self.context_totals(totals)[self.contexts] > 0) & (totals[self.followers] > 0))
+        order = known[np.argsort(shard[known], kind="stable")]
         return order, np.searchsorted(shard[order], np.arange(self.shards + 1))
 
     def context_totals(self, totals: np.ndarray) -> np.ndarray:
@@ -187,7 +194,8 @@ def _ask_words(table: pa.Table, shards: int) -> pa.Table:
 
 def _message(kind: int, keys, peers, a=None, b=None, c=None, d=None, counted=None) -> pa.Table:
     n = len(keys)
-    blobs = [packed(x)[0] if x is not None else pa.nulls(n, pa.binary()) for x in (a, b, c, d)]
+    pack = lambda x: (packed_planes if len(x) and x[0].dtype == np.int64 and x[0].ndim == 1 else packed)(x)[0]
+    blobs = [pack(x) if x is not None else pa.nulls(n, pa.binary()) for x in (a, b, c, d)]
     listed = pa.array(counted, pa.list_(pa.int64())) if counted is not None else pa.nulls(n, pa.list_(pa.int64()))
     return pa.Table.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(keys, pa.int32()), pa.array(peers, pa.int32()), *blobs, listed], names=["kind", "key", "peer", "a", "b", "c", "d", "counted"])
 
@@ -207,47 +215,50 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 def _word_answers(asks: pa.Table, counts: pa.Table) -> pa.Table:
     known = unpack(counts.column("words"), np.uint64)[0] if len(counts) else np.zeros(0, np.uint64)
     totals = unpack(counts.column("counts"), np.int64)[0] if len(counts) else np.zeros(0, np.int64)
-    out = []
+    base = counts.column("base")[0].as_py() if len(counts) else 0
+    found, ids = [], []
     for words in unpack(asks.column("words"), np.uint64):
         at, there = _find(known, words)
-        out.append(np.where(there, totals[at], 0) if len(known) else np.zeros(len(words), np.int64))
-    return _message(_UNIGRAMS, _lists(asks.column("peer")), _lists(asks.column("key")), a=out)
+        found.append(np.where(there, totals[at], 0) if len(known) else np.zeros(len(words), np.int64))
+        ids.append(np.where(there, at + base, 0))
+    return _message(_UNIGRAMS, _lists(asks.column("peer")), _lists(asks.column("key")), a=found, b=ids)
 
 
-def _answered(messages: pa.Table, kind: int, order: np.ndarray, firsts: np.ndarray, **columns) -> list[np.ndarray]:
-    """The answers of all shards to what was asked in this order."""
+def _answered(messages: pa.Table, kind: int, size: int, order: np.ndarray, firsts: np.ndarray, **columns) -> list[np.ndarray]:
+    """The answers of all shards to what was asked in this order, out of size things; 0 for what was not asked."""
     rows = _of_kind(messages, kind)
-    out = [np.zeros(len(order), k) for k in columns.values()]
+    out = [np.zeros(size, k) for k in columns.values()]
     shards = _lists(rows.column("peer"))
     for x, (name, k) in zip(out, columns.items()):
-        for shard, values in zip(shards, unpack(rows.column(name), k)):
+        for shard, values in zip(shards, (unpack_planes if k is np.int64 else unpack)(rows.column(name), k)):
             x[order[firsts[shard] : firsts[shard + 1]]] = values
     return out
 
 
 def _ask_pairs(table: pa.Table, messages: pa.Table, shards: int, known: Unigrams) -> pa.Table:
     held = _Chunk(table, shards)
-    (totals,) = _answered(messages, _UNIGRAMS, *held.word_shards(), a=np.int64)
+    totals, ids = _answered(messages, _UNIGRAMS, len(held.words), *held.word_shards(), a=np.int64, b=np.int64)
     order, firsts = held.pair_shards(totals, known.tokens)
+    ids = ids.astype(known.id_kind)
     asked = np.flatnonzero(np.diff(firsts)).astype(np.int32)
     columns: list[list[np.ndarray]] = [[], [], [], [], []]
     for k in asked:
         own = order[firsts[k] : firsts[k + 1]]
         contexts, sizes = np.unique(held.contexts[own], return_counts=True)
         words = held.followers[own]
-        for c, x in zip(columns, (held.words[contexts], sizes.astype(np.int32), held.words[words], held.pair_counts[own].astype(np.int32), totals[words])):
+        for c, x in zip(columns, (held.words[contexts], sizes.astype(np.int32), ids[words], held.pair_counts[own].astype(np.int32), totals[words])):
             c.append(x)
-    return pa.Table.from_arrays([pa.array(asked), pa.array(np.full(len(asked), held.number, np.int32)), *packed(*columns)], names=["key", "peer", "contexts", "sizes", "words", "counts", "totals"])
+    return pa.Table.from_arrays([pa.array(asked), pa.array(np.full(len(asked), held.number, np.int32)), *packed(columns[0]), *packed_planes(columns[1]), *packed(columns[2]), *packed_planes(*columns[3:])], names=["key", "peer", "contexts", "sizes", "words", "counts", "totals"])
 
 
 def _pair_answers(table: pa.Table, shards: int, known: Unigrams) -> pa.Table:
     """Counts of the pairs asked about, sums of each context over its seen words, and counts of counts."""
-    kinds = {"contexts": np.uint64, "sizes": np.int32, "words": np.uint64, "counts": np.int32, "totals": np.int64}
-    parts = {k: unpack(table.column(k), v) for k, v in kinds.items()}
+    kinds = {"contexts": np.uint64, "sizes": np.int32, "words": known.id_kind, "counts": np.int32, "totals": np.int64}
+    parts = {k: (unpack if k in ("contexts", "words") else unpack_planes)(table.column(k), v) for k, v in kinds.items()}
     sizes = list(map(len, parts["words"]))
     every = {k: np.concatenate(v) for k, v in parts.items()}
     contexts, words = np.repeat(every["contexts"], every["sizes"]), every["words"]
-    order = np.argsort(mix(contexts * np.uint64(3) + mix(words.copy())), kind="stable")
+    order = np.argsort(mix(contexts * np.uint64(3) + mix(words.astype(np.uint64))), kind="stable")
     ctx, word = contexts[order], words[order]
     first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])]))
     counts = np.add.reduceat(every["counts"][order].astype(np.int64), first)
@@ -293,9 +304,9 @@ def _evaluate(table: pa.Table, messages: pa.Table, shards: int, known: Unigrams)
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
     held = _Chunk(table, shards)
-    (totals,) = _answered(messages, _UNIGRAMS, *held.word_shards(), a=np.int64)
-    (counts,) = _answered(messages, _PAIRS, *held.pair_shards(totals, known.tokens), a=np.int64)
-    sums, weights = _answered(messages, _WEIGHTS, *held.word_shards(), a=np.float64, b=np.float64)
+    (totals,) = _answered(messages, _UNIGRAMS, len(held.words), *held.word_shards(), a=np.int64)
+    (counts,) = _answered(messages, _PAIRS, len(held.pairs), *held.pair_shards(totals, known.tokens), a=np.int64)
+    sums, weights = _answered(messages, _WEIGHTS, len(held.words), *held.word_shards(), a=np.float64, b=np.float64)
     d = discounts(np.array(_of_kind(messages, _COUNTED).column("counted")[0].as_py()))
     chance = known.probability(totals)
     seen = discounted(counts, d) / np.maximum(sums[held.contexts], 1)
@@ -312,9 +323,11 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     unigrams = materialize(unigram_table(docs, shards))
     sums = unigrams.agg(F.sum("tokens"), F.sum("types"), *[F.sum(F.get("counted", F.lit(r))) for r in range(CUT + 1)]).first()
     known = Unigrams.of(sums[0] or 0, sums[1] or 0, np.array([x or 0 for x in sums[2:]]))
-    by_chunk = in_chunks(docs, chunks).groupBy("chunk")
+    by_chunk = in_packed_chunks(docs, chunks).groupBy("chunk")
     asks = by_chunk.applyInArrow(lambda t: _ask_words(t, shards), _ASK)
-    word_answers = asks.groupBy("key").cogroup(unigrams.select("key", "words", "counts").groupBy("key")).applyInArrow(_word_answers, _MESSAGE)
+    # words are numbered through all shards; a row per shard goes through one task
+    numbered = unigrams.withColumn("base", F.sum("types").over(Window.orderBy("key")) - F.col("types")).select("key", "words", "counts", "base")
+    word_answers = asks.groupBy("key").cogroup(numbered.groupBy("key")).applyInArrow(_word_answers, _MESSAGE)
     pair_asks = by_chunk.cogroup(word_answers.groupBy("key")).applyInArrow(lambda t, m: _ask_pairs(t, m, shards, known), _ASK_PAIRS)
     merged = pair_asks.groupBy("key").applyInArrow(lambda t: _pair_answers(t, shards, known), _MESSAGE)
     # counts of counts are summed over shards and sent to every shard and chunk
