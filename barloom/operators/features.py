@@ -238,11 +238,10 @@ def _fit(kind: str) -> Compute:
 
     def compute(rows: Rows, w: int) -> Column:
         before, p = rows.frame(w, -1), F.col("p")
-        # rows are evenly spaced: with x centred on the window, moments of x are fixed
-        k, mean_k = F.col(rows.order), F.col(rows.order) - (w + 1) / 2
+        # rows are evenly spaced, so the variance of x is fixed; the covariance is summed from deviations, which is exact for a flat window
         var_x = (w * w - 1) / 12
         mean = F.avg(p).over(before)
-        slope = (F.avg(k * p).over(before) - mean_k * mean) / var_x
+        slope = F.covar_pop(F.col(rows.order), p).over(before) / var_x
         if kind == "mu":
             return F.when(_past(rows, p, w), mean + slope * (w + 1) / 2)
         return F.when(_past(rows, p, w), F.sqrt(F.greatest(F.var_pop(p).over(before) - slope * slope * var_x, F.lit(0.0))))

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from barloom import catalog, catalog_kernels, catalog_strategy  # noqa: F401
@@ -20,7 +21,7 @@ def con():
 
 def cells(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda v: None if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+    cell = lambda v: None if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v)
     return sorted(tuple(map(str, map(cell, row))) for row in frame.itertuples(index=False))
 
 
