@@ -20,7 +20,8 @@ def con():
 
 
 def cells(frame):
-    frame = frame[sorted(frame.columns)]
+    # pandas holds integers with nulls as floats in one frame and as nullable integers in the other
+    frame = frame[sorted(frame.columns)].convert_dtypes()
     cell = lambda v: None if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v)
     return sorted(tuple(map(str, map(cell, row))) for row in frame.itertuples(index=False))
 
