@@ -13,7 +13,7 @@ doc_id are learned from; an empty table gives an empty table; other columns are
 Scale: one pass counts unigrams. Then documents are dealt into bounded chunks (one shuffle of the text), and a chunk asks shards about its distinct
 words and bigrams, in packed arrays: unigram counts first, then bigram counts and backoff weights. The bigrams of a context share a
 shard, but a context with many tokens is spread over shards in proportion. Chunks evaluate their own tokens, so nothing is
-gathered but per-shard arrays; only eight sums come to the driver.
+gathered but per-shard arrays; only nine numbers come to the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, mix
@@ -71,18 +71,20 @@ class Unigrams:
     d: np.ndarray
     total: float
     unknown: float
+    #: Above the number of every training word.
+    numbers: int
 
     @classmethod
-    def of(cls, tokens: int, types: int, counted: np.ndarray) -> Unigrams:
+    def of(cls, tokens: int, types: int, counted: np.ndarray, numbers: int | None = None) -> Unigrams:
         d, r = discounts(counted), np.arange(1, CUT + 1)
         lost = float((np.asarray(counted[:CUT]) * r * (1 - d[1:])).sum())
         total = tokens if lost > 0 else tokens + 1
-        return cls(tokens, types, d, float(total), (lost if lost > 0 else 1.0) / total)
+        return cls(tokens, types, d, float(total), (lost if lost > 0 else 1.0) / total, types if numbers is None else numbers)
 
     @property
     def id_kind(self):
         """Whole numbers that hold the number of any training word."""
-        return np.uint32 if self.types < 1 << 32 else np.uint64
+        return np.uint32 if self.numbers <= 1 << 32 else np.uint64
 
     def probability(self, counts: np.ndarray) -> np.ndarray:
         return np.where(counts > 0, discounted(counts, self.d) / self.total, self.unknown)
@@ -212,15 +214,16 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def _word_answers(asks: pa.Table, counts: pa.Table) -> pa.Table:
+def _word_answers(asks: pa.Table, counts: pa.Table, shards: int) -> pa.Table:
+    """Counts and numbers of the words that a shard is asked about; numbers of different shards differ in their rest by shards."""
     known = unpack(counts.column("words"), np.uint64)[0] if len(counts) else np.zeros(0, np.uint64)
     totals = unpack(counts.column("counts"), np.int64)[0] if len(counts) else np.zeros(0, np.int64)
-    base = counts.column("base")[0].as_py() if len(counts) else 0
+    shard = counts.column("key")[0].as_py() if len(counts) else 0
     found, ids = [], []
     for words in unpack(asks.column("words"), np.uint64):
         at, there = _find(known, words)
         found.append(np.where(there, totals[at], 0) if len(known) else np.zeros(len(words), np.int64))
-        ids.append(np.where(there, at + base, 0))
+        ids.append(np.where(there, at * shards + shard, 0))
     return _message(_UNIGRAMS, _lists(asks.column("peer")), _lists(asks.column("key")), a=found, b=ids)
 
 
@@ -321,13 +324,11 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every row."""
     chunks = shards = count_chunks(docs, chunk_bytes)
     unigrams = materialize(unigram_table(docs, shards))
-    sums = unigrams.agg(F.sum("tokens"), F.sum("types"), *[F.sum(F.get("counted", F.lit(r))) for r in range(CUT + 1)]).first()
-    known = Unigrams.of(sums[0] or 0, sums[1] or 0, np.array([x or 0 for x in sums[2:]]))
+    sums = unigrams.agg(F.sum("tokens"), F.sum("types"), F.max("types"), *[F.sum(F.get("counted", F.lit(r))) for r in range(CUT + 1)]).first()
+    known = Unigrams.of(sums[0] or 0, sums[1] or 0, np.array([x or 0 for x in sums[3:]]), (sums[2] or 0) * shards)
     by_chunk = in_packed_chunks(docs, chunks).groupBy("chunk")
     asks = by_chunk.applyInArrow(lambda t: _ask_words(t, shards), _ASK)
-    # words are numbered through all shards; a row per shard goes through one task
-    numbered = unigrams.withColumn("base", F.sum("types").over(Window.orderBy("key")) - F.col("types")).select("key", "words", "counts", "base")
-    word_answers = asks.groupBy("key").cogroup(numbered.groupBy("key")).applyInArrow(_word_answers, _MESSAGE)
+    word_answers = asks.groupBy("key").cogroup(unigrams.select("key", "words", "counts").groupBy("key")).applyInArrow(lambda a, c: _word_answers(a, c, shards), _MESSAGE)
     pair_asks = by_chunk.cogroup(word_answers.groupBy("key")).applyInArrow(lambda t, m: _ask_pairs(t, m, shards, known), _ASK_PAIRS)
     merged = pair_asks.groupBy("key").applyInArrow(lambda t: _pair_answers(t, shards, known), _MESSAGE)
     # counts of counts are summed over shards and sent to every shard and chunk
