@@ -14,7 +14,9 @@ Defined results: null text has no words; texts of fewer than WINDOW words lose n
 own, so each makes the other a duplicate; an empty table gives an empty table; other columns are not read.
 
 Scale: texts are shuffled once into bounded chunks. A shuffle then carries one hash per block (about a tenth of the words),
-another one hash per start near repeated blocks; answers are packed bits. No key's occurrences are paired with each other.
+another one hash per start near repeated blocks; answers are packed bits. A chunk asks about each of its different blocks and
+passages once, and finds those that recur within itself alone, so a passage of very many documents sends its shard one
+hash per chunk, not one per occurrence. No key's occurrences are paired with each other.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ BLOCK = 18
 CHUNK_BYTES = 12 << 20
 _ASK_BLOCKS = "shard int, chunk int, keys binary"
 _BLOCKS = "chunk int, shard int, bits binary, n int"
-_ASK_PASSAGES = "shard int, chunk int, keys binary, more binary, at binary"
+_ASK_PASSAGES = "shard int, chunk int, keys binary, more binary, at binary, known binary"
+#: Place of a passage whose places its chunk knows already.
+_KNOWN = -1
 _PASSAGES = "chunk int, shard int, at binary"
 _SPANS = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept string"
 
@@ -91,6 +95,18 @@ def _chunk_of(table: pa.Table) -> int:
     return table.column("chunk")[0].as_py()
 
 
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first of each different row of keys, and for every row which of them it equals."""
+    order = np.lexsort(keys)
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for x in keys:
+        fresh[1:] |= x[order[1:]] != x[order[:-1]]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    return order[fresh], of
+
+
 def _questions(chunk: int, shards: int, keys: np.ndarray, **more: np.ndarray) -> pa.Table:
     """One row for each shard that any of the keys falls in, with its keys and what goes with them."""
     order, firsts = shard_order(keys, shards)
@@ -121,10 +137,11 @@ def _block_answers(table: pa.Table) -> pa.Table:
 
 
 def _passage_answers(table: pa.Table) -> pa.Table:
-    """The places of the passages that a shard was asked about more than once."""
-    keys, more, at = (unpack(table.column(c), k) for c, k in (("keys", np.uint64), ("more", np.uint32), ("at", np.int32)))
+    """The places of the passages that a shard was asked about by more than one chunk, and those that their chunk knew."""
+    keys, more, at, known = (unpack(table.column(c), k) for c, k in (("keys", np.uint64), ("more", np.uint32), ("at", np.int32), ("known", np.int32)))
     again = np.split(_repeated(np.concatenate(more), np.concatenate(keys)), np.cumsum(list(map(len, keys)))[:-1])
-    found = [(k, x[y]) for k, (x, y) in enumerate(zip(at, again)) if y.any()]
+    places = [np.concatenate([x[y & (x != _KNOWN)], z]) for x, y, z in zip(at, again, known)]
+    found = [(k, x) for k, x in enumerate(places) if len(x)]
     rows = pa.array([k for k, _ in found], pa.int64())
     return pa.Table.from_arrays([table.column("chunk").take(rows), table.column("shard").take(rows), *packed([x for _, x in found])], names=["chunk", "shard", "at"])
 
@@ -173,14 +190,20 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, c
 
     def index(table: pa.Table) -> pa.Table:
         held = _Chunk(table, window, block)
-        return _questions(_chunk_of(table), shards, held.blocks()[1])
+        return _questions(_chunk_of(table), shards, np.unique(held.blocks()[1]))
 
     def look(table: pa.Table, answers: pa.Table) -> pa.Table:
         held = _Chunk(table, window, block)
         at, keys = held.blocks()
-        starts = held.starts(at[_flags(keys, answers, shards)])
+        keys, of, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        starts = held.starts(at[(_flags(keys, answers, shards) | (counts > 1))[of]])
         keys, more = held.passages(starts)
-        return _questions(_chunk_of(table), shards, keys, more=more, at=starts.astype(np.int32))
+        first, of = _distinct(more, keys)
+        again = np.bincount(of, minlength=len(first)) > 1
+        asked = _questions(_chunk_of(table), shards, keys[first], more=more[first], at=np.where(again, _KNOWN, starts[first]).astype(np.int32))
+        # what recurs within the chunk goes along with its first question
+        known = [starts[again[of]].astype(np.int32), *[np.zeros(0, np.int32)] * len(asked)][: len(asked)]
+        return asked.append_column("known", packed(known)[0])
 
     def parse(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = in_order(table)
