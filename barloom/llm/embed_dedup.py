@@ -228,3 +228,15 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sure: float = SURE, n
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, n.b FROM reach r JOIN near n ON r.other = n.a),
+groups AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+links AS (SELECT a AS vec_id, count(*) AS n FROM near GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM groups LEFT JOIN links USING (vec_id)
+"""

@@ -35,5 +35,7 @@ QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
+    "op6_embed_dedup": embed_dedup.ORACLE,
     "op7_templates": templates.ORACLE,
+    "op8_relative_lz": relative_lz.ORACLE,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

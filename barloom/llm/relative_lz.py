@@ -227,3 +227,16 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, c
 def op8(spark, sf_dir: str) -> DataFrame:
     rows = duplicate_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM docs),
+passages AS (
+  SELECT rid, unnest(list_transform(range(1, len(ws) - 33), lambda i: {'at': i, 'passage': sha256(array_to_string(ws[i:i + 34], ' '))}), recursive := true) FROM docs WHERE len(ws) >= 35),
+repeated AS (SELECT passage FROM passages GROUP BY passage HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range("at", "at" + 35)) AS pos FROM passages JOIN repeated USING (passage)),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
