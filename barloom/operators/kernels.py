@@ -126,7 +126,9 @@ def quadratic_trend(df: DataFrame, w: int, rows: Rows | None = None) -> DataFram
     rows = rows or Rows()
     u = [j - (w - 1) / 2 for j in range(w)]
     u2, u4 = sum(v * v for v in u), sum(v**4 for v in u)
-    values = F.collect_list("p").over(rows.frame(w))
+    # the weights sum to zero, so the window's first value can go first: flat windows then give exactly zero
+    seen = F.collect_list("p").over(rows.frame(w))
+    values = F.transform(seen, lambda v: v - F.get(seen, F.lit(0)))
     dot = lambda weights: F.aggregate(F.zip_with(values, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     # the curvature's weights, from the normal equations of a centred design
     curve = [(v * v - u2 / w) / (u4 - u2 * u2 / w) for v in u]
