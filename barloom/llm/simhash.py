@@ -148,7 +148,12 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     Rows whose doc_id is null name no group and all stay.
     """
-    linked = link_documents(docs, distance).filter(F.col("doc_id").isNotNull())
+    return keep_rows(docs, link_documents(docs, distance))
+
+
+def keep_rows(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """keep_one() for linked rows: doc_id, key and component."""
+    linked = linked.filter(F.col("doc_id").isNotNull())
     kept = linked.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_kept"))
     found = docs.withColumn("_key", _key()).join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_kept")))
     return found.dropDuplicates(["_id", "_key"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

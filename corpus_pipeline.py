@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, packing, simhash, templates, toxicity
+from barloom.llm import mixing, packing, resemblance, templates, toxicity
 from barloom.plans.shipping import ship
 from barloom.llm.storage import materialize
 
@@ -27,9 +27,9 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
+    """Of each group of near copies (five-word shingles with a Jaccard similarity of 0.8 or more) one document stays."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return resemblance.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
