@@ -1,7 +1,9 @@
 """Pack documents into training windows with lexically related ones.
 
 A document's tokens are its byte-level BPE ids and one end id. Whole windows of a document are sequences of their own; what is left at its
-end, always less than a window, is its tail. Tails are dealt into shards of bounded size, and each shard holds a BM25 inverted index over
+end, always less than a window, is its tail. Tails are routed into shards of bounded size by their weightiest BM25 terms: they are put in order
+by their weightiest term, where more than a shard's tails share that, by a bucket of the next weightiest, and last by a hash; terms that lead
+the same tails lie next to each other (single-linkage clusters of the pairs of leading terms); a shard is a stretch of this order. Tails about the same thing thus meet in one shard or a few, at any size of the corpus. Each shard holds a BM25 inverted index over
 its tails' token ids, with document frequencies counted over the whole corpus. In turn the first unused tail opens a window as its
 seed; the index ranks the unused tails by BM25 for the seed's QUERY_TERMS weightiest terms, and the window is filled greedily
 with those that still fit. When none fits, the best unused one is cut, so that the window is full; its rest stays in use as a tail.
@@ -14,7 +16,8 @@ Defined results: null text is empty text, whose one token is the end id; repeate
 other columns are not read.
 
 Scale: one map over the texts, which writes tails (16 bits an id) and the finished whole windows; only tails are shuffled. A shard is one
-task's work and is bounded by SHARD_TAILS tails, each shorter than a window. The only thing collected is one count per vocabulary entry.
+task's work and is bounded by SHARD_TAILS tails (a few more by the chance of the hash), each shorter than a window. Collected are two counts per
+vocabulary entry and its NEXT_TERMS commonest companions, and a few counts per shard.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
@@ -37,6 +40,8 @@ END = 1
 SHARD_TAILS = 1500
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
+#: Pairs of each leading term that order the terms.
+NEXT_TERMS = 8
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _MADE = f"kind int, {_PIECES}, ids binary, terms array<int>, counts array<long>"
 _TAIL, _WHOLE, _TERMS = range(3)
@@ -103,6 +108,65 @@ def tokenized(docs: DataFrame, json_path: str, rank_path: str, pattern: str, win
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _MADE)
 
 
+def leading_terms(tail: np.ndarray, idf: np.ndarray, mean_length: float) -> tuple[int, int]:
+    """The two terms of a tail with the largest BM25 weights (twice the same if it has one)."""
+    terms, counts = np.unique(tail, return_counts=True)
+    weights = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(tail) / mean_length))
+    first = int(weights.argmax())
+    if len(terms) == 1:
+        return int(terms[0]), int(terms[0])
+    weights[first] = -np.inf
+    return int(terms[first]), int(terms[weights.argmax()])
+
+
+def cluster_order(pairs: list[tuple[int, int, int]], tails_of: dict[int, int]) -> dict[int, int]:
+    """Places of the first terms, those that lead the same tails next to each other; pairs: first term, second term, tails."""
+    together: dict[tuple[int, int], int] = {}
+    for a, b, n in pairs:
+        if a != b and b in tails_of:
+            key = (min(a, b), max(a, b))
+            together[key] = together.get(key, 0) + n
+    groups = {t: [t] for t in sorted(tails_of)}
+    for a, b in sorted(together, key=lambda p: (-together[p] / (tails_of[p[0]] * tails_of[p[1]]) ** 0.5, p)):
+        x, y = groups[a], groups[b]
+        if x is not y:
+            big, small = (x, y) if len(x) >= len(y) else (y, x)
+            big.extend(small)
+            for t in small:
+                groups[t] = big
+    order: dict[int, int] = {}
+    for t in groups:
+        if t not in order:
+            for u in groups[t]:
+                order[u] = len(order)
+    return order
+
+
+class Route:
+    """Where tails lie in the order by leading terms, from the numbers of tails of each first term and of each bucket of a crowded one."""
+
+    def __init__(self, tails_of: dict[int, int], shard_tails: int):
+        #: buckets of the first terms that more than a shard's tails share
+        self.buckets = {t: 2 * -(-n // shard_tails) for t, n in tails_of.items() if n > shard_tails}
+        self.tails_of, self.shard_tails = tails_of, shard_tails
+        self.spans: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def bucket(self, first: int, second: int) -> int:
+        return second % self.buckets.get(first, 1)
+
+    def place(self, crowded: dict[tuple[int, int], int], order: dict[int, int]) -> None:
+        sizes = {(t, 0): n for t, n in self.tails_of.items() if t not in self.buckets} | crowded
+        at = 0
+        for key in sorted(sizes, key=lambda k: (order[k[0]], k[1])):
+            self.spans[key] = (at, sizes[key])
+            at += sizes[key]
+
+    def shard(self, first: int, second: int, salt: int) -> int:
+        """salt: a hash below 2**31 that spreads a bucket over its stretch."""
+        at, n = self.spans[first, self.bucket(first, second)]
+        return (at + (salt * n >> 31)) // self.shard_tails
+
+
 class Index:
     """BM25 inverted index of a shard's tails."""
 
@@ -201,7 +265,6 @@ def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, window:
     per_term = made.filter(F.col("kind") == _TERMS).select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).toArrow()
     tails = made.filter(F.col("kind") == _TAIL)
     total, tokens = tails.agg(F.count("*"), F.sum("length")).first()
-    shards = max(1, -(-total // shard_tails))
     size = 1 + max(per_term.column("terms").to_pylist(), default=0)
     seen = np.zeros(size)
     seen[per_term.column("terms").to_numpy()] = per_term.column("n").to_numpy()
@@ -209,6 +272,36 @@ def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, window:
     idf = np.log1p((every - seen + 0.5) / (seen + 0.5)).astype(np.float32)
     mean_length = (tokens or 1) / max(1, total)
 
+    def leads(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+        lengths, found = batch.column("length").to_pylist(), []
+        for x, n in zip(batch.column("ids"), lengths):
+            data = x.as_buffer()
+            found.append(leading_terms(np.frombuffer(data, np.uint16 if data.size == 2 * n else np.uint32), idf, mean_length))
+        return found
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array(leads(batch), np.int32).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["first", "second"])
+
+    leading = materialize(tails.select("length", "ids").mapInArrow(lead, "first int, second int"))
+    route = Route({r["first"]: r["n"] for r in leading.groupBy("first").agg(F.count("*").alias("n")).collect()}, shard_tails)
+    ranked = Window.partitionBy("first").orderBy(F.desc("n"), "second")
+    pairs = leading.filter("first <> second").groupBy("first", "second").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(ranked))
+    pairs = pairs.filter(F.col("rank") <= NEXT_TERMS).select("first", "second", "n").toArrow()
+    order = cluster_order(list(zip(*(pairs.column(c).to_pylist() for c in ("first", "second", "n")))), route.tails_of)
+    crowded = {}
+    if route.buckets:
+        buckets = made.sparkSession.createDataFrame(list(route.buckets.items()), "c_first int, buckets int")
+        parts = leading.join(F.broadcast(buckets), F.col("first") == F.col("c_first")).groupBy("first", (F.col("second") % F.col("buckets")).alias("bucket"))
+        crowded = {(r["first"], r["bucket"]): r["n"] for r in parts.agg(F.count("*").alias("n")).collect()}
+    route.place(crowded, order)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards = [route.shard(a, b, s) for (a, b), s in zip(leads(batch), batch.column("salt").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), *batch.columns[1:]], names=["shard", *batch.schema.names[1:]])
+
     def pack_shard(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "ids")])
         shard = table.column("shard")[0].as_py()
@@ -229,8 +322,9 @@ def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, window:
         columns = [table.column("doc_id").take(pa.array(tail)), *map(pa.array, (of("start") + start, n, crc, of("doc_tokens"), _SHARDS_FROM + (shard << 32) + k, offset))]
         return pa.Table.from_arrays(columns, names=[c.split()[0] for c in _PIECES.split(", ")])
 
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
-    packed = tails.select(shard, "doc_id", "start", "length", "doc_tokens", "ids").groupBy("shard").applyInArrow(pack_shard, _PIECES)
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(1 << 31)).alias("salt")
+    dealt = tails.select(salt, "doc_id", "start", "length", "doc_tokens", "ids").mapInArrow(deal, "shard int, doc_id long, start long, length long, doc_tokens long, ids binary")
+    packed = dealt.groupBy("shard").applyInArrow(pack_shard, _PIECES)
     whole = made.filter(F.col("kind") == _WHOLE).select(*[c.split()[0] for c in _PIECES.split(", ")])
     return whole.unionByName(packed)
 

@@ -88,3 +88,39 @@ def test_related_tails_share_windows():
     tails = [np.array([rng.randrange(100 * (i % 4), 100 * (i % 4) + 100) for _ in range(50)], np.uint16) for i in range(40)]
     windows = packing.fill(np.full(40, 50), packing.Index(tails, np.ones(400, np.float32), 50.0).scores, 500)
     assert [len({t % 4 for t, _, _ in w}) for w in windows] == [1] * 4
+
+
+@pytest.mark.parametrize("copies", [20, 80])
+def test_related_documents_of_many_shards_share_windows(spark, copies):
+    rng = random.Random(2)
+    common = [f"common{i}" for i in range(50)]
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for k in range(30)]
+    rows = [(j * 30 + k, " ".join(rng.choice(words[k] if rng.random() < 0.5 else common) for _ in range(60))) for k in range(30) for j in range(copies)]
+    rng.shuffle(rows)
+    paths = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def alike(shard_tails):
+        topics = defaultdict(list)
+        for r in packing.pack(docs, *paths, public_tokenizers.PATTERN, shard_tails=shard_tails).collect():
+            topics[r.sequence_id].append(r.doc_id % 30)
+        return np.mean([(sum(t == u for t in w) - 1) / (len(w) - 1) for w in topics.values() if len(w) > 1 for u in w])
+
+    # one shard of all tails is the whole index
+    assert alike(40) > 0.5 * alike(10**6) > 0.3
+
+
+def test_route_bounds_shards():
+    rng = random.Random(5)
+    rows = [(min(int(rng.paretovariate(0.6)), 400), rng.randrange(300), rng.randrange(2**31)) for _ in range(20_000)]
+    first = {t: sum(r[0] == t for r in rows) for t in {r[0] for r in rows}}
+    route = packing.Route(first, 200)
+    crowded = defaultdict(int)
+    for a, b, _ in rows:
+        if a in route.buckets:
+            crowded[a, route.bucket(a, b)] += 1
+    route.place(crowded, packing.cluster_order([], first))
+    sizes = defaultdict(int)
+    for row in rows:
+        sizes[route.shard(*row)] += 1
+    assert set(sizes) == set(range(100)) and max(sizes.values()) < 300
