@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ CHUNK_BYTES = 8 << 20
 END, START = np.uint64(0x454E44), np.uint64(0x5354415254)
 _COUNTS = "key int, words binary, counts binary, tokens long, types long, counted array<long>"
 _ASK = "key int, peer int, words binary"
-_ASK_PAIRS = "key int, peer int, contexts binary, sizes binary, words binary, counts binary, totals binary"
+_ASK_PAIRS = "key int, peer int, contexts binary, sizes binary, words binary, counts binary, ids binary, totals binary"
 _MESSAGE = "kind int, key int, peer int, a binary, b binary, c binary, d binary, counted array<long>"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 _UNIGRAMS, _PAIRS, _CONTEXTS, _COUNTED, _WEIGHTS = range(5)
@@ -203,7 +204,7 @@ def _message(kind: int, keys, peers, a=None, b=None, c=None, d=None, counted=Non
 
 
 def _of_kind(messages: pa.Table, kind: int) -> pa.Table:
-    return messages.filter(pa.compute.equal(messages.column("kind"), kind))
+    return messages.filter(pc.equal(messages.column("kind"), kind))
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,21 +245,26 @@ def _ask_pairs(table: pa.Table, messages: pa.Table, shards: int, known: Unigrams
     order, firsts = held.pair_shards(totals, known.tokens)
     ids = ids.astype(known.id_kind)
     asked = np.flatnonzero(np.diff(firsts)).astype(np.int32)
-    columns: list[list[np.ndarray]] = [[], [], [], [], []]
+    columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
     for k in asked:
         own = order[firsts[k] : firsts[k + 1]]
         contexts, sizes = np.unique(held.contexts[own], return_counts=True)
-        words = held.followers[own]
-        for c, x in zip(columns, (held.words[contexts], sizes.astype(np.int32), ids[words], held.pair_counts[own].astype(np.int32), totals[words])):
+        # a word of many pairs is told once
+        words, at = np.unique(held.followers[own], return_inverse=True)
+        for c, x in zip(columns, (held.words[contexts], sizes.astype(np.int32), at.astype(np.int32), held.pair_counts[own].astype(np.int32), ids[words], totals[words])):
             c.append(x)
-    return pa.Table.from_arrays([pa.array(asked), pa.array(np.full(len(asked), held.number, np.int32)), *packed(columns[0]), *packed_planes(columns[1]), *packed(columns[2]), *packed_planes(*columns[3:])], names=["key", "peer", "contexts", "sizes", "words", "counts", "totals"])
+    cells = [*packed(columns[0]), *packed_planes(*columns[1:4]), *packed(columns[4]), *packed_planes(columns[5])]
+    return pa.Table.from_arrays([pa.array(asked), pa.array(np.full(len(asked), held.number, np.int32)), *cells], names=["key", "peer", "contexts", "sizes", "words", "counts", "ids", "totals"])
 
 
 def _pair_answers(table: pa.Table, shards: int, known: Unigrams) -> pa.Table:
     """Counts of the pairs asked about, sums of each context over its seen words, and counts of counts."""
-    kinds = {"contexts": np.uint64, "sizes": np.int32, "words": known.id_kind, "counts": np.int32, "totals": np.int64}
-    parts = {k: (unpack if k in ("contexts", "words") else unpack_planes)(table.column(k), v) for k, v in kinds.items()}
+    kinds = {"contexts": np.uint64, "sizes": np.int32, "words": np.int32, "counts": np.int32, "ids": known.id_kind, "totals": np.int64}
+    parts = {k: (unpack if k in ("contexts", "ids") else unpack_planes)(table.column(k), v) for k, v in kinds.items()}
     sizes = list(map(len, parts["words"]))
+    for k in ("totals", "ids"):
+        parts[k] = [x[at] for x, at in zip(parts[k], parts["words"])]
+    parts["words"] = parts.pop("ids")
     every = {k: np.concatenate(v) for k, v in parts.items()}
     contexts, words = np.repeat(every["contexts"], every["sizes"]), every["words"]
     order = np.argsort(mix(contexts * np.uint64(3) + mix(words.astype(np.uint64))), kind="stable")
