@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Paths written in the scopes that are open, the innermost last.
+_scopes: list[list[str]] = []
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder named by spark.checkpoint.dir; where it is unset and everything runs in this process, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="barloom-"))
     return f"{named.rstrip('/')}/barloom-{spark.sparkContext.applicationId}"
 
@@ -22,14 +31,43 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     Like checkpoint() the result survives lost executors and has no lineage, but it is compressed and
-    column-pruned. The files stay until drop_tables().
+    column-pruned. The files stay until drop_tables(), or until the end of a scope() that does not keep them.
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[table] = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that materialize() writes within go at its end, all but those that the caller adds to the list."""
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        stay = {_path_of[df] for df in kept}
+        for path in _scopes.pop():
+            if path not in stay:
+                _delete(spark, path)
+            elif _scopes:
+                _scopes[-1].append(path)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Remove all tables that materialize() wrote in this application."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+
+
+def whole_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """The rows of docs as one struct column, row, beside columns of ours, whose names thus can't clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
