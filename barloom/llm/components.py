@@ -1,9 +1,10 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components of an edge table by hooking and pointer jumping.
 
-Each round links every node's neighbours to the smallest among them: first the larger neighbours (large star), then the
-smaller ones (small star), until no edge changes. The rounds needed grow with the logarithm of a component's size.
-Minima are pre-aggregated before the shuffle, and a hub's edges are rows of their own, joined with its single minimum,
-so AQE can split it. Every round is written to the shared folder; only a row count and a checksum come to the driver.
+In each round every node's parent is the smallest of its smaller neighbours. An edge to another neighbour is replaced by one from that neighbour to the
+parent, and a node's edge to its parent by one to its parent's parent. Trees thus hook onto smaller ones and halve in depth; when nothing moves every
+node points at the smallest of its component. The rounds needed grow with the logarithm of a component's size, and the number of edges never grows.
+Minima are pre-aggregated before the shuffle; a hub's edges are rows of their own, joined with its one parent, so AQE can split them. Every round is
+written to the shared folder and the one before it removed; only whether anything moved comes to the driver.
 """
 
 from __future__ import annotations
@@ -11,26 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, scope
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    """Rows (a, b, m): edges from a with the smallest of a and its neighbours."""
-    least = edges.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("m"))
-    return edges.join(least, F.col("a") == F.col("k")).drop("k")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    star = _smallest(both).filter(F.col("b") > F.col("a"))
-    return star.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    star = _smallest(down)
-    out = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(star.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+def _round(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b, after one round, and whether each has moved."""
+    parents = edges.groupBy("a").agg(F.min("b").alias("m"))
+    known = parents.select(F.col("a").alias("k"), F.col("m").alias("up"))
+    hooks = edges.join(known.hint("merge"), F.col("a") == F.col("k")).filter("b <> up").select(F.col("b").alias("a"), F.col("up").alias("b"), F.lit(True).alias("moved"))
+    jumps = parents.join(known.hint("merge"), F.col("m") == F.col("k"), "left").select("a", F.coalesce("up", "m").alias("b"), F.col("up").isNotNull().alias("moved"))
+    return hooks.unionByName(jumps)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,13 +29,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     component is the smallest node reachable. Nodes without edges are not listed.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-    before = mark(edges)
-    while before[0]:
-        edges = materialize(_small_star(_large_star(edges)))
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"))
+    moved = not edges.isEmpty()
+    while moved:
+        with scope(edges.sparkSession) as kept:
+            edges = materialize(_round(edges))
+            kept.append(edges)
+            moved = not edges.filter("moved").isEmpty()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
