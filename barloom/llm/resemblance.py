@@ -1,17 +1,19 @@
-"""Near-dedup of the pipeline: documents whose five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+"""SimHash near-dedup at a resemblance: documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more are linked.
 
-At a similarity of 0.8 SimHash fingerprints differ in about 15 % of their bits, more than a chain of segments can prune, so candidates come
+First come the links of operator 5 (simhash), over fingerprints of the five-word shingles: pigeonring chains find the documents within 2 bits, which are nearly all that differ in
+a few words. At a similarity of 0.8 fingerprints differ in about 15 % of their bits, more than a chain of segments can prune, so the other candidates come
 from the sets themselves and none is missed. All shingles have one order. Two sets of a and b shingles with similarity t share at least
 t * max(a, b) of them, so they share one among the first n - ceil(t * n) + 1 of each: its prefix. Let c be the shingles that two prefixes share
 and o = ceil(t / (1 + t) * (a + b)) the overlap that the similarity asks for: past the prefix that ends first at most ceil(t * n) - 1
-shingles of its set follow, so c + max(ceil(t * a), ceil(t * b)) - 1 >= o. What passes is decided by the sets themselves.
+shingles of its set follow, so c + max(ceil(t * a), ceil(t * b)) - 1 >= o. What passes, and what the fingerprints found, is decided by the sets themselves.
 
 The order is by hash, but shingles that are frequent in a sample of the documents come last, so boilerplate is seldom in a prefix. The sample only
-changes the cost, never the pairs. Close groups are linked first by few pairs of each shingle (each document with the two before it by size, and the
+changes the cost, never the pairs. Close groups are linked first, by fingerprints and by few pairs of each shingle (each document with the two before it by size, and the
 first); after that only pairs of different components are compared, so a group of near copies is not expanded into all of its pairs as long as those
-links hold it together.
+links hold it together. Tokens of up to CROWD nodes are joined; the nodes of a crowded token are compared in blocks, which return only the pairs that pass the count.
 
-Words are those of simhash (A-Z lower-cased). A shorter text is one shingle. Null and blank texts are one node, as there; an empty table gives an empty table.
+Words are those of simhash (A-Z lower-cased). A shorter text is one shingle. Null and blank texts are one node, as there; an empty table gives an empty table;
+other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .components import components
-from .storage import materialize
+from .storage import materialize, scope
 
 WORDS = 5
 #: The similarity as a fraction, so that no rounding decides.
@@ -34,10 +36,12 @@ PART, WHOLE = 4, 5
 #: Documents of the sample that orders the shingles; a shingle in FREQUENT of them comes last; at most LAST_MOST do.
 SAMPLE, FREQUENT, LAST_MOST = 10_000, 4, 100_000
 SEED = 43
+#: Nodes that share a prefix token beyond which their pairs are counted within tasks, and nodes of a block there.
+CROWD, CROWD_BLOCK = 100, 2048
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted different hashes of the shingles."""
+    """Hashes of the shingles, repeats included."""
     words = (text or "").encode().translate(simhash._NORMAL).split()
     if not words:
         return np.zeros(0, np.int64)
@@ -46,7 +50,12 @@ def shingles(text: str | None) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts, stops = [0, *ends[: n - 1].tolist()], (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n).view(np.int64))
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n).view(np.int64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted different hashes of the shingles."""
+    return np.unique(shingles(text))
 
 
 def _need(n: Column) -> Column:
@@ -61,7 +70,7 @@ def _frequent(docs: DataFrame, sample: int, frequent: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                sets = [shingles(t.as_py()) for t in batch.column("text")[a : a + 256]]
+                sets = [shingle_set(t.as_py()) for t in batch.column("text")[a : a + 256]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["token"])
 
     counts = some.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= frequent)
@@ -69,15 +78,17 @@ def _frequent(docs: DataFrame, sample: int, frequent: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """doc_id, key, node, n (shingles) and prefix of every row; the node of a text without words is 0."""
+    """doc_id, key, node, n (different shingles), fp (fingerprint of all shingles) and prefix of every row; the node of a text without words is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
-                sizes, taken = [], []
+                sizes, prints, taken = [], [], []
                 for t in batch.column("text"):
-                    found = shingles(t.as_py())
+                    every = shingles(t.as_py())
+                    prints.append(simhash.majority(simhash.votes(every.view("<u8")), len(every)) if len(every) else 0)
+                    found = np.unique(every)
                     n = len(found)
                     sizes.append(n)
                     if len(last) and n:
@@ -88,10 +99,10 @@ def _prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
                 node = np.where(np.array(sizes) > 0, key, 0)
                 offsets = np.cumsum([0, *map(len, taken)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *taken])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node), pa.array(np.array(sizes, np.int32)), lists], names=["doc_id", "key", "node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node), pa.array(np.array(sizes, np.int32)), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], names=["doc_id", "key", "node", "n", "fp", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash._key().alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key long, node long, n int, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, node long, n int, fp long, prefix array<long>")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,30 +110,49 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kept = (None, None), []
         for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"))):
             if held[0] != a:
-                held = (a, shingles(x.as_py()))
-            other = shingles(y.as_py())
+                held = (a, shingle_set(x.as_py()))
+            other = shingle_set(y.as_py())
             both = len(np.intersect1d(held[1], other, assume_unique=True))
             if WHOLE * both >= PART * (len(held[1]) + len(other) - both):
                 kept.append(i)
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b, n_a, n_b, c) that are similar; c: shingles that their prefixes share."""
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, n_a, n_b, c) that may be similar; c: shingles that their prefixes share."""
     overlap = F.ceil((F.col("n_a") + F.col("n_b")) * PART / (PART + WHOLE))
-    pairs = materialize(pairs.filter(F.col("c") + F.greatest(_need(F.col("n_a")), _need(F.col("n_b"))) - 1 >= overlap).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct()
-    texts = docs.select(simhash._key().alias("node"), "text").join(wanted, F.col("node") == F.col("want"), "left_semi")
-    texts = materialize(texts.groupBy("node").agg(F.any_value("text").alias("text")))
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"))
+    return pairs.filter(F.col("c") + F.greatest(_need(F.col("n_a")), _need(F.col("n_b"))) - 1 >= overlap).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are similar."""
+    with scope(docs.sparkSession) as kept:
+        pairs = materialize(pairs)
+        wanted = pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct()
+        texts = docs.select(simhash._key().alias("node"), "text").join(wanted, F.col("node") == F.col("want"), "left_semi")
+        texts = materialize(texts.groupBy("node").agg(F.any_value("text").alias("text")))
+        joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        kept.append(materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long")))
+    return kept[0]
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
 
 
-def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def _fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes whose fingerprints pigeonring links: the least node of each fingerprint with the others and with those of linked ones."""
+    nodes = materialize(rows.filter("n > 0").select("node", "n", "fp").distinct())
+    least = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first"))
+    same = nodes.join(least.withColumnRenamed("fp", "l_fp"), (F.col("fp") == F.col("l_fp")) & (F.col("node") != F.col("first.node")) & _sizes_fit(F.col("n"), F.col("first.n")))
+    near = materialize(simhash.links(nodes))
+    a, b = (least.select(F.col("fp").alias(f"{x}_fp"), F.col("first").alias(f"{x}_first")) for x in "ab")
+    linked = near.join(a, F.col("a") == F.col("a_fp")).join(b, F.col("b") == F.col("b_fp")).filter(_sizes_fit(F.col("a_first.n"), F.col("b_first.n")))
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return same.select(*pair("node", "first.node")).unionByName(linked.select(*pair("a_first.node", "b_first.node")))
+
+
+def links(rows: DataFrame, docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) between nodes of rows (those of _prefixes); their components are those of all similar pairs."""
     nodes = rows.filter("n > 0").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("token"))
     order = Window.partitionBy("token").orderBy("n", "node")
@@ -131,24 +161,70 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     met = materialize(met.filter(F.col("p1").isNotNull() | F.col("next").isNotNull()).drop("next"))
     few = met.select("node", "n", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p")).filter(F.col("p").isNotNull() & (F.col("p.node") != F.col("node")))
     few = few.filter(_sizes_fit(F.col("n"), F.col("p.n"))).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.when(F.col("node") < F.col("p.node"), F.col("n")).otherwise(F.col("p.n")).alias("n_a"), F.when(F.col("node") < F.col("p.node"), F.col("p.n")).otherwise(F.col("n")).alias("n_b"))
-    close = _verified(few.groupBy("a", "b").agg(F.any_value("n_a").alias("n_a"), F.any_value("n_b").alias("n_b"), F.count("*").alias("c")), docs)
+    few = _enough(few.groupBy("a", "b").agg(F.any_value("n_a").alias("n_a"), F.any_value("n_b").alias("n_b"), F.count("*").alias("c")))
+    close = _verified(_fingerprint_pairs(rows).unionByName(few).distinct(), docs)
     groups = components(close).select(F.col("node").alias("g_node"), "component")
     named = met.select("token", "node", "n").join(groups, F.col("node") == F.col("g_node"), "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
     named = materialize(named)
-    open_ = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.col("token").alias("o_token"))
-    left = materialize(named.join(open_, F.col("token") == F.col("o_token"), "left_semi"))
+    sizes = named.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    sizes = materialize(sizes.select(F.col("token").alias("o_token"), "m"))
+    left = materialize(named.join(sizes.filter(F.col("m") <= crowd), F.col("token") == F.col("o_token"), "left_semi"))
     right = left.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
     rest = left.join(right, (F.col("token") == F.col("token_b")) & (F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) & _sizes_fit(F.col("n"), F.col("n_b")))
-    rest = rest.groupBy(F.col("node").alias("a"), "b").agg(F.any_value("n").alias("n_a"), F.any_value("n_b").alias("n_b"), F.count("*").alias("c"))
-    return close.unionByName(_verified(rest, docs))
+    rest = _enough(rest.groupBy(F.col("node").alias("a"), "b").agg(F.any_value("n").alias("n_a"), F.any_value("n_b").alias("n_b"), F.count("*").alias("c")))
+    dense = _crowd_pairs(named.join(sizes.filter(F.col("m") > crowd), F.col("token") == F.col("o_token")), rows)
+    return close.unionByName(_verified(rest.unionByName(dense).distinct(), docs))
+
 
+def _crowd_pairs(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may be similar among the nodes that share a crowded token and whose prefixes share no smaller one.
 
-def keep_one(docs: DataFrame, sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
+    Blocks of nodes meet in pairs of blocks; what two prefixes share is counted within the task, so only pairs that pass are rows.
+    """
+    blocks = F.ceil(F.col("m") / CROWD_BLOCK).cast("int")
+    prefixes = rows.filter("n > 0").select(F.col("node").alias("p_node"), "prefix").dropDuplicates(["p_node"])
+    dealt = members.join(prefixes, F.col("node") == F.col("p_node")).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "component", "prefix")
+
+    def compare(table: pa.Table) -> pa.Table:
+        token, i, j = (table.column(c)[0].as_py() for c in ("token", "i", "j"))
+        own = table.column("own").to_numpy()
+        sides = [table.take(pa.array(np.flatnonzero(own == k))) for k in (i, j)]
+        node, n, component = ([s.column(c).to_numpy() for s in sides] for c in ("node", "n", "component"))
+        owners = []
+        for s in sides:
+            lists = s.column("prefix").combine_chunks()
+            tokens, at = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            order = np.argsort(tokens, kind="stable")
+            names, firsts = np.unique(tokens[order], return_index=True)
+            owners.append(dict(zip(names.tolist(), np.split(at[order], firsts[1:]))))
+        shared, earlier = np.zeros((len(node[0]), len(node[1])), np.int32), np.zeros((len(node[0]), len(node[1])), bool)
+        for t in owners[0].keys() & owners[1].keys():
+            here = np.ix_(owners[0][t], owners[1][t])
+            shared[here] += 1
+            if t < token:
+                earlier[here] = True
+        x, y = n[0][:, None].astype(np.int64), n[1][None].astype(np.int64)
+        need = -(-np.maximum(x, y) * PART // WHOLE)
+        ok = (shared > 0) & ~earlier & (component[0][:, None] != component[1][None]) & (np.minimum(x, y) * WHOLE >= np.maximum(x, y) * PART) & (shared + need - 1 >= -(-(x + y) * PART // (PART + WHOLE)))
+        if i == j:
+            ok &= node[0][:, None] < node[1][None]
+        a, b = np.nonzero(ok)
+        a, b = node[0][a], node[1][b]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return dealt.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def keep_one(docs: DataFrame, sample: int = SAMPLE, frequent: int = FREQUENT, crowd: int = CROWD) -> DataFrame:
     """The rows of docs that stay: of each group of similar documents one row, with its smallest doc_id.
 
     Rows whose doc_id is null name no group and all stay.
     """
-    rows = materialize(_prefixes(docs, _frequent(docs, sample, frequent)))
-    groups = components(links(rows, docs)).select(F.col("node").alias("g_node"), "component")
-    linked = rows.select("doc_id", "key", "node").join(groups, F.col("node") == F.col("g_node"), "left").withColumn("component", F.coalesce("component", "node"))
+    with scope(docs.sparkSession) as kept:
+        rows = materialize(_prefixes(docs, _frequent(docs, sample, frequent)))
+        groups = components(links(rows, docs, crowd)).select(F.col("node").alias("g_node"), "component")
+        linked = rows.select("doc_id", "key", "node").join(groups, F.col("node") == F.col("g_node"), "left")
+        linked = materialize(linked.select("doc_id", "key", F.coalesce("component", "node").alias("component")))
+        kept.append(linked)
     return simhash.keep_rows(docs, linked)

@@ -34,8 +34,9 @@ def planted(rng):
     return texts
 
 
-@pytest.mark.parametrize(("sample", "frequent"), [(10_000, 4), (0, 10**9)])
-def test_stage_keeps_one_of_every_similar_group(spark, sample, frequent):
+@pytest.mark.parametrize(("sample", "frequent", "crowd"), [(10_000, 4, 100), (0, 10**9, 100), (0, 10**9, 1)])
+def test_stage_keeps_one_of_every_similar_group(spark, monkeypatch, sample, frequent, crowd):
+    monkeypatch.setattr(resemblance, "CROWD_BLOCK", 20)
     texts = dict(enumerate(planted(random.Random(3)), 5))
     sets = {i: plain_set(t) for i, t in texts.items()}
     pairs = [(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])]
@@ -43,7 +44,7 @@ def test_stage_keeps_one_of_every_similar_group(spark, sample, frequent):
     assert sum(1 for a, b in near if 0.8 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.9) > 20
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     low = reach(sets, pairs)
-    assert sorted(r.doc_id for r in resemblance.keep_one(docs, sample, frequent).collect()) == sorted(set(low.values()))
+    assert sorted(r.doc_id for r in resemblance.keep_one(docs, sample, frequent, crowd).collect()) == sorted(set(low.values()))
 
 
 def test_stage_drops_planted_pairs(spark):
