@@ -10,9 +10,9 @@ first segments of such a chain must therefore be equal: they are the join key. F
 there, and the full Hamming distance decides.
 
 All documents of one fingerprint are one node, so copies are never expanded into pairs. Where one key is shared by more
-than CROWD different fingerprints, those are instead compared by all their one-bit variants: two fingerprints within
-2 bits share a variant within 1 bit of both, and at most 65 fingerprints lie within 1 bit of any variant. That is exact
-and linear in the number of fingerprints.
+than CROWD different fingerprints, the chain goes on there: up to LONG segments together, one side with the differences that the budget allows
+(at most one bit past the equal segments), so that the rest of the chain is part of the join key. No more than 2 ** 8 fingerprints share such a key, however
+many there are in all, and each looks up 33 keys a start.
 
 Defined results: null or blank text has fingerprint zero and is linked like any other; repeated rows each give a row; an
 empty table gives an empty table; other columns are not read by link_documents and pass through keep_one.
@@ -31,16 +31,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import materialize, scope, whole_rows
 
 DISTANCE = 2
 SEGMENTS = 8
+#: Fingerprints of a key beyond which its chains are followed for LONG segments.
 CROWD = 1000
+LONG = SEGMENTS - 1
 SEED = 42
 _NORMAL = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\v\f\r", bytes(range(97, 123)) + b"     ")
 _BLOCK = 1 << 16
 
 
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits are set in over half of n hashes."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None) -> int:
     words = (text or "").encode().translate(_NORMAL).split()
     if not words:
@@ -54,10 +66,8 @@ def fingerprint(text: str | None) -> int:
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64, np.int64)
     for a in range(0, n, _BLOCK):
-        hashes = np.array([digest(line[s:e], SEED) for s, e in zip(starts[a : a + _BLOCK], stops[a : a + _BLOCK])], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += votes(np.array([digest(line[s:e], SEED) for s, e in zip(starts[a : a + _BLOCK], stops[a : a + _BLOCK])], "<u8"))
+    return majority(ones, n)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,18 +110,27 @@ def _far(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _variant_links(prints: DataFrame) -> DataFrame:
-    """Exact links at up to 2 bits among prints: equal variants of at most one flipped bit."""
-    masks = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), i) for i in range(64)])
-    variants = prints.select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("variant"))
-    other = variants.select(F.col("fp").alias("b"), F.col("variant").alias("variant_b"))
-    return variants.join(other, (F.col("variant") == F.col("variant_b")) & (F.col("fp") < F.col("b"))).select(F.col("fp").alias("a"), "b")
+def _long_links(crowded: DataFrame, distance: int) -> DataFrame:
+    """Pairs whose chains hold over LONG segments, of prints (fp, start) whose first segments are in a crowd."""
+    width = 64 // SEGMENTS
+    mask = (1 << LONG * width) - 1
+    # the ring turned so that the chain's segments are its lowest bits
+    turned = F.col("fp")
+    for start in range(1, SEGMENTS):
+        by = start * width
+        turned = F.when(F.col("start") == start, F.shiftrightunsigned("fp", by).bitwiseOR(F.shiftleft("fp", 64 - by))).otherwise(turned)
+    chain = crowded.select("fp", "start", turned.bitwiseAND(mask).alias("chain"))
+    spare = range(_free(distance) * width, LONG * width) if LONG * distance // SEGMENTS else ()
+    changes = F.array(F.lit(0).cast("long"), *[F.lit(1 << bit) for bit in spare])
+    asked = chain.select("fp", "start", F.explode(F.transform(changes, lambda m: m.bitwiseXOR(F.col("chain")))).alias("chain"))
+    held = chain.select(F.col("fp").alias("b"), F.col("start").alias("start_b"), F.col("chain").alias("chain_b"))
+    return asked.join(held, (F.col("start") == F.col("start_b")) & (F.col("chain") == F.col("chain_b")) & (F.col("fp") < F.col("b")))
 
 
 def links(prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b), a < b, of different fingerprints that differ in at most distance (1 or 2) bits."""
     if not 1 <= distance <= 2:
-        raise ValueError("crowded keys are resolved for distances 1 and 2")
+        raise ValueError("chains of LONG segments have a budget of one bit, which covers distances 1 and 2")
     prints = prints.select("fp").distinct()
     free, width = _free(distance), 64 // SEGMENTS
     parts = _segments(F.col("fp"))
@@ -123,23 +142,27 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> Da
         chains.append(F.struct(F.lit(start).alias("start"), key.alias("key")))
     keyed = materialize(prints.select("fp", F.explode(F.array(*chains)).alias("chain")).select("fp", "chain.start", "chain.key"))
     crowded = materialize(keyed.groupBy("start", "key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(F.col("start").alias("c_start"), F.col("key").alias("c_key")))
-    at_crowd = (F.col("start") == F.col("c_start")) & (F.col("key") == F.col("c_key"))
-    calm = keyed.join(crowded, at_crowd, "left_anti")
+    near = lambda met: met.filter(_chain_holds(F.col("fp"), F.col("b"), F.col("start"), distance)).filter(_far("fp", "b") <= distance).select(F.col("fp").alias("a"), "b")
+    calm, dense = keyed, None
+    if not crowded.isEmpty():
+        at_crowd = (F.col("start") == F.col("c_start")) & (F.col("key") == F.col("c_key"))
+        calm = keyed.join(crowded, at_crowd, "left_anti")
+        dense = near(_long_links(keyed.join(crowded, at_crowd, "left_semi"), distance))
     other = calm.select(F.col("fp").alias("b"), F.col("start").alias("start_b"), F.col("key").alias("key_b"))
-    met = calm.join(other, (F.col("start") == F.col("start_b")) & (F.col("key") == F.col("key_b")) & (F.col("fp") < F.col("b")))
-    near = met.filter(_chain_holds(F.col("fp"), F.col("b"), F.col("start"), distance)).filter(_far("fp", "b") <= distance).select(F.col("fp").alias("a"), "b")
-    dense = _variant_links(keyed.join(crowded, at_crowd, "left_semi").select("fp").distinct()).filter(_far("a", "b") <= distance)
-    return near.unionByName(dense).distinct()
+    found = near(calm.join(other, (F.col("start") == F.col("start_b")) & (F.col("key") == F.col("key_b")) & (F.col("fp") < F.col("b"))))
+    return (found if dense is None else found.unionByName(dense)).distinct()
 
 
 def link_documents(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, key and fp of every row, component (the smallest fp reachable over links) and component_id (the smallest doc_id)."""
-    rows = materialize(fingerprints(docs))
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    groups = components(links(prints, distance))
-    named = prints.join(groups, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.select(F.col("fp").alias("fp_key"), "component").join(least, "component")
+    with scope(docs.sparkSession) as kept:
+        rows = materialize(fingerprints(docs))
+        prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+        groups = components(links(prints, distance))
+        named = prints.join(groups, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("fp_key"), F.coalesce("component", "fp").alias("component"), "first_id")
+        least = named.groupBy(F.col("component").alias("c")).agg(F.min("first_id").alias("component_id"))
+        named = materialize(named.join(least, F.col("component") == F.col("c")).select("fp_key", "component", "component_id"))
+        kept += [rows, named]
     return rows.join(named, F.col("fp") == F.col("fp_key")).select("doc_id", "key", "fp", "component", "component_id")
 
 
@@ -153,10 +176,10 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def keep_rows(docs: DataFrame, linked: DataFrame) -> DataFrame:
     """keep_one() for linked rows: doc_id, key and component."""
-    linked = linked.filter(F.col("doc_id").isNotNull())
-    kept = linked.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_kept"))
-    found = docs.withColumn("_key", _key()).join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_kept")))
-    return found.dropDuplicates(["_id", "_key"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = linked.filter(F.col("doc_id").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.key").alias("kept_key"))
+    rows = whole_rows(docs, F.col("doc_id").alias("row_id"), _key().alias("row_key"))
+    found = rows.join(kept, (F.col("row_id") == F.col("kept_id")) & (F.col("row_key") == F.col("kept_key")))
+    return found.dropDuplicates(["row_id", "row_key"]).select("row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
