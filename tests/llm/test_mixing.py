@@ -1,6 +1,9 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from barloom.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, size string, slice string"
@@ -45,11 +48,39 @@ def test_targets_and_taken_words(spark):
         assert abs(r.target - want[r.source]) < 1e-6
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) < 1 for s in want)
+    assert sum(taken.values()) == int(1.5 * sum(sizes.values()))
+    assert all(abs(taken[s] - want[s]) <= 2 * mixing.PACKET for s in want)
     again = sorted(map(str, mixing.mixed(docs(spark, rows).repartition(7)).collect()))
     assert again == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("packet", [1, 128, 10**6])
+def test_taken_words_are_those_before_the_cut_of_one_queue(spark, packet):
+    rows = some()
+    queues, sizes = defaultdict(list), Counter()
+    for i, t, s in rows:
+        n = len((t or "").split())
+        queues[s].append((hashlib.md5(str(i).encode()).hexdigest(), i, n))
+        sizes[s] += n
+    want, served = targets(sizes), []
+    for s, queue in queues.items():
+        at = 0
+        for turn in range(2):
+            for _, i, n in sorted(queue):
+                for a in range(0, n, packet):
+                    words = min(packet, n - a)
+                    at += words
+                    served.append((at / want[s], s is None, s or "", i, words))
+    left, taken = int(1.5 * sum(sizes.values())), Counter()
+    for _, _, _, i, words in sorted(served):
+        taken[i] += min(words, left)
+        left -= min(words, left)
+    got = Counter()
+    for r in mixing.mixed(docs(spark, rows), packet=packet).collect():
+        got[r.doc_id] += r.taken
+    assert +got == +taken
+
+
 def test_mix_repeats_whole_rows_in_fair_order(spark):
     rows = some()
     plan = mixing.mixed(docs(spark, rows)).collect()
