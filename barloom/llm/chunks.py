@@ -1,9 +1,9 @@
 """Deal documents into bounded chunks, and ask questions of hash shards.
 
-A chunk is a group of documents of about CHUNK_BYTES of text, chosen by a hash of doc_id, that one task holds as arrays.
+A chunk is a group of documents of about CHUNK_BYTES of text, chosen by a hash of doc_id and text, that one task holds as arrays.
 What a chunk must learn about the corpus it asks as packed arrays, one row per (chunk, shard): equal keys from all
-chunks meet in one shard, which answers in the same order. There are as many shards as chunks, so both stay bounded as
-the input grows, and a key that is frequent in a chunk is asked once there.
+chunks meet in one shard, which answers in the same order. A key that is frequent in a chunk is asked once there, so the keys of a shard are
+fewer than the words of a chunk, and there are fewer shards than chunks; both stay bounded as the input grows.
 """
 
 from __future__ import annotations
@@ -24,9 +24,14 @@ def count_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
     return max(1, -(-total // chunk_bytes))
 
 
+def count_shards(chunks: int, chunks_each: int) -> int:
+    """As many shards as chunks while there are few, then one for so many chunks, so that rows between them stay few."""
+    return max(min(chunks, 64), -(-chunks // chunks_each))
+
+
 def in_chunks(docs: DataFrame, chunks: int) -> DataFrame:
-    """chunk, doc_id, text; a document's rows share a chunk."""
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """chunk, doc_id, text. Rows of one doc_id, or of none, are spread by their texts."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def in_packed_chunks(docs: DataFrame, chunks: int) -> DataFrame:

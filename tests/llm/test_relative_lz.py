@@ -1,8 +1,9 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from barloom.llm import relative_lz
@@ -40,9 +41,29 @@ def test_against_brute_force(spark, window, block, size):
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kept string")
     got = relative_lz.duplicate_spans(docs, window, block, size).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == plain(rows, window)
+    # the blocks of the reference: the words of each chunk
+    chunks = relative_lz.in_chunks(docs, relative_lz.count_chunks(docs, size)).toArrow()
+    reference = {}
+    for k in set(chunks.column("chunk").to_pylist()):
+        words = Words(relative_lz.in_order(chunks.filter(pc.equal(chunks.column("chunk"), k))).column("text"))
+        reference[k] = [words.bytes_of(i) for i in range(len(words))]
+    texts = defaultdict(set)
+    for i, t in rows:
+        texts[i].add(t)
     for r in got:
-        assert all(b - a >= window for a, b in r.spans)
-        assert r.n_removed == len({k for a, b in r.spans for k in range(a, b)})
+        assert r.n_removed == len({k for f in r.factors for k in range(f.start, f.stop)})
+        at = 0
+        for f in r.factors:
+            assert f.stop - f.start >= window and f.start >= at
+            at = f.start + 1
+            assert any(reference[f.block][f.at : f.at + f.stop - f.start] == (t or "").encode().split()[f.start : f.stop] for t in texts[r.doc_id])
+    # a passage of three documents is one factor, not one for each window
+    assert max(f.stop - f.start for r in got for f in r.factors) > window
+
+
+def test_factors_end_where_the_reference_does():
+    starts, places = np.array([3, 4, 5, 6, 20, 21]), np.array([100, 101, 900, 901, 7, 8])
+    assert relative_lz.factors(starts, places, np.array([0, 15, 40]), 5) == [[(3, 9, 100), (5, 11, 900)], [(5, 11, 7)]]
 
 
 def test_empty_table(spark):
