@@ -4,8 +4,8 @@ Canonical text: NFKC, full Unicode case folding, NFKC again, every run of white
 ends. Fingerprint: 128 bits, two XXH64 of the canonical text with different seeds. Documents are then grouped by
 fingerprint, and within a group the canonical texts are compared byte by byte; one that differs from the
 group's least (a hash collision) gets the SHA-256 of its canonical text added to its
-fingerprint. Equal fingerprints of documents thus mean equal canonical texts. Likeness is 1 where canonical texts are
-equal, compared in full, else 0: an exact digest knows no degrees.
+fingerprint, and so does any other text with that canonical text. Equal fingerprints of documents thus mean equal canonical texts. Likeness is 1 where
+fingerprints are equal, else 0: an exact digest knows no degrees.
 
 Normalisation and folding are the ICU routines that Spark ships for its collations, called by Spark SQL's own
 java_method expression: no Python runs on the executors.
@@ -13,8 +13,9 @@ java_method expression: no Python runs on the executors.
 Defined results: null text is empty text; empty texts share a fingerprint; repeated rows each give a row; an empty
 table gives an empty table; other columns are not read. A null doc_id comes last in descending order.
 
-Scale: neighbours in doc_id order are found with one shuffle of the text into sqrt(rows) ranges of doc_id (bounds from
-approximate quantiles), each range also getting the largest rows of the range below. The byte comparison
+Scale: neighbours in doc_id order are found with one shuffle of the text into sqrt(rows), at most MAX_RANGES, ranges of doc_id (bounds from
+approximate quantiles, one constant array of the plan), each range also getting the largest rows of the range below; what is known of the ranges is one
+row each, which MAX_RANGES bounds. The byte comparison
 is a minimum and a maximum, pre-aggregated before its one shuffle.
 """
 
@@ -29,6 +30,8 @@ from .native_text import text_or_empty
 from .storage import materialize
 
 _WHITE = r"[\s\p{Z}\x85]+"
+#: Ranges of doc_id at most; each has one row in a broadcast table (24 bytes) and one bound in the plan.
+MAX_RANGES = 1 << 16
 
 
 def canonical(text: Column) -> Column:
@@ -45,18 +48,18 @@ def digest(canon: Column) -> Column:
 
 
 def collisions(docs: DataFrame, hash_of=digest) -> DataFrame | None:
-    """Rows (doc_id, suffix) of documents whose canonical bytes differ from the least of their fingerprint; None: no such.
+    """suffix (SHA-256) of the canonical texts whose bytes differ from the least of their fingerprint; None: no such.
 
     Bytes are compared while grouping: the least and the greatest canonical text of a fingerprint are equal if all are.
     Both are pre-aggregated in every task, so a hot group sends one row per task.
     """
-    hashed = docs.select("doc_id", canonical(text_or_empty()).alias("canon")).withColumn("fp", hash_of(F.col("canon")))
+    hashed = docs.select(canonical(text_or_empty()).alias("canon")).withColumn("fp", hash_of(F.col("canon")))
     spans = hashed.groupBy("fp").agg(F.min("canon").alias("least"), F.max("canon").alias("greatest"))
     mixed = materialize(spans.filter("least <> greatest").select(F.col("fp").alias("group_fp"), "least"))
     if mixed.isEmpty():
         return None
     differing = hashed.join(mixed, (F.col("fp") == F.col("group_fp")) & (F.col("canon") != F.col("least")))
-    return differing.select("doc_id", F.sha2("canon", 256).alias("suffix")).distinct()
+    return differing.select(F.sha2("canon", 256).alias("suffix")).distinct()
 
 
 def fingerprints(docs: DataFrame, hash_of=digest) -> DataFrame:
@@ -66,20 +69,21 @@ def fingerprints(docs: DataFrame, hash_of=digest) -> DataFrame:
     return verified(rows, collisions(docs, hash_of))
 
 
-def verified(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """rows (doc_id, fingerprint, canon_sha, ...) with the suffix added to the fingerprints of found; canon_sha goes."""
+def verified(rows: DataFrame, found: DataFrame | None, fingerprint: str = "fingerprint", sha: str = "canon_sha") -> DataFrame:
+    """rows with the suffix of found added to the fingerprints of the canonical texts, known by their SHA-256, that have one; sha goes."""
     if found is None:
-        return rows.drop("canon_sha")
-    other = found.select(F.col("doc_id").alias("_id"), F.col("suffix").alias("_suffix"))
-    joined = rows.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("canon_sha") == F.col("_suffix")), "left")
-    return joined.withColumn("fingerprint", F.concat("fingerprint", F.coalesce(F.concat(F.lit(":"), "_suffix"), F.lit("")))).drop("_id", "_suffix", "canon_sha")
+        return rows.drop(sha)
+    other = found.select(F.col("suffix").alias("own_suffix"))
+    joined = rows.join(other, F.col(sha) == F.col("own_suffix"), "left")
+    return joined.withColumn(fingerprint, F.concat(fingerprint, F.coalesce(F.concat(F.lit(":"), "own_suffix"), F.lit("")))).drop("own_suffix", sha)
 
 
 def _range_of(bounds: list[int]) -> Column:
     """Number of sorted bounds that are at most doc_id, by binary search; 0 for null."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*map(F.lit, bounds))
+    # one literal that the optimizer folds, however many bounds there are
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     steps = [F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]
     step = lambda at, s: F.when((at + s <= len(bounds)) & (F.get(table, at + s - 1) <= F.col("doc_id")), at + s).otherwise(at)
     return F.coalesce(F.aggregate(F.array(*steps), F.lit(0), step), F.lit(0))
@@ -92,11 +96,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     ids = docs.select("doc_id")
-    parts = max(1, math.isqrt(ids.count()))
+    parts = min(MAX_RANGES, max(1, math.isqrt(ids.count())))
     quantiles = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first().q if parts > 1 else []
     bounds = sorted(set(quantiles or []))
     part = _range_of(bounds)
-    # sqrt(rows) rows at most: where the largest rows of each range are needed as well
+    # one row for each range: where its largest rows are needed as well
     tops = ids.withColumn("part", part).groupBy("part").agg(F.max("doc_id").alias("top"))
     up = Window.orderBy("part")
     tops = tops.select("top", F.coalesce(F.lead("part").over(up), F.min("part").over(Window.partitionBy())).alias("to_part"), F.lead("part").over(up).isNull().alias("wraps"))
@@ -113,8 +117,11 @@ def op4(spark, sf_dir: str) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[canonical(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
-    rows = rows.withColumn("fingerprint", digest(F.col("text"))).withColumn("edited_fingerprint", digest(F.col("edited")))
-    alike = lambda other: F.when(F.col("text") == F.col(other), 1.0).otherwise(0.0)
-    alike_edited, alike_next = alike("edited"), alike("next_text")
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike_edited.alias("near_edited"), alike_next.alias("near_next"), F.sha2("text", 256).alias("canon_sha"))
-    return verified(rows, collisions(docs))
+    rows = rows.withColumns({"fingerprint": digest(F.col("text")), "edited_fingerprint": digest(F.col("edited")), "next_fingerprint": digest(F.col("next_text"))})
+    found = collisions(docs)
+    if found is not None:
+        rows = rows.withColumns({f"{c}_sha": F.sha2(c, 256) for c in ("text", "edited", "next_text")})
+        for c, sha in (("fingerprint", "text_sha"), ("edited_fingerprint", "edited_sha"), ("next_fingerprint", "next_text_sha")):
+            rows = verified(rows, found, c, sha)
+    alike = lambda other: F.when(F.col("fingerprint") == F.col(other), 1.0).otherwise(0.0)
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))
