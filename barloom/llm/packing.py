@@ -9,7 +9,7 @@ seed; the index ranks the unused tails by BM25 for the seed's QUERY_TERMS weight
 with those that still fit. When none fits, the best unused one is cut, so that the window is full; its rest stays in use as a tail.
 Only the last window of a shard may be short, and it is cut down to a power of two and a rest if that saves padding.
 
-The ids are those of the tokenizer file for the `tokenizers` library. They are made by tiktoken from the rank file of the same vocabulary,
+The ids are those of the tokenizer file for the `tokenizers` library, strings of its special tokens included. They are made by tiktoken from the rank file of the same vocabulary,
 which is several times faster; the tests compare both, and a text that tiktoken can't take goes to `tokenizers`.
 
 Defined results: null text is empty text, whose one token is the end id; repeated rows are packed each; an empty table gives an empty table;
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, scope
 
 WINDOW = 2048
 END = 1
@@ -54,13 +54,14 @@ def _encoder(json_path: str, rank_path: str, pattern: str):
     from tokenizers import Tokenizer
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(rank_path, "rb"))}
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     slow = Tokenizer.from_file(json_path)
-    slow.encode_special_tokens = True
+    # the file's special tokens are found in a text, as the tokenizers library does
+    special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> list[int]:
         try:
-            return fast.encode_ordinary(text)
+            return fast.encode(text, allowed_special="all") if any(t in text for t in special) else fast.encode_ordinary(text)
         except BaseException as e:  # a panic of its pattern matcher is no Exception
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
@@ -284,18 +285,20 @@ def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, window:
             found = np.array(leads(batch), np.int32).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["first", "second"])
 
-    leading = materialize(tails.select("length", "ids").mapInArrow(lead, "first int, second int"))
-    route = Route({r["first"]: r["n"] for r in leading.groupBy("first").agg(F.count("*").alias("n")).collect()}, shard_tails)
-    ranked = Window.partitionBy("first").orderBy(F.desc("n"), "second")
-    pairs = leading.filter("first <> second").groupBy("first", "second").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(ranked))
-    pairs = pairs.filter(F.col("rank") <= NEXT_TERMS).select("first", "second", "n").toArrow()
-    order = cluster_order(list(zip(*(pairs.column(c).to_pylist() for c in ("first", "second", "n")))), route.tails_of)
-    crowded = {}
-    if route.buckets:
-        buckets = made.sparkSession.createDataFrame(list(route.buckets.items()), "c_first int, buckets int")
-        parts = leading.join(F.broadcast(buckets), F.col("first") == F.col("c_first")).groupBy("first", (F.col("second") % F.col("buckets")).alias("bucket"))
-        crowded = {(r["first"], r["bucket"]): r["n"] for r in parts.agg(F.count("*").alias("n")).collect()}
-    route.place(crowded, order)
+    with scope(made.sparkSession):
+        # a row for each pair of leading terms, of which there are fewer than tails
+        leading = materialize(tails.select("length", "ids").mapInArrow(lead, "first int, second int").groupBy("first", "second").agg(F.count("*").alias("n")))
+        route = Route({r["first"]: r["n"] for r in leading.groupBy("first").agg(F.sum("n").alias("n")).collect()}, shard_tails)
+        ranked = Window.partitionBy("first").orderBy(F.desc("n"), "second")
+        pairs = leading.filter("first <> second").withColumn("rank", F.row_number().over(ranked))
+        pairs = pairs.filter(F.col("rank") <= NEXT_TERMS).select("first", "second", "n").toArrow()
+        order = cluster_order(list(zip(*(pairs.column(c).to_pylist() for c in ("first", "second", "n")))), route.tails_of)
+        crowded = {}
+        if route.buckets:
+            buckets = made.sparkSession.createDataFrame(list(route.buckets.items()), "c_first int, buckets int")
+            parts = leading.join(F.broadcast(buckets), F.col("first") == F.col("c_first")).groupBy("first", (F.col("second") % F.col("buckets")).alias("bucket"))
+            crowded = {(r["first"], r["bucket"]): r["n"] for r in parts.agg(F.sum("n").alias("n")).collect()}
+        route.place(crowded, order)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
