@@ -5,13 +5,15 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from barloom.llm import storage, templates, toxicity
 
 from .test_mixing import targets
-from .test_simhash import plain_fingerprint, reach
+from .test_resemblance import plain_set, similar
+from .test_simhash import reach
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,8 +37,8 @@ def test_stages_against_plain_versions(spark):
             want = con.execute(templates.ORACLE).df().set_index("doc_id").kept_sha256
             assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in zip(after.doc_id, after.text)} == want.to_dict()
         if name == "SimHash near-dedup":
-            prints = dict(zip(before.doc_id, map(plain_fingerprint, before.text)))
-            low = reach(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+            sets = dict(zip(before.doc_id, map(plain_set, before.text)))
+            low = reach(sets, [(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])])
             assert sorted(after.doc_id) == sorted(set(low.values()))
         if name == "mixing":
             words = lambda frame: {s: sum(len(t.encode().split()) for t in g.text) for s, g in frame.groupby("source")}
@@ -61,3 +63,33 @@ def test_stages_against_plain_versions(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def odd_documents(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key string, _id string, _lost string, row string, `a.b` string"
+    rest = ("k", "i", "l", "r", "ab")
+    rows = [(None, None, None, None, None), (None, "a b c", "en", None, 5), (1, None, "en", "s", None), (2, "", None, "s", 0), (3, " \n\t", "de", "s", 3), (4, "one word two " * 30_000, "en", "t", 390_000)]
+    rows += [(5, "same text in here twice", "en", "t", 23)] * 2 + [(6, "same text in here twice", "en", "t", 23)]
+    return spark.createDataFrame([(*r, *rest) for r in rows], schema)
+
+
+def test_stages_on_odd_documents_and_none(spark):
+    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+        some = docs.count() > 0
+        for name, stage in corpus_pipeline.STAGES:
+            out = storage.materialize(stage(spark, docs, SF))
+            assert bool(out.count()) == some
+            if name != "packing":
+                assert out.columns == docs.columns
+                assert all((r._key, r._id, r._lost, r.row, r["a.b"]) == ("k", "i", "l", "r", "ab") for r in out.collect())
+            docs = out
+
+
+def test_tables_of_a_scope_go(spark):
+    before = spark.range(3)
+    with storage.scope(spark) as kept:
+        gone, stays = storage.materialize(before), storage.materialize(before)
+        kept.append(stays)
+    assert stays.count() == 3
+    with pytest.raises(Exception):
+        gone.count()
