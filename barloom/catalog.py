@@ -1,7 +1,7 @@
 """Every registered query of the series engine, with its SQL.
 
-Queries run over whole tables. Windows are short here because the driver's bars are hourly; the operators take any.
-Computed doubles are rounded in both forms, as running and framed sums differ in their last bits.
+Queries run over whole tables, in blocks of rows with halos. Each family is registered with short windows and, as feat_<family>_long, with windows beyond
+the longest frame, which the operators compute by running totals and doubling. Computed doubles are rounded in both forms, as running and framed sums differ in their last bits.
 """
 
 from __future__ import annotations
@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import Rows
 from barloom.operators import features, labels, scores
 from barloom.plans.blocks import in_blocks
 from barloom.sources import bars as bar_source
 
 WINDOWS = (5, 10, 20)
+#: Longer than any frame, and filled by the 720 bars of a symbol.
+LONG = (90, 240)
+#: Rows of a block: several for each symbol here.
+BLOCK = 200
 HORIZON, BARRIER = 5, 0.5
 DIGITS = 6
 LARGE = 1e5
@@ -75,10 +78,11 @@ b1 AS (
 x AS (
   SELECT *, abs(r) AS abs_r, r * r AS r2, lag(r) OVER ({_O}) AS r_before, abs(r) * abs(lag(r) OVER ({_O})) AS rr, CASE WHEN r > 0 THEN r * r ELSE 0 END AS up2,
          CASE WHEN r < 0 THEN r * r ELSE 0 END AS down2, CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END AS is_up, p - lag(p, 2) OVER ({_O}) AS move2,
-         CASE WHEN high > low THEN pow(ln(high / low), 2) / (4 * ln(2)) END AS pk,
-         CASE WHEN high > low THEN 0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2) END AS gk,
-         ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs, ln(low) AS ln_low, ln(high) AS ln_high, high - low AS span, ofi * abs(r) AS ofi_r,
-         close * volume AS paid
+         CASE WHEN high > low AND low > 0 THEN pow(ln(high / low), 2) / (4 * ln(2)) END AS pk,
+         CASE WHEN high > low AND low > 0 AND open > 0 AND close > 0 THEN 0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2) END AS gk,
+         CASE WHEN open > 0 AND close > 0 AND low > 0 AND high > 0 THEN ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) END AS rs,
+         CASE WHEN low > 0 THEN ln(low) END AS ln_low, CASE WHEN high > 0 THEN ln(high) END AS ln_high, high - low AS span, ofi * abs(r) AS ofi_r,
+         CASE WHEN volume >= 0 THEN volume END AS traded, CASE WHEN close > 0 AND volume >= 0 THEN close * volume END AS paid
   FROM b1)"""
 
 
@@ -135,8 +139,12 @@ def _near(names, digits: int = DIGITS) -> str:
     return ", ".join(f'CASE WHEN abs("{n}") < {LARGE} THEN round("{n}", {digits}) ELSE round("{n}" / 1000) * 1000 END + 0.0 AS "{n}"' for n in names)
 
 
-def _each(patterns: dict[str, object]) -> dict[str, str]:
-    return {n.format(w=w): fn(w) for n, fn in patterns.items() for w in WINDOWS}
+def _rnd(e: str) -> str:
+    return f"round({e}, {DIGITS}) + 0.0"
+
+
+def _each(patterns: dict[str, object], windows: tuple[int, ...]) -> dict[str, str]:
+    return {n.format(w=w): fn(w) for n, fn in patterns.items() for w in windows}
 
 
 _E = "1e-10"
@@ -144,134 +152,168 @@ _RS = lambda w: f"(sqrt(greatest({_mean('rs', w)}, 0)) * sqrt(20.0) + {_E})"  #
 _PRESSURE = lambda w: f"(2 * {_sum('taker_buy_base', w)} / ({_sum('volume', w)} + {_E}) - 1)"
 _DRIFT = lambda w: f"tanh((p - {_lag('p', w)}) / (sqrt(greatest({_mean('r2', w)}, 0)) * sqrt({w}.0) + {_E}))"
 
-_FAMILIES = {
-    "activity": {"tb_ratio__inst__f__w0": "b", "ofi__inst__f__w0": "ofi", "qpertrade__inst__f__w0": "qpertrade", "vwapdev__inst__f__w0": "vwapdev"}
-    | _each(
-        {
-            "logvol__z__f__w{w}": lambda w: f"CASE WHEN {_std('logvol', w)} > 0 THEN (logvol - {_mean('logvol', w)}) / {_std('logvol', w)} END",
-            "liq__quote_per_absret__f__w{w}": lambda w: f"{_sum('quote_volume', w)} / ({_sum('abs_r', w)} + {_E})",
-        }
-    ),
-    "candle": {"clv__inst__f__w0": "clv", "bodyfrac__inst__f__w0": "bodyfrac", "wickup__inst__f__w0": "wickup", "wickdn__inst__f__w0": "wickdn", "gap__inst__f__w0": "g"}
-    | _each(
-        {
-            "clv__mean__f__w{w}": lambda w: _mean("clv", w),
-            "logp__pos__f__w{w}": lambda w: f"CASE WHEN {_max('p', w)} > {_min('p', w)} THEN (p - {_min('p', w)}) / ({_max('p', w)} - {_min('p', w)}) END",
-            "logp__dd__f__w{w}": lambda w: f"{_max('p', w)} - p",
-            "logp__du__f__w{w}": lambda w: f"p - {_min('p', w)}",
-        }
-    ),
-    "correlation": _each(
-        {
-            "ret__acf1__f__w{w}": lambda w: _corr("r", "r_before", w),
-            "ret__corr_logvol__f__w{w}": lambda w: _corr("r", "logvol", w),
-            "absret__corr_logvol__f__w{w}": lambda w: _corr("abs_r", "logvol", w),
-            "ret__corr_ofi__f__w{w}": lambda w: _corr("r", "ofi", w),
-        }
-    ),
-    "rolling": _each(
-        {
-            "ret__mean__f__w{w}": lambda w: _mean("r", w),
-            "ret__std__f__w{w}": lambda w: _std("r", w),
-            "ret__rms__f__w{w}": lambda w: f"sqrt({_clip0(_mean('r2', w))})",
-            "absret__mean__f__w{w}": lambda w: _mean("abs_r", w),
-            "ret__posfrac__f__w{w}": lambda w: _mean("is_up", w),
-            "range__mean__f__w{w}": lambda w: _mean("rho", w),
-            "logvol__mean__f__w{w}": lambda w: _mean("logvol", w),
-            "logvol__std__f__w{w}": lambda w: _std("logvol", w),
-            "ofi__std__f__w{w}": lambda w: _std("ofi", w),
-        }
-    ),
-    "volatility": _each(
-        {
-            "vol__parkinson__f__w{w}": lambda w: f"sqrt({_clip0(_mean('pk', w))})",
-            "vol__gk__f__w{w}": lambda w: f"sqrt({_clip0(_mean('gk', w))})",
-            "vol__rs__f__w{w}": lambda w: f"sqrt({_clip0(_mean('rs', w))})",
-            "vol__bpv_ratio__f__w{w}": lambda w: f"{_mean('r2', w)} / (pi() / 2 * {_mean('rr', w - 1)} + {_E})",
-            "vol__semivar_down__f__w{w}": lambda w: f"sqrt({_clip0(_mean('down2', w))})",
-            "vol__semivar_up__f__w{w}": lambda w: f"sqrt({_clip0(_mean('up2', w))})",
-            "vol__semivar_ratio__f__w{w}": lambda w: f"sqrt({_clip0(_mean('down2', w))}) / (sqrt({_clip0(_mean('up2', w))}) + {_E})",
-            "vol__semivar_signed__f__w{w}": lambda w: f"({_sum('up2', w)} - {_sum('down2', w)}) / ({_sum('up2', w)} + {_sum('down2', w)} + {_E})",
-            "vol__jump_ratio__f__w{w}": lambda w: f"CASE WHEN {_sum('r2', w)} IS NOT NULL AND {_sum('rr', w - 1)} IS NOT NULL THEN least(greatest(({_sum('r2', w)} - pi() / 2 * {_sum('rr', w - 1)}) / ({_sum('r2', w)} + {_E}), 0), 1) END",
-        }
-    ),
-    "liquidity": _each(
-        {
-            "liq__amihud__f__w{w}": lambda w: f"{_sum('abs_r', w)} / ({_sum('volume', w)} + {_E})",
-            "liq__range_per_vol__f__w{w}": lambda w: f"{_sum('span', w)} / ({_sum('volume', w)} + {_E})",
-            "ofi__delta__f__w{w}": lambda w: f"ofi - {_lag('ofi', w)}",
-            "ofi__max__f__w{w}": lambda w: _max("ofi", w),
-            "ofi__min__f__w{w}": lambda w: _min("ofi", w),
-            "ofi__ret_interaction__f__w{w}": lambda w: _sum("ofi_r", w),
-        }
-    ),
-    "flow": _each(
-        {
-            "flow__pressure__f__w{w}": _PRESSURE,
-            "flow__pressure_cum__f__w{w}": lambda w: f"2 * {_sum('taker_buy_base', w)} - {_sum('volume', w)}",
-            "flow__sell_absorption__f__w{w}": lambda w: f"{_clip0('-' + _PRESSURE(w))} * {_clip0(_DRIFT(w))}",
-            "flow__buy_exhaustion__f__w{w}": lambda w: f"{_clip0(_PRESSURE(w))} * {_clip0('-' + _DRIFT(w))}",
-        }
-    ),
-    "lag": _each({f"{n}__lag{{w}}__f__w0": (lambda w, x=x: _lag(x, w)) for n, x in (("ret", "r"), ("absret", "abs_r"), ("range", "rho"), ("clv", "clv"), ("logvol", "logvol"), ("logtrades", "logtrades"), ("ofi", "ofi"))}),
-    "excursion": _each({"ret__max1m__f__w{w}": lambda w: _max("r", w), "ret__max2m__f__w{w}": lambda w: _max("move2", w), "ret__min1m__f__w{w}": lambda w: _min("r", w)}),
-    "extreme": _each(
-        {
-            "extreme__dist_low_z__f__w{w}": lambda w: f"(p - {_min('ln_low', w)}) / {_RS(w)}",
-            "extreme__dist_high_z__f__w{w}": lambda w: f"({_max('ln_high', w)} - p) / {_RS(w)}",
-            "extreme__price_rank__f__w{w}": lambda w: f"(CASE WHEN count(p) {_over(w)} = {w} THEN len(list_filter(list(p) {_over(w)}, lambda v: v <= p)) / {w}.0 END)",
-        }
-    ),
-    "quantile": _each(
-        {f"ret__q{q}__f__w{{w}}": (lambda w, q=q: f"(CASE WHEN k % 20 = 0 THEN {_agg('quantile_cont({}, ' + str(q / 100) + ')', 'r', w)} END)") for q in (10, 50, 90)}
-        | {"ret__mad__f__w{w}": lambda w: f"(CASE WHEN k % 20 = 0 THEN {_agg('mad({})', 'r', w)} END)"}
-    ),
-    "seasonality": {
-        f"time__{fn}_{n}__f__w0": f"{fn}(2 * pi() * {x})" for n, x in (("minute", "(hour(ts) * 60 + minute(ts)) / 1440.0"), ("dow", "(isodow(ts) - 1) / 7.0")) for fn in ("sin", "cos")
-    },
-    "trend": _each({"logp__z__f__w{w}": lambda w: f"CASE WHEN {_std('p', w)} > 0 THEN (p - {_mean('p', w)}) / {_std('p', w)} END"}),
-}
+def _families(windows: tuple[int, ...]) -> dict[str, dict[str, str]]:
+    each = lambda patterns: _each(patterns, windows)
+    return {
+        "activity": {"tb_ratio__inst__f__w0": "b", "ofi__inst__f__w0": "ofi", "qpertrade__inst__f__w0": "qpertrade", "vwapdev__inst__f__w0": "vwapdev"}
+        | each(
+            {
+                "logvol__z__f__w{w}": lambda w: f"CASE WHEN {_std('logvol', w)} > 0 THEN (logvol - {_mean('logvol', w)}) / {_std('logvol', w)} END",
+                "liq__quote_per_absret__f__w{w}": lambda w: f"{_sum('quote_volume', w)} / ({_sum('abs_r', w)} + {_E})",
+            }
+        ),
+        "candle": {"clv__inst__f__w0": "clv", "bodyfrac__inst__f__w0": "bodyfrac", "wickup__inst__f__w0": "wickup", "wickdn__inst__f__w0": "wickdn", "gap__inst__f__w0": "g"}
+        | each(
+            {
+                "clv__mean__f__w{w}": lambda w: _mean("clv", w),
+                "logp__pos__f__w{w}": lambda w: f"CASE WHEN {_max('p', w)} > {_min('p', w)} THEN (p - {_min('p', w)}) / ({_max('p', w)} - {_min('p', w)}) END",
+                "logp__dd__f__w{w}": lambda w: f"{_max('p', w)} - p",
+                "logp__du__f__w{w}": lambda w: f"p - {_min('p', w)}",
+            }
+        ),
+        "correlation": each(
+            {
+                "ret__acf1__f__w{w}": lambda w: _corr("r", "r_before", w),
+                "ret__corr_logvol__f__w{w}": lambda w: _corr("r", "logvol", w),
+                "absret__corr_logvol__f__w{w}": lambda w: _corr("abs_r", "logvol", w),
+                "ret__corr_ofi__f__w{w}": lambda w: _corr("r", "ofi", w),
+            }
+        ),
+        "rolling": each(
+            {
+                "ret__mean__f__w{w}": lambda w: _mean("r", w),
+                "ret__std__f__w{w}": lambda w: _std("r", w),
+                "ret__rms__f__w{w}": lambda w: f"sqrt({_clip0(_mean('r2', w))})",
+                "absret__mean__f__w{w}": lambda w: _mean("abs_r", w),
+                "ret__posfrac__f__w{w}": lambda w: _mean("is_up", w),
+                "range__mean__f__w{w}": lambda w: _mean("rho", w),
+                "logvol__mean__f__w{w}": lambda w: _mean("logvol", w),
+                "logvol__std__f__w{w}": lambda w: _std("logvol", w),
+                "ofi__std__f__w{w}": lambda w: _std("ofi", w),
+            }
+        ),
+        "volatility": each(
+            {
+                "vol__parkinson__f__w{w}": lambda w: f"sqrt({_clip0(_mean('pk', w))})",
+                "vol__gk__f__w{w}": lambda w: f"sqrt({_clip0(_mean('gk', w))})",
+                "vol__rs__f__w{w}": lambda w: f"sqrt({_clip0(_mean('rs', w))})",
+                "vol__bpv_ratio__f__w{w}": lambda w: f"{_mean('r2', w)} / (pi() / 2 * {_mean('rr', w - 1)} + {_E})",
+                "vol__semivar_down__f__w{w}": lambda w: f"sqrt({_clip0(_mean('down2', w))})",
+                "vol__semivar_up__f__w{w}": lambda w: f"sqrt({_clip0(_mean('up2', w))})",
+                "vol__semivar_ratio__f__w{w}": lambda w: f"sqrt({_clip0(_mean('down2', w))}) / (sqrt({_clip0(_mean('up2', w))}) + {_E})",
+                "vol__semivar_signed__f__w{w}": lambda w: f"({_sum('up2', w)} - {_sum('down2', w)}) / ({_sum('up2', w)} + {_sum('down2', w)} + {_E})",
+                "vol__jump_ratio__f__w{w}": lambda w: f"CASE WHEN {_sum('r2', w)} IS NOT NULL AND {_sum('rr', w - 1)} IS NOT NULL THEN least(greatest(({_sum('r2', w)} - pi() / 2 * {_sum('rr', w - 1)}) / ({_sum('r2', w)} + {_E}), 0), 1) END",
+            }
+        ),
+        "liquidity": each(
+            {
+                "liq__amihud__f__w{w}": lambda w: f"{_sum('abs_r', w)} / ({_sum('volume', w)} + {_E})",
+                "liq__range_per_vol__f__w{w}": lambda w: f"{_sum('span', w)} / ({_sum('volume', w)} + {_E})",
+                "ofi__delta__f__w{w}": lambda w: f"ofi - {_lag('ofi', w)}",
+                "ofi__max__f__w{w}": lambda w: _max("ofi", w),
+                "ofi__min__f__w{w}": lambda w: _min("ofi", w),
+                "ofi__ret_interaction__f__w{w}": lambda w: _sum("ofi_r", w),
+            }
+        ),
+        "flow": each(
+            {
+                "flow__pressure__f__w{w}": _PRESSURE,
+                "flow__pressure_cum__f__w{w}": lambda w: f"2 * {_sum('taker_buy_base', w)} - {_sum('volume', w)}",
+                "flow__sell_absorption__f__w{w}": lambda w: f"{_clip0('-' + _PRESSURE(w))} * {_clip0(_DRIFT(w))}",
+                "flow__buy_exhaustion__f__w{w}": lambda w: f"{_clip0(_PRESSURE(w))} * {_clip0('-' + _DRIFT(w))}",
+            }
+        ),
+        "lag": each({f"{n}__lag{{w}}__f__w0": (lambda w, x=x: _lag(x, w)) for n, x in (("ret", "r"), ("absret", "abs_r"), ("range", "rho"), ("clv", "clv"), ("logvol", "logvol"), ("logtrades", "logtrades"), ("ofi", "ofi"))}),
+        "excursion": each({"ret__max1m__f__w{w}": lambda w: _max("r", w), "ret__max2m__f__w{w}": lambda w: _max("move2", w), "ret__min1m__f__w{w}": lambda w: _min("r", w)}),
+        "extreme": each(
+            {
+                "extreme__dist_low_z__f__w{w}": lambda w: f"(p - {_min('ln_low', w)}) / {_RS(w)}",
+                "extreme__dist_high_z__f__w{w}": lambda w: f"({_max('ln_high', w)} - p) / {_RS(w)}",
+                "extreme__price_rank__f__w{w}": lambda w: f"(CASE WHEN count(p) {_over(w)} = {w} THEN len(list_filter(list(p) {_over(w)}, lambda v: v <= p)) / {w}.0 END)",
+            }
+        ),
+        "quantile": each(
+            {f"ret__q{q}__f__w{{w}}": (lambda w, q=q: f"(CASE WHEN k % 20 = 0 THEN {_agg('quantile_cont({}, ' + str(q / 100) + ')', 'r', w)} END)") for q in (10, 50, 90)}
+            | {"ret__mad__f__w{w}": lambda w: f"(CASE WHEN k % 20 = 0 THEN {_agg('mad({})', 'r', w)} END)"}
+        ),
+        "seasonality": {
+            f"time__{fn}_{n}__f__w0": f"{fn}(2 * pi() * {x})" for n, x in (("minute", "(hour(ts) * 60 + minute(ts)) / 1440.0"), ("dow", "(isodow(ts) - 1) / 7.0")) for fn in ("sin", "cos")
+        },
+        "trend": each({"logp__z__f__w{w}": lambda w: f"CASE WHEN {_std('p', w)} > 0 THEN (p - {_mean('p', w)}) / {_std('p', w)} END"}),
+    }
 
 
-def _family(name: str, digits: int = DIGITS):
+def _family(name: str, digits: int = DIGITS, windows: tuple[int, ...] = WINDOWS):
     def run(spark, sf_dir: str) -> DataFrame:
-        base = bar_source.base_series(bar_source.hourly(spark, sf_dir))
-        df, names = features.add_features(base, [name], WINDOWS)
+        df, names = features.series_features(bar_source.hourly(spark, sf_dir), [name], windows, BLOCK)
         return rounded(df.select("symbol", "k", *names), digits=digits)
 
     return run
 
 
+_FAMILIES = _families(WINDOWS)
 for _name, _columns in _FAMILIES.items():
     query(f"feat_{_name}", _select(_columns))(_family(_name))
+for _name, _columns in _families(LONG).items():
+    if any("{w}" in f.pattern for f in features.select(_name)):
+        query(f"feat_{_name}_long", _select({n: x for n, x in _columns.items()}))(_family(_name, windows=LONG))
+
 
 # equilibrium has two tiers: windows first, then what is derived from them
-_EQ1 = _each(
-    {
-        "eq__mu_mean__f__w{w}": lambda w: _agg("avg({})", "p", w, -1),
-        "eq__mu_median__f__w{w}": lambda w: _agg("quantile_cont({}, 0.5)", "p", w, -1),
-        "eq__mu_range__f__w{w}": lambda w: f"({_agg('max({})', 'p', w, -1)} + {_agg('min({})', 'p', w, -1)}) / 2",
-        "eq__mu_vwap__f__w{w}": lambda w: f"CASE WHEN {_agg('sum({})', 'volume', w, -1)} > 0 THEN ln({_agg('sum({})', 'paid', w, -1)} / {_agg('sum({})', 'volume', w, -1)}) END",
-        "eq__sigma_r__f__w{w}": lambda w: _agg("stddev_pop({})", "r", w, -1),
-        "eq__mu_trend__f__w{w}": lambda w: f"(CASE WHEN count(p) {_over(w, -1)} = {w} THEN regr_intercept(p, k) {_over(w, -1)} + k * regr_slope(p, k) {_over(w, -1)} END)",
-        "eq__trend_sresid__f__w{w}": lambda w: f"(CASE WHEN count(p) {_over(w, -1)} = {w} THEN sqrt(greatest(regr_syy(p, k) {_over(w, -1)} - pow(regr_sxy(p, k) {_over(w, -1)}, 2) / regr_sxx(p, k) {_over(w, -1)}, 0) / {w}) END)",
-    }
-)
-_EQ1 |= _each({"eq__mad_p__f__w{w}": lambda w: f"(1.4826 * {_agg('mad({})', 'p', w, -1)})"})
+def _eq_tiers(windows: tuple[int, ...]) -> tuple[dict[str, str], dict[str, str]]:
+    first = _each(
+        {
+            "eq__mu_mean__f__w{w}": lambda w: _agg("avg({})", "p", w, -1),
+            "eq__mu_median__f__w{w}": lambda w: _agg("quantile_cont({}, 0.5)", "p", w, -1),
+            "eq__mu_range__f__w{w}": lambda w: f"({_agg('max({})', 'p', w, -1)} + {_agg('min({})', 'p', w, -1)}) / 2",
+            "eq__mu_vwap__f__w{w}": lambda w: f"CASE WHEN {_agg('sum({})', 'traded', w, -1)} > 0 THEN ln({_agg('sum({})', 'paid', w, -1)} / {_agg('sum({})', 'traded', w, -1)}) END",
+            "eq__sigma_r__f__w{w}": lambda w: _agg("stddev_pop({})", "r", w, -1),
+            "eq__mu_trend__f__w{w}": lambda w: f"(CASE WHEN count(p) {_over(w, -1)} = {w} THEN regr_intercept(p, k) {_over(w, -1)} + k * regr_slope(p, k) {_over(w, -1)} END)",
+            "eq__trend_sresid__f__w{w}": lambda w: f"(CASE WHEN count(p) {_over(w, -1)} = {w} THEN sqrt(greatest(regr_syy(p, k) {_over(w, -1)} - pow(regr_sxy(p, k) {_over(w, -1)}, 2) / regr_sxx(p, k) {_over(w, -1)}, 0) / {w}) END)",
+            "eq__mad_p__f__w{w}": lambda w: f"(1.4826 * {_agg('mad({})', 'p', w, -1)})",
+        },
+        windows,
+    )
+    second = _each(
+        {f"eq__{n}_resid_hz__f__w{{w}}": (lambda w, k=k: _HZ(f'p - "eq__mu_{k}__f__w{w}"', w)) for k, n in (("mean", "mean"), ("vwap", "vwap"), ("range", "range_mid"))}
+        | {"eq__median_resid_madz__f__w{w}": lambda w: f'(p - "eq__mu_median__f__w{w}") / ("eq__mad_p__f__w{w}" + {_E})'}
+        | {"eq__proxy_dispersion_hz__f__w{w}": lambda w: (lambda v: f"CASE WHEN len({v}) >= 2 THEN {_HZ(f'list_stddev_pop({v})', w)} END")("list_filter([" + ", ".join(f'"eq__mu_{k}__f__w{w}"' for k in ("mean", "median", "vwap", "range", "trend")) + "], lambda v: v IS NOT NULL)")}
+        | {"eq__trend_resid_z__f__w{w}": lambda w: f'(p - "eq__mu_trend__f__w{w}") / ("eq__trend_sresid__f__w{w}" + {_E})'}
+        | {f"eq__upside_to_eq_over_phi__via_{k}__f__w{{w}}": (lambda w, k=k: f'("eq__mu_{k}__f__w{w}" - p) / (0.0025 + {_E})') for k in ("trend", "vwap")}
+        | {f"eq__barrier_vs_eq_hz__via_{k}__f__w{{w}}": (lambda w, k=k: _HZ(f'"eq__mu_{k}__f__w{w}" - (p + 0.0025)', w)) for k in ("trend", "vwap")},
+        windows,
+    )
+    return first, second
+
+
 _HZ = lambda e, w: f'({e}) / ("eq__sigma_r__f__w{w}" * sqrt(20.0) + {_E})'
-_EQ2 = _each(
-    {f"eq__{n}_resid_hz__f__w{{w}}": (lambda w, k=k: _HZ(f'p - "eq__mu_{k}__f__w{w}"', w)) for k, n in (("mean", "mean"), ("vwap", "vwap"), ("range", "range_mid"))}
-    | {"eq__median_resid_madz__f__w{w}": lambda w: f'(p - "eq__mu_median__f__w{w}") / ("eq__mad_p__f__w{w}" + {_E})'}
-    | {"eq__proxy_dispersion_hz__f__w{w}": lambda w: (lambda v: f"CASE WHEN len({v}) >= 2 THEN {_HZ(f'list_stddev_pop({v})', w)} END")("list_filter([" + ", ".join(f'"eq__mu_{k}__f__w{w}"' for k in ("mean", "median", "vwap", "range", "trend")) + "], lambda v: v IS NOT NULL)")}
-    | {"eq__trend_resid_z__f__w{w}": lambda w: f'(p - "eq__mu_trend__f__w{w}") / ("eq__trend_sresid__f__w{w}" + {_E})'}
-    | {f"eq__upside_to_eq_over_phi__via_{k}__f__w{{w}}": (lambda w, k=k: f'("eq__mu_{k}__f__w{w}" - p) / (0.0025 + {_E})') for k in ("trend", "vwap")}
-    | {f"eq__barrier_vs_eq_hz__via_{k}__f__w{{w}}": (lambda w, k=k: _HZ(f'"eq__mu_{k}__f__w{w}" - (p + 0.0025)', w)) for k in ("trend", "vwap")}
-)
-_EQ_SQL = (
-    f"WITH {_BASE}, t1 AS (SELECT *, " + ", ".join(f'{e} AS "{n}"' for n, e in _EQ1.items()) + " FROM x), t2 AS (SELECT *, " + ", ".join(f'{e} AS "{n}"' for n, e in _EQ2.items())
-    + f" FROM t1) SELECT symbol, k, {_near(_EQ1 | _EQ2, 3)} FROM t2"
-)
-query("feat_equilibrium", _EQ_SQL)(_family("equilibrium", 3))
+
+
+def _eq_pair_sql(pairs: tuple[tuple[int, int], ...]) -> dict[str, str]:
+    up = lambda x, l: f"(CASE WHEN {_HZ(x, l)} IS NOT NULL THEN greatest({_HZ(x, l)}, 0) END)"  # noqa: E731, E741
+    made = {}
+    for s, l in pairs:  # noqa: E741
+        a, b = f'"eq__mu_mean__f__w{s}"', f'"eq__mu_mean__f__w{l}"'
+        made |= {f"eq__pullback_rising_eq__f__w{s}__l{l}": f"{up(f'{a} - p', l)} * {up(f'{a} - {b}', l)}", f"eq__above_falling_eq__f__w{s}__l{l}": f"{up(f'p - {a}', l)} * {up(f'{b} - {a}', l)}"}
+    return made
+
+
+def _eq_query(name: str, windows: tuple[int, ...], pairs: tuple[tuple[int, int], ...]) -> None:
+    first, second = _eq_tiers(windows)
+    second |= _eq_pair_sql(pairs)
+    sql = (
+        f"WITH {_BASE}, t1 AS (SELECT *, " + ", ".join(f'{e} AS "{n}"' for n, e in first.items()) + " FROM x), t2 AS (SELECT *, " + ", ".join(f'{e} AS "{n}"' for n, e in second.items())
+        + f" FROM t1) SELECT symbol, k, {_near(first | second, 3)} FROM t2"
+    )
+
+    @query(name, sql)
+    def run(spark, sf_dir: str) -> DataFrame:
+        df, names = features.series_features(bar_source.hourly(spark, sf_dir), ["equilibrium"], windows, BLOCK)
+        return rounded(features.eq_pairs(df, pairs).select("symbol", "k", *names, *_eq_pair_sql(pairs)), digits=3)
+
+
+_eq_query("feat_equilibrium", WINDOWS, ((5, 10), (5, 20)))
+_eq_query("feat_equilibrium_long", LONG, (LONG,))
 
 
 # ---- bars ----------------------------------------------------------------------------------------------------------------------
@@ -303,7 +345,7 @@ _BASE_COLUMNS = ("p", "r", "rho", "r_oc", "g", "logvol", "logtrades", "logquotev
 
 @query("base_series", _select({c: c for c in _BASE_COLUMNS}, "b1"))
 def base_series(spark, sf_dir: str) -> DataFrame:
-    return rounded(bar_source.base_series(bar_source.hourly(spark, sf_dir)).select("symbol", "k", *_BASE_COLUMNS))
+    return rounded(in_blocks(bar_source.hourly(spark, sf_dir), bar_source.base_series, 2, BLOCK).select("symbol", "k", *_BASE_COLUMNS))
 
 
 @query(
@@ -321,14 +363,14 @@ def as_of(spark, sf_dir: str) -> DataFrame:
 
 _AHEAD = f"OVER ({_O} ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING)"
 _LABELS = f"""{_BARS}, ahead AS (SELECT *, max(high) {_AHEAD} AS best, list(high) {_AHEAD} AS highs, count(*) {_AHEAD} AS n FROM bars),
-l0 AS (SELECT *, CASE WHEN n = {HORIZON} AND close > 0 THEN ln(best / close) END AS m_k FROM ahead),
+l0 AS (SELECT *, CASE WHEN n = {HORIZON} AND close > 0 AND best > 0 THEN ln(best / close) END AS m_k FROM ahead),
 l AS (
   SELECT *, CASE WHEN n = {HORIZON} THEN CASE WHEN m_k >= {BARRIER} THEN 1 ELSE 0 END END AS y, CAST({BARRIER} AS DOUBLE) AS phi FROM l0),
-lab AS (SELECT *, CASE WHEN y = 1 THEN CAST(list_position(list_transform(highs, lambda h: ln(h / close) >= {BARRIER}), true) AS DOUBLE) END AS tau_k FROM l)"""
+lab AS (SELECT *, CASE WHEN y = 1 THEN CAST(list_position(list_transform(highs, lambda h: CASE WHEN h > 0 THEN ln(h / close) >= {BARRIER} ELSE false END), true) AS DOUBLE) END AS tau_k FROM l)"""
 
 
 def _labelled(spark, sf_dir: str) -> DataFrame:
-    return labels.barrier_labels(bar_source.hourly(spark, sf_dir), HORIZON, BARRIER)
+    return in_blocks(bar_source.hourly(spark, sf_dir), lambda df, rows: labels.barrier_labels(df, HORIZON, BARRIER, rows=rows), 0, BLOCK, ahead=HORIZON)
 
 
 @query("label_barrier", f"WITH {_LABELS} SELECT symbol, k, y, round(m_k, {DIGITS}) + 0.0 AS m_k, tau_k, phi FROM lab")
@@ -343,7 +385,8 @@ def label_barrier(spark, sf_dir: str) -> DataFrame:
            k - last_value(CASE WHEN hit__prev = 1 THEN k END IGNORE NULLS) OVER ({_O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hit__since FROM m""",
 )
 def past_target(spark, sf_dir: str) -> DataFrame:
-    df = labels.past_target(_labelled(spark, sf_dir), HORIZON, WINDOWS)
+    df = in_blocks(_labelled(spark, sf_dir), lambda df, rows: labels.past_target(df, HORIZON, WINDOWS, rows), HORIZON + max(WINDOWS), BLOCK)
+    df = labels.since_hit(df, BLOCK)
     return rounded(df.select("symbol", "k", "hit__prev", *[f"hit__rate__h__w{w}" for w in WINDOWS], F.col("hit__since").cast("long").alias("hit__since")))
 
 
@@ -354,7 +397,7 @@ def past_target(spark, sf_dir: str) -> DataFrame:
     SELECT symbol, k, round({_corr("mature", "a", 20)}, {DIGITS}) + 0.0 AS hit__acf1__h__w20, round({_corr("mature", "b", 20)}, {DIGITS}) + 0.0 AS hit__acf2__h__w20 FROM n""",
 )
 def target_autocorr(spark, sf_dir: str) -> DataFrame:
-    df = labels.target_autocorrelation(_labelled(spark, sf_dir), HORIZON, 20, (1, 2))
+    df = in_blocks(_labelled(spark, sf_dir), lambda df, rows: labels.target_autocorrelation(df, HORIZON, 20, (1, 2), rows), HORIZON + 22, BLOCK)
     return rounded(df.select("symbol", "k", "hit__acf1__h__w20", "hit__acf2__h__w20"))
 
 
@@ -362,7 +405,7 @@ def target_autocorr(spark, sf_dir: str) -> DataFrame:
     "block_boundary",
     f"""WITH {_BARS}, g AS (SELECT symbol, CAST(ceil(k / {HORIZON}.0) AS BIGINT) AS block, max(high) AS block_high, min(low) AS block_low, sum(volume) AS block_volume,
            arg_min(open, k) AS block_open, arg_max(close, k) AS block_close FROM bars GROUP BY 1, 2)
-    SELECT *, round(ln(block_close / block_open), {DIGITS}) + 0.0 AS block_ret, round(lag(ln(block_close / block_open)) OVER (PARTITION BY symbol ORDER BY block), {DIGITS}) + 0.0 AS block_ret_prev FROM g""",
+    SELECT *, round(CASE WHEN block_close > 0 AND block_open > 0 THEN ln(block_close / block_open) END, {DIGITS}) + 0.0 AS block_ret, round(lag(CASE WHEN block_close > 0 AND block_open > 0 THEN ln(block_close / block_open) END) OVER (PARTITION BY symbol ORDER BY block), {DIGITS}) + 0.0 AS block_ret_prev FROM g""",
 )
 def block_boundary(spark, sf_dir: str) -> DataFrame:
     return rounded(labels.block_features(bar_source.hourly(spark, sf_dir), HORIZON), ("block_high", "block_low", "block_open", "block_close"))
@@ -389,7 +432,7 @@ def w_distance(spark, sf_dir: str) -> DataFrame:
     SELECT o.symbol, o.k, round(avg(1.0 / c.n), {DIGITS}) AS u FROM own o JOIN cover c ON o.symbol = c.symbol AND c.bar BETWEEN o.k + 1 AND o.k + {HORIZON} GROUP BY 1, 2""",
 )
 def w_uniqueness(spark, sf_dir: str) -> DataFrame:
-    return rounded(labels.uniqueness(_labelled(spark, sf_dir), HORIZON))
+    return rounded(labels.uniqueness(_labelled(spark, sf_dir), HORIZON, BLOCK))
 
 
 @query(
@@ -412,7 +455,7 @@ def purged_split(spark, sf_dir: str) -> DataFrame:
     FROM j WINDOW w AS (PARTITION BY symbol, island ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 )
 def feat_event(spark, sf_dir: str) -> DataFrame:
-    df = labels.streaks(bar_source.base_series(bar_source.hourly(spark, sf_dir)), F.col("r"))
+    df = labels.streaks(in_blocks(bar_source.hourly(spark, sf_dir), bar_source.base_series, 2, BLOCK), F.col("r"), BLOCK)
     return rounded(df.select("symbol", "k", "event__run_dir__f__w0", "event__run_len__f__w0", "event__run_cumret__f__w0"))
 
 
@@ -427,11 +470,113 @@ _FLAGSHIP = ("ret__mean", "ret__std", "vol__rs", "logp__pos")
 )
 def flagship(spark, sf_dir: str) -> DataFrame:
     """Features in blocks with halos, so that a long series is many tasks, and the forward label."""
-    base = bar_source.base_series(_labelled(spark, sf_dir))
-    chosen = ["rolling", "volatility", "candle"]
     names = [f"{n}__f__w{w}" for w in WINDOWS for n in _FLAGSHIP]
-    work = lambda df, rows: features.add_features(df, chosen, WINDOWS, rows)[0].select("symbol", "k", "y", "_block", *names)
-    return rounded(in_blocks(base, work, max(WINDOWS) + 3, 200))
+    df, _ = features.series_features(_labelled(spark, sf_dir), ["rolling", "volatility", "candle"], WINDOWS, BLOCK)
+    return rounded(df.select("symbol", "k", "y", *names))
+
+
+_BARRIER_PAIRS = ((5, 20), LONG)
+_ERF = "(CASE WHEN abs({x}) < 4 THEN 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda n: pow(-1, n) * pow({x}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))) WHEN {x} > 0 THEN 1 ELSE -1 END)"
+
+
+def _cdf(x: str) -> str:
+    return f"(0.5 * (1 + {_ERF.format(x=f'(({x}) / sqrt(2))')}))"
+
+
+def _barrier_sql() -> dict[str, str]:
+    made = {}
+    for w in (20, LONG[0]):
+        vol, drift = f"v{w}", f"m{w}"
+        reach = f"({vol} * sqrt(20.0) + {_E})"
+        chance = f"{_cdf(f'({drift} * 20 - 0.0025) / {reach}')} + exp(greatest(least(2 * {drift} * 0.0025 / ({vol} * {vol} + {_E}), 50), -50)) * {_cdf(f'(-0.0025 - {drift} * 20) / {reach}')}"
+        made |= {
+            f"barrier__z_tight__f__w{w}": f"0.0025 / {reach}",
+            f"barrier__emax_ratio__f__w{w}": f"{vol} * sqrt(2 * ln(20)) / (0.0025 + {_E})",
+            f"barrier__p_hit_drifted__f__w{w}": f"CASE WHEN {drift} IS NOT NULL AND {vol} IS NOT NULL THEN greatest(least({chance}, 1), 0) END",
+        }
+    a, b = 20, LONG[0]
+    return made | {f"vol__ratio__f__ws{a}__wl{b}": f"v{a} / (v{b} + {_E})", "cost__c__h__w0": "0.001::DOUBLE", "barrier__phi__h__w0": "0.0025::DOUBLE"}
+
+
+@query(
+    "feat_barrier",
+    f"WITH {_BASE}, v AS (SELECT *, " + ", ".join(f"sqrt(greatest({_mean('rs', w)}, 0)) + 0 * {_mean('rs', w)} AS v{w}, {_mean('r', w)} AS m{w}" for w in (20, LONG[0])) + " FROM x), made AS (SELECT symbol, k, "
+    + ", ".join(f'{e} AS "{n}"' for n, e in _barrier_sql().items()) + f" FROM v) SELECT symbol, k, {_near(_barrier_sql(), 4)} FROM made",
+)
+def feat_barrier(spark, sf_dir: str) -> DataFrame:
+    a, b = 20, LONG[0]
+    df, _ = features.series_features(bar_source.hourly(spark, sf_dir), ["rolling", "volatility"], (a, b), BLOCK)
+    return rounded(features.barrier_aware(df, (a, b), pairs=((a, b),), cost=0.001).select("symbol", "k", *_barrier_sql()), digits=4)
+
+
+_BLOCK_FEATURES = {
+    "ret__inst__h__w0": "p - p0",
+    "range__inst__h__w0": "CASE WHEN h > l AND l > 0 THEN ln(h / l) END",
+    "logvol__inst__h__w0": "ln(1 + v)",
+    "ofi__inst__h__w0": "CASE WHEN v > 0 THEN 2 * b / v - 1 END",
+    "block__maxret__h__w0": "hi - p0",
+    "block__minret__h__w0": "lo - p0",
+    "block__close_to_high__h__w0": f"CASE WHEN h > l AND l > 0 AND close > 0 THEN ln(close / l) / (ln(h / l) + {_E}) END",
+    "ret__std__h__w12": f"CASE WHEN count(p - p0) {_over(12)} = 12 THEN stddev_pop(p - p0) {_over(12)} END",
+    "ret__std__h__w72": f"CASE WHEN count(p - p0) {_over(72)} = 72 THEN stddev_pop(p - p0) {_over(72)} END",
+}
+
+
+@query(
+    "feat_rolling_block",
+    f"WITH {_BASE}, w AS (SELECT * EXCLUDE (b), {_max('high', 20)} AS h, {_min('low', 20)} AS l, {_sum('volume', 20)} AS v, {_sum('taker_buy_base', 20)} AS b, {_lag('p', 20)} AS p0, {_max('p', 20)} AS hi, {_min('p', 20)} AS lo FROM x), made AS (SELECT symbol, k, "
+    + ", ".join(f'{e} AS "{n}"' for n, e in _BLOCK_FEATURES.items()) + f" FROM w) SELECT symbol, k, {_near(_BLOCK_FEATURES)} FROM made",
+)
+def feat_rolling_block(spark, sf_dir: str) -> DataFrame:
+    work = lambda df, rows: features.rolling_block(bar_source.base_series(df, rows), 20, (12, 72), rows)
+    return rounded(in_blocks(bar_source.hourly(spark, sf_dir), work, 95, BLOCK).select("symbol", "k", *_BLOCK_FEATURES))
+
+
+@query(
+    "w_training",
+    f"""WITH {_LABELS}, t AS (SELECT *, pow(0.99, greatest(floor(count(*) OVER (PARTITION BY symbol) * 0.5) - k, 0)) AS wt FROM lab),
+    d AS (SELECT *, abs(m_k - phi) AS distance FROM t WHERE m_k IS NOT NULL), s AS (SELECT y, quantile_cont(distance, 0.5) AS scale FROM d GROUP BY y),
+    w AS (SELECT symbol, k, wt * coalesce(exp(least(distance / nullif(scale, 0), ln(4.0))), 1) AS w FROM d JOIN s USING (y)) SELECT symbol, k, round(w / (SELECT avg(w) FROM w), {DIGITS}) AS w FROM w""",
+)
+def w_training(spark, sf_dir: str) -> DataFrame:
+    return rounded(labels.training_weights(_labelled(spark, sf_dir), normalize=True).select("symbol", "k", "w"))
+
+
+@query(
+    "quality_flags",
+    f"""WITH {_BARS} SELECT symbol, ts, CAST(CASE WHEN high < greatest(open, close) OR low > least(open, close) OR least(open, high, low, close) <= 0 THEN 1 ELSE 0 END AS TINYINT) AS data__bad_ohlc__f__w0,
+    CAST(CASE WHEN ts <> lag(ts) OVER (PARTITION BY symbol ORDER BY ts) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS TINYINT) AS data__gap__f__w0 FROM raw""",
+)
+def quality_flags(spark, sf_dir: str) -> DataFrame:
+    return labels.quality_flags(bar_source.to_bars(bar_source.trades(spark, sf_dir))).select("symbol", "ts", "data__bad_ohlc__f__w0", "data__gap__f__w0")
+
+
+@query(
+    "impute_flags",
+    f"""WITH {_BASE} SELECT symbol, k, CAST(CASE WHEN r IS NULL THEN 1 ELSE 0 END AS TINYINT) AS undef__r, CAST(CASE WHEN clv IS NULL THEN 1 ELSE 0 END AS TINYINT) AS undef__clv,
+    {_rnd("coalesce(r, 0)")} AS r, {_rnd("coalesce(clv, 0.5)")} AS clv, {_rnd("logvol")} AS logvol FROM b1""",
+)
+def impute_flags(spark, sf_dir: str) -> DataFrame:
+    df = in_blocks(bar_source.hourly(spark, sf_dir), bar_source.base_series, 2, BLOCK).select("symbol", "k", "r", "clv", "logvol")
+    return rounded(labels.impute(df, {"r": 0.0, "clv": 0.5, "logvol": 0.0}))
+
+
+@query(
+    "kline_bars",
+    """WITH e AS (SELECT event_type AS symbol, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS open_time, ts, value, event_id FROM events),
+    b AS (SELECT symbol, open_time, ts, event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END AS close, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS done FROM e),
+    m AS (SELECT *, row_number() OVER (PARTITION BY symbol, open_time ORDER BY epoch_ms(done) DESC, event_id DESC) AS n FROM b WHERE done IS NOT NULL)
+    SELECT symbol, open_time, make_timestamp(epoch_ms(done) * 1000) AS ts, close, CAST(event_id AS DOUBLE) AS volume FROM m WHERE n = 1""",
+)
+def kline_bars(spark, sf_dir: str) -> DataFrame:
+    """Exchange rows made of events, some without a close time and some with a price that is no number, as typed bars."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = lambda x: x.cast("string")
+    price = F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(text(F.col("value")))
+    opened, closed = F.date_trunc("hour", "ts"), F.when(F.col("event_id") % 11 != 0, F.col("ts"))
+    ms = lambda x: text(F.unix_millis(x.cast("timestamp")))
+    rows = e.select(F.col("event_type").alias("symbol"), F.array(ms(opened), price, price, price, price, text(F.col("event_id")), ms(closed), price, F.lit("1"), F.lit("0"), F.lit("0"), F.lit("0")).alias("kline"))
+    return bar_source.kline_rows(rows).select("symbol", "open_time", "ts", "close", "volume")
 
 
 # ---- scores --------------------------------------------------------------------------------------------------------------------
@@ -545,5 +690,3 @@ _score_query(
     SELECT doc_id, {_r("mean_p")} AS mean_p, {_r("data")} AS data, {_r("total")} AS total, {_r("greatest(total - data, 0)")} AS knowledge FROM t""",
     lambda s: scores.uncertainty(s.select("doc_id", F.array(F.col("p") * 0.5, F.col("p"), F.col("p") * 0.9).alias("ps"))).select("doc_id", "mean_p", "data", "total", "knowledge"),
 )
-# resampled: rows only
-query("boot_auc")(lambda spark, sf_dir: scores.bootstrap_auc(scores.from_documents(spark, sf_dir)))

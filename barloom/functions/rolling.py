@@ -1,20 +1,47 @@
 """Window functions over ordered rows: strict frames of w rows, null unless all of them are there.
 
-A frame function is O(w) a row in Spark, so each has two forms: a frame for w up to DIRECT, and beyond it running sums or doubling.
-Long series are cut into blocks of rows with a halo first (plans.blocks), which also keeps running sums short and exact enough.
+A frame function is O(w) a row in Spark, so each has two forms. Up to `direct` rows it is a frame. A longer window reads helper columns that
+add_long() makes once for a series, whatever the number of windows: running totals (of the values less the block's first, so that no digits are lost),
+whose difference over w rows is a sum, mean, deviation, correlation or straight line; and extremes over 2, 4, 8, .. rows, two of which cover a window.
+Only order statistics of long windows (quantile, median distance, rank) have no such form; they are numpy over Arrow, a block at a time.
+Long series are cut into blocks of rows with a halo first (plans.blocks), which also keeps running totals short.
+
+Series of long windows are named by their columns.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, Window, WindowSpec
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from barloom.plans.shipping import ship
 
 EPS = 1e-10
 #: Longest window that is computed as a frame of its own.
 DIRECT = 64
+#: Share of a mean square below which a variance is rounding noise.
+_NOISE = 1e-12
+#: Values that a task holds as windows at once.
+_VALUES = 1 << 22
+
+Series = str | Column
+
+
+def _col(x: Series) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _name(x: Series) -> str:
+    if not isinstance(x, str):
+        raise TypeError("a long window needs the name of a column")
+    return x
 
 
 @dataclass(frozen=True)
@@ -24,6 +51,8 @@ class Rows:
     keys: tuple[str, ...] = ("symbol",)
     order: str = "k"
     direct: int = DIRECT
+    #: Helper columns that long windows have asked for, which add_long() makes.
+    asked: set[tuple] = field(default_factory=set, compare=False, repr=False)
 
     @property
     def spec(self) -> WindowSpec:
@@ -36,69 +65,225 @@ class Rows:
     def so_far(self) -> WindowSpec:
         return self.spec.rowsBetween(Window.unboundedPreceding, 0)
 
-    def lag(self, x: Column, n: int = 1) -> Column:
-        return F.lag(x, n).over(self.spec) if n else x
+    def lag(self, x: Series, n: int = 1) -> Column:
+        return F.lag(x, n).over(self.spec) if n else _col(x)
 
-    def full(self, x: Column, w: int, value: Column) -> Column:
+    def _asks(self, *what) -> Column:
+        self.asked.add(what)
+        return F.col("_long_" + "_".join(map(str, what)).replace(".", "p"))
+
+    def _over(self, w: int, *what) -> Column:
+        """The difference of a running total over w rows."""
+        total = self._asks(*what)
+        return total - F.coalesce(F.lag(total, w).over(self.spec), F.lit(0.0))
+
+    def full(self, x: Series, w: int, value: Column) -> Column:
         """value where all w rows of x are there."""
         if w <= self.direct:
-            return F.when(F.count(x).over(self.frame(w)) == w, value)
-        return F.when(self._running(F.when(x.isNotNull(), 1).otherwise(0), w) == w, value)
+            return F.when(F.count(_col(x)).over(self.frame(w)) == w, value)
+        return F.when(self._over(w, "n", _name(x)) == w, value)
 
-    def _running(self, x: Column, w: int) -> Column:
-        total = F.sum(F.coalesce(x, F.lit(0))).over(self.so_far)
-        # the total of w rows ago is that of all rows before less those rows
-        return total - F.coalesce(F.sum(F.coalesce(x, F.lit(0))).over(self.spec.rowsBetween(Window.unboundedPreceding, -w)), F.lit(0))
+    def sum(self, x: Series, w: int) -> Column:
+        if w <= self.direct:
+            return self.full(x, w, F.sum(_col(x)).over(self.frame(w)))
+        return self.full(x, w, self._over(w, "t", _name(x)))
 
-    def sum(self, x: Column, w: int) -> Column:
-        return self.full(x, w, F.sum(x).over(self.frame(w)) if w <= self.direct else self._running(x, w))
+    def mean(self, x: Series, w: int) -> Column:
+        if w <= self.direct:
+            return self.full(x, w, F.avg(_col(x)).over(self.frame(w)))
+        return self.sum(x, w) / w
 
-    def mean(self, x: Column, w: int) -> Column:
-        return self.full(x, w, F.avg(x).over(self.frame(w)) if w <= self.direct else self._running(x, w) / w)
+    def _variance(self, x: str, w: int) -> Column:
+        mean, square = self._over(w, "c", x) / w, self._over(w, "cc", x, x) / w
+        spread = square - mean * mean
+        return F.when(spread > _NOISE * square, spread).otherwise(F.when(spread.isNotNull(), 0.0))
 
-    def std(self, x: Column, w: int) -> Column:
+    def std(self, x: Series, w: int) -> Column:
         """Population standard deviation."""
         if w <= self.direct:
-            return self.full(x, w, F.stddev_pop(x).over(self.frame(w)))
-        # centred by the block's first value, which is the same for every row of it
-        c = x - F.first(x, ignorenulls=True).over(self.spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        mean, square = self._running(c, w) / w, self._running(c * c, w) / w
-        return self.full(x, w, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))))
-
-    def min(self, x: Column, w: int) -> Column:
-        return self.full(x, w, F.min(x).over(self.frame(w)))
+            return self.full(x, w, F.stddev_pop(_col(x)).over(self.frame(w)))
+        return self.full(x, w, F.sqrt(self._variance(_name(x), w)))
 
-    def max(self, x: Column, w: int) -> Column:
-        return self.full(x, w, F.max(x).over(self.frame(w)))
+    def min(self, x: Series, w: int) -> Column:
+        return self.full(x, w, F.min(_col(x)).over(self.frame(w)) if w <= self.direct else self._asks("min", _name(x), w))
 
-    def quantile(self, x: Column, w: int, q: float) -> Column:
-        """Linear interpolation between order statistics."""
-        return self.full(x, w, F.percentile(x, q).over(self.frame(w)))
+    def max(self, x: Series, w: int) -> Column:
+        return self.full(x, w, F.max(_col(x)).over(self.frame(w)) if w <= self.direct else self._asks("max", _name(x), w))
 
-    def mad(self, x: Column, w: int) -> Column:
-        """Median distance from the median."""
-        values = F.collect_list(x).over(self.frame(w))
+    def quantile(self, x: Series, w: int, q: float, every: int = 1) -> Column:
+        """Linear interpolation between order statistics, on every so many rows."""
+        if w <= self.direct:
+            return self._some(self.full(x, w, F.percentile(_col(x), q).over(self.frame(w))), every)
+        return self._asks("quantile", _name(x), w, every, q)
+
+    def mad(self, x: Series, w: int, every: int = 1) -> Column:
+        """Median distance from the median, on every so many rows."""
+        if w > self.direct:
+            return self._asks("mad", _name(x), w, every)
+        values = F.collect_list(_col(x)).over(self.frame(w))
         middle = median(F.array_sort(values))
-        return self.full(x, w, median(F.array_sort(F.transform(values, lambda v: F.abs(v - middle)))))
+        return self._some(self.full(x, w, median(F.array_sort(F.transform(values, lambda v: F.abs(v - middle))))), every)
 
-    def corr(self, x: Column, y: Column, w: int) -> Column:
-        """Pearson correlation; null where either side has no variance."""
-        both = F.when(x.isNotNull() & y.isNotNull(), 1)
-        over = lambda c: F.avg(c).over(self.frame(w))
-        vx, vy = over(x * x) - over(x) * over(x), over(y * y) - over(y) * over(y)
-        return self.full(both, w, F.when((vx > 0) & (vy > 0), (over(x * y) - over(x) * over(y)) / F.sqrt(vx * vy)))
+    def rank(self, x: Series, w: int) -> Column:
+        """Share of the window's values that are at most the current one."""
+        if w > self.direct:
+            return self._asks("rank", _name(x), w, 1)
+        return self.full(x, w, F.size(F.filter(F.collect_list(_col(x)).over(self.frame(w)), lambda v: v <= _col(x))) / w)
 
-    def z(self, x: Column, w: int) -> Column:
-        std = self.std(x, w)
-        return F.when(std > 0, (x - self.mean(x, w)) / std)
+    def _some(self, value: Column, every: int) -> Column:
+        return value if every == 1 else F.when(F.col(self.order) % every == 0, value)
 
-    def rank(self, x: Column, w: int) -> Column:
-        """Share of the window's values that are at most the current one."""
-        return self.full(x, w, F.size(F.filter(F.collect_list(x).over(self.frame(w)), lambda v: v <= x)) / w)
+    def corr(self, x: Series, y: Series, w: int) -> Column:
+        """Pearson correlation; null where either side has no variance."""
+        both = F.when(_col(x).isNotNull() & _col(y).isNotNull(), 1)
+        if w <= self.direct:
+            over = lambda c: F.avg(c).over(self.frame(w))
+            x, y = _col(x), _col(y)
+            vx, vy = over(x * x) - over(x) * over(x), over(y * y) - over(y) * over(y)
+            return self.full(both, w, F.when((vx > 0) & (vy > 0), (over(x * y) - over(x) * over(y)) / F.sqrt(vx * vy)))
+        x, y = _name(x), _name(y)
+        vx, vy = self._variance(x, w), self._variance(y, w)
+        together = self._over(w, "cc", x, y) / w - self._over(w, "c", x) / w * self._over(w, "c", y) / w
+        there = (self._over(w, "n", x) == w) & (self._over(w, "n", y) == w)
+        return F.when(there & (vx > 0) & (vy > 0), together / F.sqrt(vx * vy))
+
+    def line(self, x: Series, w: int) -> tuple[Column, Column, Column]:
+        """Mean of w rows, slope a row and residual deviation of a straight line through them."""
+        # rows are evenly spaced, so the variance of their numbers is fixed
+        var_k = (w * w - 1) / 12
+        if w <= self.direct:
+            # the covariance is summed from deviations, which is exact for a flat window
+            over, x = self.frame(w), _col(x)
+            mean, spread, slope = F.avg(x).over(over), F.var_pop(x).over(over), F.covar_pop(F.col(self.order), x).over(over) / var_k
+        else:
+            x = _name(x)
+            c, spread = self._over(w, "c", x) / w, self._variance(x, w)
+            mean = self.mean(x, w)
+            # numbers are counted back from the window's middle
+            middle = self._asks("u") - (w - 1) / 2
+            slope = F.when(spread > 0, (self._over(w, "uc", x) / w - middle * c) / var_k).otherwise(0.0)
+        return tuple(self.full(x, w, v) for v in (mean, slope, F.sqrt(F.greatest(spread - slope * slope * var_k, F.lit(0.0)))))
+
+    def parabola(self, x: Series, w: int) -> tuple[Column, Column]:
+        """Coefficients of the line and the square of a quadratic through w rows, counted from their middle; 0 for a flat window."""
+        u = [j - (w - 1) / 2 for j in range(w)]
+        u2, u4 = sum(v * v for v in u), sum(v**4 for v in u)
+        if w <= self.direct:
+            # the weights sum to zero, so the window's first value can go first
+            seen = F.collect_list(_col(x)).over(self.frame(w))
+            values = F.transform(seen, lambda v: v - F.get(seen, F.lit(0)))
+            dot = lambda weights: F.aggregate(F.zip_with(values, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+            made = dot([v / u2 for v in u]), dot([(v * v - u2 / w) / (u4 - u2 * u2 / w) for v in u])
+        else:
+            x = _name(x)
+            m = self._asks("u") - (w - 1) / 2
+            s0, s1, s2 = self._over(w, "c", x), self._over(w, "uc", x), self._over(w, "uuc", x)
+            flat = self._variance(x, w) == 0
+            made = tuple(F.when(flat, 0.0).otherwise(v) for v in ((s1 - m * s0) / u2, (s2 - 2 * m * s1 + m * m * s0 - u2 / w * s0) / (u4 - u2 * u2 / w)))
+        return tuple(self.full(x, w, v) for v in made)
+
+    def z(self, x: Series, w: int) -> Column:
+        std = self.std(x, w)
+        return F.when(std > 0, (_col(x) - self.mean(x, w)) / std)
 
     def last_known(self, x: Column) -> Column:
         return F.last(x, ignorenulls=True).over(self.so_far)
 
+    def add_long(self, df: DataFrame) -> DataFrame:
+        """df with the helper columns that long windows have asked for; drop_long() removes them."""
+        if not self.asked:
+            return df
+        asked = sorted(self.asked - {("u",)}, key=str)
+        self.asked.clear()
+        kinds = {k: sorted({a[1:] for a in asked if a[0] == k}, key=str) for k in ("n", "t", "c", "cc", "uc", "uuc", "min", "max")}
+        name = lambda *what: "_long_" + "_".join(map(str, what)).replace(".", "p")
+        new = lambda made: df.withColumns({c: x for c, x in made.items() if c not in df.columns}) if made else df
+        centred = sorted({x for k in ("c", "cc", "uc", "uuc") for a in kinds[k] for x in a})
+        whole = self.spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        if centred:
+            df = new({name("v", x): F.coalesce(F.col(x) - F.first(x, ignorenulls=True).over(whole), F.lit(0.0)) for x in centred} | {name("u"): (F.col(self.order) - F.first(self.order).over(self.spec)).cast("double")})
+        v, u, total = lambda x: F.col(name("v", x)), F.col(name("u")), lambda x: F.sum(x).over(self.so_far)
+        df = new(
+            {name("n", x): F.count(x).over(self.so_far).cast("double") for (x,) in kinds["n"]}
+            | {name("t", x): total(F.coalesce(F.col(x), F.lit(0)).cast("double")) for (x,) in kinds["t"]}
+            | {name("c", x): total(v(x)) for (x,) in kinds["c"]}
+            | {name("cc", x, y): total(v(x) * v(y)) for x, y in kinds["cc"]}
+            | {name("uc", x): total(u * v(x)) for (x,) in kinds["uc"]}
+            | {name("uuc", x): total(u * u * v(x)) for (x,) in kinds["uuc"]}
+        )
+        # extremes over runs of size rows, doubled
+        best = {"min": F.least, "max": F.greatest}
+        longest = {}
+        for k in best:
+            for x, w in kinds[k]:
+                longest[k, x] = max(w, longest.get((k, x), 0))
+        size = 1 << (max(1, min(self.direct, 16)).bit_length() - 1)
+        df = new({name("run", k, x, size): getattr(F, k)(x).over(self.frame(size)) for k, x in longest})
+        while any(2 * size <= w for w in longest.values()):
+            run = lambda k, x: F.col(name("run", k, x, size))
+            df = new({name("run", k, x, 2 * size): best[k](run(k, x), F.lag(run(k, x), size).over(self.spec)) for (k, x), w in longest.items() if 2 * size <= w})
+            size *= 2
+        made = {}
+        for k in best:
+            for x, w in kinds[k]:
+                part = 1 << (w.bit_length() - 1)
+                run = F.col(name("run", k, x, part))
+                made[name(k, x, w)] = best[k](run, F.lag(run, w - part).over(self.spec)) if w > part else run
+        df = new(made)
+        ordered = [(name(*a), *a) for a in asked if a[0] in ("quantile", "mad", "rank") and name(*a) not in df.columns]
+        return _order_statistics(df, self, ordered) if ordered else df
+
+
+def drop_long(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_long_")])
+
+
+def with_windows(df: DataFrame, rows: Rows, columns: dict[str, Column]) -> DataFrame:
+    """df.withColumns(columns), where columns were made by rows and may hold long windows."""
+    return drop_long(rows.add_long(df).withColumns(columns))
+
+
+def _windows(x: np.ndarray, at: np.ndarray, w: int):
+    """The windows of w rows that end at some rows, a bounded number of values at a time."""
+    every = np.lib.stride_tricks.sliding_window_view(x, w)
+    step = max(1, _VALUES // w)
+    for a in range(0, len(at), step):
+        yield at[a : a + step], every[at[a : a + step] - w + 1]
+
+
+def order_statistic(x: np.ndarray, k: np.ndarray, kind: str, w: int, every: int, *more) -> np.ndarray:
+    """Quantile, median distance from the median or rank over w rows that end at rows whose k is divisible; NaN elsewhere and where a value is missing."""
+    out = np.full(len(x), np.nan)
+    missing = np.cumsum(np.concatenate([[0], np.isnan(x)]))
+    ends = np.arange(w - 1, len(x))
+    ends = ends[(k[ends] % every == 0) & (missing[ends + 1] == missing[ends + 1 - w])]
+    if len(ends):
+        for at, values in _windows(x, ends, w):
+            if kind == "quantile":
+                out[at] = np.quantile(values, more[0], axis=1)
+            elif kind == "rank":
+                out[at] = (values <= values[:, -1:]).sum(1) / w
+            else:
+                out[at] = np.median(np.abs(values - np.median(values, axis=1)[:, None]), axis=1)
+    return out
+
+
+def _order_statistics(df: DataFrame, rows: Rows, asked: Iterable[tuple]) -> DataFrame:
+    ship(df.sparkSession)
+    asked, order = list(asked), rows.order
+    schema = StructType([*df.schema.fields, *[StructField(a[0], DoubleType()) for a in asked]])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        k = table.column(order).to_numpy()
+        for column, kind, x, *more in asked:
+            values = table.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64)
+            made = order_statistic(values, k, kind, *more)
+            table = table.append_column(column, pa.array(made, from_pandas=True))
+        return table
+
+    return df.groupBy(*rows.keys).applyInArrow(run, schema)
+
 
 def median(ordered: Column) -> Column:
     """Median of a sorted array."""
@@ -115,19 +300,43 @@ def root(x: Column) -> Column:
     return F.sqrt(clip0(x))
 
 
-def tanh(x: Column) -> Column:
-    return F.tanh(x)
+def safe_log_ratio(num: Series, den: Series, when: Column | None = None) -> Column:
+    """ln(num / den) where both are above zero (and when holds), else null."""
+    num, den = _col(num), _col(den)
+    sound = (num > 0) & (den > 0)
+    return F.when(sound if when is None else sound & when, F.ln(num / den))
+
+
+def norm_cdf(x: Column) -> Column:
+    """Distribution function of the standard normal, through an error function good to 1e-15.
+
+    Below 3 the series of erf with positive terms, exp(-x^2) * sum of 2^n x^(2n+1) / (2n+1)!!; beyond it the continued fraction of erfc.
+    """
+    a = F.abs(x) / math.sqrt(2)
+    # the sum from its last term inwards: 1 + 2 a^2 / 3 * (1 + 2 a^2 / 5 * (..))
+    series = F.lit(1.0)
+    for n in range(60, 0, -1):
+        series = 1 + 2 * a * a / (2 * n + 1) * series
+    inner = 2 / math.sqrt(math.pi) * a * F.exp(-a * a) * series
+    # erfc(a) = exp(-a^2) / sqrt(pi) / (a + 1/2 / (a + 1 / (a + 3/2 / (a + ..))))
+    tail = a
+    for n in range(40, 0, -1):
+        tail = a + (n / 2) / tail
+    outer = 1 - F.exp(-a * a) / math.sqrt(math.pi) / tail
+    erf = F.when(a < 2.5, inner).otherwise(outer)
+    return F.when(x.isNotNull(), 0.5 * (1 + F.signum(x) * erf))
 
 
 def rogers_satchell() -> Column:
-    o, h, low, c = (F.ln(x) for x in ("open", "high", "low", "close"))
-    return (h - c) * (h - o) + (low - c) * (low - o)
+    ratio = lambda a, b: safe_log_ratio(a, b)
+    return ratio("high", "close") * ratio("high", "open") + ratio("low", "close") * ratio("low", "open")
 
 
 def parkinson() -> Column:
-    return F.when(F.col("high") > F.col("low"), F.pow(F.ln(F.col("high") / F.col("low")), 2) / (4 * math.log(2)))
+    high_low = safe_log_ratio("high", "low", F.col("high") > F.col("low"))
+    return high_low * high_low / (4 * math.log(2))
 
 
 def garman_klass() -> Column:
-    high_low, close_open = F.ln(F.col("high") / F.col("low")), F.ln(F.col("close") / F.col("open"))
-    return F.when(F.col("high") > F.col("low"), 0.5 * high_low * high_low - (2 * math.log(2) - 1) * close_open * close_open)
+    high_low, close_open = safe_log_ratio("high", "low", F.col("high") > F.col("low")), safe_log_ratio("close", "open")
+    return 0.5 * high_low * high_low - (2 * math.log(2) - 1) * close_open * close_open

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import EPS, Rows, clip0, root
+from barloom.functions.rolling import EPS, Rows, root, with_windows
 
 #: A carried value that has decayed to this share is nothing beside double precision's reach two chunks on.
 _FADED = 1e-12
@@ -69,10 +69,13 @@ def permutation_entropy(df: DataFrame, name: str, x: Column, w: int, rows: Rows
     # of equal values the earlier one counts as smaller
     code = F.when(a.isNotNull() & b.isNotNull() & x.isNotNull(), F.when(a > b, 4).otherwise(0) + F.when(b > x, 2).otherwise(0) + F.when(a > x, 1).otherwise(0))
     df = df.withColumn("_code", code)
-    frame = rows.frame(w - 2)
-    share = [F.count_if(F.col("_code") == c).over(frame) / (w - 2) for c in range(8)]
-    entropy = sum((F.when(s > 0, -s * F.ln(s)).otherwise(0.0) for s in share), F.lit(0.0)) / math.log(6)
-    return df.withColumn(name, F.when(F.count("_code").over(frame) == w - 2, entropy)).drop("_code")
+    # patterns 2 and 5 contradict themselves and never occur
+    seen = [c for c in range(8) if c not in (2, 5)]
+    df = df.withColumns({f"_code{c}": F.when(F.col("_code").isNotNull(), F.when(F.col("_code") == c, 1.0).otherwise(0.0)) for c in seen})
+    df = with_windows(df, rows, {f"_share{c}": rows.mean(f"_code{c}", w - 2) for c in seen})
+    part = lambda s: F.when(s > 1e-9, -s * F.ln(s)).otherwise(F.when(s.isNotNull(), 0.0))
+    entropy = sum((part(F.col(f"_share{c}")) for c in seen), F.lit(0.0)) / math.log(6)
+    return df.withColumn(name, entropy).drop("_code", *[f"_{n}{c}" for c in seen for n in ("code", "share")])
 
 
 def drawups(df: DataFrame, up: str, down: str, x: Column, w: int, rows: Rows | None = None) -> DataFrame:
@@ -106,7 +109,8 @@ def pivots(df: DataFrame, q: int, w: int, horizon: int, rows: Rows | None = None
     """Distance to, and age of, the last swing low and high that q rows on either side confirm; none within w rows: no distance, age w."""
     rows = rows or Rows()
     around = rows.spec.rowsBetween(-q, q)
-    scale = root(rows.mean(F.col("rs"), w)) * math.sqrt(horizon) + EPS
+    df = with_windows(df, rows, {"_scale": root(rows.mean("rs", w)) * math.sqrt(horizon) + EPS})
+    scale = F.col("_scale")
     for side, x, best, sign in (("low", F.col("ln_low"), F.min, 1), ("high", F.col("ln_high"), F.max, -1)):
         is_pivot = (F.count(x).over(around) == 2 * q + 1) & (x == best(x).over(around))
         df = df.withColumn("_pivot", F.when(is_pivot, F.struct(F.col(rows.order).alias("k"), x.alias("x"))))
@@ -118,34 +122,37 @@ def pivots(df: DataFrame, q: int, w: int, horizon: int, rows: Rows | None = None
                 f"pivot__last_{side}_age__f__w{w}__q{q}": F.when(age <= w, age.cast("double")).otherwise(float(w)),
             }
         ).drop("_pivot", "_confirmed", "_last")
-    return df
+    return df.drop("_scale")
 
 
-def quadratic_trend(df: DataFrame, w: int, rows: Rows | None = None) -> DataFrame:
-    """Slope and curvature of a quadratic through w rows of p, in units of the window's volatility."""
+def drawups_at(df: DataFrame, up: str, down: str, x: Column, w: int, every: int, rows: Rows | None = None) -> DataFrame:
+    """drawups() on rows whose number is divisible by every, null on the others."""
     rows = rows or Rows()
-    u = [j - (w - 1) / 2 for j in range(w)]
-    u2, u4 = sum(v * v for v in u), sum(v**4 for v in u)
-    # the weights sum to zero, so the window's first value can go first: flat windows then give exactly zero
-    seen = F.collect_list("p").over(rows.frame(w))
-    values = F.transform(seen, lambda v: v - F.get(seen, F.lit(0)))
-    dot = lambda weights: F.aggregate(F.zip_with(values, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    # the curvature's weights, from the normal equations of a centred design
-    curve = [(v * v - u2 / w) / (u4 - u2 * u2 / w) for v in u]
-    scale = root(rows.mean(F.col("rs"), w)) * math.sqrt(w) + EPS
-    full = lambda x: rows.full(F.col("p"), w, x)
-    return df.withColumns({f"trend__quad_slope_z__f__w{w}": full(dot([v / u2 for v in u])) * w / scale, f"trend__quad_curv_z__f__w{w}": full(dot(curve)) * w * w / scale})
-
-
-def oi_regimes(df: DataFrame, w: int, rows: Rows | None = None) -> DataFrame:
-    """Price and open interest up or down together or apart, each as a product of two saturated moves."""
+    df = drawups(df, up, down, x, w, rows)
+    here = F.col(rows.order) % every == 0
+    return df.withColumns({c: F.when(here, F.col(c)) for c in (up, down)})
+
+
+def equilibrium_ewm(df: DataFrame, half_life: int, horizon: int, rows: Rows | None = None) -> DataFrame:
+    """df with the recursive means of price and squared return up to the row before, and the price's distance from the one in units of the other."""
+    rows = rows or Rows()
+    df = ewm(df, "_price", F.col("p"), half_life=half_life, rows=rows)
+    df = ewm(df, "_square", F.coalesce(F.col("r") * F.col("r"), F.lit(0.0)), half_life=half_life, rows=rows)
+    mu, sigma = f"eq__mu_ewm__f__h{half_life}", f"eq__sigma_r_ewm__f__h{half_life}"
+    df = df.withColumns({mu: rows.lag("_price"), sigma: F.sqrt(rows.lag("_square"))}).drop("_price", "_square")
+    return df.withColumn(f"eq__ewm_innov_hz__f__h{half_life}", (F.col("p") - F.col(mu)) / (F.col(sigma) * math.sqrt(horizon) + EPS))
+
+
+def ema_spread(df: DataFrame, fast: int, slow: int, rows: Rows | None = None) -> DataFrame:
+    """df with the difference of two recursive means of the log price."""
     rows = rows or Rows()
-    oi = F.col("oi_usd")
-    df = df.withColumn("_d_oi", oi - rows.lag(oi))
-    move = F.tanh((F.col("p") - rows.lag(F.col("p"), w)) / (rows.std(F.col("r"), w) * math.sqrt(w) + EPS))
-    open_ = F.tanh((oi - rows.lag(oi, w)) / (rows.std(F.col("_d_oi"), w) * math.sqrt(w) + EPS))
-    made = {"long_build": (move, open_), "short_build": (-move, open_), "short_cover": (move, -open_), "long_liq": (-move, -open_)}
-    return df.withColumns({f"oi__{n}__f__w{w}": clip0(a) * clip0(b) for n, (a, b) in made.items()}).drop("_d_oi")
+    df = ewm(ewm(df, "_fast", F.col("p"), span=fast, rows=rows), "_slow", F.col("p"), span=slow, rows=rows)
+    return df.withColumn(f"logp__ema_spread__f__w0__fast{fast}__slow{slow}", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+
+
+def funding_ewm(df: DataFrame, span: int, rows: Rows | None = None) -> DataFrame:
+    """df with the recursive mean of the funding rate in per cent."""
+    return ewm(df, f"funding__ewma__f__w{span}", F.col("funding_rate") * 100, span=span, rows=rows)
 
 
 def derivatives_base(df: DataFrame) -> DataFrame:
@@ -159,9 +166,3 @@ def derivatives_base(df: DataFrame) -> DataFrame:
             "net_vol_fut": 2 * F.col("taker_buy_base_fut") - F.col("volume_fut"),
         }
     )
-
-
-def funding_phase(ts: Column) -> Column:
-    """Share of the eight hours to the next settlement (00, 08, 16 h) that is left."""
-    minute = F.hour(ts) * 60 + F.minute(ts)
-    return (480 - minute % 480) / 480

@@ -1,6 +1,7 @@
 """Forward barrier labels, label memory, sample weights and purged splits.
 
-Everything is a window over (symbol, k), or an aggregate and an equi-join: no positional joins and no pairwise overlaps.
+Everything is a window over rows (symbol, k), or an aggregate and an equi-join: no positional joins and no pairwise overlaps. Rows are those of a grid, numbered by k without
+gaps. Functions that take rows work in blocks (plans.blocks) as well as over whole series; those that look back without end take two levels.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import Rows
+from barloom.functions.rolling import Rows, safe_log_ratio, with_windows
+from barloom.plans.blocks import BLOCK_ROWS, carry, in_blocks, previous, running
 
 
 def barrier_labels(bars: DataFrame, horizon: int, barrier: float, price: str = "high", rows: Rows | None = None) -> DataFrame:
@@ -23,20 +25,25 @@ def barrier_labels(bars: DataFrame, horizon: int, barrier: float, price: str = "
     values = F.collect_list(price).over(ahead)
     complete = F.count(price).over(ahead) == horizon
     mature = F.count(F.lit(1)).over(ahead) == horizon
-    best = F.when(mature & complete & (F.col("close") > 0), F.ln(F.max(price).over(ahead) / F.col("close")))
+    best = F.when(mature & complete, safe_log_ratio(F.max(price).over(ahead), "close"))
     df = bars.withColumn("m_k", best).withColumn("_ahead", F.when(mature & complete, values)).withColumn("_mature", mature)
     y = F.when(F.col("_mature"), F.when(F.col("m_k") >= barrier, 1).otherwise(0))
-    hit = F.array_position(F.transform("_ahead", lambda v: F.ln(v / F.col("close")) >= barrier), True)
+    hit = F.array_position(F.transform("_ahead", lambda v: F.coalesce(safe_log_ratio(v, "close") >= barrier, F.lit(False))), True)
     return df.withColumn("y", y).withColumn("tau_k", F.when((F.col("y") == 1) & (hit > 0), hit.cast("double"))).withColumn("phi", F.lit(float(barrier))).drop("_ahead", "_mature")
 
 
 def past_target(labelled: DataFrame, horizon: int, windows: tuple[int, ...], rows: Rows | None = None) -> DataFrame:
-    """Memory of mature labels: the last one, hit rates over windows (of what is there) and rows since the last hit."""
+    """Memory of mature labels: the last one, and hit rates over windows (of what is there)."""
     rows = rows or Rows()
     df = labelled.withColumn("hit__prev", rows.lag(F.col("y"), horizon).cast("double"))
     rates = {f"hit__rate__h__w{w}": F.avg("hit__prev").over(rows.frame(w)) for w in windows}
-    since = F.col(rows.order) - rows.last_known(F.when(F.col("hit__prev") == 1, F.col(rows.order)))
-    return df.withColumns(rates | {"hit__since": since})
+    return df.withColumns(rates)
+
+
+def since_hit(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """df (from past_target) with hit__since, the rows since the last mature hit."""
+    df = carry(df, "_hit", F.when(F.col("hit__prev") == 1, F.col("k")), "symbol", F.floor(F.col("k") / block_rows), "k")
+    return df.withColumn("hit__since", F.col("k") - F.col("_hit")).drop("_hit")
 
 
 def target_autocorrelation(labelled: DataFrame, horizon: int, w: int, lags: tuple[int, ...], rows: Rows | None = None) -> DataFrame:
@@ -44,7 +51,7 @@ def target_autocorrelation(labelled: DataFrame, horizon: int, w: int, lags: tupl
     rows = rows or Rows()
     df = labelled.withColumn("_mature", rows.lag(F.col("y"), horizon).cast("double"))
     df = df.withColumns({f"_lag{n}": rows.lag(F.col("_mature"), n) for n in lags})
-    return df.withColumns({f"hit__acf{n}__h__w{w}": rows.corr(F.col("_mature"), F.col(f"_lag{n}"), w) if w > n + 1 else F.lit(None).cast("double") for n in lags}).drop("_mature", *[f"_lag{n}" for n in lags])
+    return with_windows(df, rows, {f"hit__acf{n}__h__w{w}": rows.corr("_mature", f"_lag{n}", w) if w > n + 1 else F.lit(None).cast("double") for n in lags}).drop("_mature", *[f"_lag{n}" for n in lags])
 
 
 def block_features(bars: DataFrame, size: int) -> DataFrame:
@@ -54,7 +61,7 @@ def block_features(bars: DataFrame, size: int) -> DataFrame:
         F.max("high").alias("block_high"), F.min("low").alias("block_low"), F.sum("volume").alias("block_volume"), F.min_by("open", "k").alias("block_open"), F.max_by("close", "k").alias("block_close")
     )
     order = Window.partitionBy("symbol").orderBy("block")
-    ret = F.ln(F.col("block_close") / F.col("block_open"))
+    ret = safe_log_ratio("block_close", "block_open")
     return per.withColumn("block_ret", ret).withColumn("block_ret_prev", F.lag(ret).over(order))
 
 
@@ -81,28 +88,39 @@ def distance_weights(labelled: DataFrame, strength: float = 1.0, cap: float = 4.
     return rows.join(F.broadcast(scale), "y").withColumn("w_distance", F.coalesce(weight, F.lit(1.0))).drop("scale")
 
 
+def _ranked(df: DataFrame) -> DataFrame:
+    """df with _rank, the row's number within its symbol, and _n, the symbol's rows."""
+    ends = df.groupBy(F.col("symbol").alias("_symbol")).agg(F.min("k").alias("_low"), F.count("*").alias("_n"))
+    return df.join(ends, F.col("symbol") == F.col("_symbol")).withColumn("_rank", F.col("k") - F.col("_low")).drop("_symbol", "_low")
+
+
 def time_weights(labelled: DataFrame, oldest: float = 0.5, decay: float = 0.99) -> DataFrame:
     """w_time: geometric decay over the oldest part of each symbol's rows, the older the less; 1 for the others."""
-    order = Window.partitionBy("symbol").orderBy("k")
-    rank, n = F.row_number().over(order) - 1, F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    return labelled.withColumn("w_time", F.pow(F.lit(decay), F.greatest(F.floor(n * oldest) - rank, F.lit(0)).cast("double")))
+    df = _ranked(labelled)
+    return df.withColumn("w_time", F.pow(F.lit(decay), F.greatest(F.floor(F.col("_n") * oldest) - F.col("_rank"), F.lit(0)).cast("double"))).drop("_rank", "_n")
+
 
+def training_weights(labelled: DataFrame, normalize: bool = False, **options) -> DataFrame:
+    """w: the product of w_distance and w_time, on request scaled to a mean of 1."""
+    df = distance_weights(time_weights(labelled), **options).withColumn("w", F.col("w_distance") * F.col("w_time"))
+    if normalize:
+        df = df.crossJoin(F.broadcast(df.agg(F.avg("w").alias("_mean")))).withColumn("w", F.col("w") / F.col("_mean")).drop("_mean")
+    return df
 
-def uniqueness(labelled: DataFrame, horizon: int) -> DataFrame:
+
+def uniqueness(labelled: DataFrame, horizon: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """symbol, k and u: the mean of 1 / (labels that cover a bar) over the bars k + 1 .. k + horizon that a label looks at.
 
-    Starts and ends are summed per bar, so overlaps are counted without a join of labels with each other.
+    A bar is covered by the labels of the horizon rows before it, so overlaps are counted without a join of labels with each other.
     """
-    own = labelled.filter("y is not null").select("symbol", "k")
-    edges = own.select("symbol", F.explode(F.array(F.struct((F.col("k") + 1).alias("bar"), F.lit(1).alias("step")), F.struct((F.col("k") + horizon + 1).alias("bar"), F.lit(-1).alias("step")))).alias("e"))
-    steps = edges.groupBy("symbol", F.col("e.bar").alias("bar")).agg(F.sum("e.step").alias("step"))
-    span = own.groupBy("symbol").agg(F.min("k").alias("a"), F.max("k").alias("b")).select("symbol", F.explode(F.sequence(F.col("a") + 1, F.col("b") + horizon + 1)).alias("bar"))
-    order = Window.partitionBy("symbol").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    cover = span.join(steps, ["symbol", "bar"], "left").withColumn("n", F.sum(F.coalesce("step", F.lit(0))).over(order))
-    total = cover.withColumn("share", F.sum(F.when(F.col("n") > 0, 1 / F.col("n")).otherwise(0.0)).over(order)).select("symbol", "bar", "share")
-    start = total.select("symbol", F.col("bar").alias("k"), F.col("share").alias("at_start"))
-    end = total.select("symbol", (F.col("bar") - horizon).alias("k"), F.col("share").alias("at_end"))
-    return own.join(end, ["symbol", "k"]).join(start, ["symbol", "k"], "left").select("symbol", "k", ((F.col("at_end") - F.coalesce("at_start", F.lit(0.0))) / horizon).alias("u"))
+
+    def work(df: DataFrame, rows: Rows) -> DataFrame:
+        df = df.withColumn("_cover", F.count("y").over(rows.spec.rowsBetween(-horizon, -1)))
+        share = F.when(F.col("_cover") > 0, 1 / F.col("_cover")).otherwise(0.0)
+        return df.withColumn("u", F.sum(share).over(rows.spec.rowsBetween(1, horizon)) / horizon)
+
+    made = in_blocks(labelled.select("symbol", "k", "y"), work, 2 * horizon, block_rows, ahead=horizon)
+    return made.filter("y is not null").select("symbol", "k", "u")
 
 
 def purged_split(labelled: DataFrame, horizon: int, train: float = 0.7, val: float = 0.15, embargo: int = 0) -> DataFrame:
@@ -110,23 +128,22 @@ def purged_split(labelled: DataFrame, horizon: int, train: float = 0.7, val: flo
 
     Parts are contiguous, so only the rows up to horizon before a cut can overlap what follows: intervals that touch do not.
     """
-    order = Window.partitionBy("symbol").orderBy("k")
-    rank, n = F.row_number().over(order) - 1, F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    df = labelled.withColumn("_i", rank).withColumn("_a", F.bround(n * train, 0)).withColumn("_b", F.bround(n * (train + val), 0))
+    df = _ranked(labelled).withColumnRenamed("_rank", "_i").withColumn("_a", F.bround(F.col("_n") * train, 0)).withColumn("_b", F.bround(F.col("_n") * (train + val), 0))
     part = F.when(F.col("_i") < F.col("_a"), "train").when(F.col("_i") < F.col("_b"), "val").otherwise("test")
     cut = lambda c: (F.col("_i") < F.col(c)) & (F.col("_i") > F.col(c) - horizon)
     late = lambda c: (F.col("_i") >= F.col(c)) & (F.col("_i") < F.col(c) + embargo)
-    return df.withColumn("split", F.when(~(cut("_a") | cut("_b") | late("_a") | late("_b")), part)).drop("_i", "_a", "_b")
+    return df.withColumn("split", F.when(~(cut("_a") | cut("_b") | late("_a") | late("_b")), part)).drop("_i", "_n", "_a", "_b")
 
 
-def streaks(df: DataFrame, x: Column, rows: Rows | None = None) -> DataFrame:
+def streaks(df: DataFrame, x: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """event__run_*: direction, length and sum of the current run of equal signs; zero and null end a run and belong to none."""
-    rows = rows or Rows()
-    df = df.withColumn("_sign", F.when(x > 0, 1).when(x < 0, -1).otherwise(0)).withColumn("_x", x)
-    starts = (F.col("_sign") != F.coalesce(F.lag("_sign").over(rows.spec), F.lit(0))) | (F.col("_sign") == 0)
-    df = df.withColumn("_island", F.sum(F.when(starts, 1).otherwise(0)).over(rows.so_far))
-    own = Window.partitionBy(*rows.keys, "_island").orderBy(rows.order).rowsBetween(Window.unboundedPreceding, 0)
+    bucket = F.floor(F.col("k") / block_rows)
+    df = df.withColumn("_sign", F.when(x > 0, 1).when(x < 0, -1).otherwise(0)).withColumn("_x", F.coalesce(x, F.lit(0.0)))
+    df = previous(df, "_before", F.col("_sign"), "symbol", bucket, "k")
+    df = running(df, "_total", F.col("_x"), "symbol", bucket, "k")
+    starts = (F.col("_sign") != F.coalesce("_before", F.lit(0))) | (F.col("_sign") == 0)
+    df = carry(df, "_start", F.when(starts, F.struct("k", (F.col("_total") - F.col("_x")).alias("total"))), "symbol", bucket, "k")
     live = F.col("_sign") != 0
-    length = F.when(live, F.count(F.lit(1)).over(own)).otherwise(0).cast("int")
-    total = F.when(live, F.sum("_x").over(own)).otherwise(0.0)
-    return df.withColumns({"event__run_dir__f__w0": F.col("_sign").cast("byte"), "event__run_len__f__w0": length, "event__run_cumret__f__w0": total}).drop("_sign", "_x", "_island")
+    length = F.when(live, F.col("k") - F.col("_start.k") + 1).otherwise(0).cast("int")
+    total = F.when(live, F.col("_total") - F.col("_start.total")).otherwise(0.0)
+    return df.withColumns({"event__run_dir__f__w0": F.col("_sign").cast("byte"), "event__run_len__f__w0": length, "event__run_cumret__f__w0": total}).drop("_sign", "_x", "_before", "_total", "_start")

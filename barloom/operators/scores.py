@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.plans.blocks import previous, running
+
 TINY = 1e-6
 Z95 = 1.959963984540054
 
@@ -23,24 +25,22 @@ def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id").select("doc_id", "lang", "source", F.col("quality").alias("y"), p.alias("p"))
 
 
-def running_by_score(scores: DataFrame, buckets: int = 1000) -> DataFrame:
-    """One row per distinct p with pos, neg and tp, fp: positives and negatives at or above it."""
-    per = scores.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("bucket", F.least(F.floor(F.col("p") * buckets), F.lit(buckets - 1)))
-    above = per.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    high = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    above = above.select("bucket", F.coalesce(F.sum("bp").over(high), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(high), F.lit(0)).alias("n0"))
-    within = Window.partitionBy("bucket").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per.join(F.broadcast(above), "bucket").select("p", "pos", "neg", (F.col("p0") + F.sum("pos").over(within)).alias("tp"), (F.col("n0") + F.sum("neg").over(within)).alias("fp"))
+def running_by_score(scores: DataFrame, buckets: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per distinct p (and group) with pos, neg and tp, fp: positives and negatives at or above it."""
+    per = scores.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("down", -F.col("p")).withColumn("group", F.xxhash64(F.lit(0), *by))
+    bucket = F.floor(F.col("down") * buckets)
+    run = running(running(per, "tp", F.col("pos"), "group", bucket, "down"), "fp", F.col("neg"), "group", bucket, "down")
+    return run.select(*by, "p", "pos", "neg", "tp", "fp")
 
 
-def auc_ap(scores: DataFrame) -> DataFrame:
+def auc_ap(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve (ties count half) and average precision."""
-    run = running_by_score(scores)
+    run = running_by_score(scores, by=by)
     # each tie group's trapezoid needs only its own counts and the running ones
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     precision = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     n, m = F.sum("pos"), F.sum("neg")
-    return run.agg(F.when((n > 0) & (m > 0), area / (n * m)).alias("auc"), F.when(n > 0, precision / n).alias("ap"), n.alias("n_pos"), m.alias("n_neg"))
+    return run.groupBy(*by).agg(F.when((n > 0) & (m > 0), area / (n * m)).alias("auc"), F.when(n > 0, precision / n).alias("ap"), n.alias("n_pos"), m.alias("n_neg"))
 
 
 def losses(scores: DataFrame, bins: int = 10) -> DataFrame:
@@ -137,18 +137,20 @@ def lift(scores: DataFrame) -> DataFrame:
     )
 
 
-def page_hinkley(series: DataFrame, key: str, order: str, x: str, delta: float = 0.005, threshold: float = 1.0) -> DataFrame:
-    """Page-Hinkley statistic for an upward shift of the mean, all in running windows: rows with ph and alarm."""
-    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = series.withColumn("_d", F.col(x) - F.avg(x).over(so_far) - delta).withColumn("_c", F.sum("_d").over(so_far))
-    ph = F.col("_c") - F.least(F.min("_c").over(so_far), F.lit(0.0))
-    return df.withColumn("ph", ph).withColumn("alarm", F.col("ph") > threshold).drop("_d", "_c")
+def page_hinkley(series: DataFrame, key: str, order: str, x: str, delta: float = 0.005, threshold: float = 1.0, rows_in_bucket: int = 1000) -> DataFrame:
+    """Page-Hinkley statistic for an upward shift of the mean: rows with ph and alarm. order is a whole number, by which buckets of rows are cut."""
+    bucket = F.floor(F.col(order) / rows_in_bucket)
+    step = lambda df, name, value, how="sum": running(df, name, value, key, bucket, order, how)
+    df = step(step(series, "_s", F.col(x)), "_n", F.lit(1))
+    df = step(df, "_c", F.col(x) - F.col("_s") / F.col("_n") - delta)
+    df = step(df, "_low", F.col("_c"), "min")
+    ph = F.col("_c") - F.least("_low", F.lit(0.0))
+    return df.withColumn("ph", ph).withColumn("alarm", F.col("ph") > threshold).drop("_s", "_n", "_c", "_low")
 
 
-def turnover(series: DataFrame, key: str, order: str, threshold: float) -> DataFrame:
+def turnover(series: DataFrame, key: str, order: str, threshold: float, rows_in_bucket: int = 1000) -> DataFrame:
     """Of the decision p >= threshold, per key: share of rows, changes, runs and mean length of an active run."""
-    o = Window.partitionBy(key).orderBy(order)
-    df = series.withColumn("on", (F.col("p") >= threshold).cast("int")).withColumn("before", F.lag("on").over(o))
+    df = previous(series.withColumn("on", (F.col("p") >= threshold).cast("int")), "before", F.col("on"), key, F.floor(F.col(order) / rows_in_bucket), order)
     starts = F.count_if((F.col("on") == 1) & (F.coalesce("before", F.lit(0)) == 0))
     return df.groupBy(key).agg(F.avg("on").alias("active_rate"), F.count_if(F.col("on") != F.col("before")).alias("changes"), starts.alias("runs"), F.try_divide(F.sum("on"), starts).alias("mean_run"))
 
@@ -167,23 +169,3 @@ def uncertainty(samples: DataFrame, column: str = "ps") -> DataFrame:
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
     df = samples.withColumn("mean_p", mean(F.col(column))).withColumn("data", mean(F.transform(column, entropy)))
     return df.withColumn("total", entropy(F.col("mean_p"))).withColumn("knowledge", F.greatest(F.col("total") - F.col("data"), F.lit(0.0)))
-
-
-def bootstrap_auc(scores: DataFrame, replicates: int = 50, seed: int = 1) -> DataFrame:
-    """Percentile interval of the AUC over Poisson resamples: every row's weight in a replicate is drawn from a hash of its id.
-
-    Poisson weights are the scalable form of drawing with replacement: no row moves, and nothing is drawn on the driver.
-    """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "replicate"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    # inverse of the Poisson(1) distribution function
-    weight, total, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(12):
-        total += term
-        weight = weight + F.when(u > total, 1).otherwise(0)
-        term /= k + 1
-    drawn = scores.select("doc_id", "p", "y", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("w", weight).filter("w > 0")
-    per = drawn.groupBy("replicate", "p").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
-    down = Window.partitionBy("replicate").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumn("tp", F.sum("pos").over(down))
-    auc = run.groupBy("replicate").agg((F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
-    return auc.agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.5).alias("median"), F.percentile("auc", 0.975).alias("high"))

@@ -1,19 +1,27 @@
-"""Rule-based strategies replayed into ledgers, and reports on ledgers.
+"""Rule-based strategies over score paths: candidate entries with their exits, the ledger of those that are taken, and reports on ledgers.
 
-An entry depends on the positions that are open, so a replay is sequential within one (symbol, strategy) and parallel across them: one grouped
-task each, over rows in order of k. Everything about a finished ledger is plain aggregation.
+Where a position would be closed depends on the rows after its entry only, so every candidate's exit is a forward window, in blocks of rows. Which candidates are taken
+depends on the positions that are open; that choice alone is sequential, over the pairs (entry row, exit row) of one symbol and strategy. Everything about a finished
+ledger is plain aggregation.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEDGER = "symbol string, strategy string, k_entry long, k_exit long, entry_price double, exit_price double, size double, exit_reason string, gross_log_return double, p_entry double"
+from barloom.functions.rolling import Rows, safe_log_ratio
+from barloom.operators.audits import bucket, cuts
+from barloom.plans.blocks import BLOCK_ROWS, in_blocks, running
+from barloom.plans.shipping import ship
+
+LEDGER = ("symbol", "strategy", "k_entry", "k_exit", "entry_price", "exit_price", "size", "exit_reason", "gross_log_return", "p_entry")
 
 
 @dataclass(frozen=True)
@@ -29,41 +37,59 @@ class Strategy:
     size: float = 1.0
 
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("k")
-    spec = rows.iloc[0]
-    open_: list[dict] = []
-    closed: list[dict] = []
-    for r in rows.itertuples(index=False):
-        still = []
-        for pos in open_:
-            # where a row reaches both barriers, the stop counts
-            if pos["sl"] is not None and r.low <= pos["sl"]:
-                price, reason = pos["sl"], "sl"
-            elif r.high >= pos["tp"]:
-                price, reason = pos["tp"], "tp"
-            elif r.k >= pos["k_entry"] + spec["horizon"]:
-                price, reason = r.close, "expiry"
-            else:
-                still.append(pos)
-                continue
-            closed.append(pos | {"k_exit": r.k, "exit_price": price, "exit_reason": reason, "gross_log_return": math.log(price / pos["entry_price"])})
-        open_ = still
-        # a missing score opens nothing
-        if r.p == r.p and r.p is not None and r.p >= spec["threshold"] and len(open_) < spec["max_open"]:
-            stop = r.close * math.exp(-spec["stop"]) if spec["stop"] > 0 else None
-            open_.append({"k_entry": r.k, "entry_price": r.close, "size": spec["size"], "p_entry": r.p, "tp": r.close * math.exp(spec["take"]), "sl": stop})
-    out = pd.DataFrame(closed, columns=["k_entry", "k_exit", "entry_price", "exit_price", "size", "exit_reason", "gross_log_return", "p_entry"])
-    out.insert(0, "strategy", spec["name"])
-    out.insert(0, "symbol", spec["symbol"])
+def candidates(path: DataFrame, strategies: list[Strategy], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """LEDGER's columns and max_open of every row that a strategy would enter at, were no position open; k_exit is null where the rows end before.
+
+    Where a row reaches both barriers the stop counts. A missing score opens nothing.
+    """
+    specs = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in asdict(s).items()]) for s in strategies])
+    longest = max(s.horizon for s in strategies)
+
+    def work(df: DataFrame, rows: Rows) -> DataFrame:
+        ahead = F.collect_list(F.struct("k", "high", "low", "close")).over(rows.spec.rowsBetween(1, longest))
+        return df.withColumn("ahead", ahead)
+
+    rows = in_blocks(path.select("symbol", "k", "close", "high", "low", "p"), work, 0, block_rows, ahead=longest)
+    rows = rows.select("*", F.explode(specs).alias("s")).filter(F.col("p") >= F.col("s.threshold"))
+    stop, take = F.when(F.col("s.stop") > 0, F.col("close") * F.exp(-F.col("s.stop"))), F.col("close") * F.exp("s.take")
+    rows = rows.withColumns({"sl": stop, "tp": take})
+    stopped = lambda r: F.coalesce(r["low"] <= F.col("sl"), F.lit(False))
+    out = F.get(F.filter("ahead", lambda r: stopped(r) | (r["high"] >= F.col("tp")) | (r["k"] >= F.col("k") + F.col("s.horizon"))), F.lit(0))
+    rows = rows.withColumn("out", out)
+    took = F.col("out.high") >= F.col("tp")
+    price = F.when(F.col("out").isNotNull(), F.when(stopped(F.col("out")), F.col("sl")).when(took, F.col("tp")).otherwise(F.col("out.close")))
+    reason = F.when(F.col("out").isNotNull(), F.when(stopped(F.col("out")), "sl").when(took, "tp").otherwise("expiry"))
+    return rows.select(
+        "symbol", F.col("s.name").alias("strategy"), F.col("k").cast("long").alias("k_entry"), F.col("out.k").cast("long").alias("k_exit"), F.col("close").alias("entry_price"), price.alias("exit_price"), F.col("s.size").alias("size"),
+        reason.alias("exit_reason"), safe_log_ratio(price, "close").alias("gross_log_return"), F.col("p").alias("p_entry"), F.col("s.max_open").alias("max_open"),
+    )
+
+
+def taken(entries: np.ndarray, exits: np.ndarray, most: int) -> np.ndarray:
+    """Which of the entries, in order, find fewer than most positions open; exits are done before entries of the same row."""
+    open_: list[int] = []
+    out = np.zeros(len(entries), bool)
+    for i, (a, b) in enumerate(zip(entries.tolist(), exits.tolist())):
+        while open_ and open_[0] <= a:
+            heapq.heappop(open_)
+        if len(open_) < most:
+            heapq.heappush(open_, b)
+            out[i] = True
     return out
 
 
-def simulate(path: DataFrame, strategies: list[Strategy]) -> DataFrame:
+def _choose(table: pa.Table) -> pa.Table:
+    table = table.sort_by("k_entry")
+    exits = table.column("k_exit").fill_null(np.iinfo(np.int64).max).to_numpy()
+    return table.filter(pa.array(taken(table.column("k_entry").to_numpy(), exits, table.column("max_open")[0].as_py())))
+
+
+def simulate(path: DataFrame, strategies: list[Strategy], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Closed positions of every strategy on rows (symbol, k, close, high, low, p); positions open at the end stay out."""
-    specs = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in asdict(s).items()]) for s in strategies])
-    rows = path.select("symbol", "k", "close", "high", "low", "p", F.explode(specs).alias("spec")).select("symbol", "k", "close", "high", "low", "p", "spec.*")
-    return rows.groupBy("symbol", "name").applyInPandas(_replay, LEDGER)
+    ship(path.sparkSession)
+    found = candidates(path, strategies, block_rows)
+    chosen = found.groupBy("symbol", "strategy").applyInArrow(_choose, found.schema)
+    return chosen.filter("k_exit is not null").select(*LEDGER)
 
 
 def report(ledger: DataFrame, cost: float = 0.0, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
@@ -84,9 +110,107 @@ def composition(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("strategy", "exit_reason").agg(F.count("*").alias("trades"), F.sum("gross_log_return").alias("gross"))
 
 
-def drawdown(ledger: DataFrame) -> DataFrame:
+def _by_exit(ledger: DataFrame) -> DataFrame:
+    """Realised return of each strategy per exit row."""
+    return ledger.groupBy("strategy", "k_exit").agg(F.sum(F.col("gross_log_return") * F.col("size")).alias("step"))
+
+
+def equity(ledger: DataFrame, rows_in_bucket: int = 1000) -> DataFrame:
+    """strategy, k_exit, and the realised return up to and with the positions that exit there."""
+    return running(_by_exit(ledger), "equity", F.col("step"), "strategy", F.floor(F.col("k_exit") / rows_in_bucket), "k_exit").select("strategy", "k_exit", "equity")
+
+
+def drawdown(ledger: DataFrame, rows_in_bucket: int = 1000) -> DataFrame:
     """Largest fall of each strategy's realised return from its earlier high, which starts at zero."""
-    order = Window.partitionBy("strategy").orderBy("k_exit", "symbol", "k_entry").rowsBetween(Window.unboundedPreceding, 0)
-    run = ledger.withColumn("equity", F.sum(F.col("gross_log_return") * F.col("size")).over(order))
-    run = run.withColumn("fall", F.greatest(F.max("equity").over(order), F.lit(0.0)) - F.col("equity"))
-    return run.groupBy("strategy").agg(F.max("fall").alias("max_drawdown"), F.max_by("equity", F.struct("k_exit", "symbol", "k_entry")).alias("final_return"))
+    run = running(equity(ledger, rows_in_bucket), "high", F.col("equity"), "strategy", F.floor(F.col("k_exit") / rows_in_bucket), "k_exit", "max")
+    run = run.withColumn("fall", F.greatest("high", F.lit(0.0)) - F.col("equity"))
+    return run.groupBy("strategy").agg(F.max("fall").alias("max_drawdown"), F.max_by("equity", "k_exit").alias("final_return"))
+
+
+def headline(ledger: DataFrame, steps_a_year: float, cost: float = 0.0) -> DataFrame:
+    """report() with the Sharpe ratio of the returns per exit row over a year of so many steps, and the largest fall; best first."""
+    per = _by_exit(ledger.withColumn("gross_log_return", F.col("gross_log_return") - cost)).groupBy(F.col("strategy").alias("s")).agg(F.when((F.count("*") >= 2) & (F.stddev_samp("step") > 1e-12), F.avg("step") / F.stddev_samp("step") * math.sqrt(steps_a_year)).alias("annual_sharpe"))
+    falls = drawdown(ledger).select(F.col("strategy").alias("d"), "max_drawdown")
+    joined = report(ledger, cost).join(per, F.col("strategy") == F.col("s")).join(falls, F.col("strategy") == F.col("d")).drop("s", "d")
+    return joined.orderBy(F.desc_nulls_last("annual_sharpe"))
+
+
+def regime_attribution(ledger: DataFrame, regime: str, cost: float = 0.0, parts: int = 3) -> DataFrame:
+    """Trades, share that took profit, and mean and total net return in equal-frequency parts of a column of the ledger."""
+    net = (F.col("gross_log_return") - cost) * F.col("size")
+    return ledger.withColumn("part", bucket(F.col(regime), cuts(ledger, regime, parts))).groupBy("part").agg(
+        F.count("*").alias("trades"), (F.count_if(F.col("exit_reason") == "tp") / F.count("*")).alias("hit_rate"), F.avg(net).alias("mean_net"), F.sum(net).alias("net")
+    )
+
+
+def clusters(ledger: DataFrame) -> DataFrame:
+    """Runs of overlapping positions of a symbol and strategy: first and last row, positions, net return and how the last one ended.
+
+    Positions are merged by their intervals; a position that starts where all others have ended begins a cluster.
+    """
+    order = Window.partitionBy("symbol", "strategy").orderBy("k_entry", "k_exit")
+    df = ledger.withColumn("_reach", F.max("k_exit").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("_starts", F.when(F.col("_reach").isNull() | (F.col("k_entry") >= F.col("_reach")), 1).otherwise(0))
+    df = df.withColumn("cluster", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.groupBy("symbol", "strategy", "cluster").agg(
+        F.min("k_entry").alias("k_first"), F.max("k_exit").alias("k_last"), F.count("*").alias("entries"), F.sum(F.col("gross_log_return") * F.col("size")).alias("pnl"), F.max_by("exit_reason", F.struct("k_exit", "k_entry")).alias("end_reason")
+    )
+
+
+def cluster_summary(log: DataFrame) -> DataFrame:
+    """Per strategy: clusters, their duration, entries and returns, and how they ended."""
+    held = (F.col("k_last") - F.col("k_first")).cast("double")
+    return log.groupBy("strategy").agg(
+        F.count("*").alias("n_clusters"), F.avg(held).alias("mean_duration"), F.percentile(held, 0.5).alias("median_duration"), F.avg("entries").alias("mean_entries"), F.avg("pnl").alias("mean_pnl"), F.max("pnl").alias("max_pnl"),
+        F.min("pnl").alias("min_pnl"), *[F.count_if(F.col("end_reason") == r).alias(f"n_{r}") for r in ("tp", "sl", "expiry")],
+    )
+
+
+def time_to_take(ledger: DataFrame, bars: DataFrame, take: float, look_ahead: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """ledger with held (rows to the exit) and would_take (rows until the high reaches the entry price times e^take, within look_ahead; null if it does not)."""
+
+    def work(df: DataFrame, rows: Rows) -> DataFrame:
+        return df.withColumn("_ahead", F.collect_list("high").over(rows.spec.rowsBetween(1, look_ahead)))
+
+    path = in_blocks(bars.select("symbol", "k", "high"), work, 0, block_rows, ahead=look_ahead).select(F.col("symbol").alias("_s"), F.col("k").alias("_k"), "_ahead")
+    joined = ledger.join(path, (F.col("symbol") == F.col("_s")) & (F.col("k_entry") == F.col("_k")))
+    hit = F.array_position(F.transform("_ahead", lambda h: F.coalesce(h >= F.col("entry_price") * math.exp(take), F.lit(False))), True)
+    return joined.withColumn("held", F.col("k_exit") - F.col("k_entry")).withColumn("would_take", F.when(hit > 0, hit)).drop("_s", "_k", "_ahead")
+
+
+def time_to_take_summary(df: DataFrame) -> DataFrame:
+    """Of the positions that did not take profit: how many would have, and after how many rows."""
+    late = F.when(F.col("exit_reason") != "tp", F.col("would_take"))
+    other = F.count_if(F.col("exit_reason") != "tp")
+    return df.groupBy("strategy").agg(
+        F.count("*").alias("n_closed"), F.count_if(F.col("exit_reason") == "tp").alias("n_tp"), other.alias("n_other"), F.count(late).alias("n_eventually"), F.coalesce(F.try_divide(F.count(late), other), F.lit(0.0)).alias("share_eventually"),
+        *[F.percentile(late, q).alias(f"rows_p{round(100 * q)}") for q in (0.25, 0.5, 0.75, 0.95)],
+    )
+
+
+def entry_rank(ledger: DataFrame, bars: DataFrame, reach: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """ledger with entry_rank: the share of the other closes within reach rows of the entry that are below it."""
+
+    def work(df: DataFrame, rows: Rows) -> DataFrame:
+        near = F.collect_list("close").over(rows.spec.rowsBetween(-reach, reach))
+        return df.withColumn("entry_rank", F.size(F.filter(near, lambda c: c < F.col("close"))) / (F.size(near) - 1))
+
+    path = in_blocks(bars.select("symbol", "k", "close"), work, reach, block_rows, ahead=reach).select(F.col("symbol").alias("_s"), F.col("k").alias("_k"), "entry_rank")
+    return ledger.join(path, (F.col("symbol") == F.col("_s")) & (F.col("k_entry") == F.col("_k"))).drop("_s", "_k")
+
+
+def trade_sample(ledger: DataFrame, each: int, seed: int = 0) -> DataFrame:
+    """Of every strategy the trades with the best and the worst returns and some at random, so many each, with the group that chose them."""
+    groups = {"best": F.desc("gross_log_return"), "worst": F.asc("gross_log_return"), "random": F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", F.col("k_entry").cast("string")))}
+    out = None
+    for name, by in groups.items():
+        order = Window.partitionBy("strategy").orderBy(by, "symbol", "k_entry")
+        part = ledger.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).withColumn("chosen", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.drop("place")
+
+
+def buy_and_hold(bars: DataFrame) -> DataFrame:
+    """Log return of each symbol from its first to its last close."""
+    per = bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("first"), F.max_by("close", "ts").alias("last"))
+    return per.select("symbol", safe_log_ratio("last", "first").alias("log_return"))

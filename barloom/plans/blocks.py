@@ -1,25 +1,65 @@
 """Cut long series into blocks of rows that are worked on apart.
 
-One series in one window partition is one task, however long it is. Every feature looks back a known number of rows, so a block needs only its own
-rows and that many before it (its halo). Rows are copied into the halos that need them, windows run per (symbol, block), and the
-copies are dropped. This is exact for finite windows.
+One series in one window partition is one task, however long it is. Every feature looks back (and a label ahead) a known number of rows, so a block needs only its own
+rows and that many around it (its halo). Rows are copied into the halos that need them, windows run per (symbol, block), and the
+copies are dropped. This is exact for finite windows. What looks back without end (running totals, the last known value) takes two levels: a window within each
+block, and one over the blocks, which have one row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import Rows
 
+#: Rows of a block.
+BLOCK_ROWS = 20_000
 
-def in_blocks(df: DataFrame, work: Callable[[DataFrame, Rows], DataFrame], halo: int, block_rows: int, key: str = "symbol", order: str = "k", direct: int | None = None) -> DataFrame:
-    """work(df, rows) as if over whole series, on blocks of block_rows rows with halo rows before them."""
+
+def in_blocks(df: DataFrame, work: Callable[[DataFrame, Rows], DataFrame], halo: int, block_rows: int = BLOCK_ROWS, key: str = "symbol", order: str = "k", direct: int | None = None, ahead: int = 0) -> DataFrame:
+    """work(df, rows) as if over whole series, on blocks of block_rows rows with halo rows before them and ahead rows after."""
     own = F.floor(F.col(order) / block_rows)
-    # the blocks that a row is in the halo of
-    last = F.floor((F.col(order) + halo) / block_rows)
-    spread = df.withColumn("_block", F.explode(F.sequence(own, last)))
+    # the blocks that a row is in, or in the halo of
+    first, last = F.floor(F.greatest(F.col(order) - ahead, F.lit(0)) / block_rows), F.floor((F.col(order) + halo) / block_rows)
+    spread = df.withColumn("_block", F.explode(F.sequence(F.least(own, first), last)))
     rows = Rows((key, "_block"), order) if direct is None else Rows((key, "_block"), order, direct)
     return work(spread, rows).filter(F.col("_block") == own).drop("_block")
+
+
+def _levels(df: DataFrame, name: str, key: str, bucket: Column, order: list, within: Callable, per_bucket: Column, over_buckets: Callable, join: Callable) -> DataFrame:
+    df = df.withColumn("_bucket", bucket)
+    spec = Window.partitionBy(key, "_bucket").orderBy(*order)
+    df = df.withColumn("_own", within(spec))
+    ends = df.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_at")).agg(per_bucket.alias("_end"))
+    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_key", "_at", over_buckets(earlier).alias("_before"))
+    joined = df.join(ends, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_at")))
+    return joined.withColumn("_joined", join(F.col("_own"), F.col("_before"))).drop("_bucket", "_own", "_key", "_at", "_before").withColumnRenamed("_joined", name)
+
+
+def carry(df: DataFrame, name: str, value: Column, key: str, bucket: Column, order: str | list) -> DataFrame:
+    """df with the last value that is there at or before each row; bucket grows with order."""
+    order = [order] if isinstance(order, str) else order
+    df = df.withColumn("_value", value)
+    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
+    made = _levels(df, name, key, bucket, order, lambda spec: F.last("_value", ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0)), last, lambda w: F.last("_end", ignorenulls=True).over(w), F.coalesce)
+    return made.drop("_value")
+
+
+def previous(df: DataFrame, name: str, value: Column, key: str, bucket: Column, order: str) -> DataFrame:
+    """df with the value of the row before each."""
+    df = df.withColumn("_value", F.struct(value.alias("v")))
+    # a struct is there even where its value is null
+    made = _levels(df, "_made", key, bucket, [order], lambda spec: F.lag("_value").over(spec), F.max_by("_value", order), lambda w: F.last("_end").over(w), F.coalesce)
+    return made.withColumn(name, F.col("_made.v")).drop("_value", "_made")
+
+
+def running(df: DataFrame, name: str, value: Column, key: str, bucket: Column, order: str, how: str = "sum") -> DataFrame:
+    """df with the running sum, min or max of value up to each row; bucket grows with order."""
+    fn = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}[how]
+    df = df.withColumn("_value", value)
+    return _levels(df, name, key, bucket, [order], lambda spec: fn("_value").over(spec.rowsBetween(Window.unboundedPreceding, 0)), fn("_value"), lambda w: fn("_end").over(w), both).drop("_value")

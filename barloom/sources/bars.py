@@ -1,7 +1,7 @@
 """Regular-grid bars: built from trades, repaired, validated, joined as-of with slower series.
 
-Scale: aggregation into bars pre-aggregates before its shuffle. Everything ordered is partitioned by symbol. The grid of a symbol is
-generated from its first and last bar, so missing minutes are never looked for pairwise.
+Scale: aggregation into bars pre-aggregates before its shuffle. The grid of a symbol is generated, numbers included, from its first and last bar, so missing minutes are
+never looked for pairwise. The last close before a gap and as-of values are found in two levels, so a long series is many tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.rolling import Rows, safe_log_ratio
+from barloom.plans.blocks import BLOCK_ROWS, carry
+
 PRICES = ("open", "high", "low", "close")
 AMOUNTS = ("volume", "quote_volume", "num_trades", "taker_buy_base")
 
@@ -40,19 +43,18 @@ def clean(bars: DataFrame) -> DataFrame:
     return bars.select(*[fix(c) if t == "double" else F.col(c) for c, t in bars.dtypes])
 
 
-def fill_grid(bars: DataFrame, step: str = "1 hour") -> DataFrame:
+def fill_grid(bars: DataFrame, step: str = "1 hour", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every step between a symbol's first and last bar; what is missing is a flat bar at the last close without volume.
 
     filled marks such bars; k numbers a symbol's bars from 0.
     """
     ends = bars.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    grid = ends.select("symbol", F.explode(F.sequence("a", "b", F.expr(f"interval {step}"))).alias("ts"))
-    order = Window.partitionBy("symbol").orderBy("ts")
+    grid = ends.select("symbol", F.posexplode(F.sequence("a", "b", F.expr(f"interval {step}"))).alias("k", "ts"))
     joined = grid.join(bars, ["symbol", "ts"], "left").withColumn("filled", F.col("close").isNull())
-    last = F.last("close", ignorenulls=True).over(order)
-    prices = {c: F.when(F.col("filled"), last).otherwise(F.col(c)) for c in PRICES}
+    joined = carry(joined, "_last", F.col("close"), "symbol", F.floor(F.col("k") / block_rows), "k")
+    prices = {c: F.when(F.col("filled"), F.col("_last")).otherwise(F.col(c)) for c in PRICES}
     amounts = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in AMOUNTS if c in bars.columns}
-    return joined.withColumn("k", F.row_number().over(order) - 1).withColumns(prices | amounts)
+    return joined.withColumns(prices | amounts).drop("_last")
 
 
 def validate(bars: DataFrame) -> DataFrame:
@@ -70,26 +72,27 @@ def validate(bars: DataFrame) -> DataFrame:
     )
 
 
-def as_of(left: DataFrame, right: DataFrame, columns: list[str], key: str = "symbol", ts: str = "ts") -> DataFrame:
-    """Each left row with the columns of the last right row of its key at or before its ts.
+def as_of(left: DataFrame, right: DataFrame, columns: list[str], key: str = "symbol", ts: str = "ts", bucket: str = "week", within: str | None = None) -> DataFrame:
+    """Each left row with the columns of the last right row of its key at or before its ts, or none if that is more than within (an interval) ago.
 
-    Both sides are ordered together and the right side's last row is carried on, so there is no range join.
+    Both sides are ordered together, in buckets of time, and the right side's last row is carried on, so there is no range join.
     """
-    extra = [F.col(c) for c in left.columns]
-    a = left.select(key, ts, F.lit(1).alias("_side"), F.struct(*extra).alias("_left"), F.lit(None).cast(right.select(F.struct(*columns).alias("s")).schema["s"].dataType).alias("_right"))
-    b = right.select(key, ts, F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(*columns).alias("_right"))
-    order = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_right", F.last("_right", ignorenulls=True).over(order)).filter("_side = 1")
-    return both.select("_left.*", *[F.col(f"_right.{c}").alias(c) for c in columns])
+    extra = [F.col(f"`{c}`") for c in left.columns]
+    found = F.struct(F.col(ts).alias("_at"), *columns)
+    a = left.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*extra).alias("_left"), F.lit(None).cast(right.select(found.alias("s")).schema["s"].dataType).alias("_right"))
+    b = right.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), found.alias("_right"))
+    both = carry(a.unionByName(b), "_found", F.col("_right"), "_k", F.date_trunc(bucket, "_t"), ["_t", "_side"]).filter("_side = 1")
+    fresh = F.lit(True) if within is None else F.col("_found._at") >= F.col("_t") - F.expr(f"interval {within}")
+    return both.select("_left.*", *[F.when(fresh, F.col(f"_found.{c}")).alias(c) for c in columns])
 
 
 def _log(x: Column, when: Column | None = None) -> Column:
     return F.when(x > 0 if when is None else when, F.ln(x))
 
 
-def base_series(bars: DataFrame) -> DataFrame:
+def base_series(bars: DataFrame, rows: Rows | None = None) -> DataFrame:
     """bars with the series that features are made of; null wherever one is undefined."""
-    order = Window.partitionBy("symbol").orderBy("k")
+    order = (rows or Rows()).spec
     spread = F.col("high") - F.col("low")
     per_range = lambda x: F.when(spread > 0, x / spread)
     per_volume = lambda x: F.when(F.col("volume") > 0, x / F.col("volume"))
@@ -97,9 +100,9 @@ def base_series(bars: DataFrame) -> DataFrame:
     first = bars.withColumns(
         {
             "p": _log(F.col("close")),
-            "rho": F.when((F.col("high") > F.col("low")) & (F.col("low") > 0), F.ln(F.col("high") / F.col("low"))),
-            "r_oc": F.when((F.col("open") > 0) & (F.col("close") > 0), F.ln(F.col("close") / F.col("open"))),
-            "g": F.when((F.col("open") > 0) & (before > 0), F.ln(F.col("open") / before)),
+            "rho": safe_log_ratio("high", "low", F.col("high") > F.col("low")),
+            "r_oc": safe_log_ratio("close", "open"),
+            "g": safe_log_ratio("open", before),
             "logvol": F.log1p("volume"),
             "logtrades": F.log1p("num_trades"),
             "logquotevol": F.log1p("quote_volume"),
@@ -116,11 +119,26 @@ def base_series(bars: DataFrame) -> DataFrame:
         {
             "r": F.col("p") - F.lag("p").over(order),
             "ofi": 2 * F.col("b") - 1,
-            "vwapdev": F.when((F.col("vwap") > 0) & (F.col("close") > 0), F.ln(F.col("close") / F.col("vwap"))),
+            "vwapdev": safe_log_ratio("close", "vwap"),
         }
     )
 
 
+def kline_rows(rows: DataFrame, column: str = "kline") -> DataFrame:
+    """Typed bars of an exchange's rows (arrays of strings: open time in ms, four prices, volume, close time in ms, quote volume, trades, taker volume).
+
+    What is no number becomes null. A bar whose close time is null is not closed and goes; of several rows of one time the last closed one counts.
+    """
+    at = lambda i, kind: F.get(column, F.lit(i)).try_cast(kind)
+    ms = lambda i: F.timestamp_millis(at(i, "bigint")).cast("timestamp_ntz")
+    keep = [c for c in rows.columns if c != column]
+    names = {"open": 1, "high": 2, "low": 3, "close": 4, "volume": 5, "quote_volume": 7, "num_trades": 8, "taker_buy_base": 9}
+    typed = rows.select(*[F.col(f"`{c}`") for c in keep], ms(0).alias("open_time"), ms(6).alias("ts"), *[at(i, "double").alias(c) for c, i in names.items()])
+    by = [*keep, "open_time"]
+    best = typed.filter("ts is not null and open_time is not null").groupBy(*[F.col(f"`{c}`") for c in by]).agg(F.max_by(F.struct("ts", *names), F.struct("ts", "volume")).alias("bar"))
+    return clean(best.select(*[F.col(f"`{c}`") for c in by], "bar.*"))
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repaired hourly bars of every symbol."""
     return fill_grid(clean(to_bars(trades(spark, sf_dir))))
