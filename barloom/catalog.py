@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.rolling import Rows
 from barloom.operators import features, labels, scores
 from barloom.plans.blocks import in_blocks
 from barloom.sources import bars as bar_source
@@ -548,7 +549,7 @@ def w_training(spark, sf_dir: str) -> DataFrame:
     CAST(CASE WHEN ts <> lag(ts) OVER (PARTITION BY symbol ORDER BY ts) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS TINYINT) AS data__gap__f__w0 FROM raw""",
 )
 def quality_flags(spark, sf_dir: str) -> DataFrame:
-    return labels.quality_flags(bar_source.to_bars(bar_source.trades(spark, sf_dir))).select("symbol", "ts", "data__bad_ohlc__f__w0", "data__gap__f__w0")
+    return labels.quality_flags(bar_source.to_bars(bar_source.trades(spark, sf_dir)), Rows(order="ts")).select("symbol", "ts", "data__bad_ohlc__f__w0", "data__gap__f__w0")
 
 
 @query(
@@ -565,8 +566,8 @@ def impute_flags(spark, sf_dir: str) -> DataFrame:
     "kline_bars",
     """WITH e AS (SELECT event_type AS symbol, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS open_time, ts, value, event_id FROM events),
     b AS (SELECT symbol, open_time, ts, event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END AS close, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS done FROM e),
-    m AS (SELECT *, row_number() OVER (PARTITION BY symbol, open_time ORDER BY epoch_ms(done) DESC, event_id DESC) AS n FROM b WHERE done IS NOT NULL)
-    SELECT symbol, open_time, make_timestamp(epoch_ms(done) * 1000) AS ts, close, CAST(event_id AS DOUBLE) AS volume FROM m WHERE n = 1""",
+    m AS (SELECT *, row_number() OVER (PARTITION BY symbol, open_time ORDER BY date_trunc('millisecond', done) DESC, event_id DESC) AS n FROM b WHERE done IS NOT NULL)
+    SELECT symbol, open_time, CAST(date_trunc('millisecond', done) AS TIMESTAMP) AS ts, close, CAST(event_id AS DOUBLE) AS volume FROM m WHERE n = 1""",
 )
 def kline_bars(spark, sf_dir: str) -> DataFrame:
     """Exchange rows made of events, some without a close time and some with a price that is no number, as typed bars."""

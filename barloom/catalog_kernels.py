@@ -50,11 +50,7 @@ for _h in _HALVES:
 )
 def feat_ewm(spark, sf_dir: str) -> DataFrame:
     df = _series(spark, sf_dir).withColumn("funding_rate", F.sin(F.col("k").cast("double")) / 1000)
-    for fast, slow in features.EMA_SPANS:
-        df = kernels.ema_spread(df, fast, slow)
-    for h in _HALVES:
-        df = kernels.equilibrium_ewm(df, h, features.HORIZON)
-    return rounded(kernels.funding_ewm(df, 40).select("symbol", "k", *_EWM))
+    return rounded(kernels.ewm_features(df, _HALVES, features.EMA_SPANS, features.HORIZON, 40).select("symbol", "k", *_EWM))
 
 
 @query(

@@ -163,14 +163,12 @@ def sim_entry_rank(spark, sf_dir: str) -> DataFrame:
 
 @_of_ledger(
     "sim_sample",
-    """, s AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY gross_log_return DESC, symbol, k_entry) AS best, row_number() OVER (PARTITION BY strategy ORDER BY gross_log_return, symbol, k_entry) AS worst,
+    """, s AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY round(gross_log_return, 9) DESC, symbol, k_entry) AS best, row_number() OVER (PARTITION BY strategy ORDER BY round(gross_log_return, 9), symbol, k_entry) AS worst,
     row_number() OVER (PARTITION BY strategy ORDER BY md5('0|' || symbol || '|' || k_entry), symbol, k_entry) AS random FROM ledger)
     SELECT symbol, strategy, k_entry, chosen FROM s, (SELECT unnest(['best', 'worst', 'random']) AS chosen) WHERE CASE chosen WHEN 'best' THEN best WHEN 'worst' THEN worst ELSE random END <= 4""",
 )
 def sim_sample(spark, sf_dir: str) -> DataFrame:
-    # returns that differ in rounding only must not change the order
-    ledger = _ledger(spark, sf_dir)
-    return strategy.trade_sample(ledger, 4).select("symbol", "strategy", "k_entry", "chosen")
+    return strategy.trade_sample(_ledger(spark, sf_dir), 4).select("symbol", "strategy", "k_entry", "chosen")
 
 
 @query("buy_and_hold", f"WITH {_BARS} SELECT symbol, {_r('CASE WHEN arg_max(close, ts) > 0 AND arg_min(close, ts) > 0 THEN ln(arg_max(close, ts) / arg_min(close, ts)) END')} AS log_return FROM bars GROUP BY 1")
@@ -273,8 +271,8 @@ def boot_losses(spark, sf_dir: str) -> DataFrame:
 
 _X = [0.1, 0.25, 0.5, 0.75, 1.0]
 _CURVE = f"""pt AS (SELECT replicate, fp / nn AS x, max(tp / np) AS y FROM ok GROUP BY 1, 2), st AS (SELECT *, coalesce(lag(x) OVER o, 0) AS x0, lag(y) OVER o AS y0 FROM pt WINDOW o AS (PARTITION BY replicate ORDER BY x, y)),
-  at AS (SELECT *, unnest(list_filter({{grid}}, lambda g: g <= x AND (g > x0 OR y0 IS NULL))) AS g FROM st),
-  s AS (SELECT replicate, CAST(g AS DOUBLE) AS x, CASE WHEN x > x0 THEN coalesce(y0, 0) + (y - coalesce(y0, 0)) * (g - x0) / (x - x0) ELSE y END AS tpr FROM at)"""
+  hit AS (SELECT *, unnest(list_filter({{grid}}, lambda g: g <= x AND (g > x0 OR y0 IS NULL))) AS g FROM st),
+  s AS (SELECT replicate, CAST(g AS DOUBLE) AS x, CASE WHEN x > x0 THEN coalesce(y0, 0) + (y - coalesce(y0, 0)) * (g - x0) / (x - x0) ELSE y END AS tpr FROM hit)"""
 
 
 @query("boot_roc", f"WITH {_SCORES}, {_drawn_sql()}, {_BY_SCORE}, {_CURVE.format(grid=_X)} SELECT x, {_bands(['tpr'])} FROM s GROUP BY x")
@@ -351,7 +349,7 @@ _audit("th_gate_overlap", " SELECT count(*) AS n, count(*) FILTER (p >= 0.5) AS
 
 
 def _edges(x: str, bins: int) -> str:
-    return f"(SELECT list_filter(list_distinct(quantile_cont({x}, [{', '.join(f'{i} / {bins}::DOUBLE' for i in range(1, bins))}])), lambda q: q < (SELECT max({x}) FROM un)) FROM un)"
+    return f"(SELECT list_filter(qs, lambda q: q < top) FROM (SELECT list_distinct(quantile_cont({x}, [{', '.join(f'{i} / {bins}::DOUBLE' for i in range(1, bins))}])) AS qs, max({x}) AS top FROM un))"
 
 
 _audit(
@@ -362,9 +360,9 @@ _audit(
 )
 _audit(
     "m_variance_reliability",
-    f", v AS (SELECT p, p * (1 - p) AS predicted, pow(p - y, 2) AS observed FROM un), e AS (SELECT list_filter(list_distinct(quantile_cont(predicted, [{', '.join(f'{i} / 10::DOUBLE' for i in range(1, 10))}])), lambda q: q < (SELECT max(predicted) FROM v)) AS qs FROM v)"
-    f" SELECT CAST(len(list_filter(qs, lambda q: predicted > q)) AS INTEGER) AS bin, count(*) AS n, {_r('avg(predicted)')} AS mean_predicted, {_r('avg(observed)')} AS mean_observed FROM v, e GROUP BY 1",
-    lambda d: audits.variance_reliability(d.withColumns({"predicted": F.col("p") * (1 - F.col("p")), "observed": F.pow(F.col("p") - F.col("y"), 2)}), "predicted", "observed"),
+    f", v AS (SELECT p, p * (1 - p) AS predicted, pow(p - y, 2) AS observed FROM un), e AS (SELECT list_filter(qs, lambda q: q < top) AS qs FROM (SELECT list_distinct(quantile_cont(predicted, [{', '.join(f'{i} / 10::DOUBLE' for i in range(1, 10))}])) AS qs, max(predicted) AS top FROM v))"
+    f" SELECT CAST(len(list_filter(qs, lambda q: predicted > q)) AS INTEGER) AS bin, count(*) AS n, round(avg(predicted), 4) AS mean_predicted, round(avg(observed), 4) AS mean_observed FROM v, e GROUP BY 1",
+    lambda d: audits.variance_reliability(d.withColumns({"predicted": F.col("p") * (1 - F.col("p")), "observed": F.pow(F.col("p") - F.col("y"), 2)}), "predicted", "observed").select("bin", "n", *[F.round(c, 4).alias(c) for c in ("mean_predicted", "mean_observed")]),
 )
 _NAMES = ["length", "parity", "mix"]
 _COHORT = "CASE WHEN p >= 0.5 THEN CASE WHEN y = 1 THEN 'TP' ELSE 'FP' END ELSE CASE WHEN y = 1 THEN 'FN' ELSE 'TN' END END"

@@ -6,6 +6,8 @@ Each takes a DataFrame with the rows' keys and order and adds columns; steps tha
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,37 +18,64 @@ from barloom.functions.rolling import EPS, Rows, root, with_windows
 _FADED = 1e-12
 
 
-def recursive_mean(df: DataFrame, name: str, x: Column, alpha: float, seed: Column | None = None, start: int = 0, rows: Rows | None = None) -> DataFrame:
-    """y = alpha * x + (1 - alpha) * y of the row before, from row start on, where y is seed (x itself if there is none).
+@dataclass(frozen=True)
+class Recursion:
+    """y = alpha * x + (1 - alpha) * y of the row before, from row start on, where y is seed (x itself if there is none). x must not be null from start on."""
+
+    name: str
+    x: Column
+    alpha: float
+    seed: Column | None = None
+    start: int = 0
+
+
+def recursive_means(df: DataFrame, wanted: list[Recursion], rows: Rows | None = None) -> DataFrame:
+    """df with all the recursive means, made side by side.
 
     A recursion is no frame, but it fades: rows are cut into chunks long enough for what is carried through one to shrink to 1e-12.
     Within a chunk the sum is a running sum of inversely weighted values; what comes before is the last value of the chunk before (and, shrunk
-    once, of the one before that). So a chunk is a task's unit, not a series. x must not be null from start on.
+    once, of the one before that). So a chunk is a task's unit, not a series.
     """
     rows = rows or Rows()
-    keep = 1 - alpha
-    size = max(8, math.ceil(math.log(_FADED) / math.log(keep)))
-    at = F.col(rows.order) - start
+    sizes = [max(8, math.ceil(math.log(_FADED) / math.log(1 - r.alpha))) for r in wanted]
     # x may itself look at other rows, so it is a column of its own first
-    df = df.withColumns({"_x": x, "_seed": x if seed is None else seed, "_chunk": F.floor(at / size)})
-    place = F.col(rows.order) - start - F.col("_chunk") * size
-    value = F.when(at == 0, F.col("_seed")).when(at > 0, alpha * F.col("_x"))
-    own = Window.partitionBy(*rows.keys, "_chunk").orderBy(rows.order)
-    df = df.withColumn("_place", place.cast("double"))
-    local = F.sum(value * F.pow(F.lit(keep), -F.col("_place"))).over(own.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), F.col("_place"))
-    df = df.withColumn("_local", F.when(at >= 0, local))
-    ends = df.filter(F.col("_place") == size - 1).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(rows.keys)], (F.col("_chunk") + 1).alias("_next"), F.col("_local").alias("_end"))
-    by = Window.partitionBy(*[f"_k{i}" for i in range(len(rows.keys))]).orderBy("_next")
-    ends = ends.withColumn("_end", F.col("_end") + keep**size * F.coalesce(F.lag("_end").over(by), F.lit(0.0)))
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(rows.keys)]
-    joined = df.join(ends, [*same, F.col("_chunk") == F.col("_next")], "left")
-    y = F.col("_local") + F.coalesce(F.col("_end"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_place") + 1)
-    return joined.withColumn(name, y).drop("_x", "_seed", "_chunk", "_place", "_local", "_next", "_end", *[f"_k{i}" for i in range(len(rows.keys))])
+    df = df.withColumns({f"_x{i}": r.x for i, r in enumerate(wanted)} | {f"_seed{i}": r.x if r.seed is None else r.seed for i, r in enumerate(wanted)})
+    at = [F.col(rows.order) - r.start for r in wanted]
+    df = df.withColumns({f"_chunk{i}": F.floor(at[i] / n) for i, n in enumerate(sizes)})
+    df = df.withColumns({f"_place{i}": (at[i] - F.col(f"_chunk{i}") * n).cast("double") for i, n in enumerate(sizes)})
+    local = {}
+    for i, r in enumerate(wanted):
+        value = F.when(at[i] == 0, F.col(f"_seed{i}")).when(at[i] > 0, r.alpha * F.col(f"_x{i}"))
+        own = Window.partitionBy(*rows.keys, f"_chunk{i}").orderBy(rows.order).rowsBetween(Window.unboundedPreceding, 0)
+        place = F.col(f"_place{i}")
+        local[f"_local{i}"] = F.when(at[i] >= 0, F.sum(value * F.pow(F.lit(1 - r.alpha), -place)).over(own) * F.pow(F.lit(1 - r.alpha), place))
+    df = made = df.withColumns(local)
+    same = [F.col(c).eqNullSafe(F.col(f"_k{j}")) for j, c in enumerate(rows.keys)]
+    for i, (r, n) in enumerate(zip(wanted, sizes)):
+        keep = 1 - r.alpha
+        ends = df.filter(F.col(f"_place{i}") == n - 1).select(*[F.col(c).alias(f"_k{j}") for j, c in enumerate(rows.keys)], (F.col(f"_chunk{i}") + 1).alias("_next"), F.col(f"_local{i}").alias("_end"))
+        by = Window.partitionBy(*[f"_k{j}" for j in range(len(rows.keys))]).orderBy("_next")
+        ends = ends.withColumn("_end", F.col("_end") + keep**n * F.coalesce(F.lag("_end").over(by), F.lit(0.0)))
+        made = made.join(ends, [*same, F.col(f"_chunk{i}") == F.col("_next")], "left")
+        y = F.col(f"_local{i}") + F.coalesce(F.col("_end"), F.lit(0.0)) * F.pow(F.lit(keep), F.col(f"_place{i}") + 1)
+        made = made.withColumn(r.name, y).drop("_next", "_end", *[f"_k{j}" for j in range(len(rows.keys))])
+    return made.drop(*[f"_{c}{i}" for i in range(len(wanted)) for c in ("x", "seed", "chunk", "place", "local")])
+
+
+def recursive_mean(df: DataFrame, name: str, x: Column, alpha: float, seed: Column | None = None, start: int = 0, rows: Rows | None = None) -> DataFrame:
+    return recursive_means(df, [Recursion(name, x, alpha, seed, start)], rows)
+
+
+def by_span(name: str, x: Column, span: float) -> Recursion:
+    return Recursion(name, x, 2 / (span + 1))
+
+
+def by_half_life(name: str, x: Column, half_life: float) -> Recursion:
+    return Recursion(name, x, 1 - 2 ** (-1 / half_life))
 
 
 def ewm(df: DataFrame, name: str, x: Column, span: float | None = None, half_life: float | None = None, rows: Rows | None = None) -> DataFrame:
-    alpha = 2 / (span + 1) if span is not None else 1 - 2 ** (-1 / half_life)
-    return recursive_mean(df, name, x, alpha, rows=rows)
+    return recursive_means(df, [by_span(name, x, span) if span is not None else by_half_life(name, x, half_life)], rows)
 
 
 def rsi(df: DataFrame, name: str, w: int, rows: Rows | None = None) -> DataFrame:
@@ -54,8 +83,7 @@ def rsi(df: DataFrame, name: str, w: int, rows: Rows | None = None) -> DataFrame
     rows = rows or Rows()
     r = F.coalesce(F.col("r"), F.lit(0.0))
     df = df.withColumns({"_gain": F.when(r > 0, r).otherwise(0.0), "_loss": F.when(r < 0, -r).otherwise(0.0)})
-    for side in ("_gain", "_loss"):
-        df = recursive_mean(df, f"{side}_mean", F.col(side), 1 / w, seed=F.avg(side).over(rows.frame(w)), start=w, rows=rows)
+    df = recursive_means(df, [Recursion(f"{side}_mean", F.col(side), 1 / w, F.avg(side).over(rows.frame(w)), w) for side in ("_gain", "_loss")], rows)
     ratio = F.col("_gain_mean") / (F.col("_loss_mean") + EPS)
     return df.withColumn(name, 100 - 100 / (1 + ratio)).drop("_gain", "_loss", "_gain_mean", "_loss_mean")
 
@@ -69,8 +97,8 @@ def permutation_entropy(df: DataFrame, name: str, x: Column, w: int, rows: Rows
     # of equal values the earlier one counts as smaller
     code = F.when(a.isNotNull() & b.isNotNull() & x.isNotNull(), F.when(a > b, 4).otherwise(0) + F.when(b > x, 2).otherwise(0) + F.when(a > x, 1).otherwise(0))
     df = df.withColumn("_code", code)
-    # patterns 2 and 5 contradict themselves and never occur
-    seen = [c for c in range(8) if c not in (2, 5)]
+    # codes 1 and 6 contradict themselves and never occur
+    seen = [c for c in range(8) if c not in (1, 6)]
     df = df.withColumns({f"_code{c}": F.when(F.col("_code").isNotNull(), F.when(F.col("_code") == c, 1.0).otherwise(0.0)) for c in seen})
     df = with_windows(df, rows, {f"_share{c}": rows.mean(f"_code{c}", w - 2) for c in seen})
     part = lambda s: F.when(s > 1e-9, -s * F.ln(s)).otherwise(F.when(s.isNotNull(), 0.0))
@@ -133,26 +161,24 @@ def drawups_at(df: DataFrame, up: str, down: str, x: Column, w: int, every: int,
     return df.withColumns({c: F.when(here, F.col(c)) for c in (up, down)})
 
 
-def equilibrium_ewm(df: DataFrame, half_life: int, horizon: int, rows: Rows | None = None) -> DataFrame:
-    """df with the recursive means of price and squared return up to the row before, and the price's distance from the one in units of the other."""
-    rows = rows or Rows()
-    df = ewm(df, "_price", F.col("p"), half_life=half_life, rows=rows)
-    df = ewm(df, "_square", F.coalesce(F.col("r") * F.col("r"), F.lit(0.0)), half_life=half_life, rows=rows)
-    mu, sigma = f"eq__mu_ewm__f__h{half_life}", f"eq__sigma_r_ewm__f__h{half_life}"
-    df = df.withColumns({mu: rows.lag("_price"), sigma: F.sqrt(rows.lag("_square"))}).drop("_price", "_square")
-    return df.withColumn(f"eq__ewm_innov_hz__f__h{half_life}", (F.col("p") - F.col(mu)) / (F.col(sigma) * math.sqrt(horizon) + EPS))
-
-
-def ema_spread(df: DataFrame, fast: int, slow: int, rows: Rows | None = None) -> DataFrame:
-    """df with the difference of two recursive means of the log price."""
-    rows = rows or Rows()
-    df = ewm(ewm(df, "_fast", F.col("p"), span=fast, rows=rows), "_slow", F.col("p"), span=slow, rows=rows)
-    return df.withColumn(f"logp__ema_spread__f__w0__fast{fast}__slow{slow}", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-
+def ewm_features(df: DataFrame, half_lives: Iterable[int], spans: Iterable[tuple[int, int]], horizon: int, funding_span: int | None = None, rows: Rows | None = None) -> DataFrame:
+    """df with the features of recursive means, all made side by side.
 
-def funding_ewm(df: DataFrame, span: int, rows: Rows | None = None) -> DataFrame:
-    """df with the recursive mean of the funding rate in per cent."""
-    return ewm(df, f"funding__ewma__f__w{span}", F.col("funding_rate") * 100, span=span, rows=rows)
+    By half life: the means of price and squared return up to the row before, and the price's distance from the one in units of the other. By pair of spans: the difference of two
+    means of the log price. funding_span: the mean of the funding rate in per cent.
+    """
+    rows, half_lives, spans = rows or Rows(), list(half_lives), list(spans)
+    square = F.coalesce(F.col("r") * F.col("r"), F.lit(0.0))
+    wanted = [x for h in half_lives for x in (by_half_life(f"_price{h}", F.col("p"), h), by_half_life(f"_square{h}", square, h))]
+    wanted += [by_span(f"_span{n}", F.col("p"), n) for n in sorted({n for pair in spans for n in pair})]
+    if funding_span:
+        wanted.append(by_span(f"funding__ewma__f__w{funding_span}", F.col("funding_rate") * 100, funding_span))
+    df = recursive_means(df, wanted, rows)
+    mu, sigma = "eq__mu_ewm__f__h{}".format, "eq__sigma_r_ewm__f__h{}".format
+    df = df.withColumns({mu(h): rows.lag(f"_price{h}") for h in half_lives} | {sigma(h): F.sqrt(rows.lag(f"_square{h}")) for h in half_lives})
+    made = {f"eq__ewm_innov_hz__f__h{h}": (F.col("p") - F.col(mu(h))) / (F.col(sigma(h)) * math.sqrt(horizon) + EPS) for h in half_lives}
+    made |= {f"logp__ema_spread__f__w0__fast{a}__slow{b}": F.col(f"_span{a}") - F.col(f"_span{b}") for a, b in spans}
+    return df.withColumns(made).drop(*[w.name for w in wanted if w.name.startswith("_")])
 
 
 def derivatives_base(df: DataFrame) -> DataFrame:

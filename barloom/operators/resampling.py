@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.plans.blocks import running
+from barloom.plans.blocks import running, runnings
 
 #: Share of an interval, and the largest weight that a row can draw.
 LEVEL, MOST = 0.95, 11
@@ -49,7 +49,7 @@ def by_score(drawn: DataFrame) -> DataFrame:
     """replicate, p, pos and neg (weights), and tp, fp: weights at or above p."""
     per = drawn.groupBy("replicate", "p").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg")).withColumn("down", -F.col("p"))
     bucket = F.floor(F.col("down") * BUCKETS)
-    return running(running(per, "tp", F.col("pos"), "replicate", bucket, "down"), "fp", F.col("neg"), "replicate", bucket, "down")
+    return runnings(per, {"tp": (F.col("pos"), "sum"), "fp": (F.col("neg"), "sum")}, "replicate", bucket, "down")
 
 
 def _with_totals(run: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def roc_samples(drawn: DataFrame, grid: list[float]) -> DataFrame:
     table = F.array(*map(F.lit, grid))
     # every point of the grid falls in one step
     here = F.filter(table, lambda g: (g <= F.col("x")) & ((g > F.col("x0")) | (F.col("y0").isNull())))
-    at = steps.select("replicate", "x", "x0", "y", F.coalesce("y0", F.lit(0.0)).alias("y0"), F.explode(here).alias("g"))
+    at = steps.select("replicate", "x", "x0", "y", "y0", F.explode(here).alias("g")).fillna(0.0, ["y0"])
     line = F.when(F.col("x") > F.col("x0"), F.col("y0") + (F.col("y") - F.col("y0")) * (F.col("g") - F.col("x0")) / (F.col("x") - F.col("x0"))).otherwise(F.col("y"))
     return at.select("replicate", F.col("g").alias("x"), line.alias("tpr"))
 

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.plans.blocks import previous, running
+from barloom.plans.blocks import previous, running, runnings
 
 TINY = 1e-6
 Z95 = 1.959963984540054
@@ -29,7 +29,7 @@ def running_by_score(scores: DataFrame, buckets: int = 1000, by: tuple[str, ...]
     """One row per distinct p (and group) with pos, neg and tp, fp: positives and negatives at or above it."""
     per = scores.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("down", -F.col("p")).withColumn("group", F.xxhash64(F.lit(0), *by))
     bucket = F.floor(F.col("down") * buckets)
-    run = running(running(per, "tp", F.col("pos"), "group", bucket, "down"), "fp", F.col("neg"), "group", bucket, "down")
+    run = runnings(per, {"tp": (F.col("pos"), "sum"), "fp": (F.col("neg"), "sum")}, "group", bucket, "down")
     return run.select(*by, "p", "pos", "neg", "tp", "fp")
 
 
@@ -141,7 +141,7 @@ def page_hinkley(series: DataFrame, key: str, order: str, x: str, delta: float =
     """Page-Hinkley statistic for an upward shift of the mean: rows with ph and alarm. order is a whole number, by which buckets of rows are cut."""
     bucket = F.floor(F.col(order) / rows_in_bucket)
     step = lambda df, name, value, how="sum": running(df, name, value, key, bucket, order, how)
-    df = step(step(series, "_s", F.col(x)), "_n", F.lit(1))
+    df = runnings(series, {"_s": (F.col(x), "sum"), "_n": (F.lit(1), "sum")}, key, bucket, order)
     df = step(df, "_c", F.col(x) - F.col("_s") / F.col("_n") - delta)
     df = step(df, "_low", F.col("_c"), "min")
     ph = F.col("_c") - F.least("_low", F.lit(0.0))

@@ -201,7 +201,9 @@ def entry_rank(ledger: DataFrame, bars: DataFrame, reach: int, block_rows: int =
 
 def trade_sample(ledger: DataFrame, each: int, seed: int = 0) -> DataFrame:
     """Of every strategy the trades with the best and the worst returns and some at random, so many each, with the group that chose them."""
-    groups = {"best": F.desc("gross_log_return"), "worst": F.asc("gross_log_return"), "random": F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", F.col("k_entry").cast("string")))}
+    # returns that differ in rounding only are equal
+    earned = F.round("gross_log_return", 9)
+    groups = {"best": earned.desc(), "worst": earned.asc(), "random": F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", F.col("k_entry").cast("string")))}
     out = None
     for name, by in groups.items():
         order = Window.partitionBy("strategy").orderBy(by, "symbol", "k_entry")

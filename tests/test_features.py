@@ -1,11 +1,13 @@
 """Window functions and features against pandas, in both physical forms, and their causality."""
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import Rows
+from barloom.functions.rolling import Rows, norm_cdf, with_windows
 from barloom.operators import features, labels
 from barloom.plans.blocks import in_blocks
 from barloom.sources import bars as source
@@ -27,18 +29,27 @@ def frame(spark, pdf):
 @pytest.mark.parametrize("w", [1, 3, 20])
 def test_rolling_against_pandas(spark, direct, w):
     pdf, rows = series(), Rows(direct=direct)
-    x = F.col("x")
-    got = frame(spark, pdf).select("k", rows.sum(x, w).alias("sum"), rows.mean(x, w).alias("mean"), rows.std(x, w).alias("std"), rows.min(x, w).alias("min"), rows.max(x, w).alias("max")).toPandas().sort_values("k")
+    made = {n: getattr(rows, n)("x", w) for n in ("sum", "mean", "std", "min", "max")}
+    got = with_windows(frame(spark, pdf), rows, made).toPandas().sort_values("k")
     roll = pdf.x.rolling(w, min_periods=w)
     want = {"sum": roll.sum(), "mean": roll.mean(), "std": roll.std(ddof=0), "min": roll.min(), "max": roll.max()}
     for name, values in want.items():
         assert np.allclose(got[name].to_numpy(float), values.to_numpy(), atol=1e-5, equal_nan=True), name
 
 
-def test_order_statistics_against_pandas(spark):
-    pdf, rows, w = series(80), Rows(), 9
-    x = F.col("x")
-    got = frame(spark, pdf).select("k", rows.quantile(x, w, 0.1).alias("q"), rows.mad(x, w).alias("mad"), rows.corr(x, F.col("y"), w).alias("corr"), rows.rank(x, w).alias("rank")).toPandas().sort_values("k")
+@pytest.mark.parametrize("direct", [4, 64])
+def test_order_statistics_lines_and_parabolas_against_pandas(spark, direct):
+    pdf, rows, w = series(80), Rows(direct=direct), 9
+    slope, (one, two) = rows.line("x", w), rows.parabola("x", w)
+    made = {"q": rows.quantile("x", w, 0.1), "mad": rows.mad("x", w), "corr": rows.corr("x", "y", w), "rank": rows.rank("x", w), "some": rows.mad("x", w, 5), "slope": slope[1], "rest": slope[2], "one": one, "two": two}
+    got = with_windows(frame(spark, pdf), rows, made).toPandas().sort_values("k").reset_index(drop=True)
+    u = np.arange(w) - (w - 1) / 2
+    fit = lambda degree, k: pdf.x.rolling(w, min_periods=w).apply(lambda v: np.polynomial.polynomial.polyfit(u, v, degree)[k], raw=True).to_numpy()
+    for c, want in (("slope", fit(1, 1)), ("one", fit(2, 1)), ("two", fit(2, 2))):
+        assert np.allclose(got[c].to_numpy(float), want, atol=1e-6, equal_nan=True), c
+    rest = pdf.x.rolling(w, min_periods=w).apply(lambda v: np.std(v - np.polyval(np.polyfit(u, v, 1), u)), raw=True)
+    assert np.allclose(got.rest.to_numpy(float), rest.to_numpy(), atol=1e-5, equal_nan=True)
+    assert np.allclose(got.some.to_numpy(float), np.where(got.k % 5 == 0, got.mad.to_numpy(float), np.nan), equal_nan=True)
     roll = pdf.x.rolling(w, min_periods=w)
     assert np.allclose(got.q.to_numpy(float), roll.quantile(0.1).to_numpy(), equal_nan=True)
     assert np.allclose(got.mad.to_numpy(float), roll.apply(lambda v: np.median(np.abs(v - np.median(v))), raw=True).to_numpy(), equal_nan=True)
@@ -48,9 +59,15 @@ def test_order_statistics_against_pandas(spark):
     assert np.allclose(got["corr"].to_numpy(float), want.to_numpy(), atol=1e-6, equal_nan=True)
 
 
+def test_normal_distribution_function(spark):
+    xs = [-9.0, -4.2, -3.6, -3.4, -1.0, -1e-9, 0.0, 0.3, 2.0, 3.5, 6.0]
+    got = [r.p for r in spark.createDataFrame([(x,) for x in xs], "x double").select(norm_cdf(F.col("x")).alias("p")).collect()]
+    assert np.allclose(got, [NormalDist().cdf(x) for x in xs], rtol=1e-9, atol=1e-15)
+
+
 SF = "/root/testdata/sf0.001"
 #: Those that need bars only.
-FAMILIES = sorted({f.family for f in features.REGISTRY.values()} - {"derivatives", "vov"})
+FAMILIES = sorted({f.family for f in features.REGISTRY.values()} - {"derivatives", "vov", "funding", "options", "oi_regime"})
 
 
 def all_features(base, rows=None):
