@@ -37,7 +37,7 @@ PART, WHOLE = 4, 5
 SAMPLE, FREQUENT, LAST_MOST = 10_000, 4, 100_000
 SEED = 43
 #: Nodes that share a prefix token beyond which their pairs are counted within tasks, and nodes of a block there.
-CROWD, CROWD_BLOCK = 100, 2048
+CROWD, CROWD_BLOCK = 50, 2048
 
 
 def shingles(text: str | None) -> np.ndarray:
