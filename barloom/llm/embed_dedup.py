@@ -264,13 +264,13 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sure: float = SURE, n
             own, other = _unit(_matrix(homes.column("data"), kind)), _unit(_matrix(asks.column("data"), kind))
             ids, names = homes.column("vec").to_numpy(), asks.column("vec").to_numpy()
             codes, factors, far = _matrix(homes.column("code"), np.uint8), homes.column("factor").to_numpy(), homes.column("far").to_numpy()
-            shared = own @ pivot
+            with_pivot = own @ pivot
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for a in range(0, len(other), 512):
                 part = other[a : a + 512]
                 # <x, y> = <x - p, y - p> + <x, p> + <p, y> - <p, p>
                 guess, error = estimates(part - pivot, codes, factors, far, turn)
-                guess = guess + (part @ pivot)[:, None] + shared[None] - pivot @ pivot
+                guess = guess + (part @ pivot)[:, None] + with_pivot[None] - pivot @ pivot
                 q, h = np.nonzero((guess + sure * error >= threshold - 1e-6) & (names[a : a + 512, None] != ids[None]))
                 for k in range(0, len(q), 1 << 16):
                     i, j = q[k : k + (1 << 16)], h[k : k + (1 << 16)]
