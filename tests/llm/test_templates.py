@@ -84,7 +84,7 @@ def test_more_documents_of_a_template_never_bring_it_back(spark):
     def lines(n):
         return [(i, f"On {['Monday', 'Friday'][i % 2]} order {i % 37} of customer c{i % 41} was sent to the store of the town") for i in range(n)]
 
-    for n in (12, 200, 2000):
+    for n in (24, 200, 2000):
         docs = spark.createDataFrame(lines(n), "doc_id long, text string")
         left = {r.doc_id for r in templates.drop_lines(docs).filter("text <> ''").collect()}
         # one keeper for each of the tree's two leaves, as the weekday leads the line
