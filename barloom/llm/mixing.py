@@ -180,9 +180,9 @@ placed AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
          CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.turn, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS start
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-passes AS (SELECT *, unnest(range(0, size, 512)) AS at FROM (SELECT *, unnest([0, 1]) AS pass FROM placed) WHERE size > 0),
+passes AS (SELECT *, unnest(range(0, size, 512)) AS begun FROM (SELECT *, unnest([0, 1]) AS pass FROM placed) WHERE size > 0),
 packets AS (
-  SELECT source, least(at + 512, size) - at AS words, CASE WHEN target > 0 THEN (start + source_size * pass + least(at + 512, size)) / target ELSE 'inf'::DOUBLE END AS finish FROM passes),
+  SELECT source, least(begun + 512, size) - begun AS words, CASE WHEN target > 0 THEN (start + source_size * pass + least(begun + 512, size)) / target ELSE 'inf'::DOUBLE END AS finish FROM passes),
 queue AS (
   SELECT source, words, CAST(sum(words) OVER (ORDER BY finish, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - words AS total FROM packets),
 served AS (

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from barloom.llm import storage, templates, toxicity
+from barloom.llm import mixing, storage, templates, toxicity
 
 from .test_mixing import targets
 from .test_resemblance import plain_set, similar
@@ -45,7 +45,9 @@ def test_stages_against_plain_versions(spark):
             want, got, longest = targets(words(before)), words(after), defaultdict(int)
             for s, t in zip(before.source, before.text):
                 longest[s] = max(longest[s], len(t.encode().split()))
-            assert all(want[s] - 1 <= got[s] <= want[s] + longest[s] for s in got)
+            # the cut falls within a packet or two of a source's target, and the document that it falls in stays whole
+            near = 2 * mixing.PACKET
+            assert all(want[s] - near <= got[s] <= want[s] + longest[s] + near for s in want)
             assert max(Counter(after.doc_id).values()) <= 2
         if name == "packing":
             t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
