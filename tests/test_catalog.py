@@ -10,7 +10,7 @@ from barloom import catalog, catalog_kernels, catalog_strategy  # noqa: F401
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 #: Queries that divide by prices or take their logarithms; events of the larger table have prices of zero.
-PRICES = ("base_series", "block_boundary", "feat_candle", "feat_equilibrium", "feat_extreme", "feat_volatility", "feat_volatility_long", "flagship", "label_barrier", "sim_baseline")
+PRICES = ("block_boundary", "feat_candle", "feat_equilibrium", "feat_extreme", "feat_volatility", "feat_volatility_long", "flagship", "label_barrier", "sim_baseline")
 
 
 def connect(path):
