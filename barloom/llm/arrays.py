@@ -69,9 +69,10 @@ class Words:
     """The words of a batch of texts (null: no words).
 
     data: bytes; starts, ends: each word's place in data; bounds: the first word of each text, and the number of words.
+    is_word: which of the 256 bytes belong to words, if not those above.
     """
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False):
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False, is_word: np.ndarray = _IS_WORD):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
         texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
@@ -84,7 +85,7 @@ class Words:
         offsets = offsets - lo
         self.data = _LOWER[data] if lower else data
         word = np.zeros(len(data) + 2, bool)
-        word[1:-1] = _IS_WORD[data]
+        word[1:-1] = is_word[data]
         begin = word[1:-1] & ~word[:-2]
         end = word[1:-1] & ~word[2:]
         edges = offsets[(offsets > 0) & (offsets < len(data))]

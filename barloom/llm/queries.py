@@ -5,7 +5,7 @@ from functools import wraps
 import corpus_pipeline
 from barloom.plans.shipping import ship
 
-from . import embed_dedup, fingerprint, katz, mixing, packing, relative_lz, simhash, templates, token_count, toxicity
+from . import alignment, embed_dedup, fingerprint, impact_index, katz, mixing, packing, relative_lz, simhash, templates, token_count, toxicity, url_rules
 
 
 def _shipped(query):
@@ -28,6 +28,9 @@ _QUERIES = {
     "op8_relative_lz": relative_lz.op8,
     "op9_packing": packing.op9,
     "op10_token_count": token_count.op10,
+    "op11_impact_index": impact_index.op11,
+    "op12_alignment": alignment.op12,
+    "op13_url_rules": url_rules.op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -38,4 +41,6 @@ ORACLE_SQL = {
     "op6_embed_dedup": embed_dedup.ORACLE,
     "op7_templates": templates.ORACLE,
     "op8_relative_lz": relative_lz.ORACLE,
+    "op11_impact_index": impact_index.ORACLE,
+    "op13_url_rules": url_rules.ORACLE,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
