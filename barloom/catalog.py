@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import Rows
-from barloom.operators import features, labels, scores
+from barloom.operators import features, labels, passage, scores
 from barloom.plans.blocks import in_blocks
 from barloom.sources import bars as bar_source
 
@@ -379,6 +379,21 @@ def label_barrier(spark, sf_dir: str) -> DataFrame:
     return rounded(_labelled(spark, sf_dir).select("symbol", "k", "y", "m_k", "tau_k", "phi"))
 
 
+FAR = 480
+
+
+@query(
+    "first_passage",
+    f"""WITH {_BARS}, levels AS (SELECT symbol, k, close * 1.5 AS up, close * 0.6 AS down FROM bars),
+    hits AS (SELECT l.symbol, l.k, min(CASE WHEN b.high >= up THEN b.k - l.k END) AS rows_up, min(CASE WHEN b.low <= down THEN b.k - l.k END) AS rows_down
+      FROM levels l JOIN bars b ON b.symbol = l.symbol AND b.k > l.k AND b.k <= l.k + {FAR} GROUP BY 1, 2)
+    SELECT l.symbol, l.k, rows_up, rows_down FROM levels l LEFT JOIN hits h ON l.symbol = h.symbol AND l.k = h.k""",
+)
+def first_passage(spark, sf_dir: str) -> DataFrame:
+    bars = bar_source.hourly(spark, sf_dir).withColumns({"up": F.col("close") * 1.5, "down": F.col("close") * 0.6})
+    return passage.first_passage(bars, {"rows_up": ("high", "up")}, {"rows_down": ("low", "down")}, FAR, BLOCK).select("symbol", "k", "rows_up", "rows_down")
+
+
 @query(
     "past_target",
     f"""WITH {_LABELS}, m AS (SELECT *, CAST(lag(y, {HORIZON}) OVER ({_O}) AS DOUBLE) AS hit__prev FROM lab)

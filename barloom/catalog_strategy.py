@@ -81,6 +81,23 @@ def sim_composition(spark, sf_dir: str) -> DataFrame:
     return rounded(strategy.composition(_ledger(spark, sf_dir)))
 
 
+BOOK_EDGES = [-0.5, -0.2, 0.0, 0.2, 0.5]
+_BOOK_BINS = [*[f"mtm < {e}" for e in BOOK_EDGES[1:-1]], "true"]
+
+
+@_of_ledger(
+    "sim_open_book",
+    f""", steps AS (SELECT b.symbol, l.strategy, b.k, b.close FROM bars b JOIN (SELECT DISTINCT symbol, strategy FROM ledger) l ON b.symbol = l.symbol),
+    met AS (SELECT s.symbol, s.strategy, s.k, CASE WHEN s.close > 0 THEN ln(s.close / l.entry_price) END AS mtm FROM steps s JOIN ledger l ON s.symbol = l.symbol AND s.strategy = l.strategy AND s.k BETWEEN l.k_entry AND l.k_exit WHERE l.entry_price > 0),
+    binned AS (SELECT *, CASE {" ".join(f"WHEN {c} THEN {n}" for n, c in enumerate(_BOOK_BINS))} END AS bin FROM met WHERE mtm IS NOT NULL),
+    per AS (SELECT symbol, strategy, k, count(*) AS n_open, sum(mtm) AS sum_mtm, min(mtm) AS worst_mtm, {", ".join(f"count(*) FILTER (bin = {n}) AS in_bin_{n}" for n in range(len(BOOK_EDGES) - 1))} FROM binned GROUP BY 1, 2, 3)
+    SELECT s.symbol, s.strategy, s.k, coalesce(n_open, 0) AS n_open, {_r("coalesce(sum_mtm, 0)")} AS sum_mtm, {_r("worst_mtm")} AS worst_mtm, {", ".join(f"coalesce(in_bin_{n}, 0) AS in_bin_{n}" for n in range(len(BOOK_EDGES) - 1))}
+    FROM steps s LEFT JOIN per p ON s.symbol = p.symbol AND s.strategy = p.strategy AND s.k = p.k""",
+)
+def sim_open_book(spark, sf_dir: str) -> DataFrame:
+    return rounded(strategy.open_book(_ledger(spark, sf_dir), bar_source.hourly(spark, sf_dir), BOOK_EDGES, width=4))
+
+
 _EQUITY = """, step AS (SELECT strategy, k_exit, sum(gross_log_return * size) AS step FROM ledger GROUP BY 1, 2), eq AS (SELECT strategy, k_exit, step, sum(step) OVER (PARTITION BY strategy ORDER BY k_exit) AS equity FROM step),
   fall AS (SELECT *, greatest(max(equity) OVER (PARTITION BY strategy ORDER BY k_exit), 0) - equity AS fall FROM eq)"""
 

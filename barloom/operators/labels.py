@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import Rows, safe_log_ratio, with_windows
+from barloom.operators.passage import barrier_ahead
 from barloom.plans.blocks import BLOCK_ROWS, carry, in_blocks, previous, running
 
 
@@ -20,16 +21,11 @@ def barrier_labels(bars: DataFrame, horizon: int, barrier: float, price: str = "
 
     The last horizon bars have no label. A window with a missing price has y = 0 and no m_k.
     """
-    rows = rows or Rows()
-    ahead = rows.spec.rowsBetween(1, horizon)
-    values = F.collect_list(price).over(ahead)
-    complete = F.count(price).over(ahead) == horizon
-    mature = F.count(F.lit(1)).over(ahead) == horizon
-    best = F.when(mature & complete, safe_log_ratio(F.max(price).over(ahead), "close"))
-    df = bars.withColumn("m_k", best).withColumn("_ahead", F.when(mature & complete, values)).withColumn("_mature", mature)
-    y = F.when(F.col("_mature"), F.when(F.col("m_k") >= barrier, 1).otherwise(0))
-    hit = F.array_position(F.transform("_ahead", lambda v: F.coalesce(safe_log_ratio(v, "close") >= barrier, F.lit(False))), True)
-    return df.withColumn("y", y).withColumn("tau_k", F.when((F.col("y") == 1) & (hit > 0), hit.cast("double"))).withColumn("phi", F.lit(float(barrier))).drop("_ahead", "_mature")
+    df = barrier_ahead(bars, rows or Rows(), horizon, barrier, price)
+    mature = F.col("_rows") == horizon
+    df = df.withColumn("m_k", F.when(mature & (F.col("_prices") == horizon), safe_log_ratio("_best", "close")))
+    y = F.when(mature, F.when(F.col("m_k") >= barrier, 1).otherwise(0))
+    return df.withColumn("y", y).withColumn("tau_k", F.when(F.col("y") == 1, F.col("_tau"))).withColumn("phi", F.lit(float(barrier))).drop("_rows", "_prices", "_best", "_tau")
 
 
 def past_target(labelled: DataFrame, horizon: int, windows: tuple[int, ...], rows: Rows | None = None) -> DataFrame:

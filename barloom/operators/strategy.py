@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from barloom.functions.rolling import Rows, safe_log_ratio
 from barloom.operators.audits import bucket, cuts
+from barloom.operators.passage import Ahead, numbers
 from barloom.plans.blocks import BLOCK_ROWS, in_blocks, running
+from barloom.plans.intervals import interval_join
 from barloom.plans.shipping import ship
 
 LEDGER = ("symbol", "strategy", "k_entry", "k_exit", "entry_price", "exit_price", "size", "exit_reason", "gross_log_return", "p_entry")
@@ -42,26 +45,48 @@ def candidates(path: DataFrame, strategies: list[Strategy], block_rows: int = BL
 
     Where a row reaches both barriers the stop counts. A missing score opens nothing.
     """
-    specs = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in asdict(s).items()]) for s in strategies])
     longest = max(s.horizon for s in strategies)
+    ship(path.sparkSession)
+    schema = f"symbol {path.schema['symbol'].dataType.simpleString()}, spec int, k_entry long, k_exit long, entry_price double, hit int, exit_close double, p_entry double"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def exits(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        close, high, low, p = (numbers(table, c) for c in ("close", "high", "low", "p"))
+        k, own = table.column("k").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
+        above, below = Ahead(high), Ahead(-low)
+        found = []
+        for n, s in enumerate(strategies):
+            at = np.flatnonzero(own & (p >= s.threshold))
+            take, stop = close[at] * math.exp(s.take), close[at] * math.exp(-s.stop)
+            took = above.first(at, lambda v, level=take: v >= level, s.horizon)
+            stopped = below.first(at, lambda v, level=stop: -v <= level, s.horizon) if s.stop > 0 else np.zeros(len(at), np.int64)
+            ends = np.where(at + s.horizon < len(k), s.horizon, 0)
+            never = longest + 1
+            rows = np.minimum.reduce([np.where(x > 0, x, never) for x in (took, stopped, ends)])
+            hit = np.where(rows == never, -1, np.where(stopped == rows, 0, np.where(took == rows, 1, 2)))
+            out = np.minimum(at + rows, len(k) - 1)
+            done = hit >= 0
+            found.append([np.full(len(at), n), k[at], np.where(done, k[out], -1), close[at], hit, np.where(done, close[out], np.nan), p[at]])
+        columns = [np.concatenate(c) for c in zip(*found)]
+        symbol = pa.array([table.column("symbol")[0].as_py()] * len(columns[0]), table.schema.field("symbol").type)
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([symbol, *[pa.array(c, from_pandas=True).cast(t) for c, t in zip(columns, kinds)]], names=names)
 
     def work(df: DataFrame, rows: Rows) -> DataFrame:
-        ahead = F.collect_list(F.struct("k", "high", "low", "close")).over(rows.spec.rowsBetween(1, longest))
-        return df.withColumn("ahead", ahead)
+        own = F.col("_block") == F.floor(F.col("k") / block_rows)
+        # in_blocks() keeps the rows of a block's own; these all are
+        made = df.withColumn("own", own).groupBy(*rows.keys).applyInArrow(exits, schema)
+        return made.withColumn("k", F.col("k_entry")).withColumn("_block", F.floor(F.col("k") / block_rows))
 
     rows = in_blocks(path.select("symbol", "k", "close", "high", "low", "p"), work, 0, block_rows, ahead=longest)
-    rows = rows.select("*", F.explode(specs).alias("s")).filter(F.col("p") >= F.col("s.threshold"))
-    stop, take = F.when(F.col("s.stop") > 0, F.col("close") * F.exp(-F.col("s.stop"))), F.col("close") * F.exp("s.take")
-    rows = rows.withColumns({"sl": stop, "tp": take})
-    stopped = lambda r: F.coalesce(r["low"] <= F.col("sl"), F.lit(False))
-    out = F.get(F.filter("ahead", lambda r: stopped(r) | (r["high"] >= F.col("tp")) | (r["k"] >= F.col("k") + F.col("s.horizon"))), F.lit(0))
-    rows = rows.withColumn("out", out)
-    took = F.col("out.high") >= F.col("tp")
-    price = F.when(F.col("out").isNotNull(), F.when(stopped(F.col("out")), F.col("sl")).when(took, F.col("tp")).otherwise(F.col("out.close")))
-    reason = F.when(F.col("out").isNotNull(), F.when(stopped(F.col("out")), "sl").when(took, "tp").otherwise("expiry"))
+    of = lambda name: F.element_at(F.array(*[F.lit(getattr(s, name)) for s in strategies]), F.col("spec") + 1)
+    hit, entry = F.col("hit"), F.col("entry_price")
+    price = F.when(hit == 0, entry * F.exp(-of("stop"))).when(hit == 1, entry * F.exp(of("take"))).when(hit == 2, F.col("exit_close"))
+    reason = F.when(hit == 0, "sl").when(hit == 1, "tp").when(hit == 2, "expiry")
     return rows.select(
-        "symbol", F.col("s.name").alias("strategy"), F.col("k").cast("long").alias("k_entry"), F.col("out.k").cast("long").alias("k_exit"), F.col("close").alias("entry_price"), price.alias("exit_price"), F.col("s.size").alias("size"),
-        reason.alias("exit_reason"), safe_log_ratio(price, "close").alias("gross_log_return"), F.col("p").alias("p_entry"), F.col("s.max_open").alias("max_open"),
+        "symbol", of("name").alias("strategy"), "k_entry", F.when(hit >= 0, F.col("k_exit")).alias("k_exit"), "entry_price", price.alias("exit_price"), of("size").alias("size"),
+        reason.alias("exit_reason"), safe_log_ratio(price, "entry_price").alias("gross_log_return"), "p_entry", of("max_open").alias("max_open"),
     )
 
 
@@ -110,6 +135,25 @@ def composition(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("strategy", "exit_reason").agg(F.count("*").alias("trades"), F.sum("gross_log_return").alias("gross"))
 
 
+def open_book(ledger: DataFrame, path: DataFrame, edges: list[float], width: int = 512) -> DataFrame:
+    """What is open at each row of path (symbol, k, close) for each of the symbol's strategies: n_open, sum_mtm and worst_mtm (log returns at the row's close, unweighted) and in_bin_0, .., the positions by their return.
+
+    A position is open from its entry row to its exit row, both included. Bins are [edge, next edge); what lies beyond the edges is in the first or last bin. Positions without a price above zero, and rows without a
+    close above zero, count nowhere. Rows without open positions have zeros and no worst_mtm. Positions and rows meet by an interval join, so a long position is no long task.
+    """
+    if len(edges) < 2:
+        raise ValueError("edges must bound one bin at least")
+    held = ledger.filter("entry_price > 0").select("symbol", "strategy", "k_entry", "k_exit", "entry_price")
+    steps = path.select("symbol", "k", "close").join(ledger.select("symbol", "strategy").distinct(), "symbol")
+    met = interval_join(steps, held, ["symbol", "strategy"], "k", "k_entry", "k_exit", width)
+    met = met.withColumn("mtm", safe_log_ratio("close", "entry_price")).filter("mtm is not null")
+    place = sum((F.when(F.col("mtm") >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
+    bins = range(len(edges) - 1)
+    per = met.groupBy("symbol", "strategy", "k").agg(F.count("*").alias("n_open"), F.sum("mtm").alias("sum_mtm"), F.min("mtm").alias("worst_mtm"), *[F.count_if(place == n).alias(f"in_bin_{n}") for n in bins])
+    zero = ["n_open", "sum_mtm", *[f"in_bin_{n}" for n in bins]]
+    return steps.drop("close").join(per, ["symbol", "strategy", "k"], "left").fillna(0, zero)
+
+
 def _by_exit(ledger: DataFrame) -> DataFrame:
     """Realised return of each strategy per exit row."""
     return ledger.groupBy("strategy", "k_exit").agg(F.sum(F.col("gross_log_return") * F.col("size")).alias("step"))
@@ -167,15 +211,29 @@ def cluster_summary(log: DataFrame) -> DataFrame:
 
 
 def time_to_take(ledger: DataFrame, bars: DataFrame, take: float, look_ahead: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """ledger with held (rows to the exit) and would_take (rows until the high reaches the entry price times e^take, within look_ahead; null if it does not)."""
-
-    def work(df: DataFrame, rows: Rows) -> DataFrame:
-        return df.withColumn("_ahead", F.collect_list("high").over(rows.spec.rowsBetween(1, look_ahead)))
+    """ledger with held (rows to the exit) and would_take (rows until the high reaches the entry price times e^take, within look_ahead; null if it does not, or if there is no bar at the entry).
 
-    path = in_blocks(bars.select("symbol", "k", "high"), work, 0, block_rows, ahead=look_ahead).select(F.col("symbol").alias("_s"), F.col("k").alias("_k"), "_ahead")
-    joined = ledger.join(path, (F.col("symbol") == F.col("_s")) & (F.col("k_entry") == F.col("_k")))
-    hit = F.array_position(F.transform("_ahead", lambda h: F.coalesce(h >= F.col("entry_price") * math.exp(take), F.lit(False))), True)
-    return joined.withColumn("held", F.col("k_exit") - F.col("k_entry")).withColumn("would_take", F.when(hit > 0, hit)).drop("_s", "_k", "_ahead")
+    Entries meet the block of bars that their row is in, which also holds the look_ahead rows after it.
+    """
+    ship(ledger.sparkSession)
+    names = ledger.columns
+    block = F.floor(F.col("k_entry") / block_rows)
+    entries = ledger.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("entry"), F.col("symbol").alias("_s"), block.alias("_b"), "k_entry", "entry_price")
+    path = bars.select(F.col("symbol").alias("_s"), "k", "high").withColumn("_b", F.explode(F.sequence(F.floor(F.greatest(F.col("k") - look_ahead, F.lit(0)) / block_rows), F.floor(F.col("k") / block_rows))))
+
+    def run(found: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("k")
+        k, at = rows.column("k").to_numpy(), found.column("k_entry").to_numpy()
+        place = np.searchsorted(k, at)
+        there = (place < len(k)) & (k[np.minimum(place, len(k) - 1)] == at) if len(k) else np.zeros(len(at), bool)
+        level = numbers(found, "entry_price") * math.exp(take)
+        hit = np.zeros(len(at), np.int64)
+        hit[there] = Ahead(numbers(rows, "high")).first(place[there], lambda v: v >= level[there], look_ahead)
+        return pa.Table.from_arrays([found.column("entry"), pa.array(np.where(hit > 0, hit, np.nan), from_pandas=True).cast(pa.int64())], names=["entry", "would_take"])
+
+    schema = StructType([entries.schema["entry"], StructField("would_take", LongType())])
+    met = entries.groupBy("_s", "_b").cogroup(path.groupBy("_s", "_b")).applyInArrow(run, schema)
+    return met.select("entry.*", (F.col("entry.k_exit") - F.col("entry.k_entry")).alias("held"), "would_take")
 
 
 def time_to_take_summary(df: DataFrame) -> DataFrame:
