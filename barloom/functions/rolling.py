@@ -3,7 +3,7 @@
 A frame function is O(w) a row in Spark, so each has two forms. Up to `direct` rows it is a frame. A longer window reads helper columns that
 add_long() makes once for a series, whatever the number of windows: running totals (of the values less the block's first, so that no digits are lost),
 whose difference over w rows is a sum, mean, deviation, correlation or straight line; and extremes over 2, 4, 8, .. rows, two of which cover a window.
-Only order statistics of long windows (quantile, median distance, rank) have no such form; they are numpy over Arrow, a block at a time.
+Order statistics of long windows (quantile, median distance, rank) are read from a wavelet matrix of a block's rows (functions.order), in numpy over Arrow.
 Long series are cut into blocks of rows with a halo first (plans.blocks), which also keeps running totals short.
 
 Series of long windows are named by their columns.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from barloom.functions.order import WaveletMatrix
 from barloom.plans.shipping import ship
 
 EPS = 1e-10
@@ -28,8 +29,8 @@ EPS = 1e-10
 DIRECT = 64
 #: Share of a mean square below which a variance is rounding noise.
 _NOISE = 1e-12
-#: Values that a task holds as windows at once.
-_VALUES = 1 << 22
+#: Windows that are asked about at once.
+_AT_ONCE = 1 << 16
 
 Series = str | Column
 
@@ -243,28 +244,21 @@ def with_windows(df: DataFrame, rows: Rows, columns: dict[str, Column]) -> DataF
     return drop_long(rows.add_long(df).withColumns(columns))
 
 
-def _windows(x: np.ndarray, at: np.ndarray, w: int):
-    """The windows of w rows that end at some rows, a bounded number of values at a time."""
-    every = np.lib.stride_tricks.sliding_window_view(x, w)
-    step = max(1, _VALUES // w)
-    for a in range(0, len(at), step):
-        yield at[a : a + step], every[at[a : a + step] - w + 1]
-
-
-def order_statistic(x: np.ndarray, k: np.ndarray, kind: str, w: int, every: int, *more) -> np.ndarray:
-    """Quantile, median distance from the median or rank over w rows that end at rows whose k is divisible; NaN elsewhere and where a value is missing."""
+def order_statistic(x: np.ndarray, k: np.ndarray, kind: str, w: int, every: int, *more, tree: WaveletMatrix | None = None) -> np.ndarray:
+    """Quantile, median distance from the median or rank over w rows that end at rows whose k is divisible; NaN elsewhere and where a value is missing. tree is that of x."""
     out = np.full(len(x), np.nan)
     missing = np.cumsum(np.concatenate([[0], np.isnan(x)]))
     ends = np.arange(w - 1, len(x))
     ends = ends[(k[ends] % every == 0) & (missing[ends + 1] == missing[ends + 1 - w])]
-    if len(ends):
-        for at, values in _windows(x, ends, w):
-            if kind == "quantile":
-                out[at] = np.quantile(values, more[0], axis=1)
-            elif kind == "rank":
-                out[at] = (values <= values[:, -1:]).sum(1) / w
-            else:
-                out[at] = np.median(np.abs(values - np.median(values, axis=1)[:, None]), axis=1)
+    tree = tree or WaveletMatrix(x)
+    for a in range(0, len(ends), _AT_ONCE):
+        at = ends[a : a + _AT_ONCE]
+        if kind == "quantile":
+            out[at] = tree.quantile(at - w + 1, w, more[0])
+        elif kind == "rank":
+            out[at] = tree.count_at_most(at - w + 1, at + 1, x[at]) / w
+        else:
+            out[at] = tree.median_distance(at - w + 1, w)
     return out
 
 
@@ -276,9 +270,12 @@ def _order_statistics(df: DataFrame, rows: Rows, asked: Iterable[tuple]) -> Data
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
         k = table.column(order).to_numpy()
+        trees = {}
         for column, kind, x, *more in asked:
-            values = table.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64)
-            made = order_statistic(values, k, kind, *more)
+            if x not in trees:
+                values = table.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64)
+                trees[x] = values, WaveletMatrix(values)
+            made = order_statistic(trees[x][0], k, kind, *more, tree=trees[x][1])
             table = table.append_column(column, pa.array(made, from_pandas=True))
         return table
 

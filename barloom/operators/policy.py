@@ -5,10 +5,15 @@ A gate is a boolean column that is never null: what is missing keeps the gate sh
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
+from barloom.functions.order import WaveletMatrix
 from barloom.functions.rolling import Rows
+from barloom.operators.passage import by_series, numbers
 
 
 def _shut(x: Column) -> Column:
@@ -82,11 +87,18 @@ def cluster_marginal(held: Column, target: float, first: float | None = None) ->
 
 
 def trailing_rank(df: DataFrame, name: str, x: str, window: int, least: int, rows: Rows | None = None) -> DataFrame:
-    """df with the share of the up to window rows before each whose x is at most its own; null with fewer than least of them."""
-    spec = (rows or Rows()).spec.rowsBetween(-window, -1)
-    seen = F.collect_list(x).over(spec)
-    df = df.withColumn("_seen", seen)
-    return df.withColumn(name, F.when((F.size("_seen") >= least) & F.col(x).isNotNull(), F.size(F.filter("_seen", lambda v: v <= F.col(x))) / F.size("_seen"))).drop("_seen")
+    """df with the share of the up to window rows before each whose x is at most its own; null with fewer than least of them that have one."""
+
+    def make(table: pa.Table) -> dict[str, np.ndarray]:
+        values = numbers(table, x)
+        at = np.arange(len(values))
+        lo = np.maximum(at - window, 0)
+        there = np.concatenate([[0], np.cumsum(~np.isnan(values))])
+        seen = there[at] - there[lo]
+        known = (seen >= least) & ~np.isnan(values)
+        return {name: np.where(known, WaveletMatrix(values).count_at_most(lo, at, values) / np.maximum(seen, 1), np.nan)}
+
+    return by_series(df, rows or Rows(), make, [StructField(name, DoubleType())])
 
 
 def trailing_base_rate(df: DataFrame, name: str, rank: str, y: str, bins: int, window: int, least: int, keys: tuple[str, ...] = ("symbol",), order: str = "k") -> DataFrame:
