@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import norm_cdf
 from barloom.operators import scores
-from barloom.plans.blocks import previous
+from barloom.plans.blocks import previous, running
+from barloom.plans.quantiles import quantile_values, quantiles
 
 
 def cuts(df: DataFrame, x: str, bins: int) -> list[float]:
     """Inner edges of equal-frequency bins of x; edges that coincide are one."""
-    found = df.agg(F.percentile(x, [i / bins for i in range(1, bins)]).alias("q"), F.max(x).alias("top")).first()
-    return sorted(q for q in set(found.q or []) if q < found.top)
+    *inner, top = quantile_values(df, x, [*[i / bins for i in range(1, bins)], 1.0]) or [None]
+    return sorted(q for q in set(inner) if q < top)
 
 
 def bucket(x: Column, edges: list[float]) -> Column:
@@ -29,12 +30,12 @@ def bucket(x: Column, edges: list[float]) -> Column:
 
 def top_q_threshold(df: DataFrame, q: float) -> DataFrame:
     """threshold: the q-quantile of p."""
-    return df.agg(F.percentile("p", q).alias("threshold"))
+    return quantiles(df, "p", [q]).select(F.get("q", F.lit(0)).alias("threshold"))
 
 
 def conditional_cap(df: DataFrame, threshold: float, q: float) -> DataFrame:
     """cap: the q-quantile of unc among rows whose p reaches the threshold."""
-    return df.filter((F.col("p") >= threshold) & F.col("unc").isNotNull()).agg(F.percentile("unc", q).alias("cap"))
+    return quantiles(df.filter(F.col("p") >= threshold), "unc", [q]).select(F.get("q", F.lit(0)).alias("cap"))
 
 
 def gate_overlap(df: DataFrame, threshold: float, cap: float) -> DataFrame:
@@ -149,19 +150,19 @@ def deflated_sharpe(returns: DataFrame, x: str, trials: int, by: tuple[str, ...]
     return per.withColumn("expected_max_sharpe", F.lit(best)).withColumn("deflated_z", z).withColumn("deflated_prob", norm_cdf(F.col("deflated_z")))
 
 
-def score_agreement(df: DataFrame, a: str, b: str, threshold: float) -> DataFrame:
+def score_agreement(df: DataFrame, a: str, b: str, threshold: float, buckets: int = 1000) -> DataFrame:
     """Two models' scores of the same rows: Pearson and Spearman correlation (average ranks), distances, and rows on which their decisions differ."""
     ranked = df
     for c in (a, b):
-        # ranks from counts per distinct value
-        per = df.groupBy(F.col(c).alias(f"v_{c}")).agg(F.count("*").alias(f"n_{c}"))
-        per = per.withColumn(f"r_{c}", F.sum(f"n_{c}").over(Window.orderBy(f"v_{c}").rowsBetween(Window.unboundedPreceding, 0)) - (F.col(f"n_{c}") - 1) / 2)
-        ranked = ranked.join(per, F.col(c) == F.col(f"v_{c}"))
+        # ranks from counts per distinct value, summed in two levels
+        per = df.groupBy(F.col(c).alias(f"v_{c}")).agg(F.count("*").alias(f"n_{c}")).withColumn("_all", F.lit(0))
+        per = running(per, f"upto_{c}", F.col(f"n_{c}"), "_all", F.floor(F.col(f"v_{c}") * buckets), f"v_{c}").drop("_all")
+        ranked = ranked.join(per.withColumn(f"r_{c}", F.col(f"upto_{c}") - (F.col(f"n_{c}") - 1) / 2), F.col(c) == F.col(f"v_{c}"))
     gap = F.abs(F.col(a) - F.col(b))
+    middle = quantiles(df, gap, [0.5]).select(F.get("q", F.lit(0)).alias("median_abs_diff"))
     return ranked.agg(
-        F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.corr(f"r_{a}", f"r_{b}").alias("spearman"), F.avg(gap).alias("mean_abs_diff"), F.percentile(gap, 0.5).alias("median_abs_diff"),
-        F.count_if((F.col(a) >= threshold) != (F.col(b) >= threshold)).alias("n_disagree"),
-    )
+        F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.corr(f"r_{a}", f"r_{b}").alias("spearman"), F.avg(gap).alias("mean_abs_diff"), F.count_if((F.col(a) >= threshold) != (F.col(b) >= threshold)).alias("n_disagree"),
+    ).crossJoin(middle)
 
 
 # ---- premises of a strategy -----------------------------------------------------------------------------------------------------
@@ -169,9 +170,9 @@ def score_agreement(df: DataFrame, a: str, b: str, threshold: float) -> DataFram
 
 def uncertainty_premise(df: DataFrame, top: float = 0.2, uplift: float = 0.04, min_rows: int = 50) -> DataFrame:
     """Whether, among the top scores, rows of low uncertainty are right more often: value is the difference of their hit rates."""
-    cut = df.agg(F.percentile("p", 1 - top).alias("c")).first().c
+    cut = next(iter(quantile_values(df, "p", [1 - top])), None)
     chosen = df.filter(F.col("p") >= F.lit(cut))
-    middle = chosen.agg(F.percentile("unc", 0.5).alias("m")).first().m
+    middle = next(iter(quantile_values(chosen, "unc", [0.5])), None)
     low, high = F.col("unc") <= F.lit(middle), F.col("unc") > F.lit(middle)
     per = chosen.agg(F.count_if(low).alias("n_low"), F.count_if(high).alias("n_high"), (F.avg(F.when(low, F.col("y"))) - F.avg(F.when(high, F.col("y")))).alias("value"))
     return per.withColumn("passed", F.coalesce((F.col("n_low") >= min_rows) & (F.col("n_high") >= min_rows) & (F.col("value") >= uplift), F.lit(False)))
@@ -179,15 +180,15 @@ def uncertainty_premise(df: DataFrame, top: float = 0.2, uplift: float = 0.04, m
 
 def regime_premise(df: DataFrame, regime: str, top: float = 0.1, regime_top: float = 0.3, uplift: float = 0.05, min_rows: int = 50) -> DataFrame:
     """Whether top scores are right more often in the highest regimes: value is the difference from all top scores."""
-    c = df.agg(F.percentile("p", 1 - top).alias("p"), F.percentile(regime, 1 - regime_top).alias("r")).first()
-    chosen, here = F.col("p") >= F.lit(c.p), F.col(regime) >= F.lit(c.r)
+    cut, high = (next(iter(quantile_values(df, x, [1 - share])), None) for x, share in (("p", top), (regime, regime_top)))
+    chosen, here = F.col("p") >= F.lit(cut), F.col(regime) >= F.lit(high)
     per = df.agg(F.count_if(chosen & here).alias("n"), (F.avg(F.when(chosen & here, F.col("y"))) - F.avg(F.when(chosen, F.col("y")))).alias("value"))
     return per.withColumn("passed", F.coalesce((F.col("n") >= min_rows) & (F.col("value") >= uplift), F.lit(False)))
 
 
 def persistence_premise(df: DataFrame, key: str, order: str, quantile: float = 0.7, lift: float = 1.5, rows_in_bucket: int = 1000) -> DataFrame:
     """Whether high scores follow one another: value is the chance of a high score after one, over the share of high scores."""
-    cut = df.agg(F.percentile("p", quantile).alias("c")).first().c
+    cut = next(iter(quantile_values(df, "p", [quantile])), None)
     marked = df.withColumn("on", F.when(F.col("p") > F.lit(cut), 1).otherwise(0))
     marked = previous(marked, "before", F.col("on"), key, F.floor(F.col(order) / rows_in_bucket), order)
     after = F.avg(F.when(F.col("before") == 1, F.col("on")))

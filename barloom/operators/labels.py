@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barloom.functions.rolling import Rows, safe_log_ratio, with_windows
 from barloom.operators.passage import barrier_ahead
 from barloom.plans.blocks import BLOCK_ROWS, carry, in_blocks, previous, running
+from barloom.plans.quantiles import quantiles
 
 
 def barrier_labels(bars: DataFrame, horizon: int, barrier: float, price: str = "high", rows: Rows | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def impute(df: DataFrame, fills: dict[str, float]) -> DataFrame:
 def distance_weights(labelled: DataFrame, strength: float = 1.0, cap: float = 4.0, q: float = 0.5) -> DataFrame:
     """w_distance: exponential in how far beyond the class's q-quantile of distance from the barrier a row lies, capped."""
     rows = labelled.filter("m_k is not null").withColumn("distance", F.abs(F.col("m_k") - F.col("phi")))
-    scale = rows.groupBy("y").agg(F.percentile("distance", q).alias("scale"))
+    scale = quantiles(rows, "distance", [q], ("y",)).select("y", F.get("q", F.lit(0)).alias("scale"))
     weight = F.exp(F.least(strength * F.col("distance") / F.when(F.col("scale") > 0, F.col("scale")), F.lit(math.log(cap))))
     return rows.join(F.broadcast(scale), "y").withColumn("w_distance", F.coalesce(weight, F.lit(1.0))).drop("scale")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.plans.blocks import previous, running, runnings
+from barloom.plans.quantiles import quantile_values
 
 TINY = 1e-6
 Z95 = 1.959963984540054
@@ -119,7 +120,7 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float], win: float = 1.0
 
 def kelly_bins(scores: DataFrame, bins: int = 10, odds: float = 1.0) -> DataFrame:
     """Per equal-frequency bin of p: rows, hit rate with Wilson interval and Kelly fraction. Edges that coincide merge bins."""
-    cuts = sorted(set(scores.agg(F.percentile("p", [i / bins for i in range(1, bins)]).alias("q")).first().q or []))
+    cuts = sorted(set(quantile_values(scores, "p", [i / bins for i in range(1, bins)])))
     bin_ = sum((F.when(F.col("p") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).alias("bin")
     per = scores.groupBy(bin_).agg(F.count("*").alias("n"), F.sum("y").alias("hits"), F.avg("p").alias("mean_p"))
     low, high = wilson(F.col("hits"), F.col("n"))

@@ -22,6 +22,7 @@ from barloom.operators.audits import bucket, cuts
 from barloom.operators.passage import Ahead, numbers
 from barloom.plans.blocks import BLOCK_ROWS, in_blocks, running
 from barloom.plans.intervals import interval_join
+from barloom.plans.quantiles import quantiles
 from barloom.plans.shipping import ship
 
 LEDGER = ("symbol", "strategy", "k_entry", "k_exit", "entry_price", "exit_price", "size", "exit_reason", "gross_log_return", "p_entry")
@@ -204,10 +205,12 @@ def clusters(ledger: DataFrame) -> DataFrame:
 def cluster_summary(log: DataFrame) -> DataFrame:
     """Per strategy: clusters, their duration, entries and returns, and how they ended."""
     held = (F.col("k_last") - F.col("k_first")).cast("double")
-    return log.groupBy("strategy").agg(
-        F.count("*").alias("n_clusters"), F.avg(held).alias("mean_duration"), F.percentile(held, 0.5).alias("median_duration"), F.avg("entries").alias("mean_entries"), F.avg("pnl").alias("mean_pnl"), F.max("pnl").alias("max_pnl"),
+    middle = quantiles(log, held, [0.5], ("strategy",)).select(F.col("strategy").alias("_s"), F.get("q", F.lit(0)).alias("median_duration"))
+    per = log.groupBy("strategy").agg(
+        F.count("*").alias("n_clusters"), F.avg(held).alias("mean_duration"), F.avg("entries").alias("mean_entries"), F.avg("pnl").alias("mean_pnl"), F.max("pnl").alias("max_pnl"),
         F.min("pnl").alias("min_pnl"), *[F.count_if(F.col("end_reason") == r).alias(f"n_{r}") for r in ("tp", "sl", "expiry")],
     )
+    return per.join(middle, F.col("strategy") == F.col("_s")).drop("_s")
 
 
 def time_to_take(ledger: DataFrame, bars: DataFrame, take: float, look_ahead: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -239,11 +242,12 @@ def time_to_take(ledger: DataFrame, bars: DataFrame, take: float, look_ahead: in
 def time_to_take_summary(df: DataFrame) -> DataFrame:
     """Of the positions that did not take profit: how many would have, and after how many rows."""
     late = F.when(F.col("exit_reason") != "tp", F.col("would_take"))
-    other = F.count_if(F.col("exit_reason") != "tp")
-    return df.groupBy("strategy").agg(
+    other, shares = F.count_if(F.col("exit_reason") != "tp"), (0.25, 0.5, 0.75, 0.95)
+    cuts = quantiles(df, late, list(shares), ("strategy",)).select(F.col("strategy").alias("_s"), *[F.get("q", F.lit(i)).alias(f"rows_p{round(100 * q)}") for i, q in enumerate(shares)])
+    per = df.groupBy("strategy").agg(
         F.count("*").alias("n_closed"), F.count_if(F.col("exit_reason") == "tp").alias("n_tp"), other.alias("n_other"), F.count(late).alias("n_eventually"), F.coalesce(F.try_divide(F.count(late), other), F.lit(0.0)).alias("share_eventually"),
-        *[F.percentile(late, q).alias(f"rows_p{round(100 * q)}") for q in (0.25, 0.5, 0.75, 0.95)],
     )
+    return per.join(cuts, F.col("strategy") == F.col("_s")).drop("_s")
 
 
 def entry_rank(ledger: DataFrame, bars: DataFrame, reach: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
