@@ -21,7 +21,7 @@ LONG = (90, 240)
 BLOCK = 200
 HORIZON, BARRIER = 5, 0.5
 DIGITS = 6
-LARGE = 1e5
+LARGE, HUGE = 1e5, 1e9
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,7 +29,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def rounded(df: DataFrame, keep: tuple[str, ...] = (), digits: int = DIGITS) -> DataFrame:
     """Doubles rounded (large ones, from nearly empty denominators, more coarsely), and negative zero made positive."""
-    near = lambda c: F.when(F.abs(c) < LARGE, F.round(F.col(c), digits)).otherwise(F.round(F.col(c) / 1000) * 1000) + F.lit(0.0)
+    near = lambda c: F.when(F.abs(c) < LARGE, F.round(F.col(c), digits)).when(F.abs(c) < HUGE, F.round(F.col(c) / 1000) * 1000).otherwise(F.round(F.col(c) / 1e6) * 1e6) + F.lit(0.0)
     return df.select(*[near(c).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
@@ -137,7 +137,7 @@ def _select(columns: dict[str, str], source: str = "x", base: str = _BASE) -> st
 
 
 def _near(names, digits: int = DIGITS) -> str:
-    return ", ".join(f'CASE WHEN abs("{n}") < {LARGE} THEN round("{n}", {digits}) ELSE round("{n}" / 1000) * 1000 END + 0.0 AS "{n}"' for n in names)
+    return ", ".join(f'CASE WHEN abs("{n}") < {LARGE} THEN round("{n}", {digits}) WHEN abs("{n}") < {HUGE} THEN round("{n}" / 1000) * 1000 ELSE round("{n}" / 1e6) * 1e6 END + 0.0 AS "{n}"' for n in names)
 
 
 def _rnd(e: str) -> str:
@@ -148,10 +148,14 @@ def _each(patterns: dict[str, object], windows: tuple[int, ...]) -> dict[str, st
     return {n.format(w=w): fn(w) for n, fn in patterns.items() for w in windows}
 
 
+def _settled(x: str) -> str:
+    return f"(CASE WHEN abs({x}) < 1e-11 THEN 0 ELSE {x} END)"
+
+
 _E = "1e-10"
-_RS = lambda w: f"(sqrt(greatest({_mean('rs', w)}, 0)) * sqrt(20.0) + {_E})"
+_RS = lambda w: f"(sqrt({_clip0(_mean('rs', w))}) * sqrt(20.0) + {_E})"
 _PRESSURE = lambda w: f"(2 * {_sum('taker_buy_base', w)} / ({_sum('volume', w)} + {_E}) - 1)"
-_DRIFT = lambda w: f"tanh((p - {_lag('p', w)}) / (sqrt(greatest({_mean('r2', w)}, 0)) * sqrt({w}.0) + {_E}))"
+_DRIFT = lambda w: f"tanh((p - {_lag('p', w)}) / (sqrt({_clip0(_mean('r2', w))}) * sqrt({w}.0) + {_E}))"
 
 def _families(windows: tuple[int, ...]) -> dict[str, dict[str, str]]:
     each = lambda patterns: _each(patterns, windows)
@@ -277,9 +281,9 @@ def _eq_tiers(windows: tuple[int, ...]) -> tuple[dict[str, str], dict[str, str]]
     )
     second = _each(
         {f"eq__{n}_resid_hz__f__w{{w}}": (lambda w, k=k: _HZ(f'p - "eq__mu_{k}__f__w{w}"', w)) for k, n in (("mean", "mean"), ("vwap", "vwap"), ("range", "range_mid"))}
-        | {"eq__median_resid_madz__f__w{w}": lambda w: f'(p - "eq__mu_median__f__w{w}") / ("eq__mad_p__f__w{w}" + {_E})'}
+        | {"eq__median_resid_madz__f__w{w}": lambda w: _settled(f'p - "eq__mu_median__f__w{w}"') + f' / ("eq__mad_p__f__w{w}" + {_E})'}
         | {"eq__proxy_dispersion_hz__f__w{w}": lambda w: (lambda v: f"CASE WHEN len({v}) >= 2 THEN {_HZ(f'list_stddev_pop({v})', w)} END")("list_filter([" + ", ".join(f'"eq__mu_{k}__f__w{w}"' for k in ("mean", "median", "vwap", "range", "trend")) + "], lambda v: v IS NOT NULL)")}
-        | {"eq__trend_resid_z__f__w{w}": lambda w: f'(p - "eq__mu_trend__f__w{w}") / ("eq__trend_sresid__f__w{w}" + {_E})'}
+        | {"eq__trend_resid_z__f__w{w}": lambda w: _settled(f'p - "eq__mu_trend__f__w{w}"') + " / (" + _settled(f'"eq__trend_sresid__f__w{w}"') + f" + {_E})"}
         | {f"eq__upside_to_eq_over_phi__via_{k}__f__w{{w}}": (lambda w, k=k: f'("eq__mu_{k}__f__w{w}" - p) / (0.0025 + {_E})') for k in ("trend", "vwap")}
         | {f"eq__barrier_vs_eq_hz__via_{k}__f__w{{w}}": (lambda w, k=k: _HZ(f'"eq__mu_{k}__f__w{w}" - (p + 0.0025)', w)) for k in ("trend", "vwap")},
         windows,
@@ -287,7 +291,7 @@ def _eq_tiers(windows: tuple[int, ...]) -> tuple[dict[str, str], dict[str, str]]
     return first, second
 
 
-_HZ = lambda e, w: f'({e}) / ("eq__sigma_r__f__w{w}" * sqrt(20.0) + {_E})'
+_HZ = lambda e, w: f'{_settled(e)} / ("eq__sigma_r__f__w{w}" * sqrt(20.0) + {_E})'
 
 
 def _eq_pair_sql(pairs: tuple[tuple[int, int], ...]) -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.catalog import _BASE, _E, _O, _RS, BLOCK, LONG, _agg, _corr, _mean, _near, _over, query, rounded
+from barloom.catalog import BLOCK, LONG, _BASE, _E, _O, _RS, _agg, _clip0, _corr, _mean, _near, _over, _settled, query, rounded
 from barloom.functions.rolling import Rows
 from barloom.operators import features, kernels
 from barloom.plans.blocks import in_blocks
@@ -38,7 +38,7 @@ _EWM_PARTS = {f"p{n}": ("p", f"(2.0 / {n + 1})") for n in _SPANS} | {f"h{n}": ("
 _EWM = {f"logp__ema_spread__f__w0__fast{a}__slow{b}": f"p{a} - p{b}" for a, b in features.EMA_SPANS} | {"funding__ewma__f__w40": "f40"}
 for _h in _HALVES:
     _mu, _sigma = f"lag(h{_h}) OVER ({_O})", f"sqrt(lag(q{_h}) OVER ({_O}))"
-    _EWM |= {f"eq__mu_ewm__f__h{_h}": _mu, f"eq__sigma_r_ewm__f__h{_h}": _sigma, f"eq__ewm_innov_hz__f__h{_h}": f"(p - {_mu}) / ({_sigma} * sqrt(20.0) + {_E})"}
+    _EWM |= {f"eq__mu_ewm__f__h{_h}": _mu, f"eq__sigma_r_ewm__f__h{_h}": _sigma, f"eq__ewm_innov_hz__f__h{_h}": _settled(f"p - {_mu}") + f" / ({_sigma} * sqrt(20.0) + {_E})"}
 
 
 @query(
@@ -126,8 +126,8 @@ def _quad_sql(windows: tuple[int, ...]) -> str:
         u = [j - (w - 1) / 2 for j in range(w)]
         u2, u4 = sum(v * v for v in u), sum(v**4 for v in u)
         dot = lambda weights: f"(CASE WHEN len(l{w}) = {w} THEN list_dot_product(list_transform(l{w}, lambda v: v - l{w}[1]), [" + ", ".join(repr(float(v)) for v in weights) + "]) END)"  # noqa: B023, E731
-        vol = f"(sqrt(greatest({_mean('rs', w)}, 0)) * sqrt({w}.0) + {_E})"
-        made |= {f"trend__quad_slope_z__f__w{w}": f"{dot([v / u2 for v in u])} * {w} / {vol}", f"trend__quad_curv_z__f__w{w}": f"{dot([(v * v - u2 / w) / (u4 - u2 * u2 / w) for v in u])} * {w * w} / {vol}"}
+        vol = f"(sqrt({_clip0(_mean('rs', w))}) * sqrt({w}.0) + {_E})"
+        made |= {f"trend__quad_slope_z__f__w{w}": _settled(f"{dot([v / u2 for v in u])} * {w}") + f" / {vol}", f"trend__quad_curv_z__f__w{w}": _settled(f"{dot([(v * v - u2 / w) / (u4 - u2 * u2 / w) for v in u])} * {w * w}") + f" / {vol}"}
     return _made("f AS (SELECT *, " + ", ".join(f"CASE WHEN count(p) {_over(w)} = {w} THEN list(p) {_over(w)} END AS l{w}" for w in windows) + " FROM x),", made, "f")
 
 

@@ -417,9 +417,10 @@ _WINDOWED = """, ends AS (SELECT min(ts) AS a, max(ts) AS b FROM un), wn AS (SEL
 _audit(
     "roll_scores",
     f"""{_WINDOWED}, bi AS (SELECT window_start, window_end, least(floor(p * 10), 9) AS bin, count(*) AS c, sum(p) AS sp, sum(y) AS sy, sum(pow(p - y, 2)) AS sb FROM wi GROUP BY 1, 2, 3), t AS (SELECT *, sum(c) OVER w AS n, sum(sy) OVER w AS n_pos FROM bi WINDOW w AS (PARTITION BY window_start))
-    SELECT window_start, window_end, CAST(any_value(n) AS BIGINT) AS n, CAST(any_value(n_pos) AS BIGINT) AS n_pos, {_r('sum(sb) / max(n)')} AS brier, {_r('sum(c / n * abs((sp - sy) / c))')} AS ece, {_r('sum(c / n * pow((sp - sy) / c, 2))')} AS reliability,
-    {_r('sum(c / n * pow(sy / c - n_pos / n, 2))')} AS resolution, {_r('max(n_pos / n * (1 - n_pos / n))')} AS uncertainty FROM t WHERE n >= 5 GROUP BY 1, 2""",
-    lambda d: audits.windowed_scores(audits.time_windows(d, "ts", 3, 1), min_rows=5),
+    SELECT window_start, window_end, CAST(any_value(n) AS BIGINT) AS n, CAST(any_value(n_pos) AS BIGINT) AS n_pos, {_r('sum(sb) / max(n) + 1e-9')} AS brier, {_r('sum(c / n * abs((sp - sy) / c)) + 1e-9')} AS ece, {_r('sum(c / n * pow((sp - sy) / c, 2)) + 1e-9')} AS reliability,
+    {_r('sum(c / n * pow(sy / c - n_pos / n, 2)) + 1e-9')} AS resolution, {_r('max(n_pos / n * (1 - n_pos / n)) + 1e-9')} AS uncertainty FROM t WHERE n >= 5 GROUP BY 1, 2""",
+    # scores have three digits, so that some results are halves of the last digit kept; the same little thing is added on both sides
+    lambda d: audits.windowed_scores(audits.time_windows(d, "ts", 3, 1), min_rows=5).withColumns({c: F.col(c) + 1e-9 for c in ("brier", "ece", "reliability", "resolution", "uncertainty")}),
 )
 _audit(
     "roll_drift",

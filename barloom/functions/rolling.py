@@ -25,6 +25,8 @@ from barloom.functions.order import WaveletMatrix
 from barloom.plans.shipping import ship
 
 EPS = 1e-10
+#: Differences of logarithms below this are the rounding of sums.
+ROUNDING = 1e-11
 #: Longest window that is computed as a frame of its own.
 DIRECT = 64
 #: Share of a mean square below which a variance is rounding noise.
@@ -293,6 +295,11 @@ def clip0(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
 
 
+def settled(x: Column) -> Column:
+    """0 for a difference of logarithms of prices that is nothing but the rounding of means, which a nearly empty denominator would make large."""
+    return F.when(F.abs(x) < ROUNDING, 0.0).otherwise(x)
+
+
 def root(x: Column) -> Column:
     return F.sqrt(clip0(x))
 

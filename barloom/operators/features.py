@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import EPS, Rows, clip0, garman_klass, norm_cdf, parkinson, rogers_satchell, root, safe_log_ratio, with_windows
+from barloom.functions.rolling import clip0, EPS, garman_klass, norm_cdf, parkinson, rogers_satchell, root, Rows, safe_log_ratio, settled, with_windows
 from barloom.plans.blocks import BLOCK_ROWS, in_blocks
 from barloom.sources.bars import base_series
 
@@ -248,13 +248,13 @@ for _kind, _made in _EQ_MADE.items():
 
 
 def _per_sigma(x: Column, w: int) -> Column:
-    return x / (F.col(f"eq__sigma_r__f__w{w}") * math.sqrt(HORIZON) + EPS)
+    return settled(x) / (F.col(f"eq__sigma_r__f__w{w}") * math.sqrt(HORIZON) + EPS)
 
 
 for _kind, _name in (("mean", "mean"), ("vwap", "vwap"), ("range", "range_mid")):
     register("equilibrium", f"eq__{_name}_resid_hz__f__w{{w}}", _EQ, lambda rows, w, k=_kind: _per_sigma(F.col("p") - F.col(f"eq__mu_{k}__f__w{w}"), w), tier=2)
-register("equilibrium", "eq__trend_resid_z__f__w{w}", _EQ, lambda rows, w: (F.col("p") - F.col(f"eq__mu_trend__f__w{w}")) / (F.col(f"eq__trend_sresid__f__w{w}") + EPS), tier=2)
-register("equilibrium", "eq__median_resid_madz__f__w{w}", _EQ, lambda rows, w: (F.col("p") - F.col(f"eq__mu_median__f__w{w}")) / (F.col(f"eq__mad_p__f__w{w}") + EPS), tier=2)
+register("equilibrium", "eq__trend_resid_z__f__w{w}", _EQ, lambda rows, w: settled(F.col("p") - F.col(f"eq__mu_trend__f__w{w}")) / (settled(F.col(f"eq__trend_sresid__f__w{w}")) + EPS), tier=2)
+register("equilibrium", "eq__median_resid_madz__f__w{w}", _EQ, lambda rows, w: settled(F.col("p") - F.col(f"eq__mu_median__f__w{w}")) / (F.col(f"eq__mad_p__f__w{w}") + EPS), tier=2)
 for _kind in ("trend", "vwap"):
     register("equilibrium", f"eq__upside_to_eq_over_phi__via_{_kind}__f__w{{w}}", _EQ, lambda rows, w, k=_kind: (F.col(f"eq__mu_{k}__f__w{w}") - F.col("p")) / (BARRIER + EPS), tier=2)
     register("equilibrium", f"eq__barrier_vs_eq_hz__via_{_kind}__f__w{{w}}", _EQ, lambda rows, w, k=_kind: _per_sigma(F.col(f"eq__mu_{k}__f__w{w}") - (F.col("p") + BARRIER), w), tier=2)
@@ -323,7 +323,7 @@ register("options", "vol_risk_premium__diff__f__w{w}", (43200,), lambda rows, w:
 register("options", "vol_risk_premium__ratio__f__w{w}", (43200,), lambda rows, w: F.col("bvol") / (F.col(f"vol_realized__30d__f__w{w}") + EPS), tier=2)
 
 for _slope, _name in ((0, "slope"), (1, "curv")):
-    register("quad_trend", f"trend__quad_{_name}_z__f__w{{w}}", "quad_trend", lambda rows, w, k=_slope: rows.parabola("p", w)[k] * w ** (k + 1) / (root(rows.mean("rs", w)) * math.sqrt(w) + EPS))
+    register("quad_trend", f"trend__quad_{_name}_z__f__w{{w}}", "quad_trend", lambda rows, w, k=_slope: settled(rows.parabola("p", w)[k] * w ** (k + 1)) / (root(rows.mean("rs", w)) * math.sqrt(w) + EPS))
 
 
 def _oi_regime(price: int, interest: int) -> Compute:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import EPS, Rows, root, with_windows
+from barloom.functions.rolling import EPS, root, Rows, settled, with_windows
 
 #: A carried value that has decayed to this share is nothing beside double precision's reach two chunks on.
 _FADED = 1e-12
@@ -176,7 +176,7 @@ def ewm_features(df: DataFrame, half_lives: Iterable[int], spans: Iterable[tuple
     df = recursive_means(df, wanted, rows)
     mu, sigma = "eq__mu_ewm__f__h{}".format, "eq__sigma_r_ewm__f__h{}".format
     df = df.withColumns({mu(h): rows.lag(f"_price{h}") for h in half_lives} | {sigma(h): F.sqrt(rows.lag(f"_square{h}")) for h in half_lives})
-    made = {f"eq__ewm_innov_hz__f__h{h}": (F.col("p") - F.col(mu(h))) / (F.col(sigma(h)) * math.sqrt(horizon) + EPS) for h in half_lives}
+    made = {f"eq__ewm_innov_hz__f__h{h}": settled(F.col("p") - F.col(mu(h))) / (F.col(sigma(h)) * math.sqrt(horizon) + EPS) for h in half_lives}
     made |= {f"logp__ema_spread__f__w0__fast{a}__slow{b}": F.col(f"_span{a}") - F.col(f"_span{b}") for a, b in spans}
     return df.withColumns(made).drop(*[w.name for w in wanted if w.name.startswith("_")])
 
