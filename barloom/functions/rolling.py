@@ -56,10 +56,14 @@ class Rows:
     direct: int = DIRECT
     #: Helper columns that long windows have asked for, which add_long() makes.
     asked: set[tuple] = field(default_factory=set, compare=False, repr=False)
+    _made: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def spec(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(self.order)
+        # made once: many columns over one window are asked for
+        if "spec" not in self._made:
+            self._made["spec"] = Window.partitionBy(*self.keys).orderBy(self.order)
+        return self._made["spec"]
 
     def frame(self, w: int, end: int = 0) -> WindowSpec:
         return self.spec.rowsBetween(end - w + 1, end)
@@ -73,12 +77,14 @@ class Rows:
 
     def _asks(self, *what) -> Column:
         self.asked.add(what)
-        return F.col("_long_" + "_".join(map(str, what)).replace(".", "p"))
+        if what not in self._made:
+            self._made[what] = F.col("_long_" + "_".join(map(str, what)).replace(".", "p"))
+        return self._made[what]
 
     def _over(self, w: int, *what) -> Column:
-        """The difference of a running total over w rows."""
-        total = self._asks(*what)
-        return total - F.coalesce(F.lag(total, w).over(self.spec), F.lit(0.0))
+        """The difference of a running total over w rows, a helper column too: sums, means and deviations share it."""
+        self._asks(*what)
+        return self._asks("over", w, *what)
 
     def full(self, x: Series, w: int, value: Column) -> Column:
         """value where all w rows of x are there."""
@@ -214,6 +220,8 @@ class Rows:
             | {name("uc", x): total(u * v(x)) for (x,) in kinds["uc"]}
             | {name("uuc", x): total(u * u * v(x)) for (x,) in kinds["uuc"]}
         )
+        before = lambda w, what: F.coalesce(F.lag(F.col(name(*what)), w).over(self.spec), F.lit(0.0))
+        df = new({name(*a): F.col(name(*a[2:])) - before(a[1], a[2:]) for a in asked if a[0] == "over"})
         # extremes over runs of size rows, doubled
         best = {"min": F.least, "max": F.greatest}
         longest = {}
