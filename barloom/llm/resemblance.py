@@ -38,6 +38,10 @@ SAMPLE, FREQUENT, LAST_MOST = 10_000, 4, 100_000
 SEED = 43
 #: Nodes that share a prefix token beyond which their pairs are counted within tasks, and nodes of a block there.
 CROWD, CROWD_BLOCK = 50, 2048
+#: Candidates that are compared by one task, and those of a part of a large component.
+HOME_NODES, PART_NODES = 2048, 512
+#: Candidates, 8 bytes each, up to which their list is sent to all tasks.
+SENT_NODES = 1 << 21
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -105,34 +109,51 @@ def _prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, node long, n int, fp long, prefix array<long>")
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        held, kept = (None, None), []
-        for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"))):
-            if held[0] != a:
-                held = (a, shingle_set(x.as_py()))
-            other = shingle_set(y.as_py())
-            both = len(np.intersect1d(held[1], other, assume_unique=True))
-            if WHOLE * both >= PART * (len(held[1]) + len(other) - both):
-                kept.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-
-
 def _enough(pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b, n_a, n_b, c) that may be similar; c: shingles that their prefixes share."""
     overlap = F.ceil((F.col("n_a") + F.col("n_b")) * PART / (PART + WHOLE))
     return pairs.filter(F.col("c") + F.greatest(_need(F.col("n_a")), _need(F.col("n_b"))) - 1 >= overlap).select("a", "b")
 
 
+def _similar(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """Those of a home's pairs whose texts are similar; each text's shingles are hashed once."""
+    sets = {n: shingle_set(t.as_py()) for n, t in zip(texts.column("node").to_pylist(), texts.column("text"))}
+    kept = []
+    for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if WHOLE * both >= PART * (len(sets[a]) + len(sets[b]) - both):
+            kept.append(i)
+    return pairs.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+
+def _homes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where pairs (a, b) are decided: (home, a, b), and (home, node) of the nodes that each home needs.
+
+    Candidates of one component share a home, so a text moves once for all of its pairs. A large component is dealt into parts of about PART_NODES nodes, and its homes are pairs of parts; small ones share homes of about HOME_NODES.
+    """
+    of = components(pairs)
+    parts = F.ceil(F.col("m") / PART_NODES).cast("int")
+    of = of.join(of.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("m")), F.col("component") == F.col("c"))
+    of = materialize(of.select("node", "component", F.pmod(F.xxhash64("node", F.lit(SEED)), parts).alias("part")))
+    a, b = (of.select(F.col("node").alias(f"{x}_node"), F.col("component").alias(f"{x}_c"), F.col("part").alias(f"{x}_part")) for x in "ab")
+    met = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
+    met = materialize(met.select("a", "b", F.xxhash64("a_c", F.least("a_part", "b_part"), F.greatest("a_part", "b_part")).alias("place")))
+    placed = materialize(met.select("place", F.col("a").alias("node")).unionByName(met.select("place", F.col("b").alias("node"))).distinct())
+    home = F.pmod("place", F.lit(max(1, -(-placed.count() // HOME_NODES)))).alias("home")
+    return met.select(home, "a", "b"), placed.select(home, "node").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are similar."""
     with scope(docs.sparkSession) as kept:
-        pairs = materialize(pairs)
-        wanted = pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct()
-        texts = docs.select(simhash._key().alias("node"), "text").join(wanted, F.col("node") == F.col("want"), "left_semi")
-        texts = materialize(texts.groupBy("node").agg(F.any_value("text").alias("text")))
-        joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        kept.append(materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long")))
+        met, placed = _homes(materialize(pairs))
+        wanted = materialize(placed.select(F.col("node").alias("want")).distinct())
+        texts = docs.select(simhash._key().alias("node"), "text")
+        # few candidates are sent to all texts, so that other texts do not move; many meet them by a shuffle
+        few = wanted.count() <= SENT_NODES
+        texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+        sent = placed.join(texts, "node").select("home", "node", "text")
+        kept.append(materialize(met.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(_similar, "a long, b long")))
     return kept[0]
 
 

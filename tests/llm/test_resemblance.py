@@ -37,6 +37,10 @@ def planted(rng):
 @pytest.mark.parametrize(("sample", "frequent", "crowd"), [(10_000, 4, 100), (0, 10**9, 100), (0, 10**9, 1)])
 def test_stage_keeps_one_of_every_similar_group(spark, monkeypatch, sample, frequent, crowd):
     monkeypatch.setattr(resemblance, "CROWD_BLOCK", 20)
+    if crowd == 1:
+        # components in parts, homes of few, and no list sent to all
+        for name, value in (("PART_NODES", 7), ("HOME_NODES", 10), ("SENT_NODES", 0)):
+            monkeypatch.setattr(resemblance, name, value)
     texts = dict(enumerate(planted(random.Random(3)), 5))
     sets = {i: plain_set(t) for i, t in texts.items()}
     pairs = [(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])]
