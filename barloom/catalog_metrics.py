@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog import _r, query, rounded
 from barloom.catalog_strategy import _REPLICATES, _SEED, _UNC, _WINDOWED, _drawn_sql, _edges, _uncertain
-from barloom.operators import adwin, metrics
+from barloom.operators import adwin, metrics, permutation
 from barloom.sources import bars as bar_source
 
 #: What acting on scores of 0.5 and more brings, at odds of 1: a user's own metric.
@@ -34,8 +34,8 @@ def _metric_sql(table: str, by: list[str], names: list[str], out: str = "ev", we
         "gain": f"coalesce(sum({weight} * (2 * y - 1)) FILTER (p >= 0.5), 0) / sum({weight})",
     }
     ordered = {"auc": "sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg))", "ap": "sum(pos * tp / (tp + fp)) / sum(pos)"}
-    plain = [n for n in names if n in sums]
-    return f"""{out}_g AS (SELECT {keys}count(*) AS n, sum({weight} * y) AS n_pos, sum({weight} * y) / sum({weight}) AS base_rate, sum({weight} * (1 - y)) AS n_neg, {", ".join(f"{sums[n]} AS {n}" for n in plain)} FROM {table} GROUP BY ALL),
+    plain = "".join(f", {sums[n]} AS {n}" for n in names if n in sums)
+    return f"""{out}_g AS (SELECT {keys}count(*) AS n, sum({weight} * y) AS n_pos, sum({weight} * y) / sum({weight}) AS base_rate, sum({weight} * (1 - y)) AS n_neg{plain} FROM {table} GROUP BY ALL),
     {out}_s AS (SELECT {keys}p, sum({weight} * y) AS pos, sum({weight} * (1 - y)) AS neg FROM {table} GROUP BY ALL),
     {out}_r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM {out}_s WINDOW w AS ({over}ORDER BY p DESC)),
     {out}_o AS (SELECT {keys}CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN {ordered["auc"]} END AS auc, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN {ordered["ap"]} END AS ap FROM {out}_r GROUP BY ALL),
@@ -76,6 +76,31 @@ def metrics_rolling(spark, sf_dir: str) -> DataFrame:
     return _near_both(metrics.rolling(_uncertain(spark, sf_dir), "ts", 3, 1, _FEW, "doc_id", _REPLICATES, seed=_SEED, min_rows=8, min_pos=2), _BANDED)
 
 
+_BLOCKS, _REPEATS, _FEATURES = 8, 3, ("a", "b")
+
+
+def _place(kind: str, part: str, own: str) -> str:
+    u = f"""('0x' || substr(md5('42|' || f || '|' || r || '|' || doc_id), 1, 8))::BIGINT"""
+    return f"SELECT '{kind}' AS mode, f, r, y, a, b, {part} AS part, {own} AS own, row_number() OVER (PARTITION BY f, r, {part} ORDER BY {u}) AS taken FROM spread"
+
+
+@query(
+    "audit_permutation",
+    f"""WITH {_UNC}, nb AS (SELECT y, p AS a, unc AS b, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM un),
+    spread AS (SELECT *, i * {_BLOCKS} // n AS blk FROM nb, (SELECT unnest({list(_FEATURES)}) AS f), (SELECT unnest(range({_REPEATS})) AS r)),
+    placed AS ({_place("within", "blk", "i - CAST(ceil(blk * n / " + str(_BLOCKS) + ".0) AS BIGINT) + 1")} UNION ALL {_place("across", "-1", "i + 1")}),
+    dealt AS (SELECT x.mode, x.f AS feature, x.r AS replicate, x.y, 0.7 * CASE WHEN x.f = 'a' THEN g.a ELSE x.a END + 0.3 * CASE WHEN x.f = 'b' THEN g.b ELSE x.b END AS p
+      FROM placed x JOIN placed g ON x.mode = g.mode AND x.f = g.f AND x.r = g.r AND x.part = g.part AND x.own = g.taken),
+    whole AS (SELECT y, 0.7 * a + 0.3 * b AS p FROM nb), {_metric_sql("whole", [], ["auc"], "base")}, {_metric_sql("dealt", ["feature", "mode", "replicate"], ["auc"])},
+    dr AS (SELECT feature, mode, base.auc - ev.auc AS loss FROM ev, base)
+    SELECT feature, {", ".join(f"{_r(f'{fn}(loss) FILTER (mode = {chr(39)}{m}{chr(39)})')} AS drop_{m}_{n}" for m in ("within", "across") for n, fn in (("mean", "avg"), ("std", "stddev_pop")))} FROM dr GROUP BY 1""",
+)
+def audit_permutation(spark, sf_dir: str) -> DataFrame:
+    df = _uncertain(spark, sf_dir).select("doc_id", "y", F.col("p").alias("a"), F.col("unc").alias("b"))
+    made = permutation.block_importance(df, list(_FEATURES), 0.7 * F.col("a") + 0.3 * F.col("b"), "doc_id", "auc", _BLOCKS, _REPEATS)
+    return rounded(made.drop("ratio"))
+
+
 @query("drift_adwin")
 def drift_adwin(spark, sf_dir: str) -> DataFrame:
     """Alarms in the log volume of every symbol's bars. No SQL expresses the histogram; the detector is tested against a plain one."""
