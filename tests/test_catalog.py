@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from barloom import catalog, catalog_health, catalog_kernels, catalog_metrics, catalog_strategy, catalog_stream  # noqa: F401
+from barloom import catalog, catalog_contracts, catalog_health, catalog_kernels, catalog_metrics, catalog_strategy, catalog_stream  # noqa: F401
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 #: Queries that divide by prices or take their logarithms; events of the larger table have prices of zero.
