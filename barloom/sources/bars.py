@@ -6,13 +6,15 @@ never looked for pairwise. The last close before a gap and as-of values are foun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import Rows, safe_log_ratio
-from barloom.plans.blocks import BLOCK_ROWS, carry
+from barloom.plans.blocks import BLOCK_ROWS, carry, previous
 
 PRICES = ("open", "high", "low", "close")
+#: Steps of a grid that are made from one array.
+STRETCH = 4096
 AMOUNTS = ("volume", "quote_volume", "num_trades", "taker_buy_base")
 
 
@@ -49,7 +51,12 @@ def fill_grid(bars: DataFrame, step: str = "1 hour", block_rows: int = BLOCK_ROW
     filled marks such bars; k numbers a symbol's bars from 0.
     """
     ends = bars.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    grid = ends.select("symbol", F.posexplode(F.sequence("a", "b", F.expr(f"interval {step}"))).alias("k", "ts"))
+    # stretches first, dealt out, then the steps of each, so that no array holds a whole series
+    stretch = F.expr(f"interval {step} * {STRETCH}")
+    starts = ends.select("symbol", "b", F.posexplode(F.sequence("a", "b", stretch)).alias("_stretch", "_from")).repartition("symbol", "_stretch")
+    upto = F.least(F.col("b"), F.col("_from") + F.expr(f"interval {step} * {STRETCH - 1}"))
+    grid = starts.select("symbol", "_stretch", F.posexplode(F.sequence("_from", upto, F.expr(f"interval {step}"))).alias("_place", "ts"))
+    grid = grid.select("symbol", (F.col("_stretch") * STRETCH + F.col("_place")).alias("k"), "ts")
     joined = grid.join(bars, ["symbol", "ts"], "left").withColumn("filled", F.col("close").isNull())
     joined = carry(joined, "_last", F.col("close"), "symbol", F.floor(F.col("k") / block_rows), "k")
     prices = {c: F.when(F.col("filled"), F.col("_last")).otherwise(F.col(c)) for c in PRICES}
@@ -61,8 +68,7 @@ def validate(bars: DataFrame) -> DataFrame:
     """Counts of what is wrong with the bars of each symbol."""
     bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("high") < F.col("low")) | (F.least(*PRICES) <= 0)
     zero = F.col("volume") == 0
-    order = Window.partitionBy("symbol").orderBy("ts")
-    gaps = bars.withColumn("late", F.col("ts") > F.lag("ts").over(order) + F.expr("interval 1 hour"))
+    gaps = previous(bars, "_before", F.col("ts"), "symbol", F.date_trunc("week", "ts"), "ts").withColumn("late", F.col("ts") > F.col("_before") + F.expr("interval 1 hour"))
     return gaps.groupBy("symbol").agg(
         F.count("*").alias("n_bars"),
         F.count_if(bad).alias("n_bad"),
