@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from barloom.functions.order import WaveletMatrix
 from barloom.functions.rolling import Rows
 from barloom.operators.passage import by_series, numbers
+from barloom.plans.blocks import in_blocks, running
 
 
 def _shut(x: Column) -> Column:
@@ -101,8 +102,17 @@ def trailing_rank(df: DataFrame, name: str, x: str, window: int, least: int, row
     return by_series(df, rows or Rows(), make, [StructField(name, DoubleType())])
 
 
-def trailing_base_rate(df: DataFrame, name: str, rank: str, y: str, bins: int, window: int, least: int, keys: tuple[str, ...] = ("symbol",), order: str = "k") -> DataFrame:
-    """df with the mean of y over the window earlier rows of the same bin of rank; null with fewer than least of them."""
-    df = df.withColumn("_bin", F.least(F.floor(F.col(rank) * bins), F.lit(bins - 1)))
-    before = Window.partitionBy(*keys, "_bin").orderBy(order).rowsBetween(-window, -1)
-    return df.withColumn(name, F.when(F.col("_bin").isNotNull() & (F.count(y).over(before) >= least), F.avg(y).over(before))).drop("_bin")
+def trailing_base_rate(df: DataFrame, name: str, rank: str, y: str, bins: int, window: int, least: int, keys: tuple[str, ...] = ("symbol",), order: str = "k", rows_in_bucket: int = 1000) -> DataFrame:
+    """df with the mean of y over the window earlier rows of the same bin of rank; null with fewer than least of them.
+
+    The rows of a bin are numbered in two levels, and their windows run in blocks of these numbers.
+    """
+    bin_ = F.least(F.floor(F.col(rank) * bins), F.lit(bins - 1))
+    df = df.withColumns({"_bin": F.struct(*keys, bin_.alias("bin")), "_one": F.lit(1)})
+    df = running(df, "_place", F.col("_one"), "_bin", F.floor(F.col(order) / rows_in_bucket), order)
+
+    def work(d: DataFrame, rows: Rows) -> DataFrame:
+        before = rows.spec.rowsBetween(-window, -1)
+        return d.withColumn(name, F.when(F.col("_bin.bin").isNotNull() & (F.count(y).over(before) >= least), F.avg(y).over(before)))
+
+    return in_blocks(df, work, window, key="_bin", order="_place").drop("_bin", "_one", "_place")

@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from barloom.functions.rolling import Rows, safe_log_ratio
 from barloom.operators.audits import bucket, cuts
 from barloom.operators.passage import Ahead, numbers
-from barloom.plans.blocks import BLOCK_ROWS, in_blocks, running
+from barloom.plans.blocks import BLOCK_ROWS, in_blocks, previous, running
 from barloom.plans.intervals import interval_join
 from barloom.plans.quantiles import quantiles
 from barloom.plans.shipping import ship
@@ -188,15 +188,18 @@ def regime_attribution(ledger: DataFrame, regime: str, cost: float = 0.0, parts:
     )
 
 
-def clusters(ledger: DataFrame) -> DataFrame:
+def clusters(ledger: DataFrame, rows_in_bucket: int = 1000) -> DataFrame:
     """Runs of overlapping positions of a symbol and strategy: first and last row, positions, net return and how the last one ended.
 
     Positions are merged by their intervals; a position that starts where all others have ended begins a cluster.
     """
-    order = Window.partitionBy("symbol", "strategy").orderBy("k_entry", "k_exit")
-    df = ledger.withColumn("_reach", F.max("k_exit").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    # islands in two levels: how far the positions before reach, and how many clusters have begun
+    df = ledger.withColumns({"_series": F.struct("symbol", "strategy"), "_order": F.struct("k_entry", "k_exit")})
+    bucket_ = F.floor(F.col("k_entry") / rows_in_bucket)
+    df = running(df, "_upto", F.col("k_exit"), "_series", bucket_, "_order", "max")
+    df = previous(df, "_reach", F.col("_upto"), "_series", bucket_, "_order")
     df = df.withColumn("_starts", F.when(F.col("_reach").isNull() | (F.col("k_entry") >= F.col("_reach")), 1).otherwise(0))
-    df = df.withColumn("cluster", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    df = running(df, "cluster", F.col("_starts"), "_series", bucket_, "_order")
     return df.groupBy("symbol", "strategy", "cluster").agg(
         F.min("k_entry").alias("k_first"), F.max("k_exit").alias("k_last"), F.count("*").alias("entries"), F.sum(F.col("gross_log_return") * F.col("size")).alias("pnl"), F.max_by("exit_reason", F.struct("k_exit", "k_entry")).alias("end_reason")
     )
