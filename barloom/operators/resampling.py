@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.plans.blocks import running, runnings
+from barloom.plans.blocks import previous, running, runnings
 
 #: Share of an interval, and the largest weight that a row can draw.
 LEVEL, MOST = 0.95, 11
@@ -90,9 +90,9 @@ def loss_samples(drawn: DataFrame, bins: int = 10) -> DataFrame:
 
 def _steps(points: DataFrame, x: str, y: str) -> DataFrame:
     """replicate, x and y of a curve's points in order of x with those of the point before (none: x 0 and y null)."""
-    # a curve has a point for each distinct score; its order is within one replicate
-    order = Window.partitionBy("replicate").orderBy(x, y)
-    return points.select("replicate", F.col(x).alias("x"), F.col(y).alias("y"), F.lag(x, 1, 0.0).over(order).alias("x0"), F.lag(y).over(order).alias("y0"))
+    points = points.select("replicate", F.col(x).alias("x"), F.col(y).alias("y")).withColumn("_order", F.struct("x", "y"))
+    points = previous(points, "_before", F.struct("x", "y"), "replicate", F.floor(F.col("x") * BUCKETS), "_order")
+    return points.select("replicate", "x", "y", F.coalesce("_before.x", F.lit(0.0)).alias("x0"), F.col("_before.y").alias("y0"))
 
 
 def roc_samples(drawn: DataFrame, grid: list[float]) -> DataFrame:
