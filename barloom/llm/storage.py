@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from uuid import uuid4
@@ -11,22 +10,13 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from barloom.plans.tables import hadoop_path, shared_dir
+
 #: Paths written in the scopes that are open, the innermost last.
 _scopes: list[list[str]] = []
 _path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset and everything runs in this process, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="barloom-"))
-    return f"{named.rstrip('/')}/barloom-{spark.sparkContext.applicationId}"
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
@@ -43,8 +33,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = hadoop_path(spark, path)
+    fs.delete(at, True)
 
 
 @contextmanager

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, scope
 
 #: Hexadecimal digits of a digest by which rules and expressions are joined.
 PREFIX = 8
@@ -74,7 +74,14 @@ def _expressions(shapes: list[tuple[int, int]], host: Column, path: Column) -> C
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW, salt: int = SALT) -> DataFrame:
-    """page_id, host, path, rule and verdict of every row of pages (page_id, url); rules: host, path, verdict."""
+    """page_id, host, path, rule and verdict of every row of pages (page_id, url), as a stored table; rules: host, path, verdict."""
+    with scope(pages.sparkSession) as kept:
+        judged = materialize(_judged(pages, rules, default, salt))
+        kept.append(judged)
+    return judged
+
+
+def _judged(pages: DataFrame, rules: DataFrame, default: str, salt: int) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rows = materialize(pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), path.alias("path")))
     table = materialize(rule_table(rules))
