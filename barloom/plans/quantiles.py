@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.plans.tables import written
+from barloom.plans.tables import removed, written
 
 BUCKETS, AT_MOST = 4096, 10_000
 
@@ -39,9 +39,11 @@ def quantiles(df: DataFrame, x: str | Column, qs: list[float], by: tuple[str, ..
     rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)], F.when(~F.isnan(value), value).alias("_x")).persist()
     same = lambda a, b: [a[k].eqNullSafe(b[f"_o{k}"]) for k in keys]
     renamed = lambda d: d.select(*[F.col(c).alias(f"_o{c}") for c in d.columns])
+    made_here: list[DataFrame] = []
     try:
         groups = rows.groupBy(*keys).agg(F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")) if keys else rows.agg(F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
         groups = written(groups, "quantiles")
+        made_here.append(groups)
         at = [F.lit(q) * (F.col("n") - 1) for q in qs]
         ranks = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
         wanted = groups.filter("n > 0").select(*keys, F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
@@ -61,6 +63,7 @@ def quantiles(df: DataFrame, x: str | Column, qs: list[float], by: tuple[str, ..
             found = found.select(*keys, "rank", F.col("part_lo").alias("lo"), F.col("part_hi").alias("hi"), (F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("inside"))
             narrow = wanted.filter((F.col("inside") <= at_most) | (F.col("lo") >= F.col("hi")))
             wanted, turn = written(narrow.unionByName(found), "quantiles"), turn + 1
+            made_here.append(wanted)
         few = renamed(wanted.filter("lo < hi").select(*keys, "lo", "hi").distinct())
         sorted_ = rows.join(few, [*same(rows, few), F.col("_x").between(F.col("_olo"), F.col("_ohi"))]).groupBy(*[f"_o{k}" for k in keys], "_olo").agg(F.sort_array(F.collect_list("_x")).alias("_sorted"))
         told = wanted.join(sorted_, [*same(wanted, sorted_), F.col("lo") == F.col("_olo")], "left")
@@ -77,6 +80,8 @@ def quantiles(df: DataFrame, x: str | Column, qs: list[float], by: tuple[str, ..
         return written(made.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "n", q.alias("q")), "quantiles")
     finally:
         rows.unpersist()
+        for table in made_here:
+            removed(table)
 
 
 def quantile_values(df: DataFrame, x: str | Column, qs: list[float]) -> list[float]:

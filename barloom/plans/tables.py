@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +31,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once as Parquet and read back: no lineage, and lost executors lose nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[table] = path
+    return table
+
+
+def removed(table: DataFrame) -> None:
+    """Remove the files of a table that written() has made and nothing reads any more."""
+    fs, at = hadoop_path(table.sparkSession, _path_of.pop(table))
+    fs.delete(at, True)
 
 
 def hadoop_path(spark: SparkSession, path: str):
