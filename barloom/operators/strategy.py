@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from barloom.functions.order import WaveletMatrix
 from barloom.functions.rolling import Rows, safe_log_ratio
 from barloom.operators.audits import bucket, cuts
-from barloom.operators.passage import Ahead, numbers
+from barloom.operators.passage import Ahead, by_series, numbers
 from barloom.plans.blocks import BLOCK_ROWS, in_blocks, previous, running
 from barloom.plans.intervals import interval_join
 from barloom.plans.quantiles import quantiles
@@ -254,11 +255,20 @@ def time_to_take_summary(df: DataFrame) -> DataFrame:
 
 
 def entry_rank(ledger: DataFrame, bars: DataFrame, reach: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """ledger with entry_rank: the share of the other closes within reach rows of the entry that are below it."""
+    """ledger with entry_rank: the share of the other closes within reach rows of the entry that are below it; null where there is no other."""
 
     def work(df: DataFrame, rows: Rows) -> DataFrame:
-        near = F.collect_list("close").over(rows.spec.rowsBetween(-reach, reach))
-        return df.withColumn("entry_rank", F.size(F.filter(near, lambda c: c < F.col("close"))) / (F.size(near) - 1))
+        def make(table: pa.Table) -> dict[str, np.ndarray]:
+            close = numbers(table, "close")
+            at = np.arange(len(close))
+            lo, hi = np.maximum(at - reach, 0), np.minimum(at + reach + 1, len(close))
+            there = np.concatenate([[0], np.cumsum(~np.isnan(close))])
+            others = there[hi] - there[lo] - 1
+            # below is at most the next smaller double
+            below = WaveletMatrix(close).count_at_most(lo, hi, np.nextafter(close, -np.inf))
+            return {"entry_rank": np.where((others > 0) & ~np.isnan(close), below / np.maximum(others, 1), np.nan)}
+
+        return by_series(df, rows, make, [StructField("entry_rank", DoubleType())])
 
     path = in_blocks(bars.select("symbol", "k", "close"), work, reach, block_rows, ahead=reach).select(F.col("symbol").alias("_s"), F.col("k").alias("_k"), "entry_rank")
     return ledger.join(path, (F.col("symbol") == F.col("_s")) & (F.col("k_entry") == F.col("_k"))).drop("_s", "_k")
