@@ -429,6 +429,14 @@ _audit(
     FROM sz, rf LEFT JOIN ct ON w = window_start AND b = bin GROUP BY 1, 2""",
     lambda d: audits.windowed_drift(d, audits.time_windows(d, "ts", 3, 1)),
 )
+_audit(
+    "roll_ks",
+    f"""{_WINDOWED}, pts AS (SELECT DISTINCT p FROM un), fr AS (SELECT p, (SELECT count(*) FROM un u WHERE u.p <= pts.p AND u.doc_id % 2 = 0) / (SELECT count(*) FROM un WHERE doc_id % 2 = 0) AS f FROM pts),
+    wn2 AS (SELECT window_start, window_end, count(*) AS n FROM wi GROUP BY 1, 2 HAVING count(*) >= 5), fw AS (SELECT w.window_start, w.window_end, n, pts.p, (SELECT count(*) FROM wi WHERE wi.window_start = w.window_start AND wi.p <= pts.p) / n AS g FROM wn2 w, pts),
+    k AS (SELECT window_start, window_end, n, max(abs(f - g)) AS ks, (SELECT count(*) FROM un WHERE doc_id % 2 = 0) AS total FROM fw JOIN fr ON fw.p = fr.p GROUP BY 1, 2, 3), l AS (SELECT *, (sqrt(n * total / (n + total)) + 0.12 + 0.11 / sqrt(n * total / (n + total))) * ks AS reach FROM k)
+    SELECT window_start, window_end, n, {_r('ks')} AS ks, {_r('CASE WHEN reach < 0.2 THEN 1 ELSE greatest(least(list_sum(list_transform(range(1, 41), lambda j: 2 * pow(-1, j - 1) * exp(-2 * j * j * reach * reach))), 1), 0) END')} AS ks_pvalue FROM l""",
+    lambda d: audits.windowed_ks(d.filter("doc_id % 2 = 0"), audits.time_windows(d, "ts", 3, 1), min_rows=5),
+)
 _audit(
     "roll_auc",
     f"""{_WINDOWED}, pr AS (SELECT a.window_start, avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) AS auc FROM wi a JOIN wi b ON a.window_start = b.window_start AND a.y = 1 AND b.y = 0 GROUP BY 1)

@@ -126,6 +126,31 @@ def windowed_drift(reference: DataFrame, windows: DataFrame, bins: int = 10) ->
     return full.groupBy("window_start", "window_end", "n").agg(F.sum((F.col("a") - share) * F.ln(F.col("a") / share)).alias("psi"))
 
 
+def windowed_ks(reference: DataFrame, windows: DataFrame, min_rows: int = 1, buckets: int = 1000) -> DataFrame:
+    """For each window of time_windows(): n, ks (the largest distance between the distribution functions of its p and of the reference's) and ks_pvalue (by the limiting distribution, with the usual correction for small samples).
+
+    Between two scores of a window only the reference's function rises, so it is looked at on both sides of each of the window's scores. Functions are running counts over distinct scores, in two levels.
+    """
+    at = lambda d: F.floor(F.col("p") * buckets)  # noqa: E731,ARG005
+    ours = windows.filter("p is not null").groupBy("window_start", "window_end", "p").agg(F.count("*").alias("c"))
+    ours = running(ours.withColumn("_w", F.struct("window_start", "window_end")), "upto", F.col("c"), "_w", at(ours), "p")
+    theirs = reference.filter("p is not null").groupBy("p").agg(F.count("*").alias("r"))
+    every = theirs.unionByName(ours.select("p", F.lit(0).cast("long").alias("r"))).groupBy("p").agg(F.sum("r").alias("r")).withColumn("_all", F.lit(0))
+    every = running(every, "before", F.col("r"), "_all", at(every), "p").select(F.col("p").alias("q"), "r", "before")
+    met = ours.join(every, F.col("p") == F.col("q"))
+    sizes = ours.groupBy(F.col("_w").alias("_v")).agg(F.sum("c").alias("n")).filter(F.col("n") >= min_rows)
+    total = theirs.agg(F.sum("r").alias("total"))
+    met = met.join(sizes, F.col("_w") == F.col("_v")).crossJoin(total)
+    own, ref = (lambda x: F.col(x) / F.col("n")), (lambda x: x / F.col("total"))
+    gap = F.greatest(F.abs(own("upto") - ref(F.col("before"))), F.abs((F.col("upto") - F.col("c")) / F.col("n") - ref(F.col("before") - F.col("r"))))
+    per = met.groupBy("window_start", "window_end", "n", "total").agg(F.max(gap).alias("ks"))
+    root = F.sqrt(F.col("n") * F.col("total") / (F.col("n") + F.col("total")))
+    reach = (root + 0.12 + 0.11 / root) * F.col("ks")
+    tail = sum((2 * (-1) ** (j - 1) * F.exp(-2 * j * j * reach * reach) for j in range(1, 41)), F.lit(0.0))
+    # below this the alternating sum has not converged, and the chance is one
+    return per.select("window_start", "window_end", "n", "ks", F.when(reach < 0.2, 1.0).otherwise(F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0))).alias("ks_pvalue"))
+
+
 def expected_max_sharpe(trials: int) -> float:
     """Expected largest of so many independent standard normal ratios."""
     if trials < 1:
