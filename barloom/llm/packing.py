@@ -16,7 +16,7 @@ Defined results: null text is empty text, whose one token is the end id; repeate
 other columns are not read.
 
 Scale: one map over the texts, which writes tails (16 bits an id) and the finished whole windows; only tails are shuffled. A shard is one
-task's work and is bounded by SHARD_TAILS tails (a few more by the chance of the hash), each shorter than a window. Collected are two counts per
+task's work and is bounded by SHARD_TAILS tails (a few more by the chance of the hash, and all tails of rows that are equal), each shorter than a window. Collected are two counts per
 vocabulary entry and its NEXT_TERMS commonest companions, and a few counts per shard.
 """
 

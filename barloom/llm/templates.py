@@ -6,7 +6,7 @@ there. A line's template keeps the tokens of its best supported positions, min_c
 variable fields and become wildcards. Every constant of a template has at least the support of all its documents together, a value of a variable
 field only a part of it, so fields go before constants whatever the size of the table. A template that occurs in at least min_docs
 documents is recurring, and its lines are dropped everywhere but in the document with the smallest doc_id that has it,
-so that no passage vanishes from the corpus. More documents of a template never make it less recurring.
+so that no passage vanishes from the corpus. More documents of a template alone in its leaf never make it less recurring; those of another template in the leaf may.
 
 Defined results: null text stays null and has no lines; blank lines are never templates and are kept, except that a text
 all of whose other lines go becomes empty; repeated rows each lose the same lines (the smallest doc_id keeps them in
