@@ -578,7 +578,7 @@ def quality_flags(spark, sf_dir: str) -> DataFrame:
 )
 def impute_flags(spark, sf_dir: str) -> DataFrame:
     df = in_blocks(bar_source.hourly(spark, sf_dir), bar_source.base_series, 2, BLOCK).select("symbol", "k", "r", "clv", "logvol")
-    return rounded(labels.impute(df, {"r": 0.0, "clv": 0.5, "logvol": 0.0}))
+    return rounded(labels.impute(df, {"r": 0.0, "clv": 0.5, "logvol": 0.0}, ["r", "clv"]))
 
 
 @query(

@@ -7,6 +7,7 @@ gaps. Functions that take rows work in blocks (plans.blocks) as well as over who
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,10 +71,15 @@ def quality_flags(bars: DataFrame, rows: Rows | None = None) -> DataFrame:
     return bars.withColumns({"data__bad_ohlc__f__w0": F.coalesce(bad, F.lit(True)).cast("byte"), "data__gap__f__w0": gap.cast("byte")})
 
 
-def impute(df: DataFrame, fills: dict[str, float]) -> DataFrame:
-    """Fill what is missing and flag it in undef__ columns, which are made for columns with anything missing only."""
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in fills]).first().asDict() if fills else {}
-    flags = {f"undef__{c}": F.col(c).isNull().cast("byte") for c, n in gaps.items() if n}
+def impute(df: DataFrame, fills: dict[str, float], flagged: Sequence[str] | None = None) -> DataFrame:
+    """Fill what is missing and flag it in undef__ columns.
+
+    They are made for the columns in flagged, whatever the rows are; without it for columns with anything missing only, which takes a pass.
+    """
+    if flagged is None:
+        gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in fills]).first().asDict() if fills else {}
+        flagged = [c for c, n in gaps.items() if n]
+    flags = {f"undef__{c}": F.col(c).isNull().cast("byte") for c in flagged}
     return df.withColumns(flags).withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()})
 
 

@@ -118,3 +118,9 @@ def test_impute_flags_only_columns_with_gaps(spark):
     df = labels.impute(frame(spark, series(60)), {"x": 0.0, "y": 1.0})
     assert "undef__x" in df.columns and "undef__y" not in df.columns
     assert df.filter("undef__x = 1").count() == 3 and df.filter("x is null").count() == 0
+
+
+def test_impute_flags_named_columns_whatever_the_rows_are(spark):
+    df = labels.impute(frame(spark, series(60)), {"x": 0.0, "y": 1.0}, ["y"])
+    assert [c for c in df.columns if c.startswith("undef__")] == ["undef__y"]
+    assert df.filter("undef__y <> 0").count() == 0 and df.filter("x is null").count() == 0
