@@ -74,7 +74,9 @@ def quantiles(df: DataFrame, x: str | Column, qs: list[float], by: tuple[str, ..
 
         def interpolated(a: Column) -> Column:
             low, high = F.floor(a), F.ceil(a)
-            return F.when(low == high, of(low)).otherwise((high - a) * of(low) + (a - low) * of(high))
+            # rounded as SQL's quantile_cont rounds it: among equal values and neighbouring doubles the last bit decides on which side of a cut rows fall
+            between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), of(low), high - a, (a - low) * of(high)).cast("double")
+            return F.when(low == high, of(low)).otherwise(between)
 
         q = F.when(F.col("n") > 0, F.array(*map(interpolated, at)))
         return written(made.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "n", q.alias("q")), "quantiles")

@@ -1,5 +1,6 @@
 """Exact quantiles by narrowing brackets against numpy."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -44,3 +45,13 @@ def test_whole_column_and_no_rows(spark):
     assert quantile_values(df, "x", [0.25, 0.999]) == [250.0, 999.0]
     assert quantile_values(df.filter("x < 0"), "x", [0.5]) == []
     assert quantiles(df.filter("x < 0"), "x", [0.5]).collect()[0].q is None
+
+
+def test_cuts_among_ties_and_neighbouring_doubles_equal_sql(spark):
+    # p (1 - p) of 0.001 and 0.999 differ in the last bit only: what is between them must fall as in SQL
+    sets = {f"{a} {b}": [0.001 * (1 - 0.001)] * a + [0.999 * (1 - 0.999)] * b for a in range(1, 4) for b in range(1, 6)} | {f"{n}": [0.007] * n for n in (3, 5, 6)}
+    rows, qs = [(g, x) for g, xs in sets.items() for x in xs], [1 / 3, 2 / 3, 0.1, 0.2, 0.3, 0.7, 0.8, 0.9]
+    got = {r.g: r.q for r in quantiles(spark.createDataFrame(rows, "g string, x double"), "x", qs, ("g",)).collect()}
+    for g, xs in sets.items():
+        want = duckdb.execute(f"SELECT quantile_cont(x, {qs}::DOUBLE[]) FROM (SELECT unnest({xs}::DOUBLE[]) AS x)").fetchone()[0]
+        assert got[g] == want, g
