@@ -14,8 +14,10 @@ Defined results: null, blank and empty texts get the score of a text without wor
 gives an empty table; without labelled rows of both classes every score is the share of toxic labels (0 if there are none); null labels are not used,
 and of several labels of one document the highest counts; other columns are not read.
 
-Scale: fitting takes at most SAMPLE labelled rows of each class (by a hash of doc_id), a stated bound whatever the size of the corpus. Scoring
-is one map over the whole texts, in tiles of bounded size, with the fitted arrays (about 9 MB, of fixed size) broadcast.
+Scale: every labelled row that is not held out takes part. They are dealt by a hash of doc_id into shards of about SHARD rows, one task each, and the counts that the embeddings
+start from are summed over all. In each of ROUNDS rounds every shard takes its part of STEPS gradient steps from the same arrays, and the changes of all shards are averaged by Spark, bucket by bucket, in
+fixed point, so that their order doesn't matter. Thresholds are exact over all rows that set them, from running counts in two levels. The driver sees arrays of fixed size (about 9 MB) only, and one row a language. Scoring
+is one map over the whole texts, in tiles of bounded size, with the fitted arrays broadcast.
 """
 
 from __future__ import annotations
@@ -29,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.plans.blocks import previous, runnings
+
 from .arrays import Words
+from .storage import materialize, scope
 
-#: Labelled rows of each class, at most, that the classifier is fitted on (a fifth of them sets the thresholds).
-SAMPLE = 2500
+#: Labelled rows of a shard, about (a fifth of them sets the thresholds), and how often the shards' arrays are averaged.
+SHARD = 5000
+ROUNDS = 2
 BUCKETS = 1 << 17
 SIZE = 16
 WIDTHS = (1, 2, 3)
@@ -50,6 +56,8 @@ _TILE = 1 << 13
 #: Rows that are scored together.
 _ROWS = 1024
 _SEED = 7
+#: Changes of arrays are summed as multiples of 1 / _UNIT.
+_UNIT = 1 << 24
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
@@ -145,16 +153,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(Features(texts)).astype(np.float64), -30, 30)))
 
 
-def _start(features: Features, toxic: np.ndarray, texts: np.ndarray, rng: np.random.Generator) -> Model:
-    """The untrained model; how far each feature's count in toxic ones of texts is from the expected is its first coordinate."""
+def _counts(features: Features, toxic: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """In how many of texts, by label, each bucket has a feature of each kind."""
+    counts = np.zeros((2, BUCKETS + 1))
+    if not len(texts):
+        return counts
     own = np.repeat(texts, features.lasts[texts] - features.firsts[texts])
     rows = np.concatenate([np.arange(features.firsts[d], features.lasts[d]) for d in texts])
-    counts = np.zeros((2, BUCKETS + 1))
     for k in range(features.ids.shape[1]):
         # in how many texts, not how often
         pairs = np.unique(own * (BUCKETS + 1) + features.ids[rows, k])
         np.add.at(counts, (toxic[pairs // (BUCKETS + 1)], pairs % (BUCKETS + 1)), 1)
-    expected = counts.sum(0) * toxic[texts].mean()
+    return counts
+
+
+def _start(features: Features, toxic: np.ndarray, texts: np.ndarray, rng: np.random.Generator) -> Model:
+    """The untrained model of texts."""
+    return _untrained(_counts(features, toxic, texts), toxic[texts].mean(), rng)
+
+
+def _untrained(counts: np.ndarray, share: float, rng: np.random.Generator) -> Model:
+    """The untrained model; how far each feature's count in toxic texts, whose share is given, is from the expected is its first coordinate."""
+    expected = counts.sum(0) * share
     deviation = (counts[1] - expected) / np.sqrt(expected + 1)
     embeddings = rng.normal(0, 0.05, (BUCKETS + 1, SIZE)).astype(np.float32)
     embeddings[:, 0] = np.tanh(deviation / 6)
@@ -191,12 +211,12 @@ def gradients(model: Model, features: Features, batch: np.ndarray, toxic: np.nda
     return grads, buckets, sums
 
 
-def _train(features: Features, toxic: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> Model:
-    model = _start(features, toxic, rows, rng)
-    shapes = [model.embeddings, *model.filters, model.biases, model.weights, np.zeros(1, np.float32)]
+def _train(model: Model, features: Features, toxic: np.ndarray, rows: np.ndarray, rng: np.random.Generator, steps: int) -> Model:
+    """model after some gradient steps, its arrays changed in place."""
+    shapes = [model.embeddings, *model.filters, model.biases, model.weights, np.array([model.intercept], np.float32)]
     first, second = [np.zeros_like(x) for x in shapes], [np.zeros_like(x) for x in shapes]
     step = 0
-    while step < STEPS:
+    while step < steps:
         order = rng.permutation(rows)
         for a in range(0, len(order), BATCH):
             step += 1
@@ -234,7 +254,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, langs: list[str | None]) ->
     if len(set(toxic[held].tolist())) < 2:
         held[:] = True
     rows = np.flatnonzero(~held) if not held.all() else np.arange(len(toxic))
-    model = _train(features, toxic, rows, rng)
+    model = _train(_start(features, toxic, rows, rng), features, toxic, rows, rng, STEPS)
     logits, names = model.logits(features).astype(np.float64), np.array([str(x) for x in langs], object)
     model.shift = best_cut(logits[held], toxic[held])
     for lang in sorted(set(names[held])):
@@ -248,28 +268,131 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """At most per_class labelled rows of each class that are not held out, in order of a hash of doc_id."""
-    marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label")).filter(~held_out())
-    turn = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [marked.filter(F.col("label") == c).orderBy(*turn).limit(per_class) for c in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("_id"), "label")
-    found = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return found.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row"), F.min("label").alias("label")).select("doc_id", "row.text", "row.lang", "label")
+def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, lang, label and sets (whether it sets thresholds) of every labelled document that is not held out; of several rows of one the smallest."""
+    marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out())
+    found = docs.select("doc_id", "text", "lang").join(marked.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row"), F.min("label").alias("label"))
+    return rows.select("doc_id", "row.text", F.coalesce("row.lang", F.lit("None")).alias("lang"), "label", (F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(5)) == 4).alias("sets"))
 
 
-def _fitted(table: pa.Table) -> pa.Table:
-    # the classes alternate in an order that shows nothing of them
-    rows = table.sort_by([("doc_id", "ascending")]).to_pylist()
-    rows = [rows[k] for k in np.random.default_rng(_SEED).permutation(len(rows))]
-    model = fit([r["text"] for r in rows], np.array([r["label"] for r in rows]), [r["lang"] for r in rows])
-    return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros((2, BUCKETS + 1))
+    for batch in batches:
+        for a in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(a, _ROWS)
+            counts += _counts(Features(part.column("text")), part.column("label").to_numpy().astype(np.int64), np.arange(part.num_rows))
+    held = np.flatnonzero(counts.sum(0))
+    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (held, counts[0, held], counts[1, held])], names=["bucket", "clean", "toxic"])
+
+
+def _flat(model: Model) -> np.ndarray:
+    """All arrays of a model in rows of SIZE numbers, its embeddings first."""
+    rest = np.concatenate([*(f.reshape(-1) for f in model.filters), model.biases, model.weights, [model.intercept]]).astype(np.float32)
+    return np.concatenate([model.embeddings, np.pad(rest, (0, -len(rest) % SIZE)).reshape(-1, SIZE)])
+
+
+def _unflat(rows: np.ndarray) -> Model:
+    rest = rows[BUCKETS + 1 :].reshape(-1)
+    cuts = np.cumsum([w * SIZE * FILTERS for w in WIDTHS] + [len(WIDTHS) * FILTERS] * 2)
+    *filters, biases, weights, last = np.split(rest.copy(), cuts)
+    return Model(rows[: BUCKETS + 1].copy(), [f.reshape(-1, FILTERS) for f in filters], biases, weights, float(last[0]))
+
+
+_CHANGES = [f"v{i}" for i in range(SIZE)]
+
+
+def _averaged(rows: DataFrame, model: Model, steps: int, turn: int) -> Model:
+    """The model after some steps in every shard of rows (doc_id, text, label, shard), its arrays the means over the shards."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending")])
+        before = _flat(shared.value)
+        # a second round goes through the rows in another order
+        rng = np.random.default_rng([_SEED, turn])
+        toxic = table.column("label").to_numpy().astype(np.int64)
+        made = _train(_unflat(before), Features(table.column("text")), toxic, np.arange(len(toxic)), rng, steps)
+        change = np.rint((_flat(made) - before).astype(np.float64) * _UNIT).astype(np.int64)
+        moved = np.flatnonzero(change.any(1))
+        # one row more, which counts the shard
+        columns = [np.append(moved, len(change)), *(np.append(change[moved, i], 1) for i in range(SIZE))]
+        return pa.table([pa.array(c) for c in columns], names=["slot", *_CHANGES])
+
+    changes = rows.groupBy("shard").applyInArrow(work, ", ".join(f"{c} long" for c in ["slot", *_CHANGES]))
+    sums = changes.groupBy(F.col("slot").cast("int").alias("slot")).agg(*[(F.sum(c) / _UNIT).cast("float").alias(c) for c in _CHANGES]).toArrow()
+    shared.destroy()
+    flat = _flat(model)
+    slot = sums.column("slot").to_numpy()
+    held = slot < len(flat)
+    for i, c in enumerate(_CHANGES):
+        total = sums.column(c).to_numpy()
+        flat[slot[held], i] += total[held] / np.rint(total[~held][0] * _UNIT).astype(np.float32)
+    return _unflat(flat)
+
+
+def best_cuts(rows: DataFrame) -> DataFrame:
+    """best_cut() of every group: name, n, toxic (rows with label 1) and cut, from rows of name, value and label."""
+    sums = rows.groupBy("name").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"), F.max("value").alias("_top"))
+    per = rows.groupBy("name", "value").agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros"))
+    bucket = F.floor(F.col("value") * 16)
+    per = previous(per, "before", F.col("value"), "name", bucket, "value")
+    per = runnings(per, {"_ones": (F.col("ones"), "sum"), "_zeros": (F.col("zeros"), "sum")}, "name", bucket, "value")
+    per = per.join(sums.withColumnRenamed("name", "_name"), F.col("name") == F.col("_name"))
+    # a cut before each value, and one after the last
+    low = F.coalesce(F.col("before"), F.col("value") - 1)
+    cut = lambda zeros, ones, a, b: F.struct((zeros + F.col("toxic") - ones).alias("right"), (b - a).alias("gap"), (-(a + b) / 2).alias("down"))
+    first = cut(F.col("_zeros") - F.col("zeros"), F.col("_ones") - F.col("ones"), low, F.col("value"))
+    last = F.when(F.col("value") == F.col("_top"), cut(F.col("_zeros"), F.col("_ones"), F.col("value"), F.col("value") + 1))
+    return per.groupBy("name", "n", "toxic").agg(F.max(F.greatest(first, last)).alias("best")).select("name", "n", "toxic", (-F.col("best.down")).alias("cut"))
+
+
+def train(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD, rounds: int = ROUNDS) -> Model:
+    """The classifier and its thresholds, fitted on all examples()."""
+    spark = docs.sparkSession
+    with scope(spark):
+        rows = materialize(examples(docs, labels))
+        sizes = {(r["sets"], r["label"]): r["n"] for r in rows.groupBy("sets", "label").agg(F.count("*").alias("n")).collect()}
+        n = sum(sizes.values())
+        if len({label for _, label in sizes}) < 2:
+            return fit([], np.array([label for _, label in sizes][:1], np.int64), [])
+        if {label for sets, label in sizes if sets} == {0, 1}:
+            taught, judged = rows.filter("not sets"), rows.filter("sets")
+            sizes = {k: m for k, m in sizes.items() if not k[0]}
+        else:
+            taught = judged = rows
+        texts = sum(sizes.values())
+        if not texts:
+            taught, texts = rows, n
+        counts = np.zeros((2, BUCKETS + 1))
+        found = taught.select("text", "label").mapInArrow(_counted, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+        for k, c in enumerate(("clean", "toxic")):
+            counts[k, found.column("bucket").to_numpy()] = found.column(c).to_numpy()
+        model = _untrained(counts, sum(m for (_, label), m in sizes.items() if label) / texts, np.random.default_rng(_SEED))
+        shards = -(-n // shard_rows)
+        dealt = taught.select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+        for turn in range(rounds):
+            model = _averaged(dealt, model, STEPS // rounds, turn)
+        logits = materialize(score_logits(judged, model))
+        overall = logits.withColumn("name", F.lit(""))
+        model.shift = best_cuts(overall).first()["cut"]
+        for r in best_cuts(logits).filter(F.col("n") >= LEAST_ROWS).filter("toxic > 0 and toxic < n").orderBy("name").collect():
+            model.thresholds[r["name"]] = float(1 / (1 + np.exp(model.shift - r["cut"])))
+        return model
+
+
+def score_logits(rows: DataFrame, model: Model) -> DataFrame:
+    """name (lang), value (the logit of the text) and label of every row."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(a, _ROWS)
+                values = shared.value.logits(Features(part.column("text"))).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(values), part.column("label")], names=["name", "value", "label"])
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
-    """The classifier fitted on sample(), in one task: the sample is bounded, and the driver sees the fitted arrays only."""
-    row = sample(docs, labels, per_class).groupBy(F.lit(0).alias("all")).applyInArrow(_fitted, "model binary").first()
-    return pickle.loads(row.model) if row else fit([], np.zeros(0), [])
+    return rows.select("text", "lang", "label").mapInArrow(run, "name string, value double, label int")
 
 
 def _judged(fitted: Model, texts: pa.Array, langs: list) -> tuple[np.ndarray, np.ndarray]:

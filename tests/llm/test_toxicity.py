@@ -125,3 +125,26 @@ def test_filter_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a", "en", "x", "y", "z"), (None, None, None, "x", "y", "z")], "doc_id long, text string, lang string, _id string, _key string, `a.b` string")
     got = toxicity.keep_clean(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert got.columns == docs.columns and got.count() == 2
+
+
+def test_every_labelled_row_takes_part_in_shards(spark, monkeypatch):
+    texts, toxic = labelled(300)
+    monkeypatch.setattr(toxicity, "STEPS", 40)
+    # what only the row of the largest id shows counts too
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, "unseen " * 3])], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate([*toxic, 1])], "doc_id long, toxic int")
+    rows = toxicity.examples(docs, labels).collect()
+    assert {r.doc_id for r in rows} == {i for i in range(301) if zlib.crc32(str(i).encode()) % 5}
+    one, two = (toxicity.train(d, labels, shard_rows=60) for d in (docs, docs.repartition(5)))
+    assert np.array_equal(toxicity._flat(one), toxicity._flat(two)) and one.shift == two.shift and one.thresholds == two.thresholds
+    out = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert ((one.scores(pa.array([texts[i] for i in out])) >= 0.5) == toxic[out]).mean() > 0.95
+
+
+def test_best_cuts_against_one_array(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(np.round(rng.normal(y), 2)), y) for g, n in (("a", 200), ("b", 30), ("c", 1)) for y in rng.integers(0, 2, n).tolist()]
+    got = {r.name: (r.n, r.toxic, r.cut) for r in toxicity.best_cuts(spark.createDataFrame(rows, "name string, value double, label int")).collect()}
+    for g in ("a", "b", "c"):
+        values, label = np.array([r[1] for r in rows if r[0] == g]), np.array([r[2] for r in rows if r[0] == g])
+        assert got[g] == (len(label), label.sum(), toxicity.best_cut(values, label)), g
