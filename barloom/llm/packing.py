@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -59,9 +59,10 @@ def _encoder(json_path: str, rank_path: str, pattern: str):
     special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> Sequence[int]:
         try:
-            return fast.encode(text, allowed_special="all") if any(t in text for t in special) else fast.encode_ordinary(text)
+            # without a list of Python numbers; strings of special tokens count where the text has one
+            return fast.encode_to_numpy(text, allowed_special="all" if any(t in text for t in special) else set(), disallowed_special=())
         except BaseException as e:  # a panic of its pattern matcher is no Exception
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
@@ -93,9 +94,12 @@ def tokenized(docs: DataFrame, json_path: str, rank_path: str, pattern: str, win
             for a in range(0, whole.num_rows, 512):
                 part, rows = whole.slice(a, 512), []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
-                    ids = np.array([*encode(text.as_py() or ""), END], kind)
-                    seen[np.unique(ids)] += 1
-                    n = len(ids)
+                    found = encode(text.as_py() or "")
+                    n = len(found) + 1
+                    ids = np.empty(n, kind)
+                    ids[:-1], ids[-1] = found, END
+                    # once for each id, as places that repeat are written once
+                    seen[ids] += 1
                     for start in range(0, n - window + 1, window):
                         rows.append((_WHOLE, doc_id, start, window, _crc(ids[start : start + window]), n, sequence, 0, None, None, None))
                         sequence += 1

@@ -123,3 +123,12 @@ def test_route_bounds_shards():
     for row in rows:
         sizes[route.shard(*row)] += 1
     assert set(sizes) == set(range(100)) and max(sizes.values()) < 300
+
+
+def test_ids_come_as_an_array_and_equal_the_library():
+    json_path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, _ = packing._encoder(json_path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    slow = Tokenizer.from_file(json_path)
+    for text in ("", " ", "one two  three\n\n", "é漢\U0001f600 \x00", "a<|endoftext|>b", "<|endoftext|>", "x" * 3000):
+        ids = encode(text)
+        assert isinstance(ids, np.ndarray) and ids.tolist() == slow.encode(text, add_special_tokens=False).ids, text
