@@ -39,6 +39,8 @@ from .storage import materialize, scope
 #: Labelled rows of a shard, about (a fifth of them sets the thresholds), and how often the shards' arrays are averaged.
 SHARD = 5000
 ROUNDS = 2
+#: Rows of labels up to which their ids are sent to all tasks; beyond, texts are shuffled to them.
+MOST_SENT = 2_000_000
 BUCKETS = 1 << 17
 SIZE = 16
 WIDTHS = (1, 2, 3)
@@ -268,10 +270,14 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def examples(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """doc_id, text, lang, label and sets (whether it sets thresholds) of every labelled document that is not held out; of several rows of one the smallest."""
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out())
-    found = docs.select("doc_id", "text", "lang").join(marked.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
+    marked = marked.withColumnRenamed("doc_id", "_id")
+    # so few ids go to all tasks, so that texts without labels are not moved
+    if labels.limit(most_sent + 1).count() <= most_sent:
+        marked = F.broadcast(marked)
+    found = docs.select("doc_id", "text", "lang").join(marked, F.col("doc_id") == F.col("_id"))
     rows = found.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row"), F.min("label").alias("label"))
     return rows.select("doc_id", "row.text", F.coalesce("row.lang", F.lit("None")).alias("lang"), "label", (F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(5)) == 4).alias("sets"))
 

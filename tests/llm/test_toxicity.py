@@ -135,6 +135,7 @@ def test_every_labelled_row_takes_part_in_shards(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate([*toxic, 1])], "doc_id long, toxic int")
     rows = toxicity.examples(docs, labels).collect()
     assert {r.doc_id for r in rows} == {i for i in range(301) if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(map(str, toxicity.examples(docs, labels, 10).collect())) == sorted(map(str, rows))
     one, two = (toxicity.train(d, labels, shard_rows=60) for d in (docs, docs.repartition(5)))
     assert np.array_equal(toxicity._flat(one), toxicity._flat(two)) and one.shift == two.shift and one.thresholds == two.thresholds
     out = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
