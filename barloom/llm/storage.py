@@ -37,9 +37,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def _collect(spark: SparkSession) -> None:
+    """Have the driver collect the plans of finished jobs now.
+
+    Spark removes their shuffles and broadcasts only then; left to itself the driver's heap grows to its limit first, with one round of a long loop after the other.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Tables that materialize() writes within go at its end, all but those that the caller adds to the list."""
+    """Tables that materialize() writes within go at its end, all but those that the caller adds to the list, and what Spark holds of the jobs that wrote them."""
     kept: list[DataFrame] = []
     _scopes.append([])
     try:
@@ -51,6 +59,7 @@ def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
                 _delete(spark, path)
             elif _scopes:
                 _scopes[-1].append(path)
+        _collect(spark)
 
 
 def drop_tables(spark: SparkSession) -> None:
