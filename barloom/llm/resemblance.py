@@ -42,6 +42,8 @@ CROWD, CROWD_BLOCK = 50, 2048
 HOME_NODES, PART_NODES = 2048, 512
 #: Candidates, 8 bytes each, up to which their list is sent to all tasks.
 SENT_NODES = 1 << 21
+#: Links that a task holds at once, 16 bytes each, when it finds components within them.
+LINKS_CHUNK = 1 << 19
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -131,7 +133,7 @@ def _homes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Candidates of one component share a home, so a text moves once for all of its pairs. A large component is dealt into parts of about PART_NODES nodes, and its homes are pairs of parts; small ones share homes of about HOME_NODES.
     """
-    of = components(pairs)
+    of = components(pairs, LINKS_CHUNK)
     parts = F.ceil(F.col("m") / PART_NODES).cast("int")
     of = of.join(of.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("m")), F.col("component") == F.col("c"))
     of = materialize(of.select("node", "component", F.pmod(F.xxhash64("node", F.lit(SEED)), parts).alias("part")))
@@ -184,7 +186,7 @@ def links(rows: DataFrame, docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     few = few.filter(_sizes_fit(F.col("n"), F.col("p.n"))).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.when(F.col("node") < F.col("p.node"), F.col("n")).otherwise(F.col("p.n")).alias("n_a"), F.when(F.col("node") < F.col("p.node"), F.col("p.n")).otherwise(F.col("n")).alias("n_b"))
     few = _enough(few.groupBy("a", "b").agg(F.any_value("n_a").alias("n_a"), F.any_value("n_b").alias("n_b"), F.count("*").alias("c")))
     close = _verified(_fingerprint_pairs(rows).unionByName(few).distinct(), docs)
-    groups = components(close).select(F.col("node").alias("g_node"), "component")
+    groups = components(close, LINKS_CHUNK).select(F.col("node").alias("g_node"), "component")
     named = met.select("token", "node", "n").join(groups, F.col("node") == F.col("g_node"), "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
     named = materialize(named)
     sizes = named.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
@@ -244,7 +246,7 @@ def keep_one(docs: DataFrame, sample: int = SAMPLE, frequent: int = FREQUENT, cr
     """
     with scope(docs.sparkSession) as kept:
         rows = materialize(_prefixes(docs, _frequent(docs, sample, frequent)))
-        groups = components(links(rows, docs, crowd)).select(F.col("node").alias("g_node"), "component")
+        groups = components(links(rows, docs, crowd), LINKS_CHUNK).select(F.col("node").alias("g_node"), "component")
         linked = rows.select("doc_id", "key", "node").join(groups, F.col("node") == F.col("g_node"), "left")
         linked = materialize(linked.select("doc_id", "key", F.coalesce("component", "node").alias("component")))
         kept.append(linked)

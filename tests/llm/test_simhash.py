@@ -92,3 +92,31 @@ def test_components_of_chains_and_stars(spark):
     want = reach({n for e in edges for n in e}, edges)
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).filter(F.lit(True)).count() == 0
+
+
+def test_components_in_chunks(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 160)] + [(5, 5), (300, 200), (250, 300), (-9, 2**62), (2**62, 60)]
+    edges += [(a, a + rng.choice([1, 2, 7])) for a in rng.sample(range(1000, 1400), 250)] + [(e, e) for e in (7, 900)]
+    rng.shuffle(edges)
+    want = reach({n for a, b in edges if a != b for n in (a, b)}, [e for e in edges if e[0] != e[1]])
+    table = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        for chunk in (1, 20, 100, 10_000):
+            assert {r.node: r.component for r in components(table, chunk).collect()} == want, chunk
+        assert components(table.limit(0), 100).filter(F.lit(True)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_components_of_one_chunk_take_no_round(spark):
+    """The driver keeps a record of each job and task, so a loop of rounds over few edges fills it."""
+    table = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    jobs = lambda: spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        assert components(table, 1000).filter("component = 0").count() == 301
+        assert len(jobs()) <= 8
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
