@@ -8,7 +8,7 @@ and o = ceil(t / (1 + t) * (a + b)) the overlap that the similarity asks for: pa
 shingles of its set follow, so c + max(ceil(t * a), ceil(t * b)) - 1 >= o. What passes, and what the fingerprints found, is decided by the sets themselves.
 
 The order is by hash, but shingles that are frequent in a sample of the documents come last, so boilerplate is seldom in a prefix. The sample only
-changes the cost, never the pairs. Close groups are linked first, by fingerprints and by few pairs of each shingle (each document with the two before it by size, and the
+changes the cost, never the pairs. It is a share of a large table: what a sample of fixed size finds frequent is in ever more documents as the table grows, and what it misses leads prefixes whose pairs grow with the square. Close groups are linked first, by fingerprints and by few pairs of each shingle (each document with the two before it by size, and the
 first); after that only pairs of different components are compared, so a group of near copies is not expanded into all of its pairs as long as those
 links hold it together. Tokens of up to CROWD nodes are joined; the nodes of a crowded token are compared in blocks, which return only the pairs that pass the count.
 
@@ -27,17 +27,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
+from .arrays import runs
 from .components import components
 from .storage import materialize, scope
 
 WORDS = 5
 #: The similarity as a fraction, so that no rounding decides.
 PART, WHOLE = 4, 5
-#: Documents of the sample that orders the shingles; a shingle in FREQUENT of them comes last; at most LAST_MOST do.
-SAMPLE, FREQUENT, LAST_MOST = 10_000, 4, 100_000
+#: Documents of the sample that orders the shingles, and the least share of the documents, one of so many; a shingle in FREQUENT of them comes last; at most LAST_MOST do, 8 bytes each.
+SAMPLE, SHARE, FREQUENT, LAST_MOST = 10_000, 16, 4, 1 << 20
 SEED = 43
 #: Nodes that share a prefix token beyond which their pairs are counted within tasks, and nodes of a block there.
 CROWD, CROWD_BLOCK = 50, 2048
+#: Pairs that a crowd's shingle makes from which they are counted as a rectangle, and those of other shingles that are listed at once.
+RECTANGLE, LISTED = 1 << 12, 1 << 20
 #: Candidates that are compared by one task, and those of a part of a large component.
 HOME_NODES, PART_NODES = 2048, 512
 #: Candidates, 8 bytes each, up to which their list is sent to all tasks.
@@ -70,7 +73,7 @@ def _need(n: Column) -> Column:
 
 def _frequent(docs: DataFrame, sample: int, frequent: int) -> np.ndarray:
     """Shingles of at least frequent documents of a sample."""
-    step = max(1, docs.count() // max(1, sample))
+    step = max(1, min(docs.count() // max(1, sample), SHARE))
     some = docs.filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(step)) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +202,42 @@ def links(rows: DataFrame, docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     return close.unionByName(_verified(rest.unionByName(dense).distinct(), docs))
 
 
+def _owners(prefixes: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different tokens of some prefixes, where each one's owners begin, their number, and the owners."""
+    lists = prefixes.combine_chunks()
+    tokens, at = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    order = np.argsort(tokens, kind="stable")
+    names, firsts, n = np.unique(tokens[order], return_index=True, return_counts=True)
+    return names, firsts, n, at[order]
+
+
+def _shared(sides: list[pa.ChunkedArray], token: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """By pair of prefixes, one of each side, the tokens that both hold, and whether one of these is smaller than token; same: both sides are the same, and a prefix has no pair with itself."""
+    left = _owners(sides[0])
+    right = left if same else _owners(sides[1])
+    names, x, y = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
+    if same:
+        # a token of one prefix makes no pair
+        names, x, y = (k[left[2] > 1] for k in (names, x, y))
+    (from_x, n_x, at_x), (from_y, n_y, at_y) = ((firsts[k], n[k], at) for k, (_, firsts, n, at) in ((x, left), (y, right)))
+    shared = np.zeros((len(sides[0]), len(sides[1])), np.int32)
+    earlier = np.zeros(shared.shape, bool)
+    product = n_x * n_y
+    for k in np.flatnonzero(product >= RECTANGLE).tolist():
+        here = np.ix_(at_x[from_x[k] : from_x[k] + n_x[k]], at_y[from_y[k] : from_y[k] + n_y[k]])
+        shared[here] += 1
+        if names[k] < token:
+            earlier[here] = True
+    few = np.flatnonzero(product < RECTANGLE)
+    slices = np.cumsum(product[few]) // LISTED
+    for some in np.split(few, np.flatnonzero(np.diff(slices)) + 1):
+        of, place = np.repeat(some, product[some]), runs(product[some])
+        cell = at_x[from_x[of] + place // n_y[of]] * shared.shape[1] + at_y[from_y[of] + place % n_y[of]]
+        np.add.at(shared.reshape(-1), cell, 1)
+        earlier.reshape(-1)[cell[names[of] < token]] = True
+    return shared, earlier
+
+
 def _crowd_pairs(members: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (a, b) that may be similar among the nodes that share a crowded token and whose prefixes share no smaller one.
 
@@ -214,19 +253,7 @@ def _crowd_pairs(members: DataFrame, rows: DataFrame) -> DataFrame:
         own = table.column("own").to_numpy()
         sides = [table.take(pa.array(np.flatnonzero(own == k))) for k in (i, j)]
         node, n, component = ([s.column(c).to_numpy() for s in sides] for c in ("node", "n", "component"))
-        owners = []
-        for s in sides:
-            lists = s.column("prefix").combine_chunks()
-            tokens, at = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            order = np.argsort(tokens, kind="stable")
-            names, firsts = np.unique(tokens[order], return_index=True)
-            owners.append(dict(zip(names.tolist(), np.split(at[order], firsts[1:]))))
-        shared, earlier = np.zeros((len(node[0]), len(node[1])), np.int32), np.zeros((len(node[0]), len(node[1])), bool)
-        for t in owners[0].keys() & owners[1].keys():
-            here = np.ix_(owners[0][t], owners[1][t])
-            shared[here] += 1
-            if t < token:
-                earlier[here] = True
+        shared, earlier = _shared([s.column("prefix") for s in sides], token, i == j)
         x, y = n[0][:, None].astype(np.int64), n[1][None].astype(np.int64)
         need = -(-np.maximum(x, y) * PART // WHOLE)
         ok = (shared > 0) & ~earlier & (component[0][:, None] != component[1][None]) & (np.minimum(x, y) * WHOLE >= np.maximum(x, y) * PART) & (shared + need - 1 >= -(-(x + y) * PART // (PART + WHOLE)))

@@ -142,7 +142,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> Da
         chains.append(F.struct(F.lit(start).alias("start"), key.alias("key")))
     keyed = materialize(prints.select("fp", F.explode(F.array(*chains)).alias("chain")).select("fp", "chain.start", "chain.key"))
     crowded = materialize(keyed.groupBy("start", "key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(F.col("start").alias("c_start"), F.col("key").alias("c_key")))
-    near = lambda met: met.filter(_chain_holds(F.col("fp"), F.col("b"), F.col("start"), distance)).filter(_far("fp", "b") <= distance).select(F.col("fp").alias("a"), "b")
+    # a join tests what is filtered after it first; a print meets itself in each of its chains, so the chain's arrays are made only where the cheap tests hold
+    near = lambda met: met.filter(F.when((F.col("fp") < F.col("b")) & (_far("fp", "b") <= distance), _chain_holds(F.col("fp"), F.col("b"), F.col("start"), distance))).select(F.col("fp").alias("a"), "b")
     calm, dense = keyed, None
     if not crowded.isEmpty():
         at_crowd = (F.col("start") == F.col("c_start")) & (F.col("key") == F.col("c_key"))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,30 @@ def test_null_ids_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b"), (2, "A b"), (2, "A b")], "doc_id long, text string")
     assert sorted(map(str, [r.doc_id for r in resemblance.keep_one(docs).collect()])) == ["1", "None", "None"]
     assert resemblance.keep_one(docs.filter(F.lit(False))).count() == 0
+
+
+def test_sample_grows_with_the_table(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join("v" + str(rng.randrange(10**6)) for _ in range(n))
+    line = words(20)
+    docs = spark.createDataFrame([(i, words(8) + (" " + line if i % 10 == 0 else "")) for i in range(3200)], "doc_id long, text string")
+    # of a line in 320 documents a sample of 10 rows would see one
+    found = resemblance._frequent(docs, 10, 4)
+    assert set(resemblance.shingle_set(line).tolist()) <= set(found.tolist()) and len(found) < 40
+
+
+@pytest.mark.parametrize("rectangle", [1, 9, 4096])
+@pytest.mark.parametrize("same", [True, False])
+def test_shared_tokens_of_a_crowd(monkeypatch, rectangle, same):
+    monkeypatch.setattr(resemblance, "RECTANGLE", rectangle)
+    monkeypatch.setattr(resemblance, "LISTED", 50)
+    rng = random.Random(rectangle)
+    made = lambda n: [sorted(rng.sample(range(60), rng.randrange(12))) for _ in range(n)]
+    a = made(30)
+    b = a if same else made(23)
+    column = lambda x: pa.chunked_array([pa.array(x[:10], pa.list_(pa.int64())), pa.array(x[10:], pa.list_(pa.int64()))])
+    shared, earlier = resemblance._shared([column(a), column(b)], 30, same)
+    other = ~np.eye(30, dtype=bool) if same else np.ones((30, 23), bool)
+    both = [[set(x) & set(y) for y in b] for x in a]
+    assert (shared == [[len(z) for z in row] for row in both])[other].all()
+    assert (earlier == [[any(t < 30 for t in z) for z in row] for row in both])[other].all()
