@@ -1,7 +1,7 @@
 """Permutation importance in blocks of time: how much worse a score becomes when one feature's values are dealt to other rows, within blocks of consecutive rows and across all of them.
 
 A feature whose loss comes only when values leave their time owes its worth to when a row was, not to its value. Nothing is drawn on the driver: every row has a place by its order in time and one by a hash of
-(seed, feature, replicate, row); it takes the value of the row whose hash place is its own place, by an equi-join. Places are running counts in two levels, so a block is no one task.
+(seed, feature, replicate, row); it takes the value of the row whose hash place is its own place, by an equi-join that moves both sides. Places are running counts in two levels, so a block is no one task.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ def permuted(df: DataFrame, features: list[str], order: str, blocks: int, repeat
     key = F.concat_ws("|", "feature", "replicate", "_part")
     givers = spread.select("_value", key.alias("_key"), uniform(seed, F.col("feature"), F.col("replicate"), F.col(order)).alias("_turn"), F.lit(1).alias("_one"))
     givers = running(givers, "_taken", F.col("_one"), "_key", F.floor(F.col("_turn") * BUCKETS), "_turn").select("_key", "_taken", F.col("_value").alias("_given"))
-    met = spread.withColumn("_own_key", key).join(givers, (F.col("_own_key") == F.col("_key")) & (F.col("_own") == F.col("_taken")))
+    # what Spark takes for the size of these is that of the file before its rows were multiplied, which it would broadcast
+    met = spread.withColumn("_own_key", key).join(givers.hint("merge"), (F.col("_own_key") == F.col("_key")) & (F.col("_own") == F.col("_taken")))
     dealt = met.withColumns({f: F.when(F.col("feature") == f, F.col("_given")).otherwise(F.col(f"`{f}`")) for f in features})
     return dealt.select(*df.columns, "feature", "mode", "replicate")
 

@@ -47,3 +47,10 @@ def test_too_few_rows_and_none(spark):
     with pytest.raises(ValueError, match="blocks"):
         permutation.permuted(df, ["a"], "t", 0, 1)
     assert permutation.permuted(df.limit(0), ["a"], "t", 3, 1).count() == 0
+
+
+def test_values_are_dealt_by_a_shuffle(spark):
+    plan = permutation.permuted(table(spark), ["a", "b"], "t", 8, 2)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line and "_taken#" in line]
+    # neither side fits the driver when the table grows
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
