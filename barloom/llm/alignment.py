@@ -13,7 +13,7 @@ Defined results: texts that are null, empty, or of which either tokenizer's byte
 equal or null doc_id are separate documents; an empty table gives an empty table; other columns are not read.
 
 Scale: one map over the texts, tokenized once, which writes for every chunk (a stretch of an input partition of about CHUNK_BYTES) its documents' links by number of pair and, once, each pair of the chunk with its number of documents.
-Pairs are counted from these sums, so a pair of all documents is a row per chunk; the counts go back by a join on the pair and are gathered by chunk. No group but a chunk is held by a task. A group in which the tokenizers agree on no boundary for long
+Pairs are counted from these sums, so a pair of all documents is a row per chunk; the counts go back by a join on the pair and meet their chunk in a cogroup, one chunk at a time. No group but a chunk is held by a task. A group in which the tokenizers agree on no boundary for long
 is taken apart into its distinct ids with their repeats, and pairs are listed PAIRS_AT_ONCE at a time, so memory follows the distinct pairs, not the product of the group's lengths.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,9 @@ from .storage import materialize, scope
 
 CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 4096
 #: Bytes of text that are aligned at once, and pairs that are listed at once.
-PART_BYTES, PAIRS_AT_ONCE = 1 << 20, 1 << 21
+PART_BYTES, PAIRS_AT_ONCE = 1 << 18, 1 << 21
+#: Pairs of documents, 12 bytes each, of a row: rows of megabytes fragment the executors' heap.
+ROW_PAIRS = 1 << 15
 #: Groups of more pairs of occurrences are taken apart by their distinct ids.
 PLAIN_GROUP = 4096
 _MADE = "chunk long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, pairs_of array<int>, places binary, times binary, pairs array<long>, held array<int>"
@@ -50,12 +52,10 @@ class Tokenizers:
     def __init__(self, json_path: str, rank_path: str, pattern: str, model_path: str):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(rank_path, "rb"))}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(json_path)
-        self.slow.encode_special_tokens = True
+        self.json_path = json_path
         self.a_bytes = {i: t for t, i in ranks.items()}
         self.model = b = sentencepiece.SentencePieceProcessor(model_file=model_path)
         piece = lambda i: bytes([int(b.id_to_piece(i)[1:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
@@ -63,6 +63,15 @@ class Tokenizers:
         size = lambda of: np.array([len(of.get(i, b"")) for i in range(max(of) + 1)], np.int64)
         self.a_size, self.b_size = size(self.a_bytes), size(self.b_bytes)
 
+    @cached_property
+    def slow(self):
+        """Loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(self.json_path)
+        slow.encode_special_tokens = True
+        return slow
+
     def encode_a(self, text: str) -> list[int]:
         try:
             return self.fast.encode_ordinary(text)
@@ -185,7 +194,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], docs: int, size: int) -> Itera
 
 
 def linked(docs: DataFrame, *paths: str, chunk_docs: int = CHUNK_DOCS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A row for each chunk of documents: what align() tells of them, with pairs by their number among the chunk's, and the chunk's pairs with the documents that hold them."""
+    """Rows of each chunk of documents: what align() tells of some of them, with pairs by their number among the chunk's. The first row also has the chunk's pairs with the documents that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _tokenizers(*paths)
@@ -200,9 +209,15 @@ def linked(docs: DataFrame, *paths: str, chunk_docs: int = CHUNK_DOCS, chunk_byt
             whole = lambda name: np.concatenate([p[name] for p in parts])  # noqa: E731,B023
             pairs, place, held = np.unique(whole("pair"), return_inverse=True, return_counts=True)
             pairs_of = np.concatenate([np.bincount(p["doc"], minlength=len(p["n_a"])) for p in parts])
-            row = {"chunk": chunk, "doc_ids": ids} | {c: whole(c) for c in ("n_a", "n_b", "n_groups", "n_links")}
-            row |= {"sha": [s for p in parts for s in p["sha"]], "pairs_of": pairs_of.astype(np.int32), "places": plane_bytes(place.astype(np.int32)), "times": plane_bytes(whole("times")), "pairs": pairs, "held": held.astype(np.int32)}
-            yield pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in _KINDS.items()], names=list(_KINDS))
+            places, times, sha = place.astype(np.int32), whole("times"), [t for p in parts for t in p["sha"]]
+            told = {c: whole(c) for c in ("n_a", "n_b", "n_groups", "n_links")} | {"pairs_of": pairs_of.astype(np.int32)}
+            ends = np.concatenate([[0], np.cumsum(pairs_of)])
+            cuts = [0, *(np.flatnonzero(np.diff(ends[:-1] // ROW_PAIRS)) + 1).tolist(), len(ids)]
+            none = np.zeros(0, np.int64)
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                row = {"chunk": chunk, "doc_ids": ids[x:y], "sha": sha[x:y]} | {c: v[x:y] for c, v in told.items()}
+                row |= {"places": plane_bytes(places[ends[x] : ends[y]]), "times": plane_bytes(times[ends[x] : ends[y]]), "pairs": none if x else pairs, "held": none if x else held.astype(np.int32)}
+                yield pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in _KINDS.items()], names=list(_KINDS))
             chunk += 1
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _MADE)
@@ -225,30 +240,30 @@ def _unplane(data: bytes, kind) -> np.ndarray:
 
 
 def scored(chunks: DataFrame, counts: DataFrame) -> DataFrame:
-    """The contract's row of every document of the chunks, with what the pairs count."""
-    wanted = chunks.select("chunk", F.explode("pairs").alias("pair"))
+    """The contract's row of every document of the chunks, with what the pairs count. A chunk goes to Python alone, with its pairs as rows beside it."""
+    wanted = chunks.select(F.col("chunk").alias("of_chunk"), F.explode("pairs").alias("pair"))
     told = wanted.join(counts.select("pair", "count", "best"), "pair")
-    answers = told.groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list(F.struct("pair", "count", "best")).alias("told"))
-    rows = chunks.drop("held").join(answers, F.col("chunk") == F.col("of_chunk"), "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                cell = lambda name: batch.column(name)[k]  # noqa: E731,B023
-                array = lambda name: cell(name).values.to_numpy(zero_copy_only=False)  # noqa: E731,B023
-                pairs, pairs_of = array("pairs"), array("pairs_of")
-                count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
-                if cell("told").is_valid:
-                    told = cell("told").values
-                    at = np.searchsorted(pairs, told.field("pair").to_numpy())
-                    count[at], best[at] = told.field("count").to_numpy(), told.field("best").to_numpy(zero_copy_only=False)
-                places, times = _unplane(cell("places").as_py(), np.int32), _unplane(cell("times").as_py(), np.int64)
-                ends = np.concatenate([[0], np.cumsum(pairs_of)])
-                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(times * x[places])])[ends])  # noqa: E731,B023
-                columns = [cell("doc_ids").values, *[array(c) for c in ("n_a", "n_b", "n_groups", "n_links")], total(best), total(count), cell("sha").values]
-                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[c.split()[0] for c in _RESULT.split(", ")])
-
-    return rows.mapInArrow(run, _RESULT)
+    def of(rows: pa.Table, told: pa.Table) -> pa.Table:
+        count_of, best_of, pair_of = (told.column(c).to_numpy() for c in ("count", "best", "pair"))
+        # one row has them all, in order
+        pairs = rows.column("pairs").combine_chunks().flatten().to_numpy()
+        count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+        at = np.searchsorted(pairs, pair_of)
+        count[at], best[at] = count_of, best_of
+        tables = []
+        for k in range(rows.num_rows):
+            cell = lambda name: rows.column(name)[k]  # noqa: E731,B023
+            array = lambda name: cell(name).values.to_numpy(zero_copy_only=False)  # noqa: E731,B023
+            pairs_of = array("pairs_of")
+            places, times = _unplane(cell("places").as_py(), np.int32), _unplane(cell("times").as_py(), np.int64)
+            ends = np.concatenate([[0], np.cumsum(pairs_of)])
+            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(times * x[places])])[ends])  # noqa: E731,B023
+            columns = [cell("doc_ids").values, *[array(c) for c in ("n_a", "n_b", "n_groups", "n_links")], total(best), total(count), cell("sha").values]
+            tables.append(pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[c.split()[0] for c in _RESULT.split(", ")]))
+        return pa.concat_tables(tables)
+
+    return chunks.drop("held").groupBy("chunk").cogroup(told.groupBy("of_chunk")).applyInArrow(of, _RESULT)
 
 
 def aligned(docs: DataFrame, *paths: str) -> DataFrame:

@@ -97,6 +97,21 @@ def test_many_chunks(spark, encoders, monkeypatch):
     assert [tuple(r[c] for c in COLUMNS) for r in out] == want
 
 
+def test_a_chunk_meets_its_counts_alone(spark, encoders, monkeypatch):
+    monkeypatch.setattr(alignment, "ROW_PAIRS", 40)
+    texts = [*texts_of(4, 60), None, "", "a" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    # rows of one chunk, in rows of few pairs
+    made = list(alignment.linked(docs, *PATHS).collect())
+    assert len(made) > 3 and len({r.chunk for r in made}) == 1 and [i for r in made for i in r.doc_ids] == list(range(63)) and [len(r.pairs) > 0 for r in made] == [True, *[False] * (len(made) - 1)]
+    chunks = alignment.materialize(alignment.linked(docs, *PATHS))
+    out = alignment.scored(chunks, alignment.pair_counts(chunks))
+    assert [tuple(r[c] for c in COLUMNS) for r in out.orderBy("doc_id").collect()] == plain(texts, encoders)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # all chunks of a partition in one batch, each with a list of its counts, took memory that grew with the table
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan and "MapInArrow " not in plan
+
+
 @pytest.mark.parametrize("at_once", [3, 100, 1 << 20])
 def test_long_groups_are_taken_apart(at_once):
     rng = np.random.default_rng(at_once)
