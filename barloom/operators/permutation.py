@@ -37,8 +37,10 @@ def permuted(df: DataFrame, features: list[str], order: str, blocks: int, repeat
     spread = rows.withColumns({"_cell": F.explode(cells), "replicate": F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))}).withColumn("_mode", F.explode(modes))
     spread = spread.select("*", F.col("_cell.feature").alias("feature"), F.col("_cell.value").alias("_value"), F.col("_mode.mode").alias("mode"), F.col("_mode.part").alias("_part"), F.col("_mode.own").alias("_own")).drop("_cell", "_mode")
     key = F.concat_ws("|", "feature", "replicate", "_part")
-    givers = spread.select("_value", key.alias("_key"), uniform(seed, F.col("feature"), F.col("replicate"), F.col(order)).alias("_turn"), F.lit(1).alias("_one"))
-    givers = running(givers, "_taken", F.col("_one"), "_key", F.floor(F.col("_turn") * BUCKETS), "_turn").select("_key", "_taken", F.col("_value").alias("_given"))
+    # some of many rows draw equal numbers; these take turns in order of time
+    turn = F.struct(uniform(seed, F.col("feature"), F.col("replicate"), F.col(order)).alias("drawn"), F.col(order).alias("at"))
+    givers = spread.select("_value", key.alias("_key"), turn.alias("_turn"), F.lit(1).alias("_one"))
+    givers = running(givers, "_taken", F.col("_one"), "_key", F.floor(F.col("_turn.drawn") * BUCKETS), "_turn").select("_key", "_taken", F.col("_value").alias("_given"))
     # what Spark takes for the size of these is that of the file before its rows were multiplied, which it would broadcast
     met = spread.withColumn("_own_key", key).join(givers.hint("merge"), (F.col("_own_key") == F.col("_key")) & (F.col("_own") == F.col("_taken")))
     dealt = met.withColumns({f: F.when(F.col("feature") == f, F.col("_given")).otherwise(F.col(f"`{f}`")) for f in features})

@@ -54,3 +54,11 @@ def test_values_are_dealt_by_a_shuffle(spark):
     joins = [line for line in plan.splitlines() if "Join [" in line and "_taken#" in line]
     # neither side fits the driver when the table grows
     assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
+def test_equal_draws_take_turns_in_time(spark, monkeypatch):
+    monkeypatch.setattr(permutation, "uniform", lambda *parts: F.lit(0.5))
+    rows = [(i, float(i)) for i in range(200)]
+    for order in (rows, rows[::-1]):
+        got = permutation.permuted(spark.createDataFrame(order, "t long, a double").repartition(5), ["a"], "t", 4, 1).collect()
+        assert len(got) == 400 and all(r.a == r.t for r in got)
